@@ -114,3 +114,13 @@ def unit_hash(id_col) -> Column:
 def unit_hash_sql(id_col: str) -> str:
     r1 = f"((({id_col}) % 2147483647) * 48271) % 2147483647"
     return f"CAST(((({r1}) * 48271) % 2147483647) AS DOUBLE) / 2147483647.0"
+
+
+def round_half_even(x, digits: int) -> Column:
+    """Round the binary value x * 10^digits half-to-even, then scale back.
+
+    Matches NumPy's rounding of report values (``F.round`` rounds the decimal
+    text half-up: 0.00015 -> 0.0002 where NumPy and DuckDB give 0.0001).
+    """
+    scale = float(10 ** digits)
+    return F.rint(col(x) * F.lit(scale)) / F.lit(scale)

@@ -11,6 +11,8 @@ from fusionlens.sources.builds import builds_sql
 
 
 def with_builds(body: str, columns: list[str] | None = None, with_extras: bool = False) -> str:
+    if body.lstrip().upper().startswith("WITH"):
+        body = f"SELECT * FROM (\n{body}\n) w_body"
     return f"WITH builds AS (\n{builds_sql(columns, with_extras)}\n)\n{body}"
 
 
@@ -67,3 +69,295 @@ register(
     "process_window_risk",
     with_builds(binned_risk_sql([("Laser_Power_W", 6, "power_bin"), ("Scan_Speed_mm_s", 6, "speed_bin")])),
 )
+
+
+# ---------------------------------------------------------------------------
+# level-1 / level-2 report SQL (bodies read a ``builds`` relation)
+# ---------------------------------------------------------------------------
+
+from fusionlens.contract import (  # noqa: E402
+    CATEGORICAL, EXPECTED_COLUMNS, PHYSICAL_RANGES, POST_BUILD, PROCESS, QUALITY_ORDER, TEXT, THRESHOLDS,
+)
+from fusionlens.functions.exprs import guarded_corr_sql  # noqa: E402
+from fusionlens.operators.ranks import quantiles_sql_parts  # noqa: E402
+
+NUMERIC = ["Sample_ID"] + PROCESS + POST_BUILD
+FLOAT_COLS = set(PROCESS + POST_BUILD) - {"Defect_Count"}
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def union_all(parts: list[str]) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+def long_sql(cols: list[str], src: str = "builds", keep: list[str] = ()) -> str:
+    k = "".join(f"{c}, " for c in keep)
+    return union_all([f"SELECT {k}{q(c)} AS feature, CAST({c} AS DOUBLE) AS value FROM {src}" for c in cols])
+
+
+def missing_values_sql(cols=EXPECTED_COLUMNS) -> str:
+    parts = []
+    for c in cols:
+        miss = f"{c} IS NULL" + (f" OR isnan({c})" if c in FLOAT_COLS else "")
+        parts.append(f"SELECT {q(c)} AS \"column\", CAST(sum(CASE WHEN {miss} THEN 1 ELSE 0 END) AS BIGINT) AS missing_count, "
+                     f"count(*) AS n FROM builds")
+    return (f"SELECT \"column\", missing_count, round_even(missing_count / n * 100.0, 2) AS missing_percent, "
+            f"CASE WHEN missing_count > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM ({union_all(parts)}) m")
+
+
+def duplicate_rows_sql(cols=EXPECTED_COLUMNS) -> str:
+    return (f"SELECT 'duplicate_rows' AS \"check\", CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicate_count, "
+            f"CASE WHEN coalesce(sum(c - 1), 0) > 0 THEN 'WARN' ELSE 'PASS' END AS status "
+            f"FROM (SELECT count(*) AS c FROM builds GROUP BY {', '.join(cols)}) g")
+
+
+DOMAIN_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({q(v)})" for v in QUALITY_ORDER) + ") d(value))"
+
+
+def target_label_check_sql() -> str:
+    obs = "(SELECT DISTINCT Quality_Class AS value FROM builds WHERE Quality_Class IS NOT NULL)"
+    return (f"SELECT 'unexpected_target_label' AS \"check\", value, 'FAIL' AS status FROM {obs} o "
+            f"WHERE value NOT IN (SELECT value FROM {DOMAIN_SQL} d1)\nUNION ALL\n"
+            f"SELECT 'missing_target_label' AS \"check\", value, 'WARN' AS status FROM {DOMAIN_SQL} d "
+            f"WHERE value NOT IN (SELECT value FROM {obs} o2)")
+
+
+def target_distribution_sql() -> str:
+    return ("SELECT 'target_distribution' AS \"check\", Quality_Class AS value, count(*) AS count, "
+            "round_even(count(*) / (SELECT count(*) FROM builds) * 100.0, 2) AS percent, 'INFO' AS status "
+            "FROM builds GROUP BY Quality_Class")
+
+
+def physical_ranges_sql() -> str:
+    parts = []
+    for c, lo, hi in PHYSICAL_RANGES:
+        conds = []
+        if lo is not None:
+            conds.append(f"{c} < {lo}")
+        if hi is not None:
+            conds.append(f"{c} > {hi}")
+        bad = " OR ".join(conds)
+        parts.append(f"SELECT {q(c)} AS \"column\", CAST(sum(CASE WHEN {bad} THEN 1 ELSE 0 END) AS BIGINT) AS invalid_count, "
+                     f"{q(f'{lo} <= {c} <= {hi}')} AS rule FROM builds")
+    return (f"SELECT \"column\", invalid_count, CASE WHEN invalid_count > 0 THEN 'WARN' ELSE 'PASS' END AS status, rule "
+            f"FROM ({union_all(parts)}) p")
+
+
+def schema_report_sql(actual: list[str]) -> str:
+    rows = [("missing_expected_column", c, "FAIL", TEXT["missing_col"]) for c in sorted(set(EXPECTED_COLUMNS) - set(actual))]
+    rows += [("unexpected_column", c, "WARN", TEXT["extra_col"]) for c in sorted(set(actual) - set(EXPECTED_COLUMNS))]
+    if not rows:
+        rows = [("schema", None, "PASS", TEXT["schema_ok"])]
+    vals = ", ".join(f"({q(a)}, {('NULL' if b is None else q(b))}, {q(c)}, {q(d)})" for a, b, c, d in rows)
+    return f"SELECT * FROM (VALUES {vals}) s(\"check\", \"column\", status, details)"
+
+
+def status_rows_sql(report: str, body: str, check: str | None, item: str | None, value: str | None) -> str:
+    ch = f"CAST({check} AS VARCHAR)" if check else q(report)
+    it = f"CAST({item} AS VARCHAR)" if item else "CAST(NULL AS VARCHAR)"
+    va = f"CAST({value} AS DOUBLE)" if value else "CAST(NULL AS DOUBLE)"
+    return f"SELECT {q(report)} AS report, {ch} AS \"check\", {it} AS item, {va} AS value, status FROM ({body}) r_{report}"
+
+
+def data_quality_bundle_sql(actual: list[str]) -> str:
+    return union_all([
+        status_rows_sql("schema", schema_report_sql(actual), '"check"', '"column"', None),
+        status_rows_sql("missing_values", missing_values_sql(actual), None, '"column"', "missing_count"),
+        status_rows_sql("duplicates", duplicate_rows_sql(actual), '"check"', None, "duplicate_count"),
+        status_rows_sql("physical_ranges", physical_ranges_sql(), None, '"column"', "invalid_count"),
+        status_rows_sql("target", target_label_check_sql(), '"check"', "value", None),
+        status_rows_sql("target", target_distribution_sql(), '"check"', "value", "count"),
+    ])
+
+
+def gate_sql(status_rows: str) -> str:
+    return (f"SELECT CASE WHEN f > 0 THEN 'FAIL' WHEN w > 0 THEN 'WARN' ELSE 'PASS' END AS status, "
+            f"f AS fail_count, w AS warn_count, "
+            f"CASE WHEN f > 0 THEN {q(TEXT['gate_fail'])} WHEN w > 0 THEN {q(TEXT['gate_warn'])} "
+            f"ELSE {q(TEXT['gate_pass'])} END AS message FROM "
+            f"(SELECT count(*) FILTER (WHERE status = 'FAIL') AS f, count(*) FILTER (WHERE status = 'WARN') AS w "
+            f"FROM ({status_rows}) s) g")
+
+
+def iqr_outliers_sql(cols=NUMERIC) -> str:
+    long = f"(SELECT * FROM ({long_sql(cols)}) l0 WHERE value IS NOT NULL AND NOT isnan(value))"
+    qs = quantiles_sql_parts("lg", ["feature"], "value", {"q1": 0.25, "q3": 0.75})
+    k = THRESHOLDS["iqr_factor"]
+    return (
+        f"WITH lg AS {long}, qs AS ({qs}), b AS (SELECT feature, q1, q3, q3 - q1 AS iqr, q1 - {k} * (q3 - q1) AS lower_bound, "
+        f"q3 + {k} * (q3 - q1) AS upper_bound FROM qs WHERE q3 - q1 <> 0), "
+        f"c AS (SELECT b.feature, count(*) FILTER (WHERE lg.value < b.lower_bound OR lg.value > b.upper_bound) AS oc "
+        f"FROM lg JOIN b ON lg.feature = b.feature GROUP BY b.feature) "
+        f"SELECT b.feature, q1, q3, iqr, lower_bound, upper_bound, CAST(coalesce(oc, 0) AS BIGINT) AS outlier_count, "
+        f"round_even(coalesce(oc, 0) / (SELECT count(*) FROM builds) * 100.0, 2) AS outlier_percent, "
+        f"CASE WHEN coalesce(oc, 0) > 0 THEN 'WARN' ELSE 'PASS' END AS status, "
+        f"CASE WHEN coalesce(oc, 0) > 0 THEN {q(TEXT['outlier_yes'])} ELSE {q(TEXT['outlier_no'])} END AS interpretation "
+        f"FROM b LEFT JOIN c ON b.feature = c.feature"
+    )
+
+
+def class_balance_sql() -> str:
+    return (
+        "WITH c AS (SELECT Quality_Class AS quality_class, count(*) AS count FROM builds GROUP BY Quality_Class), "
+        "s AS (SELECT min(count) AS mn, max(count) AS mx, sum(count) AS n FROM c) "
+        "SELECT quality_class, count, round_even(count / n * 100.0, 2) AS percent, "
+        "round_even(CAST(mx AS DOUBLE) / NULLIF(mn, 0), 2) AS imbalance_ratio_majority_to_minority, "
+        f"CASE WHEN CAST(mx AS DOUBLE) / NULLIF(mn, 0) > {THRESHOLDS['class_imbalance']} THEN 'WARN' ELSE 'PASS' END AS status "
+        "FROM c, s"
+    )
+
+
+def correlation_long_sql(pairs: list[tuple[str, str]], src: str = "builds") -> str:
+    return union_all([
+        f"SELECT {q(a)} AS feature_a, {q(b)} AS feature_b, "
+        f"{guarded_corr_sql(f'CAST({a} AS DOUBLE)', f'CAST({b} AS DOUBLE)')} AS correlation FROM {src}"
+        for a, b in pairs
+    ])
+
+
+def correlation_pairs_sql(cols=NUMERIC, threshold=THRESHOLDS["correlation"]) -> str:
+    from itertools import combinations
+    pairs = list(combinations(cols, 2))
+    high = (f"SELECT feature_a, feature_b, round_even(correlation, 4) AS correlation, "
+            f"round_even(abs(correlation), 4) AS absolute_correlation, 'WARN' AS status, {q(TEXT['corr_high'])} AS interpretation "
+            f"FROM ({correlation_long_sql(pairs)}) l WHERE abs(correlation) >= {threshold}")
+    return (f"WITH h AS ({high}) SELECT * FROM h UNION ALL "
+            f"SELECT CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'PASS', "
+            f"{q(TEXT['corr_none'])} WHERE NOT EXISTS (SELECT 1 FROM h)")
+
+
+def constant_features_sql(cols=EXPECTED_COLUMNS) -> str:
+    parts = [f"SELECT {q(c)} AS feature, count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS u, "
+             f"count(*) AS n FROM builds" for c in cols]
+    thr = THRESHOLDS["near_constant_ratio"]
+    return (f"SELECT feature, CAST(u AS BIGINT) AS unique_count, round_even(u / n, 4) AS unique_ratio, "
+            f"CASE WHEN u <= 1 THEN 'WARN' WHEN u / n < {thr} THEN 'WARN' ELSE 'PASS' END AS status, "
+            f"CASE WHEN u <= 1 THEN {q(TEXT['constant'])} WHEN u / n < {thr} THEN {q(TEXT['near_constant'])} "
+            f"ELSE {q(TEXT['varied'])} END AS interpretation FROM ({union_all(parts)}) u")
+
+
+def skew_sql(c: str, src: str = "builds") -> str:
+    x = f"CAST({c} AS DOUBLE)"
+    return (f"(SELECT CASE WHEN count({x}) < 3 THEN NULL WHEN max({x}) = min({x}) THEN 0.0 ELSE "
+            f"(avg(power({x} - m, 3)) / power(avg(power({x} - m, 2)), 1.5)) * sqrt(count({x}) * (count({x}) - 1.0)) "
+            f"/ (count({x}) - 2.0) END FROM {src}, (SELECT avg({x}) AS m FROM {src}) mm)")
+
+
+def skewness_sql(cols=NUMERIC) -> str:
+    parts = [f"SELECT {q(c)} AS feature, {skew_sql(c)} AS s" for c in cols]
+    thr = THRESHOLDS["skewness"]
+    return (f"SELECT feature, round_even(s, 4) AS skewness, round_even(abs(s), 4) AS absolute_skewness, "
+            f"CASE WHEN abs(s) > {thr} THEN 'WARN' ELSE 'PASS' END AS status, "
+            f"CASE WHEN abs(s) > {thr} THEN {q(TEXT['skew_yes'])} ELSE {q(TEXT['skew_no'])} END AS interpretation "
+            f"FROM ({union_all(parts)}) s")
+
+
+def leakage_candidates_sql(actual: list[str]) -> str:
+    rows = [(f, "HIGH", "EXCLUDE_FROM_OPERATIONAL_MODEL", "WARN", TEXT["leak_post"]) for f in POST_BUILD if f in actual]
+    rows += [(f, "LOW", "ALLOWED", "PASS", TEXT["leak_ok"]) for f in PROCESS + CATEGORICAL if f in actual]
+    vals = ", ".join("(" + ", ".join(q(x) for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {vals}) l(feature, risk_level, production_use, status, reason)"
+
+
+def median_fill_sql(cols: list[str], src: str = "builds", keep: list[str] = ()) -> str:
+    """SELECT with each numeric column's NULLs replaced by its median."""
+    meds = []
+    for c in cols:
+        med = quantiles_sql_parts(f"(SELECT 'x' AS k, CAST({c} AS DOUBLE) AS v FROM {src})", ["k"], "v", {"m": 0.5})
+        meds.append(f"coalesce(CAST({c} AS DOUBLE), (SELECT m FROM ({med}) mq)) AS {c}")
+    return f"SELECT {''.join(k + ', ' for k in keep)}{', '.join(meds)} FROM {src}"
+
+
+def mutual_information_sql(num: list[str], cat: list[str], bins: int = 20) -> str:
+    filled = median_fill_sql(num, "lb", keep=["Quality_Class"])
+    num_long = long_sql(num, "filled", keep=["Quality_Class"])
+    cells_num = (f"SELECT l.feature, l.Quality_Class, CAST({edge_bin_sql('l.value', 'b.lo', 'b.hi', bins, False)} AS VARCHAR) AS cell "
+                 f"FROM nl l JOIN (SELECT feature, min(value) AS lo, max(value) AS hi FROM nl GROUP BY feature) b "
+                 f"ON l.feature = b.feature")
+    cells_cat = union_all([f"SELECT {q(c)} AS feature, Quality_Class, coalesce(CAST({c} AS VARCHAR), 'Missing') AS cell FROM lb"
+                           for c in cat])
+    return (
+        f"WITH lb AS (SELECT * FROM builds WHERE Quality_Class IS NOT NULL), filled AS ({filled}), nl AS ({num_long}), "
+        f"cells AS ({cells_num} UNION ALL {cells_cat}), "
+        f"j AS (SELECT feature, cell, Quality_Class, count(*) AS nxy FROM cells GROUP BY ALL), "
+        f"px AS (SELECT feature, cell, sum(nxy) AS nx FROM j GROUP BY ALL), "
+        f"py AS (SELECT feature, Quality_Class, sum(nxy) AS ny FROM j GROUP BY ALL), "
+        f"nn AS (SELECT feature, sum(nxy) AS n FROM j GROUP BY ALL) "
+        f"SELECT j.feature, round_even(greatest(sum((nxy / n) * ln((nxy * n) / (nx * ny))), 0.0), 6) AS mutual_information_score, "
+        f"'INFO' AS status, {q(TEXT['mi'])} AS interpretation "
+        f"FROM j JOIN px USING (feature, cell) JOIN py USING (feature, Quality_Class) JOIN nn USING (feature) GROUP BY j.feature"
+    )
+
+
+def category_codes_sql(cols=CATEGORICAL) -> str:
+    d = union_all([f"SELECT DISTINCT {q(c)} AS feature, coalesce(CAST({c} AS VARCHAR), 'Missing') AS category FROM builds"
+                   for c in cols])
+    return (f"SELECT feature, category, CAST(dense_rank() OVER (PARTITION BY feature ORDER BY category) - 1 AS INTEGER) "
+            f"AS code FROM ({d}) d")
+
+
+def production_risks_sql(actual: list[str]) -> str:
+    from fusionlens.contract import PRODUCTION_RISKS
+    act = dict(PRODUCTION_RISKS)
+    return (
+        f"WITH lk AS ({leakage_candidates_sql(actual)}), ol AS ({iqr_outliers_sql()}), cb AS ({class_balance_sql()}), "
+        f"cr AS ({correlation_pairs_sql()}), "
+        f"v AS (SELECT (SELECT count(*) FROM lk WHERE status = 'WARN') AS lv, "
+        f"(SELECT count(*) FROM ol WHERE outlier_count > 0) AS ov, (SELECT count(*) FROM cb WHERE status = 'WARN') AS bv, "
+        f"(SELECT count(*) FROM cr WHERE status = 'WARN') AS cv) "
+        f"SELECT 'Data leakage' AS risk, CASE WHEN lv > 0 THEN 'HIGH' ELSE 'LOW' END AS severity, "
+        f"printf('%d leakage-risk features detected.', lv) AS evidence, {q(act['Data leakage'])} AS recommended_action FROM v "
+        f"UNION ALL SELECT 'Outliers / unusual process windows', CASE WHEN ov > 0 THEN 'MEDIUM' ELSE 'LOW' END, "
+        f"printf('%d numeric features contain IQR outliers.', ov), {q(act['Outliers / unusual process windows'])} FROM v "
+        f"UNION ALL SELECT 'Class imbalance', CASE WHEN bv > 0 THEN 'MEDIUM' ELSE 'LOW' END, "
+        f"CASE WHEN bv > 0 THEN 'Class imbalance warning detected.' ELSE 'No severe class imbalance detected.' END, "
+        f"{q(act['Class imbalance'])} FROM v "
+        f"UNION ALL SELECT 'Feature redundancy', CASE WHEN cv > 0 THEN 'MEDIUM' ELSE 'LOW' END, "
+        f"printf('%d highly correlated feature pairs detected.', cv), {q(act['Feature redundancy'])} FROM v "
+        f"UNION ALL SELECT 'Machine/process drift', 'MEDIUM', "
+        f"'Dataset does not confirm future machines or powders match training distribution.', "
+        f"{q(act['Machine/process drift'])} FROM v"
+    )
+
+
+def statistical_bundle_sql(actual: list[str]) -> str:
+    num = [c for c in NUMERIC if c in actual]
+    mi_num = [c for c in num if c != "Sample_ID"]
+    mi_cat = [c for c in CATEGORICAL if c in actual]
+    return union_all([
+        status_rows_sql("outliers", iqr_outliers_sql(num), None, "feature", "outlier_count"),
+        status_rows_sql("class_balance", class_balance_sql(), None, "quality_class", "count"),
+        status_rows_sql("correlations", correlation_pairs_sql(num), None,
+                        "concat_ws(' vs ', feature_a, feature_b)", "correlation"),
+        status_rows_sql("constant_features", constant_features_sql(actual), None, "feature", "unique_count"),
+        status_rows_sql("skewness", skewness_sql(num), None, "feature", "skewness"),
+        status_rows_sql("leakage_candidates", leakage_candidates_sql(actual), None, "feature", None),
+        status_rows_sql("mutual_information", mutual_information_sql(mi_num, mi_cat), None, "feature",
+                        "mutual_information_score"),
+    ])
+
+
+_C = EXPECTED_COLUMNS
+_MI_NUM = PROCESS + POST_BUILD
+register("schema_report", with_builds(schema_report_sql(_C + ["event_time", "machine_id"]), with_extras=True))
+register("missing_values", with_builds(missing_values_sql()))
+register("duplicate_rows", with_builds(duplicate_rows_sql()))
+register("target_label_check", with_builds(target_label_check_sql()))
+register("target_distribution", with_builds(target_distribution_sql()))
+register("physical_ranges", with_builds(physical_ranges_sql()))
+register("data_quality_bundle", with_builds(data_quality_bundle_sql(_C)))
+register("quality_gate", with_builds(gate_sql(union_all([data_quality_bundle_sql(_C), statistical_bundle_sql(_C)]))))
+register("iqr_outliers", with_builds(iqr_outliers_sql()))
+register("class_balance", with_builds(class_balance_sql()))
+register("correlation_pairs", with_builds(correlation_pairs_sql()))
+register("constant_features", with_builds(constant_features_sql()))
+register("skewness_report", with_builds(skewness_sql()))
+register("leakage_candidates", with_builds(leakage_candidates_sql(_C)))
+register("mutual_information", with_builds(mutual_information_sql(_MI_NUM, CATEGORICAL)))
+register("median_fill", with_builds(median_fill_sql(NUMERIC)))
+register("category_fill_encode", with_builds(category_codes_sql()))
+register("production_risks", with_builds(production_risks_sql(_C)))
+register("statistical_bundle", with_builds(statistical_bundle_sql(_C)))

@@ -26,3 +26,51 @@ def query(name: str):
 @query("process_window_risk")
 def q_process_window_risk(spark, sf_dir):
     return binned.process_window_risk(builds(spark, sf_dir, ["Laser_Power_W", "Scan_Speed_mm_s", "Quality_Class"]))
+
+
+from fusionlens.contract import CATEGORICAL, NUMERIC_TYPES  # noqa: E402,F401
+from fusionlens.operators import quality, stats  # noqa: E402
+
+
+def _b(spark, sf_dir, cols=None, extras=False):
+    return builds(spark, sf_dir, cols, with_extras=extras)
+
+
+QUERIES.update({
+    "schema_report": lambda s, d: quality.schema_report(_b(s, d, extras=True)),
+    "missing_values": lambda s, d: quality.missing_values(_b(s, d)),
+    "duplicate_rows": lambda s, d: quality.duplicate_rows(_b(s, d)),
+    "target_label_check": lambda s, d: quality.target_label_check(_b(s, d, ["Quality_Class"])),
+    "target_distribution": lambda s, d: quality.target_distribution(_b(s, d, ["Quality_Class"])),
+    "physical_ranges": lambda s, d: quality.physical_ranges(_b(s, d)),
+    "data_quality_bundle": lambda s, d: quality.data_quality_bundle(_b(s, d)),
+    "quality_gate": lambda s, d: quality.quality_gate(
+        quality.data_quality_bundle(_b(s, d)).unionByName(stats.statistical_bundle(_b(s, d)))),
+    "iqr_outliers": lambda s, d: stats.iqr_outliers(_b(s, d)),
+    "class_balance": lambda s, d: stats.class_balance(_b(s, d, ["Quality_Class"])),
+    "correlation_pairs": lambda s, d: stats.correlation_pairs(_b(s, d)),
+    "constant_features": lambda s, d: stats.constant_features(_b(s, d)),
+    "skewness_report": lambda s, d: stats.skewness_report(_b(s, d)),
+    "leakage_candidates": lambda s, d: stats.leakage_candidates(_b(s, d)),
+    "mutual_information": lambda s, d: stats.mutual_information(_b(s, d)),
+    "median_fill": lambda s, d: _median_fill(s, d),
+    "category_fill_encode": lambda s, d: stats.category_codes(_b(s, d, CATEGORICAL), CATEGORICAL),
+    "production_risks": lambda s, d: _production_risks(s, d),
+    "statistical_bundle": lambda s, d: stats.statistical_bundle(_b(s, d)),
+})
+
+
+def _median_fill(spark, sf_dir):
+    from fusionlens.contract import numeric_columns
+    df = _b(spark, sf_dir)
+    num = numeric_columns(df)
+    return stats.median_fill(df.select(*num), num).select(*[F.col(c).cast("double").alias(c) for c in num])
+
+
+def _production_risks(spark, sf_dir):
+    df = _b(spark, sf_dir)
+    return stats.production_risks(stats.leakage_candidates(df), stats.iqr_outliers(df), stats.class_balance(df),
+                                  stats.correlation_pairs(df))
+
+
+from pyspark.sql import functions as F  # noqa: E402
