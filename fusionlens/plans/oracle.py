@@ -361,3 +361,291 @@ register("median_fill", with_builds(median_fill_sql(NUMERIC)))
 register("category_fill_encode", with_builds(category_codes_sql()))
 register("production_risks", with_builds(production_risks_sql(_C)))
 register("statistical_bundle", with_builds(statistical_bundle_sql(_C)))
+
+
+# ---------------------------------------------------------------------------
+# challenges, summaries, projections
+# ---------------------------------------------------------------------------
+
+from fusionlens.contract import (  # noqa: E402
+    CHI2_CRITICAL_05, FEATURE_GROUP_LABELS, FEATURE_SETS, IDENTIFIER_COLUMNS, PHYSICS_PAIRS, RISK_IMPACT,
+    RISK_IMPACT_DEFAULT, SEVERITY_SCORE, TARGET, safe_feature_columns,
+)
+
+SAFE_NUMERIC = PROCESS + POST_BUILD  # numeric minus identifiers / target
+ORDINAL_SQL = ("CASE Quality_Class WHEN 'Poor' THEN 0 WHEN 'Moderate' THEN 1 WHEN 'Good' THEN 2 "
+               "WHEN 'Excellent' THEN 3 END")
+
+
+def histogram_sql(cols: list[str], bins: int, src: str = "builds") -> str:
+    lg = f"(SELECT * FROM ({long_sql(cols, src)}) l0 WHERE value IS NOT NULL AND NOT isnan(value))"
+    lower, upper = interval_sql("value", bins, "bin", False)
+    return (f"SELECT feature, bin, {lower} AS bin_lower, {upper} AS bin_upper, count(*) AS count FROM ("
+            f"SELECT l.feature, value__lo, value__hi, {edge_bin_sql('l.value', 'value__lo', 'value__hi', bins, False)} AS bin "
+            f"FROM {lg} l JOIN (SELECT feature, min(value) AS value__lo, max(value) AS value__hi FROM {lg} g "
+            f"GROUP BY feature) b ON l.feature = b.feature) h GROUP BY feature, bin, value__lo, value__hi")
+
+
+def distribution_challenge_sql(cols=SAFE_NUMERIC, bins: int = 20) -> str:
+    lg = f"(SELECT * FROM ({long_sql(cols)}) l0 WHERE value IS NOT NULL AND NOT isnan(value))"
+    return (
+        f"WITH h AS ({histogram_sql(cols, bins)}), hn AS (SELECT * FROM h WHERE count > 0), "
+        f"t AS (SELECT feature, sum(count) AS n, count(*) AS k FROM hn GROUP BY feature), "
+        f"u AS (SELECT hn.feature, t.k, -sum((count / n) * ln(count / n)) AS ent FROM hn JOIN t USING (feature) "
+        f"GROUP BY hn.feature, t.k), "
+        f"b AS (SELECT feature, min(value) AS min, max(value) AS max, avg(value) AS mean, stddev_samp(value) AS std, "
+        f"count(DISTINCT value) AS unique_values FROM {lg} l GROUP BY feature), "
+        f"j AS (SELECT b.*, CASE WHEN unique_values <= 1 THEN 0.0 WHEN u.k <= 1 THEN 0.0 "
+        f"ELSE coalesce(u.ent / ln(u.k), 0.0) END AS uniformity_score FROM b LEFT JOIN u USING (feature)) "
+        f"SELECT feature, min, max, mean, std, unique_values, uniformity_score, "
+        f"CASE WHEN uniformity_score >= {THRESHOLDS['uniform']} THEN {q(TEXT['uniform_yes'])} "
+        f"ELSE {q(TEXT['uniform_no'])} END AS interpretation FROM j"
+    )
+
+
+def physics_correlations_sql() -> str:
+    parts = []
+    for left, right, expect in PHYSICS_PAIRS:
+        r = ORDINAL_SQL if right == TARGET else right
+        parts.append(f"SELECT {q(left + ' vs ' + right)} AS relationship, "
+                     f"{guarded_corr_sql(f'CAST({left} AS DOUBLE)', f'CAST({r} AS DOUBLE)')} AS correlation, "
+                     f"{q(expect)} AS expected_physics FROM builds")
+    thr = THRESHOLDS["weak_correlation"]
+    return (f"SELECT relationship, correlation, abs(correlation) AS absolute_correlation, expected_physics, "
+            f"CASE WHEN correlation IS NULL THEN {q(TEXT['not_computable'])} WHEN abs(correlation) < {thr} "
+            f"THEN {q(TEXT['weak_pair'])} ELSE {q(TEXT['visible_pair'])} END AS interpretation FROM ({union_all(parts)}) p")
+
+
+def energy_formula_sql() -> str:
+    calc = ("Laser_Power_W / NULLIF(Scan_Speed_mm_s * Hatch_Spacing_mm * (Layer_Thickness_um / 1000.0), 0)")
+    w = ("SELECT Energy_Density_J_mm3 AS o, " + calc + " AS c FROM builds WHERE Laser_Power_W IS NOT NULL AND "
+         "Scan_Speed_mm_s IS NOT NULL AND Hatch_Spacing_mm IS NOT NULL AND Layer_Thickness_um IS NOT NULL AND "
+         "Energy_Density_J_mm3 IS NOT NULL")
+    thr = THRESHOLDS["energy_formula_corr"]
+    return (
+        f"SELECT 'energy_density_formula' AS \"check\", CASE WHEN n = 0 THEN 'SKIPPED' WHEN r >= {thr} THEN 'PASS' "
+        f"ELSE 'WARN' END AS status, CASE WHEN n = 0 THEN {q(TEXT['energy_no_rows'])} END AS reason, "
+        f"n AS rows_checked, r AS correlation_observed_vs_calculated, mae AS mean_absolute_error, "
+        f"mape AS mean_absolute_percent_error, CASE WHEN n = 0 THEN NULL WHEN r >= {thr} THEN {q(TEXT['energy_pass'])} "
+        f"ELSE {q(TEXT['energy_warn'])} END AS interpretation FROM (SELECT count(*) AS n, "
+        f"{guarded_corr_sql('o', 'c')} AS r, avg(abs(o - c)) AS mae, avg(abs((o - c) / NULLIF(o, 0))) * 100.0 AS mape "
+        f"FROM ({w}) w) a"
+    )
+
+
+def kruskal_sql(cols=SAFE_NUMERIC) -> str:
+    lg = (f"(SELECT * FROM ({long_sql(cols, 'lb', keep=['Quality_Class'])}) l0 WHERE value IS NOT NULL "
+          f"AND NOT isnan(value))")
+    crit = " ".join(f"WHEN {k} THEN {v}" for k, v in sorted(CHI2_CRITICAL_05.items()))
+    return (
+        f"WITH lb AS (SELECT * FROM builds WHERE Quality_Class IS NOT NULL), lg AS {lg}, "
+        f"pv AS (SELECT feature, value, count(*) AS cnt FROM lg GROUP BY feature, value), "
+        f"rk AS (SELECT feature, value, cnt, (sum(cnt) OVER (PARTITION BY feature ORDER BY value) - cnt) "
+        f"+ (cnt + 1) / 2.0 AS avg_rank, sum(cnt) OVER (PARTITION BY feature) AS n FROM pv), "
+        f"g AS (SELECT lg.feature, lg.Quality_Class, sum(rk.avg_rank) AS r, count(*) AS nj, max(rk.n) AS n "
+        f"FROM lg JOIN rk ON lg.feature = rk.feature AND lg.value = rk.value GROUP BY lg.feature, lg.Quality_Class), "
+        f"f AS (SELECT feature, sum(r * r / nj) AS ssq, max(n) AS n, count(*) AS k FROM g GROUP BY feature), "
+        f"t AS (SELECT feature, sum(power(CAST(cnt AS DOUBLE), 3) - cnt) AS tie_sum FROM rk GROUP BY feature), "
+        f"h AS (SELECT f.feature, (12.0 / (n * (n + 1.0)) * ssq - 3.0 * (n + 1.0)) / "
+        f"(1.0 - tie_sum / (power(CAST(n AS DOUBLE), 3) - n)) AS kruskal_statistic, CAST(k - 1 AS INTEGER) AS degrees_of_freedom "
+        f"FROM f JOIN t USING (feature) WHERE k >= 2 AND (1.0 - tie_sum / (power(CAST(n AS DOUBLE), 3) - n)) > 0) "
+        f"SELECT feature, kruskal_statistic, degrees_of_freedom, CASE degrees_of_freedom {crit} END AS critical_value_05, "
+        f"CASE WHEN kruskal_statistic <= CASE degrees_of_freedom {crit} END THEN {q(TEXT['sep_weak'])} "
+        f"ELSE {q(TEXT['sep_yes'])} END AS class_separation_signal FROM h"
+    )
+
+
+def defect_trend_sql() -> str:
+    dom = ", ".join(f"({q(v)}, {i})" for i, v in enumerate(QUALITY_ORDER))
+    med = quantiles_sql_parts("(SELECT Quality_Class, CAST(Defect_Count AS DOUBLE) AS v FROM builds "
+                              "WHERE Quality_Class IS NOT NULL)", ["Quality_Class"], "v", {"median": 0.5})
+    return (
+        f"WITH d AS (SELECT * FROM (VALUES {dom}) d(Quality_Class, o)), "
+        f"s AS (SELECT Quality_Class, count(Defect_Count) AS count, avg(CAST(Defect_Count AS DOUBLE)) AS mean, "
+        f"stddev_samp(CAST(Defect_Count AS DOUBLE)) AS std FROM builds WHERE Quality_Class IS NOT NULL GROUP BY Quality_Class), "
+        f"m AS ({med}), "
+        f"t AS (SELECT d.Quality_Class, d.o, CAST(s.count AS BIGINT) AS count, s.mean, m.median, s.std FROM d "
+        f"LEFT JOIN s ON d.Quality_Class = s.Quality_Class LEFT JOIN m ON d.Quality_Class = m.Quality_Class), "
+        f"r AS (SELECT *, CASE WHEN mean > last_value(mean IGNORE NULLS) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED "
+        f"PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS rise FROM t) "
+        f"SELECT Quality_Class, count, mean, median, std, CASE WHEN max(rise) OVER () > 0 THEN {q(TEXT['trend_warn'])} "
+        f"ELSE {q(TEXT['trend_pass'])} END AS trend_check FROM r"
+    )
+
+
+def leakage_identifiers_sql(actual: list[str]) -> str:
+    rows = []
+    for c in actual:
+        if c in IDENTIFIER_COLUMNS:
+            rows.append((c, TEXT["id_leak"], TEXT["id_rec"]))
+        if c in POST_BUILD:
+            rows.append((c, TEXT["timing_leak"], TEXT["timing_rec"]))
+    vals = ", ".join("(" + ", ".join(q(x) for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {vals}) l(feature, risk_type, recommendation)"
+
+
+def challenge_bundle_sql(actual: list[str]) -> str:
+    def part(name, body, item, value, label):
+        v = f"CAST({value} AS DOUBLE)" if value else "CAST(NULL AS DOUBLE)"
+        return (f"SELECT {q(name)} AS report, CAST({item} AS VARCHAR) AS item, {v} AS value, "
+                f"CAST({label} AS VARCHAR) AS label FROM ({body}) x_{name}")
+    return union_all([
+        part("distribution_challenge", distribution_challenge_sql(), "feature", "uniformity_score", "interpretation"),
+        part("physics_correlation_challenge", physics_correlations_sql(), "relationship", "correlation", "interpretation"),
+        part("energy_density_formula_challenge", energy_formula_sql(), '"check"', "correlation_observed_vs_calculated",
+             "status"),
+        part("quality_separation_challenge", kruskal_sql(), "feature", "kruskal_statistic", "class_separation_signal"),
+        part("defect_trend_challenge", defect_trend_sql(), "Quality_Class", "mean", "trend_check"),
+        part("leakage_challenge", leakage_identifiers_sql(actual), "feature", None, "risk_type"),
+    ])
+
+
+def realism_scorecard_sql(actual: list[str]) -> str:
+    return (
+        f"WITH dc AS ({distribution_challenge_sql()}), ef AS ({energy_formula_sql()}), pc AS ({physics_correlations_sql()}), "
+        f"ks AS ({kruskal_sql()}), lk AS ({leakage_identifiers_sql(actual)}) "
+        f"SELECT 'Distribution realism' AS challenge, printf('%d highly uniform variables', "
+        f"(SELECT count(*) FROM dc WHERE uniformity_score >= {THRESHOLDS['uniform']})) AS result "
+        f"UNION ALL SELECT 'Energy-density formula', (SELECT CASE WHEN correlation_observed_vs_calculated IS NULL "
+        f"THEN 'N/A' ELSE printf('corr=%.3f, MAPE=%.1f%%', correlation_observed_vs_calculated, "
+        f"mean_absolute_percent_error) END FROM ef) "
+        f"UNION ALL SELECT 'Expected physics correlations', printf('%d/%d weak', (SELECT count(*) FROM pc WHERE "
+        f"absolute_correlation < {THRESHOLDS['weak_correlation']}), (SELECT count(*) FROM pc)) "
+        f"UNION ALL SELECT 'Quality class separation', printf('%d/%d weak', (SELECT count(*) FROM ks WHERE "
+        f"class_separation_signal = {q(TEXT['sep_weak'])}), (SELECT count(*) FROM ks)) "
+        f"UNION ALL SELECT 'Quick RF predictability', 'N/A' "
+        f"UNION ALL SELECT 'Timing / identifier leakage', printf('%d columns flagged', (SELECT count(*) FROM lk))"
+    )
+
+
+def numeric_summary_sql(cols=NUMERIC) -> str:
+    lg = f"(SELECT * FROM ({long_sql(cols)}) l0 WHERE value IS NOT NULL AND NOT isnan(value))"
+    qs = quantiles_sql_parts("lg", ["feature"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return (f"WITH lg AS {lg}, qs AS ({qs}) SELECT b.feature, count, mean, std, min, p25, p50, p75, max FROM "
+            f"(SELECT feature, count(*) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, "
+            f"max(value) AS max FROM lg GROUP BY feature) b JOIN qs ON b.feature = qs.feature")
+
+
+def categorical_summary_sql(cols=CATEGORICAL + [TARGET]) -> str:
+    parts = [f"SELECT {q(c)} AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS count FROM builds GROUP BY {c}"
+             for c in cols]
+    return (f"SELECT \"column\", value, count, round_even(count / (SELECT count(*) FROM builds) * 100.0, 2) AS percent "
+            f"FROM ({union_all(parts)}) c")
+
+
+def box_stats_sql(cols=SAFE_NUMERIC) -> str:
+    lg = (f"(SELECT * FROM ({long_sql(cols, 'lb', keep=['Quality_Class'])}) l0 WHERE value IS NOT NULL AND NOT isnan(value))")
+    qs = quantiles_sql_parts("lg", ["feature", "Quality_Class"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return (
+        f"WITH lb AS (SELECT * FROM builds WHERE Quality_Class IS NOT NULL), lg AS {lg}, qs AS ({qs}), "
+        f"fe AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM qs) "
+        f"SELECT fe.feature, fe.Quality_Class, count(*) AS n, q1, median, q3, iqr, "
+        f"min(CASE WHEN value >= lo_f AND value <= hi_f THEN value END) AS whisker_low, "
+        f"max(CASE WHEN value >= lo_f AND value <= hi_f THEN value END) AS whisker_high, "
+        f"count(*) FILTER (WHERE NOT (value >= lo_f AND value <= hi_f)) AS outliers "
+        f"FROM lg JOIN fe ON lg.feature = fe.feature AND lg.Quality_Class = fe.Quality_Class "
+        f"GROUP BY fe.feature, fe.Quality_Class, q1, median, q3, iqr"
+    )
+
+
+def category_by_class_sql(cols=CATEGORICAL) -> str:
+    parts = [f"SELECT {q(c)} AS variable, CAST({c} AS VARCHAR) AS category, Quality_Class FROM builds" for c in cols]
+    piv = ", ".join(f"CAST(count(*) FILTER (WHERE Quality_Class = {q(v)}) AS BIGINT) AS {v}" for v in QUALITY_ORDER)
+    return f"SELECT variable, category, {piv} FROM ({union_all(parts)}) l GROUP BY variable, category"
+
+
+def class_distribution_sql() -> str:
+    dom = ", ".join(f"({q(v)}, {i + 1})" for i, v in enumerate(QUALITY_ORDER))
+    return (
+        f"WITH d AS (SELECT * FROM (VALUES {dom}) d(Quality_Class, class_order)), "
+        f"c AS (SELECT Quality_Class, count(*) AS count FROM builds GROUP BY Quality_Class), "
+        f"p AS (SELECT min(count) AS mn, max(count) AS mx FROM c JOIN d USING (Quality_Class)) "
+        f"SELECT d.Quality_Class, d.class_order, CAST(coalesce(c.count, 0) AS BIGINT) AS count, "
+        f"coalesce(c.count, 0) / (SELECT count(*) FROM builds) AS share, CAST(p.mx AS DOUBLE) / NULLIF(p.mn, 0) "
+        f"AS imbalance_ratio FROM d LEFT JOIN c ON d.Quality_Class = c.Quality_Class, p"
+    )
+
+
+def quality_audit_sql(actual: list[str]) -> str:
+    return (
+        f"WITH sr AS ({schema_report_sql(actual)}), mv AS ({missing_values_sql(actual)}), "
+        f"dr AS ({duplicate_rows_sql(actual)}), pr AS ({physical_ranges_sql()}), cf AS ({constant_features_sql(actual)}), "
+        f"v AS (SELECT (SELECT count(*) FROM sr WHERE status = 'FAIL') AS f, (SELECT count(*) FROM sr WHERE status = 'WARN') AS w, "
+        f"(SELECT coalesce(sum(missing_count), 0) FROM mv) AS m, (SELECT coalesce(sum(duplicate_count), 0) FROM dr) AS d, "
+        f"(SELECT coalesce(sum(invalid_count), 0) FROM pr) AS p, (SELECT count(*) FROM cf WHERE status = 'WARN') AS c) "
+        f"SELECT 1 AS pos, 'Schema validation' AS \"check\", CASE WHEN f > 0 THEN 'FAIL' WHEN w > 0 THEN 'WARN' ELSE 'PASS' END "
+        f"AS status, CASE WHEN f + w = 0 THEN 'Expected columns available' ELSE printf('%d missing, %d unexpected columns', f, w) "
+        f"END AS detail FROM v "
+        f"UNION ALL SELECT 2, 'Missing values', CASE WHEN m = 0 THEN 'PASS' ELSE 'WARN' END, CAST(m AS VARCHAR) FROM v "
+        f"UNION ALL SELECT 3, 'Duplicate rows', CASE WHEN d = 0 THEN 'PASS' ELSE 'WARN' END, CAST(d AS VARCHAR) FROM v "
+        f"UNION ALL SELECT 4, 'Invalid physical ranges', CASE WHEN p = 0 THEN 'PASS' ELSE 'WARN' END, CAST(p AS VARCHAR) FROM v "
+        f"UNION ALL SELECT 5, 'Constant / near-constant features', CASE WHEN c = 0 THEN 'PASS' ELSE 'WARN' END, "
+        f"CAST(c AS VARCHAR) FROM v"
+    )
+
+
+def feature_group_sql_expr(c: str = "feature") -> str:
+    def lst(xs):
+        return ", ".join(q(x) for x in xs)
+    return (f"CASE WHEN {c} IN ({lst(POST_BUILD)}) THEN {q(FEATURE_GROUP_LABELS['post'])} "
+            f"WHEN {c} IN ({lst(PROCESS)}) THEN {q(FEATURE_GROUP_LABELS['process'])} "
+            f"WHEN {c} IN ({lst(CATEGORICAL)}) THEN {q(FEATURE_GROUP_LABELS['categorical'])} "
+            f"ELSE {q(FEATURE_GROUP_LABELS['other'])} END")
+
+
+def feature_groups_sql(cols=EXPECTED_COLUMNS) -> str:
+    parts = [f"SELECT {q(c)} AS feature, count({c}) AS non_null FROM builds" for c in cols]
+    return f"SELECT feature, non_null, {feature_group_sql_expr()} AS feature_group FROM ({union_all(parts)}) g"
+
+
+def risk_ranking_sql(actual: list[str]) -> str:
+    sev = " ".join(f"WHEN {q(k)} THEN {v}" for k, v in SEVERITY_SCORE.items())
+    imp = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in RISK_IMPACT.items())
+    return (f"SELECT risk, severity, coalesce(CASE severity {sev} END, 0) AS severity_score, "
+            f"coalesce(CASE risk {imp} END, {q(RISK_IMPACT_DEFAULT)}) AS impact, evidence, recommended_action "
+            f"FROM ({production_risks_sql(actual)}) r")
+
+
+register("uniformity_score", with_builds(
+    "SELECT feature, nonempty_bins, CASE WHEN nonempty_bins <= 1 THEN 0.0 ELSE ent / ln(nonempty_bins) END AS uniformity_score "
+    "FROM (SELECT h.feature, t.k AS nonempty_bins, -sum((count / n) * ln(count / n)) AS ent FROM (SELECT * FROM ("
+    + histogram_sql(SAFE_NUMERIC, 20) + ") hh WHERE count > 0) h JOIN (SELECT feature, sum(count) AS n, count(*) AS k FROM ("
+    + histogram_sql(SAFE_NUMERIC, 20) + ") h2 WHERE count > 0 GROUP BY feature) t ON h.feature = t.feature GROUP BY h.feature, t.k) u"))
+register("distribution_challenge", with_builds(distribution_challenge_sql()))
+register("physics_correlations", with_builds(physics_correlations_sql()))
+register("energy_formula_check", with_builds(energy_formula_sql()))
+register("kruskal_separation", with_builds(kruskal_sql()))
+register("defect_trend", with_builds(defect_trend_sql()))
+register("leakage_identifiers", with_builds(leakage_identifiers_sql(_C)))
+register("challenge_bundle", with_builds(challenge_bundle_sql(_C)))
+register("realism_scorecard", with_builds(realism_scorecard_sql(_C)))
+register("numeric_summary", with_builds(numeric_summary_sql()))
+register("categorical_summary", with_builds(categorical_summary_sql()))
+register("histogram", with_builds(histogram_sql(SAFE_NUMERIC, 20)))
+register("box_stats_by_class", with_builds(box_stats_sql()))
+register("category_by_class", with_builds(category_by_class_sql()))
+register("class_distribution", with_builds(class_distribution_sql()))
+register("quality_audit", with_builds(quality_audit_sql(_C)))
+register("top_outlier_features", with_builds(
+    f"SELECT feature, outlier_count, outlier_percent FROM ({iqr_outliers_sql()}) o WHERE feature <> 'Sample_ID' "
+    f"ORDER BY outlier_percent DESC, feature LIMIT 12"))
+register("feature_group", with_builds(feature_groups_sql()))
+register("top_mi_features", with_builds(
+    f"SELECT feature, mutual_information_score, {feature_group_sql_expr()} AS feature_group FROM "
+    f"({mutual_information_sql(_MI_NUM, CATEGORICAL)}) m ORDER BY mutual_information_score DESC, feature LIMIT 15"))
+register("risk_ranking", with_builds(risk_ranking_sql(_C)))
+register("energy_bin_risk", with_builds(
+    "SELECT s.*, o.overall_risk_rate_percent FROM (" + binned_risk_sql([("Energy_Density_J_mm3", 8, "energy_bin")])
+    + f") s, (SELECT 100.0 * sum({risk_sql()}) / count(*) AS overall_risk_rate_percent FROM builds "
+      "WHERE Energy_Density_J_mm3 IS NOT NULL AND Quality_Class IS NOT NULL) o"))
+register("category_risk", with_builds(
+    "SELECT variable, category, samples, risk_count, risk_rate_percent, printf('%.1f%%', risk_rate_percent) AS risk_rate_label "
+    "FROM (SELECT variable, category, count(*) AS samples, sum(r) AS risk_count, 100.0 * sum(r) / count(*) AS risk_rate_percent "
+    "FROM (" + union_all([f"SELECT {q(c)} AS variable, CAST({c} AS VARCHAR) AS category, {risk_sql()} AS r FROM builds"
+                          for c in CATEGORICAL]) + ") l WHERE category IS NOT NULL GROUP BY variable, category) c"))
+register("process_window_pivot", with_builds(
+    "SELECT power_bin, " + ", ".join(
+        f"max(CASE WHEN speed_bin = {k} THEN risk_rate_percent END) AS rate_{k}, "
+        f"max(CASE WHEN speed_bin = {k} THEN samples END) AS n_{k}" for k in range(1, 7))
+    + " FROM (" + binned_risk_sql([("Laser_Power_W", 6, "power_bin"), ("Scan_Speed_mm_s", 6, "speed_bin")])
+    + ") c GROUP BY power_bin"))

@@ -74,3 +74,44 @@ def _production_risks(spark, sf_dir):
 
 
 from pyspark.sql import functions as F  # noqa: E402
+
+
+from fusionlens.contract import PROCESS, POST_BUILD, TARGET  # noqa: E402
+from fusionlens.operators import challenge, evaluation, projections, selection, summary  # noqa: E402
+from fusionlens.plans import candidates  # noqa: E402
+
+SAFE_NUMERIC = PROCESS + POST_BUILD
+
+QUERIES.update({
+    "uniformity_score": lambda s, d: challenge.uniformity_scores(_b(s, d, SAFE_NUMERIC), SAFE_NUMERIC),
+    "distribution_challenge": lambda s, d: challenge.distribution_challenge(_b(s, d)),
+    "physics_correlations": lambda s, d: challenge.physics_correlations(_b(s, d)),
+    "energy_formula_check": lambda s, d: challenge.energy_formula_check(_b(s, d)),
+    "kruskal_separation": lambda s, d: challenge.kruskal_separation(_b(s, d)),
+    "kruskal_p_values": lambda s, d: challenge.kruskal_with_p(_b(s, d)),
+    "defect_trend": lambda s, d: challenge.defect_trend(_b(s, d, ["Defect_Count", TARGET])),
+    "leakage_identifiers": lambda s, d: challenge.leakage_identifiers(_b(s, d)),
+    "challenge_bundle": lambda s, d: challenge.challenge_bundle(_b(s, d)),
+    "realism_scorecard": lambda s, d: challenge.realism_scorecard(challenge.challenge_reports(_b(s, d))),
+    "numeric_summary": lambda s, d: summary.numeric_summary(_b(s, d)),
+    "categorical_summary": lambda s, d: summary.categorical_summary(_b(s, d)),
+    "histogram": lambda s, d: binned.histogram(_b(s, d, SAFE_NUMERIC), SAFE_NUMERIC, 20),
+    "box_stats_by_class": lambda s, d: summary.box_stats_by_class(_b(s, d)),
+    "category_by_class": lambda s, d: summary.category_by_class(_b(s, d)),
+    "class_distribution": lambda s, d: summary.class_distribution(_b(s, d, [TARGET])),
+    "quality_audit": lambda s, d: _quality_audit(s, d),
+    "top_outlier_features": lambda s, d: summary.top_outlier_features(stats.iqr_outliers(_b(s, d))),
+    "feature_group": lambda s, d: summary.feature_groups(_b(s, d)),
+    "top_mi_features": lambda s, d: summary.top_mi_features(stats.mutual_information(_b(s, d))),
+    "risk_ranking": lambda s, d: summary.risk_ranking(_production_risks(s, d)),
+    "energy_bin_risk": lambda s, d: binned.energy_bin_risk(_b(s, d, ["Energy_Density_J_mm3", TARGET])),
+    "category_risk": lambda s, d: binned.category_risk(_b(s, d, CATEGORICAL + [TARGET])),
+    "process_window_pivot": lambda s, d: binned.process_window_pivot(
+        _b(s, d, ["Laser_Power_W", "Scan_Speed_mm_s", TARGET])),
+})
+
+
+def _quality_audit(spark, sf_dir):
+    df = _b(spark, sf_dir)
+    return summary.quality_audit(quality.schema_report(df), quality.missing_values(df), quality.duplicate_rows(df),
+                                 quality.physical_ranges(df), stats.constant_features(df))
