@@ -136,11 +136,11 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
     )
 
 
-def process_points(df: DataFrame, fraction: float = 0.1, seed: int = 42) -> DataFrame:
-    """Speed/power/class points for a scatter: a deterministic per-row sample by
-    a hash of the id (never a collect of the table)."""
-    h = F.abs(F.xxhash64(F.col("Sample_ID"), F.lit(seed))) % F.lit(1_000_000)
+def process_points(df: DataFrame, fraction: float = 0.1) -> DataFrame:
+    """Speed/power/class points for a scatter: a deterministic per-row sample by an
+    arithmetic hash of the id (a sampling operator; never a collect of the table)."""
+    from fusionlens.functions.exprs import unit_hash
     return (
         df.select("Sample_ID", "Scan_Speed_mm_s", "Laser_Power_W", TARGET)
-        .filter(h < F.lit(int(fraction * 1_000_000)))
+        .filter(unit_hash("Sample_ID") < F.lit(fraction))
     )

@@ -649,3 +649,184 @@ register("process_window_pivot", with_builds(
         f"max(CASE WHEN speed_bin = {k} THEN samples END) AS n_{k}" for k in range(1, 7))
     + " FROM (" + binned_risk_sql([("Laser_Power_W", 6, "power_bin"), ("Scan_Speed_mm_s", 6, "speed_bin")])
     + ") c GROUP BY power_bin"))
+
+
+# ---------------------------------------------------------------------------
+# projections, evaluation, selection (on SQL-reproducible candidate predictions)
+# ---------------------------------------------------------------------------
+
+from fusionlens.contract import MODEL_LADDER, SELECTION_POLICY  # noqa: E402
+from fusionlens.functions.exprs import unit_hash_sql  # noqa: E402
+from fusionlens.plans.candidates import CANDIDATES, RULES, TEST_SIZE  # noqa: E402
+
+METRICS = ["accuracy", "balanced_accuracy", "macro_f1", "weighted_f1",
+           "risk_precision", "risk_recall", "risk_f1", "risk_f2"]
+
+
+def predictions_sql() -> str:
+    parts = []
+    for scen, model in CANDIDATES:
+        pred = "majority_class" if model == "dummy" else RULES[scen]
+        parts.append(f"SELECT {q(scen)} AS scenario, {q(model)} AS model_type, Quality_Class AS label, "
+                     f"{pred} AS prediction FROM s, maj WHERE is_test")
+    return (f"WITH s AS (SELECT *, {unit_hash_sql('Sample_ID')} < {TEST_SIZE} AS is_test FROM builds "
+            f"WHERE Quality_Class IS NOT NULL), "
+            f"maj AS (SELECT Quality_Class AS majority_class FROM s WHERE NOT is_test GROUP BY Quality_Class "
+            f"ORDER BY count(*) DESC, Quality_Class ASC LIMIT 1) {union_all(parts)}")
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return f"CASE WHEN ({b}) > 0 THEN ({a}) / ({b}) ELSE 0.0 END"
+
+
+def metrics_sql() -> str:
+    """(scenario, model_type, 8 metrics) from the predictions."""
+    risk = lambda c: f"CASE WHEN {c} IN ('Poor', 'Moderate') THEN 1 ELSE 0 END"
+    return (
+        f"WITH p AS ({predictions_sql()}), "
+        f"cc AS (SELECT scenario, model_type, label AS actual, prediction AS predicted, CAST(count(*) AS DOUBLE) AS n "
+        f"FROM p GROUP BY ALL), "
+        f"cls AS (SELECT scenario, model_type, actual AS cls FROM cc UNION SELECT scenario, model_type, predicted FROM cc), "
+        f"pc AS (SELECT c.scenario, c.model_type, c.cls, "
+        f"coalesce((SELECT sum(n) FROM cc WHERE cc.scenario = c.scenario AND cc.model_type = c.model_type AND "
+        f"cc.actual = c.cls AND cc.predicted = c.cls), 0.0) AS tp, "
+        f"coalesce((SELECT sum(n) FROM cc WHERE cc.scenario = c.scenario AND cc.model_type = c.model_type AND "
+        f"cc.actual = c.cls), 0.0) AS true_n, "
+        f"coalesce((SELECT sum(n) FROM cc WHERE cc.scenario = c.scenario AND cc.model_type = c.model_type AND "
+        f"cc.predicted = c.cls), 0.0) AS pred_n FROM cls c), "
+        f"m AS (SELECT scenario, model_type, sum(tp) / sum(true_n) AS accuracy, "
+        f"avg(CASE WHEN true_n > 0 THEN tp / true_n END) AS balanced_accuracy, "
+        f"avg({_ratio_sql('2 * tp', 'true_n + pred_n')}) AS macro_f1, "
+        f"{_ratio_sql(f'sum(({_ratio_sql(chr(50) + ' * tp', 'true_n + pred_n')}) * true_n)', 'sum(true_n)')} AS weighted_f1 "
+        f"FROM pc GROUP BY scenario, model_type), "
+        f"r AS (SELECT scenario, model_type, sum(CASE WHEN {risk('actual')} = 1 AND {risk('predicted')} = 1 THEN n ELSE 0.0 END) AS tp, "
+        f"sum(CASE WHEN {risk('actual')} = 0 AND {risk('predicted')} = 1 THEN n ELSE 0.0 END) AS fp, "
+        f"sum(CASE WHEN {risk('actual')} = 1 AND {risk('predicted')} = 0 THEN n ELSE 0.0 END) AS fn FROM cc GROUP BY ALL) "
+        f"SELECT m.scenario, m.model_type, accuracy, balanced_accuracy, macro_f1, weighted_f1, "
+        f"{_ratio_sql('tp', 'tp + fp')} AS risk_precision, {_ratio_sql('tp', 'tp + fn')} AS risk_recall, "
+        f"{_ratio_sql('2 * tp', '2 * tp + fp + fn')} AS risk_f1, {_ratio_sql('5 * tp', '5 * tp + 4 * fn + fp')} AS risk_f2 "
+        f"FROM m JOIN r ON m.scenario = r.scenario AND m.model_type = r.model_type"
+    )
+
+
+POLICY_SQL = "(SELECT * FROM (VALUES " + ", ".join(
+    f"({q(s)}, {q(p)}, {q(x)}, {a}, {b}, {q(r)})" for s, (p, x, a, b, r) in SELECTION_POLICY.items()
+) + ") v(scenario, primary_metric, secondary_metric, minimum_primary_lift, minimum_secondary_lift, business_reason)) pol"
+LADDER_SQL = "(SELECT * FROM (VALUES " + ", ".join(
+    f"({q(m)}, {q(f)}, {lv})" for m, (f, lv) in MODEL_LADDER.items()) + ") v(model_type, model_family, complexity_level)) lad"
+
+
+def metric_pick(name_col: str) -> str:
+    return "CASE " + " ".join(f"WHEN {name_col} = {q(m)} THEN {m}" for m in METRICS) + " END"
+
+
+def comparison_sql() -> str:
+    return (f"SELECT m.scenario, m.model_type, lad.model_family, CAST(lad.complexity_level AS INTEGER) AS complexity_level, "
+            f"{', '.join('m.' + x for x in METRICS)}, pol.primary_metric AS selection_primary_metric, "
+            f"pol.secondary_metric AS selection_secondary_metric, pol.business_reason AS business_selection_reason "
+            f"FROM ({metrics_sql()}) m LEFT JOIN {LADDER_SQL} ON m.model_type = lad.model_type "
+            f"LEFT JOIN {POLICY_SQL} ON m.scenario = pol.scenario")
+
+
+def recommendation_sql() -> str:
+    return (
+        f"WITH c AS (SELECT cmp.*, pol.primary_metric, pol.secondary_metric, pol.minimum_primary_lift, "
+        f"pol.minimum_secondary_lift, pol.business_reason FROM ({comparison_sql()}) cmp JOIN {POLICY_SQL} "
+        f"ON cmp.scenario = pol.scenario), "
+        f"c2 AS (SELECT *, {metric_pick('primary_metric')} AS pv, {metric_pick('secondary_metric')} AS sv FROM c), "
+        f"b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY pv DESC, sv DESC, model_type) AS rn "
+        f"FROM c2) x WHERE rn = 1), "
+        f"d AS (SELECT scenario, pv AS dpv, sv AS dsv FROM (SELECT *, row_number() OVER (PARTITION BY scenario "
+        f"ORDER BY pv DESC, sv DESC) AS rn FROM c2 WHERE model_type = 'dummy') y WHERE rn = 1) "
+        f"SELECT b.scenario, model_type AS best_model_type, model_family AS best_model_family, "
+        f"primary_metric AS selection_primary_metric, secondary_metric AS selection_secondary_metric, "
+        f"pv AS best_primary_metric_value, sv AS best_secondary_metric_value, dpv AS dummy_primary_metric_value, "
+        f"dsv AS dummy_secondary_metric_value, pv - dpv AS primary_metric_lift_over_dummy, "
+        f"sv - dsv AS secondary_metric_lift_over_dummy, "
+        f"CASE WHEN dpv IS NULL THEN 'REVIEW_REQUIRED' WHEN pv - dpv < minimum_primary_lift OR sv - dsv < "
+        f"minimum_secondary_lift THEN 'NOT_RECOMMENDED_FOR_DEPLOYMENT' ELSE 'CANDIDATE_FOR_ENGINEERING_VALIDATION' END "
+        f"AS deployment_status, business_reason AS business_selection_reason, "
+        f"CASE WHEN dpv IS NULL THEN {q(TEXT['review'])} WHEN pv - dpv < minimum_primary_lift OR sv - dsv < "
+        f"minimum_secondary_lift THEN {q(TEXT['not_recommended'])} ELSE {q(TEXT['candidate'])} END AS recommendation "
+        f"FROM b LEFT JOIN d ON b.scenario = d.scenario"
+    )
+
+
+def best_per_scenario_sql() -> str:
+    return (f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY macro_f1 DESC, "
+            f"balanced_accuracy DESC, model_type) AS rn FROM ({comparison_sql()}) c) x WHERE rn = 1")
+
+
+_CMP = comparison_sql()
+register("scenario_view", with_builds(f"SELECT {', '.join(FEATURE_SETS['inbuild'])} FROM builds"))
+register("model_frame", with_builds(f"SELECT {', '.join(FEATURE_SETS['prebuild'] + [TARGET])} FROM builds"))
+register("safe_features", with_builds(
+    f"SELECT {', '.join(safe_feature_columns(_C + ['event_time', 'machine_id']))} FROM builds", with_extras=True))
+register("quality_ordinal", with_builds(f"SELECT Sample_ID, Quality_Class, {ORDINAL_SQL} AS Quality_Class_numeric FROM builds"))
+register("risk_flag", with_builds(f"SELECT Sample_ID, Quality_Class, {risk_sql()} AS is_risk_class FROM builds"))
+register("complete_cases", with_builds(
+    "SELECT Laser_Power_W, Scan_Speed_mm_s, Energy_Density_J_mm3, Quality_Class FROM builds WHERE Laser_Power_W IS NOT NULL "
+    "AND Scan_Speed_mm_s IS NOT NULL AND Energy_Density_J_mm3 IS NOT NULL AND Quality_Class IS NOT NULL"))
+register("labelled_rows", with_builds("SELECT * FROM builds WHERE Quality_Class IS NOT NULL"))
+register("energy_density_calc", with_builds(
+    "SELECT Sample_ID, Energy_Density_J_mm3, Laser_Power_W / NULLIF(Scan_Speed_mm_s * Hatch_Spacing_mm * "
+    "(Layer_Thickness_um / 1000.0), 0) AS calculated_energy_density FROM builds"))
+register("stratified_split", with_builds(
+    f"SELECT Quality_Class, CASE WHEN {unit_hash_sql('Sample_ID')} < {TEST_SIZE} THEN 'test' ELSE 'train' END AS split, "
+    f"count(*) AS rows FROM builds GROUP BY ALL"))
+register("class_weights", with_builds(
+    "SELECT Quality_Class, count(*) AS rows, max(w) AS class_weight FROM (SELECT b.Quality_Class, "
+    "n / (k * nc) AS w FROM builds b JOIN (SELECT Quality_Class, count(*) AS nc FROM builds GROUP BY Quality_Class) c "
+    "ON b.Quality_Class = c.Quality_Class, (SELECT count(*) AS n, count(DISTINCT Quality_Class) AS k FROM builds) t) x "
+    "GROUP BY Quality_Class"))
+register("model_dummy", with_builds(
+    f"SELECT scenario, label, prediction, count(*) AS rows FROM ({predictions_sql()}) p WHERE model_type = 'dummy' "
+    f"GROUP BY ALL"))
+register("confusion_matrix", with_builds(
+    "WITH p AS (" + predictions_sql() + "), k AS (SELECT DISTINCT scenario, model_type FROM p), "
+    "g AS (SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)}, {i}, {j})" for i, a in enumerate(QUALITY_ORDER)
+                                              for j, b in enumerate(QUALITY_ORDER))
+    + ") g(actual, predicted, actual_order, predicted_order)) "
+    "SELECT k.scenario, k.model_type, g.actual, g.predicted, CAST(coalesce(c.n, 0) AS BIGINT) AS count, actual_order, "
+    "predicted_order FROM k, g LEFT JOIN (SELECT scenario, model_type, label, prediction, count(*) AS n FROM p GROUP BY ALL) c "
+    "ON c.scenario = k.scenario AND c.model_type = k.model_type AND c.label = g.actual AND c.prediction = g.predicted"))
+register("classification_metrics", with_builds(metrics_sql()))
+register("risk_metrics", with_builds(
+    "SELECT scenario, model_type, risk_precision, risk_recall, risk_f1, risk_f2 FROM (" + metrics_sql() + ") m"))
+register("per_class_metrics", with_builds(
+    "WITH p AS (" + predictions_sql() + "), k AS (SELECT DISTINCT scenario, model_type FROM p), "
+    "d AS (SELECT * FROM (VALUES " + ", ".join(f"({q(v)}, {i})" for i, v in enumerate(QUALITY_ORDER))
+    + ") d(label, class_order)), x AS (SELECT k.scenario, k.model_type, d.label, d.class_order, "
+    "CAST((SELECT count(*) FROM p WHERE p.scenario = k.scenario AND p.model_type = k.model_type AND p.label = d.label "
+    "AND p.prediction = d.label) AS DOUBLE) AS tp, CAST((SELECT count(*) FROM p WHERE p.scenario = k.scenario AND "
+    "p.model_type = k.model_type AND p.label = d.label) AS DOUBLE) AS true_n, CAST((SELECT count(*) FROM p WHERE "
+    "p.scenario = k.scenario AND p.model_type = k.model_type AND p.prediction = d.label) AS DOUBLE) AS pred_n FROM k, d) "
+    f"SELECT scenario, model_type, label, class_order, {_ratio_sql('tp', 'pred_n')} AS precision, "
+    f"{_ratio_sql('tp', 'true_n')} AS recall, {_ratio_sql('2 * tp', 'true_n + pred_n')} AS f1, "
+    f"CAST(true_n AS BIGINT) AS support FROM x"))
+register("compare_models", with_builds(_CMP))
+register("recommendation", with_builds(recommendation_sql()))
+register("best_per_scenario", with_builds(best_per_scenario_sql()))
+register("scenario_summary_join", with_builds(
+    "SELECT b.*, r.best_model_type, r.best_model_family, r.selection_primary_metric AS selection_primary_metric_recommendation, "
+    "r.selection_secondary_metric AS selection_secondary_metric_recommendation, r.best_primary_metric_value, "
+    "r.best_secondary_metric_value, r.dummy_primary_metric_value, r.dummy_secondary_metric_value, "
+    "r.primary_metric_lift_over_dummy, r.secondary_metric_lift_over_dummy, r.deployment_status, "
+    "r.business_selection_reason AS business_selection_reason_recommendation, r.recommendation "
+    f"FROM ({best_per_scenario_sql()}) b LEFT JOIN ({recommendation_sql()}) r ON b.scenario = r.scenario"))
+register("model_ladder", with_builds(f"SELECT DISTINCT model_type, model_family, complexity_level FROM ({_CMP}) c"))
+register("comparison_union", with_builds(_CMP))
+register("comparison_sorted", with_builds(_CMP))
+register("operational_subset", with_builds(f"SELECT * FROM ({_CMP}) c WHERE scenario IN ('prebuild', 'inbuild')"))
+register("selection_display", with_builds(
+    f"SELECT c.scenario, model_type, pol.primary_metric, {metric_pick('pol.primary_metric')} AS primary_value, "
+    f"pol.secondary_metric, {metric_pick('pol.secondary_metric')} AS secondary_value, balanced_accuracy, macro_f1 "
+    f"FROM ({_CMP}) c JOIN {POLICY_SQL} ON c.scenario = pol.scenario"))
+register("risk_f2_pivot", with_builds(
+    "SELECT scenario, max(CASE WHEN model_type = 'dummy' THEN risk_f2 END) AS dummy, "
+    "max(CASE WHEN model_type = 'rule_baseline' THEN risk_f2 END) AS rule_baseline "
+    f"FROM ({_CMP}) c WHERE scenario IN ('prebuild', 'inbuild') GROUP BY scenario"))
+register("inbuild_tradeoff", with_builds(
+    f"SELECT model_type, risk_f2, macro_f1 FROM ({_CMP}) c WHERE scenario = 'inbuild' AND model_type IN ('dummy', 'rule_baseline')"))
+register("process_points", with_builds(
+    f"SELECT Sample_ID, Scan_Speed_mm_s, Laser_Power_W, Quality_Class FROM builds WHERE {unit_hash_sql('Sample_ID')} < 0.1"))

@@ -115,3 +115,54 @@ def _quality_audit(spark, sf_dir):
     df = _b(spark, sf_dir)
     return summary.quality_audit(quality.schema_report(df), quality.missing_values(df), quality.duplicate_rows(df),
                                  quality.physical_ranges(df), stats.constant_features(df))
+
+
+def _pred(spark, sf_dir):
+    return candidates.candidate_predictions(_b(spark, sf_dir, ["Sample_ID", TARGET] + candidates.RULE_COLUMNS))
+
+
+def _cmp(spark, sf_dir):
+    return selection.comparison_rows(evaluation.classification_metrics(_pred(spark, sf_dir), ["scenario", "model_type"]))
+
+
+def _split_counts(spark, sf_dir):
+    s = candidates.split_flag(_b(spark, sf_dir, ["Sample_ID", TARGET]))
+    return s.groupBy(TARGET, F.when(F.col("is_test"), "test").otherwise("train").alias("split")).agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+QUERIES.update({
+    "scenario_view": lambda s, d: projections.scenario_view(_b(s, d), "inbuild"),
+    "model_frame": lambda s, d: projections.model_frame(_b(s, d), "prebuild"),
+    "safe_features": lambda s, d: projections.safe_features(_b(s, d, extras=True)),
+    "quality_ordinal": lambda s, d: projections.with_quality_ordinal(_b(s, d, ["Sample_ID", TARGET])),
+    "risk_flag": lambda s, d: projections.with_risk_flag(_b(s, d, ["Sample_ID", TARGET])),
+    "complete_cases": lambda s, d: projections.complete_cases(
+        _b(s, d), ["Laser_Power_W", "Scan_Speed_mm_s", "Energy_Density_J_mm3", TARGET]),
+    "labelled_rows": lambda s, d: projections.labelled_rows(_b(s, d)),
+    "energy_density_calc": lambda s, d: projections.with_energy_density(
+        _b(s, d, ["Sample_ID", "Energy_Density_J_mm3", "Laser_Power_W", "Scan_Speed_mm_s", "Hatch_Spacing_mm",
+                  "Layer_Thickness_um"])).select("Sample_ID", "Energy_Density_J_mm3", "calculated_energy_density"),
+    "stratified_split": _split_counts,
+    "class_weights": lambda s, d: evaluation.class_weights(_b(s, d, [TARGET])).groupBy(TARGET).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("class_weight").alias("class_weight")),
+    "model_dummy": lambda s, d: _pred(s, d).filter(F.col("model_type") == "dummy").groupBy(
+        "scenario", "label", "prediction").agg(F.count(F.lit(1)).alias("rows")),
+    "confusion_matrix": lambda s, d: evaluation.confusion_matrix(_pred(s, d), ["scenario", "model_type"]),
+    "classification_metrics": lambda s, d: evaluation.classification_metrics(_pred(s, d), ["scenario", "model_type"]),
+    "risk_metrics": lambda s, d: evaluation.risk_metrics(_pred(s, d), ["scenario", "model_type"]),
+    "per_class_metrics": lambda s, d: evaluation.per_class_metrics(_pred(s, d), ["scenario", "model_type"]),
+    "compare_models": lambda s, d: selection.compare_models(_cmp(s, d)),
+    "recommendation": lambda s, d: selection.recommendation(_cmp(s, d)),
+    "best_per_scenario": lambda s, d: selection.best_per_scenario(_cmp(s, d)),
+    "scenario_summary_join": lambda s, d: selection.scenario_summary_join(_cmp(s, d), selection.recommendation(_cmp(s, d))),
+    "model_ladder": lambda s, d: selection.model_ladder(_cmp(s, d)),
+    "comparison_union": lambda s, d: selection.comparison_union(
+        *[_cmp(s, d).filter(F.col("scenario") == sc) for sc in ("prebuild", "inbuild", "postbuild")]),
+    "comparison_sorted": lambda s, d: selection.comparison_sorted(_cmp(s, d)),
+    "operational_subset": lambda s, d: projections.operational_subset(_cmp(s, d)),
+    "selection_display": lambda s, d: projections.selection_display(_cmp(s, d)),
+    "risk_f2_pivot": lambda s, d: selection.risk_f2_pivot(_cmp(s, d), ["dummy", "rule_baseline"]),
+    "inbuild_tradeoff": lambda s, d: selection.inbuild_tradeoff(_cmp(s, d), ["dummy", "rule_baseline"]),
+    "process_points": lambda s, d: binned.process_points(_b(s, d, ["Sample_ID", "Scan_Speed_mm_s", "Laser_Power_W", TARGET])),
+})
