@@ -830,3 +830,29 @@ register("inbuild_tradeoff", with_builds(
     f"SELECT model_type, risk_f2, macro_f1 FROM ({_CMP}) c WHERE scenario = 'inbuild' AND model_type IN ('dummy', 'rule_baseline')"))
 register("process_points", with_builds(
     f"SELECT Sample_ID, Scan_Speed_mm_s, Laser_Power_W, Quality_Class FROM builds WHERE {unit_hash_sql('Sample_ID')} < 0.1"))
+
+
+# ---------------------------------------------------------------------------
+# scoring and sources
+# ---------------------------------------------------------------------------
+
+REQ = FEATURE_SETS["inbuild"]
+_MISSING = ("concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NULL THEN {q(c)} END" for c in REQ) + ")")
+_SCORING_FRAME = (f"SELECT Sample_ID, {', '.join(REQ)}, {_MISSING} AS missing_fields, "
+                  f"({' AND '.join(f'{c} IS NOT NULL' for c in REQ)}) AS is_valid FROM builds")
+register("scoring_frame", with_builds(_SCORING_FRAME))
+register("source_scoring_json", with_builds(_SCORING_FRAME))
+register("recommended_action", with_builds(
+    f"SELECT scenario, prediction AS predicted_quality_class, CASE WHEN prediction IN ('Poor', 'Moderate') THEN "
+    f"{q(TEXT['action_escalate'])} WHEN (CASE WHEN prediction = 'Good' THEN 0.45 END) >= {THRESHOLDS['watch_probability']} "
+    f"THEN {q(TEXT['action_watch'])} ELSE {q(TEXT['action_continue'])} END AS recommended_action, count(*) AS rows "
+    f"FROM ({predictions_sql()}) p WHERE model_type = 'rule_baseline' GROUP BY ALL"))
+register("scan_csv_contract", with_builds("SELECT * FROM builds"))
+register("source_report", with_builds(missing_values_sql()))
+register("sink_confusion_csv", with_builds(
+    "WITH p AS (" + predictions_sql() + ") SELECT scenario, model_type, 'actual_' || a.actual AS actual, "
+    + ", ".join(f"CAST(count(*) FILTER (WHERE p.label = a.actual AND p.prediction = {q(v)}) AS BIGINT) AS predicted_{v}"
+                for v in QUALITY_ORDER)
+    + " FROM (SELECT DISTINCT scenario AS s, model_type AS m FROM p) k, (SELECT * FROM (VALUES "
+    + ", ".join(f"({q(v)})" for v in QUALITY_ORDER) + ") v(actual)) a JOIN p ON p.scenario = k.s AND p.model_type = k.m "
+    "GROUP BY scenario, model_type, a.actual"))

@@ -166,3 +166,146 @@ QUERIES.update({
     "inbuild_tradeoff": lambda s, d: selection.inbuild_tradeoff(_cmp(s, d), ["dummy", "rule_baseline"]),
     "process_points": lambda s, d: binned.process_points(_b(s, d, ["Sample_ID", "Scan_Speed_mm_s", "Laser_Power_W", TARGET])),
 })
+
+
+# ---------------------------------------------------------------------------
+# MLlib, scoring, sources and sinks
+# ---------------------------------------------------------------------------
+
+from fusionlens.operators import ml, scoring  # noqa: E402
+from fusionlens.session import shared_path  # noqa: E402
+from fusionlens.sources import files  # noqa: E402
+
+_ML_COLS = ["Sample_ID"] + CATEGORICAL + PROCESS + POST_BUILD + [TARGET]
+
+
+def _metrics(spark, sf_dir, scenario, model_type, params=None):
+    return ml.train_model(_b(spark, sf_dir, _ML_COLS), scenario, model_type, params=params)["metrics"]
+
+
+def _requests(spark, sf_dir):
+    """Request records as JSON text, derived from the in-build columns of every build."""
+    cols = scoring.REQUEST_COLUMNS
+    return _b(spark, sf_dir, ["Sample_ID"] + cols).select(
+        "Sample_ID", F.to_json(F.struct(*cols), {"ignoreNullFields": "true"}).alias("value"))
+
+
+def _flat_requests(df):
+    return df.withColumn("missing_fields", F.array_join("missing_fields", ","))
+
+
+def _saved_lr(spark, sf_dir):
+    res = ml.train_model(_b(spark, sf_dir, _ML_COLS), "inbuild", "logistic_regression")
+    path = shared_path(spark, "model-inbuild-lr")
+    meta = spark.createDataFrame([("inbuild", "logistic_regression", ",".join(res["labels"]))],
+                                 "scenario string, model_type string, labels string")
+    ml.save_model(res["model"], meta, path)
+    return path, res
+
+
+def _score_batch(spark, sf_dir):
+    path, _ = _saved_lr(spark, sf_dir)
+    model, meta = ml.load_model(spark, path)
+    labels = meta.first()["labels"].split(",")
+    return scoring.score_batch(model, labels, scoring.parse_requests(_requests(spark, sf_dir)))
+
+
+def _evaluate_saved(spark, sf_dir):
+    path, _ = _saved_lr(spark, sf_dir)
+    model, _meta = ml.load_model(spark, path)
+    return ml.evaluate_saved(model, _b(spark, sf_dir, _ML_COLS), "inbuild")
+
+
+def _model_save_load(spark, sf_dir):
+    path, _ = _saved_lr(spark, sf_dir)
+    model, meta = ml.load_model(spark, path)
+    return meta.withColumn("stages", F.lit(len(model.stages)))
+
+
+def _preprocess(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    df = ml.with_class_weights(_b(spark, sf_dir, ["Sample_ID"] + ml.feature_set("prebuild") + [TARGET]))
+    pipe = ml.build_pipeline(ml.feature_set("prebuild"), "logistic_regression", 1.0)
+    prep = type(pipe)(stages=pipe.getStages()[:-1]).fit(df)
+    return prep.transform(df).select("Sample_ID", "label", vector_to_array("features").alias("features"))
+
+
+def _scan_csv(spark, sf_dir):
+    path = shared_path(spark, "builds-csv")
+    _b(spark, sf_dir).write.option("header", True).csv(path)
+    return files.scan_csv_contract(spark, path)
+
+
+def _source_report(spark, sf_dir):
+    path = shared_path(spark, "report-missing")
+    files.sink_reports({"missing_values": quality.missing_values(_b(spark, sf_dir))}, path)
+    return files.source_report(spark, f"{path}/missing_values",
+                               "column string, missing_count long, missing_percent double, status string")
+
+
+def _sink_reports(spark, sf_dir):
+    df = _b(spark, sf_dir)
+    path = shared_path(spark, "reports")
+    reps = {"schema": quality.schema_report(df), "missing_values": quality.missing_values(df),
+            "duplicates": quality.duplicate_rows(df), "physical_ranges": quality.physical_ranges(df)}
+    paths = files.sink_reports(reps, path)
+    parts = [spark.read.option("header", True).csv(p).agg(F.count(F.lit(1)).alias("rows")).withColumn(
+        "report", F.lit(n)) for n, p in paths.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _sink_metrics_json(spark, sf_dir):
+    path = shared_path(spark, "metrics-json")
+    files.sink_metrics_json(evaluation.classification_metrics(_pred(spark, sf_dir), ["scenario", "model_type"]), path)
+    return spark.read.json(path)
+
+
+def _sink_confusion(spark, sf_dir):
+    path = shared_path(spark, "confusion-csv")
+    files.sink_confusion_csv(evaluation.confusion_matrix(_pred(spark, sf_dir), ["scenario", "model_type"]),
+                             ["scenario", "model_type"], path)
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def _run_audit(spark, sf_dir):
+    df = _b(spark, sf_dir)
+    gate = quality.quality_gate(quality.data_quality_bundle(df)).first()
+    return files.run_audit(spark, shared_path(spark, "audit"), f"{sf_dir}/lineitem.parquet", df.count(),
+                           len(df.columns), gate["status"], gate["fail_count"], gate["warn_count"], gate["message"])
+
+
+def _recommended_action(spark, sf_dir):
+    pred = candidates.candidate_predictions(_b(spark, sf_dir, ["Sample_ID", TARGET] + candidates.RULE_COLUMNS))
+    pred = pred.filter(F.col("model_type") == "rule_baseline").withColumn(
+        "risk_probability", F.when(F.col("prediction") == "Good", F.lit(0.45)))
+    return pred.select("scenario", F.col("prediction").alias("predicted_quality_class"), "risk_probability",
+                       scoring.recommended_action("prediction", "risk_probability").alias("recommended_action")) \
+        .groupBy("scenario", "predicted_quality_class", "recommended_action").agg(F.count(F.lit(1)).alias("rows"))
+
+
+QUERIES.update({
+    "train_model": lambda s, d: _metrics(s, d, "inbuild", "logistic_regression"),
+    "model_logistic": lambda s, d: _metrics(s, d, "prebuild", "logistic_regression"),
+    "model_forest": lambda s, d: _metrics(s, d, "inbuild", "random_forest",
+                                          {"numTrees": 50, "maxDepth": 10, "minInstancesPerNode": 2}),
+    "model_boosting": lambda s, d: _metrics(s, d, "inbuild", "hist_gradient_boosting", {"maxIter": 20}),
+    "training_grid": lambda s, d: ml.training_grid(_b(s, d, _ML_COLS), ["prebuild", "inbuild", "postbuild"],
+                                                   ["dummy", "logistic_regression"]),
+    "preprocess": _preprocess,
+    "quick_predictability": lambda s, d: ml.quick_predictability(_b(s, d)),
+    "evaluate_saved": _evaluate_saved,
+    "model_save_load": _model_save_load,
+    "score_batch": _score_batch,
+    "scoring_frame": lambda s, d: _flat_requests(scoring.scoring_frame(_b(s, d, ["Sample_ID"] + scoring.REQUEST_COLUMNS))),
+    "source_scoring_json": lambda s, d: _flat_requests(scoring.parse_requests(_requests(s, d))),
+    "recommended_action": _recommended_action,
+    "scan_csv_contract": _scan_csv,
+    "source_report": _source_report,
+    "sink_reports": _sink_reports,
+    "sink_metrics_json": _sink_metrics_json,
+    "sink_confusion_csv": _sink_confusion,
+    "run_audit": _run_audit,
+})
