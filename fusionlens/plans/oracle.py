@@ -856,3 +856,77 @@ register("sink_confusion_csv", with_builds(
     + " FROM (SELECT DISTINCT scenario AS s, model_type AS m FROM p) k, (SELECT * FROM (VALUES "
     + ", ".join(f"({q(v)})" for v in QUALITY_ORDER) + ") v(actual)) a JOIN p ON p.scenario = k.s AND p.model_type = k.m "
     "GROUP BY scenario, model_type, a.actual"))
+
+
+# ---------------------------------------------------------------------------
+# monitoring batch twins
+# ---------------------------------------------------------------------------
+
+from fusionlens.streaming.monitoring import DRIFT_FEATURES, INBUILD_RULE, PSI_ALERT, PSI_BINS, PSI_FLOOR, RISK_DELTA_ALERT  # noqa: E402,E501
+
+WB = "time_bucket(INTERVAL '30 days', event_time, TIMESTAMP '1970-01-01')"
+
+
+def quality_drift_sql() -> str:
+    return (f"SELECT ws AS window_start, ws + INTERVAL '30 days' AS window_end, samples, risk_rate_percent, "
+            f"baseline_risk_rate_percent, risk_rate_percent - baseline_risk_rate_percent AS delta_percent_points FROM "
+            f"(SELECT {WB} AS ws, count(*) AS samples, 100.0 * sum({risk_sql()}) / count(*) AS risk_rate_percent "
+            f"FROM builds WHERE Quality_Class IS NOT NULL GROUP BY ws) w, (SELECT 100.0 * sum({risk_sql()}) / count(*) "
+            f"AS baseline_risk_rate_percent FROM builds WHERE Quality_Class IS NOT NULL) b")
+
+
+def psi_sql() -> str:
+    lb = union_all([f"SELECT {q(c)} AS feature, CAST({c} AS DOUBLE) AS value, {WB} AS ws FROM builds WHERE {c} IS NOT NULL"
+                    for c in DRIFT_FEATURES])
+    return (
+        f"WITH l AS ({lb}), r AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM l GROUP BY feature), "
+        f"bl AS (SELECT l.*, {edge_bin_sql('l.value', 'r.lo', 'r.hi', PSI_BINS, False)} AS bin FROM l JOIN r USING (feature)), "
+        f"bs0 AS (SELECT feature, bin, count(*) AS c0 FROM bl GROUP BY feature, bin), "
+        f"bs AS (SELECT feature, bin, c0 / sum(c0) OVER (PARTITION BY feature) AS b FROM bs0), "
+        f"wc AS (SELECT ws, feature, bin, count(*) AS c FROM bl GROUP BY ALL), "
+        f"tot AS (SELECT ws, feature, sum(c) AS n FROM wc GROUP BY ALL), "
+        f"g AS (SELECT ws, feature, n, unnest(range(1, {PSI_BINS + 1})) AS bin FROM tot), "
+        f"f AS (SELECT g.ws, g.feature, greatest(coalesce(wc.c, 0) / g.n, {PSI_FLOOR}) AS a, "
+        f"greatest(coalesce(bs.b, 0.0), {PSI_FLOOR}) AS b FROM g LEFT JOIN wc ON g.ws = wc.ws AND g.feature = wc.feature "
+        f"AND g.bin = wc.bin LEFT JOIN bs ON g.feature = bs.feature AND g.bin = bs.bin) "
+        f"SELECT ws AS window_start, feature, sum((a - b) * ln(a / b)) AS psi FROM f GROUP BY ws, feature"
+    )
+
+
+register("quality_drift_window", with_builds(quality_drift_sql(), with_extras=True))
+register("inspection_drift_window", with_builds(
+    f"SELECT {WB} AS window_start, {WB} + INTERVAL '30 days' AS window_end, count(*) AS samples, "
+    f"avg(Porosity_percent) AS mean_porosity_percent, avg(Relative_Density_percent) AS mean_relative_density_percent, "
+    f"avg(Defect_Count) AS mean_defect_count FROM builds GROUP BY ALL", with_extras=True))
+register("process_drift_psi", with_builds(psi_sql(), with_extras=True))
+register("prediction_mix_drift", with_builds(
+    f"SELECT {WB} AS window_start, {WB} + INTERVAL '30 days' AS window_end, count(*) AS samples, "
+    + ", ".join(f"count(*) FILTER (WHERE ({INBUILD_RULE}) = {q(v)}) / count(*) AS share_{v}" for v in QUALITY_ORDER)
+    + " FROM builds GROUP BY ALL", with_extras=True))
+register("drift_alerts", with_builds(
+    f"SELECT window_start, 'quality_risk_rate' AS signal, delta_percent_points AS value, {RISK_DELTA_ALERT} AS threshold "
+    f"FROM ({quality_drift_sql()}) qd WHERE abs(delta_percent_points) > {RISK_DELTA_ALERT} UNION ALL "
+    f"SELECT window_start, 'psi:' || feature, psi, {PSI_ALERT} FROM ({psi_sql()}) p WHERE psi > {PSI_ALERT}",
+    with_extras=True))
+_K = "machine_id ORDER BY event_time RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW"
+_X = "(Melt_Pool_Temp_C - sh)"
+register("rolling_sensor_stats", with_builds(
+    "SELECT machine_id, event_time, Melt_Pool_Temp_C, n AS rolling_count, s1 / n + sh AS rolling_mean, "
+    "CASE WHEN n > 1 THEN sqrt(greatest((s2 - n * power(s1 / n, 2)) / (n - 1), 0.0)) END AS rolling_std, "
+    "mx / NULLIF(s1 / n + sh, 0) AS peak_to_average, "
+    "CASE WHEN s2 / n - power(s1 / n, 2) > 0 THEN (s4 / n - 4 * (s1 / n) * s3 / n + 6 * power(s1 / n, 2) * s2 / n "
+    "- 3 * power(s1 / n, 4)) / power(s2 / n - power(s1 / n, 2), 2) - 3.0 END AS rolling_kurtosis FROM ("
+    "SELECT machine_id, event_time, Melt_Pool_Temp_C, sh, "
+    f"count(Melt_Pool_Temp_C) OVER (PARTITION BY {_K}) AS n, sum({_X}) OVER (PARTITION BY {_K}) AS s1, "
+    f"sum(power({_X}, 2)) OVER (PARTITION BY {_K}) AS s2, sum(power({_X}, 3)) OVER (PARTITION BY {_K}) AS s3, "
+    f"sum(power({_X}, 4)) OVER (PARTITION BY {_K}) AS s4, max(Melt_Pool_Temp_C) OVER (PARTITION BY {_K}) AS mx "
+    "FROM builds, (SELECT floor(avg(Melt_Pool_Temp_C)) AS sh FROM builds WHERE Melt_Pool_Temp_C IS NOT NULL "
+    "AND event_time IS NOT NULL) c WHERE Melt_Pool_Temp_C IS NOT NULL AND event_time IS NOT NULL) r", with_extras=True))
+register("physics_features", with_builds(
+    "SELECT Sample_ID, Laser_Power_W / NULLIF(Scan_Speed_mm_s * Hatch_Spacing_mm * (Layer_Thickness_um / 1000.0), 0) "
+    "AS energy_density_calc, Laser_Power_W / NULLIF(Scan_Speed_mm_s, 0) AS power_speed_ratio, "
+    "Laser_Power_W / NULLIF(Scan_Speed_mm_s, 0) AS linear_heat_input_J_mm, "
+    "Melt_Pool_Depth_um / NULLIF(Melt_Pool_Width_um, 0) AS melt_pool_aspect_ratio, "
+    "Cooling_Rate_K_s / NULLIF(Thermal_Gradient, 0) AS cooling_to_gradient_ratio, "
+    "concat_ws('|', Scan_Strategy, CAST(CAST(floor(Laser_Power_W / 50) * 50 AS BIGINT) AS VARCHAR)) AS strategy_power_window "
+    "FROM builds"))

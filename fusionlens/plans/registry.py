@@ -309,3 +309,57 @@ QUERIES.update({
     "sink_confusion_csv": _sink_confusion,
     "run_audit": _run_audit,
 })
+
+
+# ---------------------------------------------------------------------------
+# monitoring (batch twins) and streams
+# ---------------------------------------------------------------------------
+
+from fusionlens.streaming import monitoring  # noqa: E402
+
+_MON = ["Sample_ID", "event_time", "machine_id", TARGET, "Porosity_percent", "Relative_Density_percent",
+        "Defect_Count", "Energy_Density_J_mm3", "Melt_Pool_Depth_um"] + monitoring.DRIFT_FEATURES
+
+
+def _mon(spark, sf_dir):
+    return _b(spark, sf_dir, list(dict.fromkeys(_MON)))
+
+
+def _scored(spark, sf_dir):
+    return _mon(spark, sf_dir).withColumn("predicted_quality_class", F.expr(monitoring.INBUILD_RULE))
+
+
+def _stream_scoring(spark, sf_dir):
+    req_dir = shared_path(spark, "requests")
+    _requests(spark, sf_dir).write.json(req_dir)
+    valid, reject = shared_path(spark, "scored"), shared_path(spark, "rejected")
+    q = monitoring.stream_scoring(spark, req_dir, valid, reject, shared_path(spark, "ckpt-scoring"),
+                                  monitoring.rule_scorer)
+    q.awaitTermination()
+    return spark.read.parquet(valid)
+
+
+def _stream_quality(spark, sf_dir):
+    src = shared_path(spark, "builds-stream-src")
+    _mon(spark, sf_dir).write.parquet(src)
+    sink = shared_path(spark, "drift-stream")
+    schema = spark.read.parquet(src).schema
+    q = monitoring.stream_quality_drift(spark, src, schema, sink, shared_path(spark, "ckpt-drift"))
+    q.awaitTermination()
+    return spark.read.parquet(sink)
+
+
+QUERIES.update({
+    "quality_drift_window": lambda s, d: monitoring.quality_drift_window(_mon(s, d)),
+    "inspection_drift_window": lambda s, d: monitoring.inspection_drift_window(_mon(s, d)),
+    "process_drift_psi": lambda s, d: monitoring.process_drift_psi(_mon(s, d)),
+    "prediction_mix_drift": lambda s, d: monitoring.prediction_mix_drift(_scored(s, d)),
+    "drift_alerts": lambda s, d: monitoring.drift_alerts(monitoring.quality_drift_window(_mon(s, d)),
+                                                         monitoring.process_drift_psi(_mon(s, d))),
+    "rolling_sensor_stats": lambda s, d: monitoring.rolling_sensor_stats(_mon(s, d)),
+    "physics_features": lambda s, d: monitoring.physics_features(_b(s, d)).select(
+        "Sample_ID", "energy_density_calc", "power_speed_ratio", "linear_heat_input_J_mm", "melt_pool_aspect_ratio",
+        "cooling_to_gradient_ratio", "strategy_power_window"),
+    "stream_scoring": _stream_scoring,
+    "quality_drift_stream": _stream_quality,
+})
