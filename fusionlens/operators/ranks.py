@@ -76,23 +76,21 @@ def quantiles(cum: DataFrame, keys: list[str], probs: list[float], value: str =
     floor(h) and floor(h)+1 are found by a range match on [below, below+cnt);
     q = a + (b-a)t for t < 0.5 and b - (b-a)(1-t) otherwise (NumPy's form).
     """
-    per_key = cum.select(*keys, "n").distinct()
-    targets = (
-        per_key.select(*keys, "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-        .withColumn("h", (F.col("n") - 1).cast("double") * F.col("p"))
-        .withColumn("k0", F.floor("h").cast("long"))
-        .withColumn("k1", F.least(F.col("k0") + 1, F.col("n") - 1))
-        .withColumn("t", F.col("h") - F.col("k0"))
-    )
-    picks = targets.select(*keys, "p", "t", F.explode(F.array(
-        F.struct(F.lit(0).alias("which"), F.col("k0").alias("k")),
-        F.struct(F.lit(1).alias("which"), F.col("k1").alias("k")),
-    )).alias("pick")).select(*keys, "p", "t", "pick.which", "pick.k")
-    matched = cum.select(*keys, value, "below", "cnt").join(picks, keys).filter(
-        (F.col("below") <= F.col("k")) & (F.col("k") < F.col("below") + F.col("cnt")))
-    ab = matched.groupBy(*keys, "p", "t").agg(
-        F.max(F.when(F.col("which") == 0, F.col(value))).alias("a"),
-        F.max(F.when(F.col("which") == 1, F.col(value))).alias("b"),
+    # every row already carries n, so each row tests itself against positions
+    # floor(h) and floor(h)+1 of every requested p: one pass, no join back
+    h = [(F.col("n") - 1).cast("double") * F.lit(float(p)) for p in probs]
+    hits = F.array(*[F.struct(
+        F.lit(float(p)).alias("p"),
+        (hp - F.floor(hp)).alias("t"),
+        ((F.col("below") <= F.floor(hp)) & (F.floor(hp) < F.col("below") + F.col("cnt"))).alias("is_a"),
+        ((F.col("below") <= F.least(F.floor(hp) + 1, F.col("n") - 1))
+         & (F.least(F.floor(hp) + 1, F.col("n") - 1) < F.col("below") + F.col("cnt"))).alias("is_b"),
+    ) for p, hp in zip(probs, h)])
+    picked = cum.select(*keys, value, F.explode(F.filter(hits, lambda x: x["is_a"] | x["is_b"])).alias("h"))
+    ab = picked.groupBy(*keys, F.col("h.p").alias("p")).agg(
+        F.max("h.t").alias("t"),
+        F.max(F.when(F.col("h.is_a"), F.col(value))).alias("a"),
+        F.max(F.when(F.col("h.is_b"), F.col(value))).alias("b"),
     )
     d = F.col("b") - F.col("a")
     q = F.when(F.col("t") >= 0.5, F.col("b") - d * (F.lit(1.0) - F.col("t"))).otherwise(F.col("a") + d * F.col("t"))
