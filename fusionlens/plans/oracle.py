@@ -914,8 +914,9 @@ register("rolling_sensor_stats", with_builds(
     "SELECT machine_id, event_time, Melt_Pool_Temp_C, n AS rolling_count, s1 / n + sh AS rolling_mean, "
     "CASE WHEN n > 1 THEN sqrt(greatest((s2 - n * power(s1 / n, 2)) / (n - 1), 0.0)) END AS rolling_std, "
     "mx / NULLIF(s1 / n + sh, 0) AS peak_to_average, "
-    "CASE WHEN s2 / n - power(s1 / n, 2) > 0 THEN (s4 / n - 4 * (s1 / n) * s3 / n + 6 * power(s1 / n, 2) * s2 / n "
-    "- 3 * power(s1 / n, 4)) / power(s2 / n - power(s1 / n, 2), 2) - 3.0 END AS rolling_kurtosis FROM ("
+    "CASE WHEN n >= 4 AND s2 / n - power(s1 / n, 2) > 1e-12 * (s2 / n) THEN ((n + 1.0) * (n - 1.0) * ((s4 / n - 4 * (s1 / n) "
+    "* s3 / n + 6 * power(s1 / n, 2) * s2 / n - 3 * power(s1 / n, 4)) / power(s2 / n - power(s1 / n, 2), 2)) "
+    "- 3 * power(n - 1.0, 2)) / ((n - 2.0) * (n - 3.0)) END AS rolling_kurtosis FROM ("
     "SELECT machine_id, event_time, Melt_Pool_Temp_C, sh, "
     f"count(Melt_Pool_Temp_C) OVER (PARTITION BY {_K}) AS n, sum({_X}) OVER (PARTITION BY {_K}) AS s1, "
     f"sum(power({_X}, 2)) OVER (PARTITION BY {_K}) AS s2, sum(power({_X}, 3)) OVER (PARTITION BY {_K}) AS s3, "
@@ -930,3 +931,32 @@ register("physics_features", with_builds(
     "Cooling_Rate_K_s / NULLIF(Thermal_Gradient, 0) AS cooling_to_gradient_ratio, "
     "concat_ws('|', Scan_Strategy, CAST(CAST(floor(Laser_Power_W / 50) * 50 AS BIGINT) AS VARCHAR)) AS strategy_power_window "
     "FROM builds"))
+
+
+def correlation_matrix_sql(cols=NUMERIC) -> str:
+    from itertools import combinations
+    pairs = list(combinations(cols, 2))
+    diag = union_all([f"SELECT {q(c)} AS feature_a, {q(c)} AS feature_b, CASE WHEN min({c}) < max({c}) THEN 1.0 END "
+                      f"AS correlation FROM builds" for c in cols])
+    return (f"WITH l AS ({correlation_long_sql(pairs)}) SELECT feature_a, feature_b, correlation FROM l UNION ALL "
+            f"SELECT feature_b, feature_a, correlation FROM l UNION ALL {diag}")
+
+
+def dataset_overview_sql(actual: list[str]) -> str:
+    num = len([c for c in NUMERIC if c in actual])
+    facts = [("Columns", str(len(actual))), ("Target", TARGET), ("Target classes", ", ".join(QUALITY_ORDER)),
+             ("Numeric columns", str(num)), ("Categorical columns", str(len(actual) - num)),
+             ("Material / categorical features", str(len(CATEGORICAL))),
+             ("Process / monitoring features", str(len(PROCESS))),
+             ("Post-build diagnostic features", str(len(POST_BUILD)))]
+    rest = " ".join(f"UNION ALL SELECT {i + 2}, {q(a)}, {q(b)}" for i, (a, b) in enumerate(facts))
+    return f"SELECT 1 AS pos, 'Rows' AS item, format('{{:,}}', count(*)) AS value FROM builds {rest}"
+
+
+register("correlation_matrix", with_builds(correlation_matrix_sql()))
+register("dataset_overview", with_builds(dataset_overview_sql(_C)))
+register("selection_policy", with_builds(
+    f"SELECT c.scenario, count(*) AS candidates, any_value(pol.primary_metric) AS primary_metric, "
+    f"any_value(pol.secondary_metric) AS secondary_metric, any_value(pol.minimum_primary_lift) AS minimum_primary_lift, "
+    f"any_value(pol.minimum_secondary_lift) AS minimum_secondary_lift, any_value(pol.business_reason) AS business_reason "
+    f"FROM ({_CMP}) c JOIN {POLICY_SQL} ON c.scenario = pol.scenario GROUP BY c.scenario"))

@@ -363,3 +363,26 @@ QUERIES.update({
     "stream_scoring": _stream_scoring,
     "quality_drift_stream": _stream_quality,
 })
+
+
+def _training_pipeline(spark, sf_dir):
+    """Fit preprocessing + classifier as one Pipeline; one row per fitted stage."""
+    df = ml.with_class_weights(_b(spark, sf_dir, ["Sample_ID"] + ml.feature_set("postbuild") + [TARGET]))
+    model = ml.build_pipeline(ml.feature_set("postbuild"), "logistic_regression", 1.0,
+                              params={"maxIter": 100}).fit(df)
+    rows = [(i, type(st).__name__) for i, st in enumerate(model.stages)]
+    width = len(model.stages[-1].coefficientMatrix.toArray()[0])
+    return spark.createDataFrame(rows, "stage int, stage_type string").withColumn("feature_vector_size", F.lit(width))
+
+
+def _selection_policy(spark, sf_dir):
+    counts = _cmp(spark, sf_dir).groupBy("scenario").agg(F.count(F.lit(1)).alias("candidates"))
+    return counts.join(selection.policy_table(spark), "scenario")
+
+
+QUERIES.update({
+    "correlation_matrix": lambda s, d: stats.correlation_matrix(_b(s, d)),
+    "dataset_overview": lambda s, d: summary.dataset_overview(_b(s, d)),
+    "training_pipeline": _training_pipeline,
+    "selection_policy": _selection_policy,
+})

@@ -114,7 +114,7 @@ def drift_alerts(quality_drift: DataFrame, psi: DataFrame, risk_delta: float = R
 
 def rolling_sensor_stats(df: DataFrame, signal: str = "Melt_Pool_Temp_C", key: str = "machine_id",
                          days: int = 7, bucket_days: int = 28) -> DataFrame:
-    """Rolling count, mean, std, peak-to-average and excess kurtosis per machine over the
+    """Rolling count, mean, std, peak-to-average and unbiased excess kurtosis per machine over the
     ``days`` before each reading (time range, ties included).
 
     A machine holding a third of all rows must not become one task: rows are
@@ -149,12 +149,17 @@ def rolling_sensor_stats(df: DataFrame, signal: str = "Melt_Pool_Temp_C", key: s
     m4 = (F.col("s4") / F.col("n") - 4 * mean * F.col("s3") / F.col("n") + 6 * mean ** 2 * F.col("s2") / F.col("n")
           - 3 * mean ** 4)
     var_s = F.when(F.col("n") > 1, (F.col("s2") - F.col("n") * mean ** 2) / (F.col("n") - 1))
+    # unbiased excess kurtosis (as a rolling pandas kurt): needs 4 readings and a spread
+    n_ = F.col("n").cast("double")
+    spread = m2 > F.lit(1e-12) * (F.col("s2") / F.col("n"))
+    kurt = F.when((F.col("n") >= 4) & spread,
+                  ((n_ + 1) * (n_ - 1) * (m4 / (m2 ** 2)) - 3 * (n_ - 1) ** 2) / ((n_ - 2) * (n_ - 3)))
     return out.select(
         key, "event_time", (F.col("x") + F.col("__sh")).alias(signal), F.col("n").alias("rolling_count"),
         (mean + F.col("__sh")).alias("rolling_mean"),
-        F.sqrt(F.greatest(var_s, F.lit(0.0))).alias("rolling_std"),
+        F.when(F.col("n") > 1, F.sqrt(F.greatest(var_s, F.lit(0.0)))).alias("rolling_std"),
         F.try_divide(F.col("mx") + F.col("__sh"), mean + F.col("__sh")).alias("peak_to_average"),
-        F.when(m2 > 0, m4 / (m2 ** 2) - 3.0).alias("rolling_kurtosis"))
+        kurt.alias("rolling_kurtosis"))
 
 
 def physics_features(df: DataFrame) -> DataFrame:
