@@ -292,7 +292,12 @@ def mutual_information(df: DataFrame, bins: int = 20, buckets: int | None = None
     labelled = df.filter(F.col(TARGET).isNotNull())
     parts = []
     if num:
-        filled = median_fill(labelled.select(*num, TARGET), num, buckets)
+        # only columns that hold NULLs need a median: one wide count (a few numbers to the driver)
+        nulls = labelled.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c)
+                               for c in num]).first()
+        to_fill = [c for c in num if nulls[c]]
+        filled = median_fill(labelled.select(*num, TARGET), to_fill, buckets) if to_fill else \
+            labelled.select(*num, TARGET)
         long = long_numeric(filled, num, keep=[TARGET])
         bounds = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
         # one row per numeric column: bounded by the schema
