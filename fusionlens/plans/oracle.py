@@ -960,3 +960,15 @@ register("selection_policy", with_builds(
     f"any_value(pol.secondary_metric) AS secondary_metric, any_value(pol.minimum_primary_lift) AS minimum_primary_lift, "
     f"any_value(pol.minimum_secondary_lift) AS minimum_secondary_lift, any_value(pol.business_reason) AS business_reason "
     f"FROM ({_CMP}) c JOIN {POLICY_SQL} ON c.scenario = pol.scenario GROUP BY c.scenario"))
+
+from fusionlens.streaming.monitoring import DEBOUNCE_WINDOWS, WINDOW_SECONDS  # noqa: E402
+
+register("alert_debounce", with_builds(
+    f"WITH a AS (SELECT window_start, 'quality_risk_rate' AS signal, delta_percent_points AS value FROM "
+    f"({quality_drift_sql()}) qd WHERE abs(delta_percent_points) > {RISK_DELTA_ALERT} UNION ALL "
+    f"SELECT window_start, 'psi:' || feature, psi FROM ({psi_sql()}) p WHERE psi > {PSI_ALERT}), "
+    f"i AS (SELECT *, CAST(floor(epoch(window_start) / {WINDOW_SECONDS}) AS BIGINT) - row_number() OVER "
+    f"(PARTITION BY signal ORDER BY window_start) AS island FROM a), "
+    f"r AS (SELECT *, row_number() OVER (PARTITION BY signal, island ORDER BY window_start) AS run_length FROM i) "
+    f"SELECT window_start, signal, value, CAST(run_length AS INTEGER) AS run_length FROM r "
+    f"WHERE run_length = {DEBOUNCE_WINDOWS}", with_extras=True))

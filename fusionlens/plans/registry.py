@@ -386,3 +386,23 @@ QUERIES.update({
     "training_pipeline": _training_pipeline,
     "selection_policy": _selection_policy,
 })
+
+
+def _alerts(spark, sf_dir):
+    m = _mon(spark, sf_dir)
+    return monitoring.drift_alerts(monitoring.quality_drift_window(m), monitoring.process_drift_psi(m))
+
+
+def _debounce_stream(spark, sf_dir):
+    src = shared_path(spark, "alerts")
+    _alerts(spark, sf_dir).write.parquet(src)
+    out = shared_path(spark, "alerts-confirmed")
+    q = monitoring.stream_debounce_alerts(spark, src, out, shared_path(spark, "ckpt-debounce"))
+    q.awaitTermination()
+    return spark.read.schema(monitoring.DEBOUNCE_OUT).parquet(out)
+
+
+QUERIES.update({
+    "alert_debounce": lambda s, d: monitoring.debounce_alerts(_alerts(s, d)),
+    "alert_debounce_stream": _debounce_stream,
+})

@@ -43,15 +43,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder is created and registered.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext on the client
+        sc = None
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        if sc is not None:
+            sc.setCheckpointDir(configured)
         return configured
-    sc_dir = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    sc_dir = sc.getCheckpointDir() if sc is not None and hasattr(sc, "getCheckpointDir") else None
     if sc_dir:
         return sc_dir
+    # unset (tests, local runs): a private folder, registered so later calls reuse it
     local = tempfile.mkdtemp(prefix="fusionlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
     return local
 
 

@@ -79,10 +79,12 @@ def spread_input(df: DataFrame) -> DataFrame:
     scan of many files already has enough splits and is left alone. The check
     is planning only, no job.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def builds(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,

@@ -224,3 +224,66 @@ def rule_scorer(valid: DataFrame) -> DataFrame:
         "risk_probability", F.lit(None).cast("double"))
     return pred.withColumn("recommended_action", recommended_action()).select(
         "Sample_ID", *feature_set("inbuild"), "predicted_quality_class", "recommended_action")
+
+
+# ---------------------------------------------------------------------------
+# Debounced alerts: confirm a signal only after k consecutive windows
+# ---------------------------------------------------------------------------
+
+DEBOUNCE_WINDOWS = 2
+WINDOW_SECONDS = 30 * 86400
+
+
+def debounce_alerts(alerts: DataFrame, k: int = DEBOUNCE_WINDOWS, step_seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """Batch twin: one confirmed alert per run of >= k consecutive alert windows of a signal.
+
+    Gaps-and-islands: within a signal, consecutive windows share
+    ``window index - row number``; the k-th row of each island is emitted.
+    The window is per signal over alert rows only (a handful per window).
+    """
+    idx = F.floor(_event_ts("window_start").cast("long") / F.lit(step_seconds))
+    w = Window.partitionBy("signal").orderBy("window_start")
+    a = alerts.withColumn("__idx", idx).withColumn("__island", F.col("__idx") - F.row_number().over(w))
+    run = Window.partitionBy("signal", "__island").orderBy("window_start")
+    return a.withColumn("run_length", F.row_number().over(run)).filter(F.col("run_length") == k).select(
+        "window_start", "signal", "value", F.col("run_length").cast("int").alias("run_length"))
+
+
+DEBOUNCE_OUT = T.StructType([
+    T.StructField("window_start", T.TimestampNTZType()), T.StructField("signal", T.StringType()),
+    T.StructField("value", T.DoubleType()), T.StructField("run_length", T.IntegerType())])
+DEBOUNCE_STATE = T.StructType([T.StructField("last_index", T.LongType()), T.StructField("run", T.IntegerType())])
+
+
+def _debounce_fn(k: int, step_seconds: int):
+    def fn(key, batches, state):
+        import pandas as pd
+
+        last, run = (state.get if state.exists else (None, 0))
+        out = []
+        for pdf in batches:
+            for row in pdf.sort_values("window_start").itertuples(index=False):
+                idx = int(pd.Timestamp(row.window_start).value // 1_000_000_000 // step_seconds)
+                if last is not None and idx == last:
+                    continue  # same window seen again
+                run = run + 1 if last is not None and idx == last + 1 else 1
+                last = idx
+                if run == k:
+                    out.append((row.window_start, key[0], float(row.value), run))
+        state.update((last, run))
+        yield pd.DataFrame(out, columns=["window_start", "signal", "value", "run_length"])
+    return fn
+
+
+def stream_debounce_alerts(spark: SparkSession, alert_dir: str, sink_dir: str, checkpoint_dir: str,
+                           k: int = DEBOUNCE_WINDOWS, step_seconds: int = WINDOW_SECONDS):
+    """Stateful stream: per-signal run state (last window index, run length) kept by
+    ``applyInPandasWithState``; alerts arrive in window order from an append-mode drift stream."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    src = spark.readStream.schema("window_start timestamp_ntz, signal string, value double, threshold double") \
+        .parquet(alert_dir)
+    out = src.groupBy("signal").applyInPandasWithState(
+        _debounce_fn(k, step_seconds), DEBOUNCE_OUT, DEBOUNCE_STATE, "append", GroupStateTimeout.NoTimeout)
+    return (out.writeStream.outputMode("append").format("parquet").option("path", sink_dir)
+            .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())

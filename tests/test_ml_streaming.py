@@ -45,3 +45,25 @@ def test_rolling_stats_bucketing_is_exact(builds_small):
     j = a.alias("a").join(b.alias("b"), ["machine_id", "event_time", "Melt_Pool_Temp_C"])
     bad = j.filter(F.abs(F.col("a.rolling_mean") - F.col("b.rolling_mean")) > 1e-6).count()
     assert bad == 0 and a.count() == b.count()
+
+
+def test_debounce_stream_equals_batch(spark, tmp_path):
+    import datetime as dt
+    day = dt.timedelta(days=30)
+    t0 = dt.datetime(1995, 1, 5)
+    base = dt.datetime(1970, 1, 1) + ((t0 - dt.datetime(1970, 1, 1)) // day) * day
+    rows = []
+    for i in (0, 1, 2, 5, 7, 8):  # runs: [0,1,2], [5], [7,8]
+        rows.append((base + i * day, "psi:Laser_Power_W", 0.3 + i, 0.2))
+    for i in (3, 4):
+        rows.append((base + i * day, "quality_risk_rate", 6.0, 5.0))
+    alerts = spark.createDataFrame(rows, "window_start timestamp_ntz, signal string, value double, threshold double")
+    batch = sorted((r["signal"], r["window_start"]) for r in monitoring.debounce_alerts(alerts).collect())
+    assert batch == [("psi:Laser_Power_W", base + 1 * day), ("psi:Laser_Power_W", base + 8 * day),
+                     ("quality_risk_rate", base + 4 * day)]
+    src = str(tmp_path / "alerts")
+    alerts.write.parquet(src)
+    q = monitoring.stream_debounce_alerts(spark, src, str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination()
+    streamed = sorted((r["signal"], r["window_start"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert streamed == batch
