@@ -67,3 +67,14 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     streamed = sorted((r["signal"], r["window_start"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert streamed == batch
+
+
+def test_compare_models_ml_small(builds_small):
+    from fusionlens.plans.modeling import compare_models_ml
+
+    out = compare_models_ml(builds_small, ["prebuild"], ["dummy", "logistic_regression"],
+                            params={"logistic_regression": {"maxIter": 30}})
+    comp = out["comparison"].collect()
+    assert {r["model_type"] for r in comp} == {"dummy", "logistic_regression"}
+    rec = out["recommendation"].first()
+    assert rec["deployment_status"] in ("NOT_RECOMMENDED_FOR_DEPLOYMENT", "CANDIDATE_FOR_ENGINEERING_VALIDATION")
