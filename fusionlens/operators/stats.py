@@ -38,10 +38,18 @@ def _with_total(df_small: DataFrame, df: DataFrame, name: str = "__n") -> DataFr
 
 
 def iqr_outliers(df: DataFrame, exclude: tuple = (), buckets: int | None = None) -> DataFrame:
-    """Per numeric column: q1, q3, iqr, 1.5-iqr bounds, outlier count and percent of all rows."""
+    """Per numeric column: q1, q3, iqr, 1.5-iqr bounds, outlier count and percent of all rows.
+
+    The quartiles and the outlier counts both come from one distinct-value
+    table (feature, value, cnt): the raw rows are shuffled once.
+    """
     cols = numeric_columns(df, exclude)
     long = long_numeric(df, cols).filter(F.col("value").isNotNull())
-    qs = ranks.quantiles_wide(long, ["feature"], {"q1": 0.25, "q3": 0.75}, buckets=buckets)
+    counts = ranks.value_counts(long, ["feature"])
+    cum = ranks.cumulative(counts, ["feature"], "value", buckets)
+    q = ranks.quantiles(cum, ["feature"], [0.25, 0.75])
+    qs = q.groupBy("feature").agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
+                                  F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
     k = THRESHOLDS["iqr_factor"]
     bounds = (
         qs.withColumn("iqr", F.col("q3") - F.col("q1"))
@@ -50,9 +58,9 @@ def iqr_outliers(df: DataFrame, exclude: tuple = (), buckets: int | None = None)
         .withColumn("upper_bound", F.col("q3") + F.lit(k) * F.col("iqr"))
     )
     # one row per numeric column: the schema bounds this side
-    counted = long.join(F.broadcast(bounds.select("feature", "lower_bound", "upper_bound")), "feature").groupBy(
-        "feature").agg(F.count_if((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound")))
-                       .alias("outlier_count"))
+    outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
+    counted = counts.join(F.broadcast(bounds.select("feature", "lower_bound", "upper_bound")), "feature").groupBy(
+        "feature").agg(F.sum(F.when(outside, F.col("cnt")).otherwise(0)).alias("outlier_count"))
     out = _with_total(bounds.join(counted, "feature", "left"), df)
     cnt = F.coalesce(F.col("outlier_count"), F.lit(0)).cast("long")
     return out.select(
