@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ONE = "__one"
+_S = "__one_row"
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row frame (an aggregate result) to every row.
 
-    An equi-join on a constant key with the one-row side broadcast: its size
-    is one row by construction, so no pairs are ever produced.
+    The frame becomes one scalar subquery returning a struct: it runs once,
+    its single value is inlined into the projection, and no join (let alone a
+    nested-loop one) appears in the plan.
     """
-    return df.withColumn(_ONE, F.lit(1)).join(F.broadcast(one_row.withColumn(_ONE, F.lit(1))), _ONE).drop(_ONE)
+    cols = one_row.columns
+    value = one_row.select(F.struct(*[F.col(c) for c in cols]).alias(_S)).scalar()
+    return df.withColumn(_S, value).select("*", *[F.col(f"{_S}.{c}").alias(c) for c in cols]).drop(_S)

@@ -1,7 +1,7 @@
 """Binned and categorical risk tables (the data behind the process-window plots).
 
-Bounds (min/max per axis) come from one global aggregate whose single row is
-joined back by broadcast: a one-row side has a proven size bound. Bin ids are
+Bounds (min/max per axis) come from one global aggregate, inlined into the
+rows as a scalar subquery (one value, no join). Bin ids are
 computed from the same edge list the interval libraries build (see
 ``edge_bin``), then one ``groupBy`` with partial aggregation. Skewed bins are
 harmless: the map side combines each bin to one row per task before the
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fusionlens.contract import CATEGORICAL, TARGET
 from fusionlens.functions.exprs import edge_bin, risk_flag
+from fusionlens.functions.frames import attach_one_row
 
 _ONE = "__one"
 
@@ -24,8 +25,7 @@ def attach_bounds(work: DataFrame, columns: list[str]) -> DataFrame:
     aggs = []
     for c in columns:
         aggs += [F.min(c).alias(f"{c}__lo"), F.max(c).alias(f"{c}__hi")]
-    bounds = work.agg(*aggs).withColumn(_ONE, F.lit(1))
-    return work.withColumn(_ONE, F.lit(1)).join(F.broadcast(bounds), _ONE).drop(_ONE)
+    return attach_one_row(work, work.agg(*aggs))
 
 
 def _interval(c: str, n: int, k: str, adjust_first: bool):
@@ -89,9 +89,8 @@ def energy_bin_risk(df: DataFrame, bins: int = 8) -> DataFrame:
     overall = (
         df.select("Energy_Density_J_mm3", TARGET).na.drop("any")
         .agg((F.lit(100.0) * F.sum(risk_flag()) / F.count(F.lit(1))).alias("overall_risk_rate_percent"))
-        .withColumn(_ONE, F.lit(1))
     )
-    return cells.withColumn(_ONE, F.lit(1)).join(F.broadcast(overall), _ONE).drop(_ONE)
+    return attach_one_row(cells, overall)
 
 
 def category_risk(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from fusionlens.contract import EXPECTED_COLUMNS, PHYSICAL_RANGES, QUALITY_ORDER, TARGET, TEXT
 from fusionlens.functions.exprs import round_half_even
+from fusionlens.functions.frames import attach_one_row
 
 _ONE = "__one"
 
@@ -105,9 +106,9 @@ def target_distribution(df: DataFrame) -> DataFrame:
         return spark.createDataFrame(
             [("target_column", "FAIL", TEXT["target_missing"])], "check string, status string, details string")
     counts = df.groupBy(F.col(TARGET).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1)).alias("__n")).withColumn(_ONE, F.lit(1))
+    total = df.agg(F.count(F.lit(1)).alias("__n"))
     return (
-        counts.withColumn(_ONE, F.lit(1)).join(F.broadcast(total), _ONE)
+        attach_one_row(counts, total)
         .select(
             F.lit("target_distribution").alias("check"),
             "value",

@@ -19,6 +19,7 @@ from fusionlens.contract import (
     non_numeric_columns,
 )
 from fusionlens.functions.exprs import adjusted_skewness, edge_bin, round_half_even
+from fusionlens.functions.frames import attach_one_row
 from fusionlens.operators import ranks
 from fusionlens.operators.quality import as_status_rows
 
@@ -33,8 +34,7 @@ def long_numeric(df: DataFrame, columns: list[str], keep: list[str] = ()) -> Dat
 
 
 def _with_total(df_small: DataFrame, df: DataFrame, name: str = "__n") -> DataFrame:
-    total = df.agg(F.count(F.lit(1)).alias(name)).withColumn(_ONE, F.lit(1))
-    return df_small.withColumn(_ONE, F.lit(1)).join(F.broadcast(total), _ONE).drop(_ONE)
+    return attach_one_row(df_small, df.agg(F.count(F.lit(1)).alias(name)))
 
 
 def iqr_outliers(df: DataFrame, exclude: tuple = (), buckets: int | None = None) -> DataFrame:
@@ -76,8 +76,8 @@ def class_balance(df: DataFrame) -> DataFrame:
     """Count and percent per class (NULL kept), majority/minority ratio on each row."""
     counts = df.groupBy(F.col(TARGET).alias("quality_class")).agg(F.count(F.lit(1)).alias("count"))
     summary = counts.agg(F.min("count").alias("__min"), F.max("count").alias("__max"),
-                         F.sum("count").alias("__n")).withColumn(_ONE, F.lit(1))
-    j = counts.withColumn(_ONE, F.lit(1)).join(F.broadcast(summary), _ONE)
+                         F.sum("count").alias("__n"))
+    j = attach_one_row(counts, summary)
     ratio = F.try_divide(F.col("__max").cast("double"), F.col("__min").cast("double"))
     return j.select(
         "quality_class", "count",
@@ -250,7 +250,7 @@ def median_fill(df: DataFrame, columns: list[str] | None = None, buckets: int |
     long = long_numeric(df, cols).filter(F.col("value").isNotNull())
     med = ranks.quantiles_wide(long, ["feature"], {"median": 0.5}, buckets=buckets)
     one_row = med.agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"__med_{c}") for c in cols])
-    j = df.withColumn(_ONE, F.lit(1)).join(F.broadcast(one_row.withColumn(_ONE, F.lit(1))), _ONE)
+    j = attach_one_row(df, one_row)
     out = j.select(*[
         (F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), F.col(f"__med_{c}").cast(df.schema[c].dataType))
          .alias(c) if c in cols else F.col(c)) for c in df.columns

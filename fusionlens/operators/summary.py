@@ -12,6 +12,7 @@ from fusionlens.contract import (
     SEVERITY_SCORE, TARGET, numeric_columns, non_numeric_columns,
 )
 from fusionlens.functions.exprs import round_half_even
+from fusionlens.functions.frames import attach_one_row
 from fusionlens.operators import ranks
 from fusionlens.operators.stats import long_numeric
 
@@ -34,8 +35,8 @@ def categorical_summary(df: DataFrame) -> DataFrame:
     cols = non_numeric_columns(df)
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1)).alias("__n")).withColumn(_ONE, F.lit(1))
-    return counts.withColumn(_ONE, F.lit(1)).join(F.broadcast(total), _ONE).select(
+    total = df.agg(F.count(F.lit(1)).alias("__n"))
+    return attach_one_row(counts, total).select(
         "column", "value", "count", round_half_even(F.col("count") / F.col("__n") * F.lit(100.0), 2).alias("percent"))
 
 
@@ -73,10 +74,9 @@ def class_distribution(df: DataFrame) -> DataFrame:
     domain = spark.createDataFrame([(v, i + 1) for i, v in enumerate(QUALITY_ORDER)], f"{TARGET} string, class_order int")
     counts = df.groupBy(TARGET).agg(F.count(F.lit(1)).alias("count"))
     t = domain.join(counts, TARGET, "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
-    summ = df.agg(F.count(F.lit(1)).alias("__n")).withColumn(_ONE, F.lit(1))
-    present = counts.join(domain, TARGET).agg(F.min("count").alias("__mn"), F.max("count").alias("__mx")) \
-        .withColumn(_ONE, F.lit(1))
-    return t.withColumn(_ONE, F.lit(1)).join(F.broadcast(summ), _ONE).join(F.broadcast(present), _ONE).select(
+    summ = df.agg(F.count(F.lit(1)).alias("__n"))
+    present = counts.join(domain, TARGET).agg(F.min("count").alias("__mn"), F.max("count").alias("__mx"))
+    return attach_one_row(attach_one_row(t, summ), present).select(
         TARGET, "class_order", "count",
         F.try_divide(F.col("count").cast("double"), F.col("__n").cast("double")).alias("share"),
         F.try_divide(F.col("__mx").cast("double"), F.col("__mn").cast("double")).alias("imbalance_ratio"),
