@@ -126,13 +126,14 @@ def kruskal_statistics(df: DataFrame, buckets: int | None = None) -> DataFrame:
     """
     cols = safe_numeric_columns(df)
     long = long_numeric(df.filter(F.col(TARGET).isNotNull()), cols, keep=[TARGET]).filter(F.col("value").isNotNull())
-    per_class = long.groupBy("feature", "value", TARGET).agg(F.count(F.lit(1)).alias("cj"))
-    per_value = per_class.groupBy("feature", "value").agg(F.sum("cj").alias("cnt"))
-    cum = ranks.average_ranks(ranks.cumulative(per_value, ["feature"], "value", buckets))
+    # both count tables are read by several branches: each is computed and written once
+    per_class = ranks.staged(long.groupBy("feature", "value", TARGET).agg(F.count(F.lit(1)).alias("cj")))
+    per_value = ranks.staged(per_class.groupBy("feature", "value").agg(F.sum("cj").alias("cnt")))
+    cum = ranks.average_ranks(ranks.cumulative(per_value, ["feature"], "value", buckets, staged_input=True))
     joined = per_class.join(cum.select("feature", "value", "avg_rank", "cnt", "n"), ["feature", "value"])
     groups = joined.groupBy("feature", TARGET).agg(
         F.sum(F.col("cj") * F.col("avg_rank")).alias("r"), F.sum("cj").alias("nj"), F.first("n").alias("n"))
-    ties = cum.groupBy("feature").agg(
+    ties = per_value.groupBy("feature").agg(
         F.sum(F.col("cnt").cast("double") ** 3 - F.col("cnt")).alias("tie_sum"))
     per_feature = groups.groupBy("feature").agg(
         F.sum(F.col("r") * F.col("r") / F.col("nj")).alias("ssq"), F.first("n").alias("n"),

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fusionlens.session import ensure_checkpoint_dir
+
 
 def value_counts(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(keys..., value, cnt) over non-null values."""
@@ -26,6 +28,21 @@ def value_counts(long: DataFrame, keys: list[str], value: str = "value") -> Data
     )
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a table that several branches read.
+
+    A reliable checkpoint into the session's ``spark.checkpoint.dir`` (the
+    shared folder on a cluster): the table is computed and written once and
+    survives executor loss. Without it each branch re-runs the scan, join and
+    shuffle below, because pushed-down filters make the branches differ and
+    block exchange reuse. Streaming frames are returned unchanged.
+    """
+    if df.isStreaming:
+        return df
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 # distinct values one window task may sort; above this the values are bucketed
 ROWS_PER_BUCKET = 2_000_000
 # default bucket count: fixed, so no sizing job runs; the bucket bounds are an
@@ -42,13 +59,15 @@ def auto_buckets(counts: DataFrame, keys: list[str], value: str = "value") -> in
 
 
 def cumulative(counts: DataFrame, keys: list[str], value: str = "value", buckets: int | None = None,
-               accuracy: int = 10000) -> DataFrame:
+               accuracy: int = 10000, staged_input: bool = False) -> DataFrame:
     """Add ``below`` (rows with a smaller value, same key) and ``n`` (rows per key).
 
     ``buckets=None`` uses ``DEFAULT_BUCKETS``; ``buckets=0`` sizes them from
     the data (one extra job) so that no window task sorts more than
     ``ROWS_PER_BUCKET`` distinct values; with one bucket the running sum is a
-    single window per key.
+    single window per key. With buckets the counts feed three branches (bounds,
+    bucket totals, running sum), so they are ``staged`` first unless the
+    caller says ``staged_input``.
     """
     if buckets is None:
         buckets = DEFAULT_BUCKETS
@@ -58,6 +77,8 @@ def cumulative(counts: DataFrame, keys: list[str], value: str = "value", buckets
         run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return counts.withColumn("below", F.coalesce(F.sum("cnt").over(run), F.lit(0))).withColumn(
             "n", F.sum("cnt").over(Window.partitionBy(*keys)))
+    if not staged_input:
+        counts = staged(counts)
     probs = [i / buckets for i in range(1, buckets)]
     # bucket bounds only balance the work, so a 1/64 hash sample of the distinct
     # values is enough; keys with too few values to sample fall into bucket 0

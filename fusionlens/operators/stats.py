@@ -45,8 +45,9 @@ def iqr_outliers(df: DataFrame, exclude: tuple = (), buckets: int | None = None)
     """
     cols = numeric_columns(df, exclude)
     long = long_numeric(df, cols).filter(F.col("value").isNotNull())
-    counts = ranks.value_counts(long, ["feature"])
-    cum = ranks.cumulative(counts, ["feature"], "value", buckets)
+    # quartiles and outlier counts both read it: computed and written once
+    counts = ranks.staged(ranks.value_counts(long, ["feature"]))
+    cum = ranks.cumulative(counts, ["feature"], "value", buckets, staged_input=True)
     q = ranks.quantiles(cum, ["feature"], [0.25, 0.75])
     qs = q.groupBy("feature").agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
                                   F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
@@ -288,8 +289,10 @@ def mutual_information(df: DataFrame, bins: int = 20, buckets: int | None = None
     Numeric features: NULL -> median, then ``bins`` equal-width left-closed
     bins; categorical features: NULL -> "Missing", each value its own cell.
     MI = sum p(x,y) ln(p(x,y) / (p(x) p(y))) from joint counts
-    ``groupBy(feature, cell, class)``; marginals are small aggregates joined
-    back. Rows with a NULL class are left out.
+    ``groupBy(feature, cell, class)``; marginals are window sums over that
+    small table. Bin bounds are literals from one wide min/max aggregate, and
+    all features go through one ``unpivot`` of a (value, text) struct.
+    Rows with a NULL class are left out.
     """
     if TARGET not in df.columns:
         return df.sparkSession.createDataFrame(
@@ -298,37 +301,63 @@ def mutual_information(df: DataFrame, bins: int = 20, buckets: int | None = None
     num = [c for c in numeric_columns(df) if c in feats]
     cat = [c for c in feats if c not in num]
     labelled = df.filter(F.col(TARGET).isNotNull())
-    parts = []
+    cells = {}
     if num:
-        # only columns that hold NULLs need a median: one wide count (a few numbers to the driver)
-        nulls = labelled.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c)
-                               for c in num]).first()
-        to_fill = [c for c in num if nulls[c]]
-        filled = median_fill(labelled.select(*num, TARGET), to_fill, buckets) if to_fill else \
-            labelled.select(*num, TARGET)
-        long = long_numeric(filled, num, keep=[TARGET])
-        bounds = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-        # one row per numeric column: bounded by the schema
-        cells = long.join(F.broadcast(bounds), "feature").select(
-            "feature", TARGET,
-            F.coalesce(edge_bin("value", "lo", "hi", bins, right_closed=False).cast("string"), F.lit("null"))
-            .alias("cell"))
-        parts.append(cells)
-    if cat:
-        cl = labelled.select(*[F.coalesce(F.col(c).cast("string"), F.lit("Missing")).alias(c) for c in cat],
-                             TARGET).unpivot([TARGET], cat, "feature", "cell")
-        parts.append(cl.select("feature", TARGET, "cell"))
-    cells = reduce(lambda a, b: a.unionByName(b), parts)
-    return mi_from_cells(cells)
+        # one wide aggregate: per column the NULL/NaN count and the non-NaN bounds
+        # (three numbers per column reach the driver, bounded by the schema)
+        clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in num}
+        facts = labelled.agg(*[x for i, c in enumerate(num) for x in (
+            F.count_if(clean[c].isNull()).alias(f"n{i}"), F.min(clean[c]).alias(f"lo{i}"),
+            F.max(clean[c]).alias(f"hi{i}"))]).first()
+        to_fill = [c for i, c in enumerate(num) if facts[f"n{i}"]]
+        medians = {}
+        if to_fill:
+            # exact medians of the columns that hold NULLs (one row per such column)
+            med = ranks.quantiles_wide(long_numeric(labelled, to_fill).filter(F.col("value").isNotNull()),
+                                       ["feature"], {"median": 0.5}, buckets=buckets)
+            medians = {r["feature"]: r["median"] for r in med.collect()}
+        for c in num:
+            x = clean[c]
+            if c in to_fill:
+                # the fill value takes the column's own type (an integer column truncates)
+                fill = F.lit(medians.get(c)).cast("double").cast(df.schema[c].dataType).cast("double")
+                x = F.coalesce(x, fill)
+            cells[c] = F.struct(x.alias("v"), F.lit(None).cast("string").alias("s"))
+    for c in cat:
+        cells[c] = F.struct(F.lit(None).cast("double").alias("v"),
+                            F.coalesce(F.col(c).cast("string"), F.lit("Missing")).alias("s"))
+    # numeric and categorical features share one (value, text) struct, so one
+    # projection and one unpivot cover them all: a single scan of the rows
+    long = labelled.select(TARGET, *[v.alias(c) for c, v in cells.items()]).unpivot(
+        [TARGET], list(cells), "feature", "x")
+    if num:
+        # a median lies inside [min, max], so filling never moves the bin edges;
+        # the bounds table has one row per numeric column (bounded by the schema)
+        bounds = df.sparkSession.createDataFrame(
+            [(c, facts[f"lo{i}"], facts[f"hi{i}"]) for i, c in enumerate(num)],
+            "feature string, __lo double, __hi double")
+        long = long.join(F.broadcast(bounds), "feature", "left")
+        num_cell = F.coalesce(edge_bin("x.v", "__lo", "__hi", bins, right_closed=False).cast("string"),
+                              F.lit("null"))
+        cell = F.coalesce(F.col("x.s"), num_cell)
+    else:
+        cell = F.col("x.s")
+    return mi_from_cells(long.select("feature", TARGET, cell.alias("cell")))
 
 
 def mi_from_cells(cells: DataFrame, label: str = TARGET) -> DataFrame:
+    # the joint table is small (features x cells x classes); marginals are window
+    # sums over it, so the raw rows are aggregated once and never re-read
     joint = cells.groupBy("feature", "cell", label).agg(F.count(F.lit(1)).alias("nxy"))
-    px = joint.groupBy("feature", "cell").agg(F.sum("nxy").alias("nx"))
-    py = joint.groupBy("feature", label).agg(F.sum("nxy").alias("ny"))
-    n = joint.groupBy("feature").agg(F.sum("nxy").alias("n"))
-    j = joint.join(px, ["feature", "cell"]).join(py, ["feature", label]).join(n, "feature")
-    term = (F.col("nxy") / F.col("n")) * F.log((F.col("nxy") * F.col("n")) / (F.col("nx") * F.col("ny")))
+    j = joint.select(
+        "feature", "nxy",
+        F.sum("nxy").over(Window.partitionBy("feature", "cell")).alias("nx"),
+        F.sum("nxy").over(Window.partitionBy("feature", label)).alias("ny"),
+        F.sum("nxy").over(Window.partitionBy("feature")).alias("n"),
+    )
+    # products in double: nxy * n overflows a long at a trillion rows
+    nxy = F.col("nxy").cast("double")
+    term = (nxy / F.col("n")) * F.log((nxy * F.col("n")) / (F.col("nx").cast("double") * F.col("ny")))
     mi = j.groupBy("feature").agg(F.sum(term).alias("mi"))
     return mi.select(
         "feature",
