@@ -28,6 +28,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # staged (checkpointed) count tables are removed once no plan refers to them
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("FUSIONLENS_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
