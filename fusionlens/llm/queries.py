@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fusionlens.llm import line_rules
+from fusionlens.llm import gray_simhash, line_rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op4_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gray_simhash.near_duplicates(_documents(spark, sf_dir), width=4, max_bits=4)
+
+
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_rules(_documents(spark, sf_dir)).drop("clean_text")
 
 
-QUERIES = {"op10_line_rules": op10_line_rules}
+QUERIES = {"op4_gray_simhash": op4_gray_simhash, "op10_line_rules": op10_line_rules}
 ORACLE_SQL = {"op10_line_rules": line_rules.oracle()}
