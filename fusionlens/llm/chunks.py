@@ -7,6 +7,7 @@ the longest text, not by the batch or the partition. NULL texts are empty.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -139,13 +140,15 @@ def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 class Remembered:
     """Results of ``encode`` for byte strings that were seen before.
 
-    ``encode`` takes a list of byte strings and returns a list of id lists. At
-    most ``limit`` strings are kept; when they are full, all are forgotten and
-    the memory fills again, so the results do not depend on it.
+    ``encode`` takes a list of byte strings and returns a list of id lists, or
+    of numbers of ids if ``counts`` is set. At most about ``limit`` strings are
+    held: then those used most often stay, and the others are forgotten, or all
+    are if they have more than ``limit_bytes``. Results do not depend on it.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 250_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[bytes]], list], counts: bool = False,
+                 limit: int = 400_000, limit_bytes: int = 24_000_000):
+        self.encode, self.counts, self.limit, self.limit_bytes = encode, counts, limit, limit_bytes
         self._clear()
 
     def _clear(self) -> None:
@@ -153,7 +156,32 @@ class Remembered:
         self.first = np.zeros(1024, dtype=np.int64)
         self.size = np.zeros(1024, dtype=np.int64)
         self.ids = np.zeros(4096, dtype=np.int32)
-        self.used = 0
+        self.uses = np.zeros(1024, dtype=np.int32)
+        self.used = self.held = 0
+
+    def _forget(self) -> None:
+        """Keep the half of the strings that were used most, if they are short."""
+        n = len(self.slot)
+        kept = np.argsort(self.uses[:n], kind="stable")[n // 2:] if self.held <= self.limit_bytes else np.zeros(0, np.int64)
+        names = np.fromiter(self.slot, dtype=object, count=n)[kept].tolist()
+        ids = self.ids[ragged(self.first[kept], self.size[kept])] if not self.counts else self.ids[:0]
+        size, uses = self.size[kept], self.uses[kept] // 2
+        self._clear()
+        self._store(names, size, ids)
+        self.uses[:len(kept)] = uses
+
+    def _store(self, names: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.slot)
+        for name in ("first", "size", "uses"):
+            self._grow(name, n + len(names))
+        self._grow("ids", self.used + len(ids))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.size[n:n + len(names)] = sizes
+        self.first[n:n + len(names)] = self.used + np.cumsum(sizes) - sizes
+        self.uses[n:n + len(names)] = 0
+        self.used += len(ids)
+        self.held += sum(map(len, names))
+        self.slot.update(zip(names, range(n, n + len(names))))
 
     def _grow(self, name: str, n: int) -> None:
         old = getattr(self, name)
@@ -163,25 +191,20 @@ class Remembered:
             setattr(self, name, new)
 
     def look(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """First id and number of ids (in ``self.ids``) of each key."""
-        missing = [k for k in dict.fromkeys(keys) if k not in self.slot]
-        if len(self.slot) + len(missing) > self.limit and self.slot:
-            self._clear()
-            missing = list(dict.fromkeys(keys))
+        """First id (in ``self.ids``) and number of ids of each of the distinct keys."""
+        missing = [k for k in keys if k not in self.slot]
+        if self.slot and (len(self.slot) + len(missing) > self.limit or self.held > self.limit_bytes):
+            self._forget()
+            missing = [k for k in keys if k not in self.slot]
         for i in range(0, len(missing), 4096):
             part = missing[i:i + 4096]
             got = self.encode(part)
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((x for ids in got for x in ids), np.int32, int(sizes.sum()))
-            n = len(self.slot)
-            for name, need in (("first", n + len(part)), ("size", n + len(part)), ("ids", self.used + len(flat))):
-                self._grow(name, need)
-            self.ids[self.used:self.used + len(flat)] = flat
-            self.size[n:n + len(part)] = sizes
-            self.first[n:n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.used += len(flat)
-            self.slot.update(zip(part, range(n, n + len(part))))
+            sizes = np.fromiter(got if self.counts else map(len, got), np.int64, len(part))
+            ids = (self.ids[:0] if self.counts else
+                   np.fromiter(itertools.chain.from_iterable(got), np.int32, int(sizes.sum())))
+            self._store(part, sizes, ids)
         at = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
+        self.uses[at] += 1
         return self.first[at], self.size[at]
 
     def of_ranges(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

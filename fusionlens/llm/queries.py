@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fusionlens.llm import gray_simhash, line_rules
+from fusionlens.llm import gray_simhash, harmonic, line_rules, prefix_bpe, token_shortcut
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op3_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = harmonic.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op4_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gray_simhash.near_duplicates(_documents(spark, sf_dir), width=4, max_bits=4)
 
 
+def op6_token_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shortcut.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = prefix_bpe.encode_and_decode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                        public_tokenizers.PATTERN)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_rules(_documents(spark, sf_dir)).drop("clean_text")
 
 
-QUERIES = {"op4_gray_simhash": op4_gray_simhash, "op10_line_rules": op10_line_rules}
+QUERIES = {
+    "op3_harmonic": op3_harmonic,
+    "op4_gray_simhash": op4_gray_simhash,
+    "op6_token_shortcut": op6_token_shortcut,
+    "op9_prefix_bpe": op9_prefix_bpe,
+    "op10_line_rules": op10_line_rules,
+}
 ORACLE_SQL = {"op10_line_rules": line_rules.oracle()}
