@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusionlens.llm import gray_simhash, harmonic, line_rules, prefix_bpe, token_shortcut
+from fusionlens.llm import gray_simhash, harmonic, line_rules, prefix_bpe, repair_codec, token_shortcut
+from fusionlens.session import shared_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,15 @@ def op6_token_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shortcut.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-ids")
+    repair_codec.write_ids(_documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    found = repair_codec.read_ids(spark, path).select(
+        "doc_id", "part", "shard", F.col("start").alias("inside"), "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return found.join(repair_codec.shard_starts(spark, path), ["part", "shard"]).select(
+        "doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+
+
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = prefix_bpe.encode_and_decode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                         public_tokenizers.PATTERN)
@@ -41,6 +51,7 @@ QUERIES = {
     "op3_harmonic": op3_harmonic,
     "op4_gray_simhash": op4_gray_simhash,
     "op6_token_shortcut": op6_token_shortcut,
+    "op7_repair": op7_repair,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_line_rules": op10_line_rules,
 }
