@@ -27,7 +27,7 @@ _powers = np.ones(1, dtype=np.uint64)
 _inverse = np.ones(1, dtype=np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
     if len(_powers) < n:
         size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
@@ -90,7 +90,7 @@ def words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte range; equal bytes give equal hashes anywhere."""
-    up, down = _power_tables(len(buf) + 1)
+    up, down = power_tables(len(buf) + 1)
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum(up[:len(buf)] * (buf.astype(np.uint64) + np.uint64(1)), out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusionlens.llm import gray_simhash, harmonic, line_rules, prefix_bpe, repair_codec, token_shortcut
+from fusionlens.llm import gray_simhash, harmonic, line_rules, prefix_bpe, repair_codec, super_kmers, token_shortcut
 from fusionlens.session import shared_path
 
 
@@ -23,6 +23,11 @@ def op4_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gray_simhash.near_duplicates(_documents(spark, sf_dir), width=4, max_bits=4)
 
 
+def op5_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = super_kmers.remove_repeats(_documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_token_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shortcut.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,9 +55,13 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_harmonic": op3_harmonic,
     "op4_gray_simhash": op4_gray_simhash,
+    "op5_super_kmers": op5_super_kmers,
     "op6_token_shortcut": op6_token_shortcut,
     "op7_repair": op7_repair,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_line_rules": op10_line_rules,
 }
-ORACLE_SQL = {"op10_line_rules": line_rules.oracle()}
+ORACLE_SQL = {
+    "op5_super_kmers": super_kmers.oracle(),
+    "op10_line_rules": line_rules.oracle(),
+}
