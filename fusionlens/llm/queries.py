@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusionlens.llm import gray_simhash, harmonic, line_rules, prefix_bpe, repair_codec, super_kmers, token_shortcut
+from fusionlens.llm import backoff, gray_simhash, harmonic, line_rules, prefix_bpe, repair_codec, super_kmers, token_shortcut
 from fusionlens.session import shared_path
 
 
@@ -14,6 +14,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op1_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(_documents(spark, sf_dir))
+
+
 def op3_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = harmonic.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -53,6 +57,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_backoff": op1_backoff,
     "op3_harmonic": op3_harmonic,
     "op4_gray_simhash": op4_gray_simhash,
     "op5_super_kmers": op5_super_kmers,
@@ -62,6 +67,7 @@ QUERIES = {
     "op10_line_rules": op10_line_rules,
 }
 ORACLE_SQL = {
+    "op1_backoff": backoff.oracle(),
     "op5_super_kmers": super_kmers.oracle(),
     "op10_line_rules": line_rules.oracle(),
 }
