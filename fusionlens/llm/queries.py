@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusionlens.llm import backoff, gray_simhash, harmonic, line_rules, prefix_bpe, repair_codec, super_kmers, token_shortcut
+from fusionlens.llm import backoff, gray_simhash, hamming_topk, harmonic, line_rules, prefix_bpe, repair_codec, super_kmers, token_shortcut
 from fusionlens.session import shared_path
 
 
@@ -45,6 +45,11 @@ def op7_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return hamming_topk.top_k(vectors, k=10, queries=F.col("id") % 20 == 0)
+
+
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = prefix_bpe.encode_and_decode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                         public_tokenizers.PATTERN)
@@ -63,11 +68,13 @@ QUERIES = {
     "op5_super_kmers": op5_super_kmers,
     "op6_token_shortcut": op6_token_shortcut,
     "op7_repair": op7_repair,
+    "op8_hamming_topk": op8_hamming_topk,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_line_rules": op10_line_rules,
 }
 ORACLE_SQL = {
     "op1_backoff": backoff.oracle(),
     "op5_super_kmers": super_kmers.oracle(),
+    "op8_hamming_topk": hamming_topk.oracle(),
     "op10_line_rules": line_rules.oracle(),
 }
