@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusionlens.llm import backoff, gray_simhash, hamming_topk, harmonic, line_rules, prefix_bpe, repair_codec, super_kmers, token_shortcut
+from fusionlens.llm import backoff, gray_simhash, hamming_topk, harmonic, line_rules, nb_svm, prefix_bpe, repair_codec, super_kmers, token_shortcut
 from fusionlens.session import shared_path
 
 
@@ -18,6 +18,22 @@ def op1_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score(_documents(spark, sf_dir))
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows that no model may learn from."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> nb_svm.Model:
+    """The model of ``labels.quality``, from the rows that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return nb_svm.train(_documents(spark, sf_dir), labels, "quality", training=~held_out(F.col("id")))
+
+
+def op2_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = nb_svm.classify(_documents(spark, sf_dir), quality_model(spark, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = harmonic.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -63,6 +79,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_backoff": op1_backoff,
+    "op2_nb_svm": op2_nb_svm,
     "op3_harmonic": op3_harmonic,
     "op4_gray_simhash": op4_gray_simhash,
     "op5_super_kmers": op5_super_kmers,
