@@ -1,30 +1,67 @@
-"""The corpus pipeline: documents through the operators, stage by stage."""
+"""The corpus pipeline: documents through five operators, stage by stage.
+
+Each stage reads what the one before it wrote as a table. Rejected documents
+go, near copies go but for one of each group, and repeated passages leave the
+texts; the last stage packs the token ids of what is left. All stages but the
+last return the columns of ``documents``, with ``n_chars`` counted again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusionlens.llm import line_rules
+from fusionlens.llm import gray_simhash, harmonic, line_rules, nb_svm, queries, super_kmers
 from fusionlens.session import shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _row(text: F.Column = None) -> list:
-    """The columns of documents out of the carried row, with a new text."""
-    return [F.col("row.doc_id").alias("doc_id"), text.alias("text"), F.col("row.lang").alias("lang"),
+def _documents(doc_id: Column, text: Column) -> list[Column]:
+    """The columns of documents from the carried ``row``, with this text."""
+    return [doc_id.alias("doc_id"), text.alias("text"), F.col("row.lang").alias("lang"),
             F.col("row.source").alias("source"), F.char_length(text).cast("long").alias("n_chars")]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; failed lines leave the documents that stay."""
-    judged = line_rules.apply_rules(docs, carry=COLUMNS)
-    return judged.where("kept").select(*_row(F.col("clean_text")))
+    judged = line_rules.apply_rules(docs, carry=["lang", "source"])
+    return judged.where("kept").select(*_documents(F.col("doc_id"), F.col("clean_text")))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model predicts to be of low quality go."""
+    judged = nb_svm.classify(docs, queries.quality_model(spark, sf_dir), carry=["lang", "source"])
+    return judged.where("predicted = 1").select(*_documents(F.col("doc_id"), F.col("text")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id."""
+    kept = gray_simhash.one_of_each(docs, width=4, max_bits=4, carry=COLUMNS)
+    return kept.select(*[F.col(f"row.{c}").alias(c) for c in COLUMNS])
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of repeated passages go; a text that loses none stays as it was."""
+    cleaned = super_kmers.remove_repeats(docs, carry=["lang", "source"])
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
+    return cleaned.select(*_documents(F.col("doc_id"), text))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of all documents in sequences of at most 4096."""
+    return harmonic.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", quality_rules)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("packing", packing),
+]
+ORACLE_SQL = None  # token ids and fingerprints have no SQL; tests hold each stage against a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ links like any other; fewer words than a shingle give one shingle of them all;
 repeated rows give repeated results; rows with a NULL id take part and get the
 component's smallest id (NULL if it has none). An empty table gives an empty
 result. Extra columns never clash: only id and text are read, unless ``carry``
-names more, which return in the struct ``row``.
+names more, which return in the struct ``row`` of ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -369,19 +369,40 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
-                    max_bits: int = 4, carry: list[str] | None = None) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (hex), ``component_id``, ``root`` of each row (and ``row``).
-
-    ``root`` names the component by its smallest fingerprint.
-    """
-    printed = staged(fingerprints(docs, id_col, text_col, width, carry), "fingerprints")
+def _grouped(printed: DataFrame, max_bits: int) -> DataFrame:
+    """``fp``, ``root``, ``component_id`` of each distinct fingerprint of ``printed`` (``doc_id``, ``fp``)."""
     nodes = staged(printed.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
     stars = components(links(nodes.select("fp"), max_bits))
     rooted = nodes.join(stars, nodes.fp == stars.node, "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id", "root")
-    return printed.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root",
-        *(["row"] if carry else []))
+    return rooted.join(lowest, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
+                    max_bits: int = 4) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (hex), ``component_id``, ``root`` of each row.
+
+    ``root`` names the component by its smallest fingerprint.
+    """
+    printed = staged(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    return printed.join(_grouped(printed, max_bits), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4,
+                carry: list[str] | None = None) -> DataFrame:
+    """One row of each component, that of the smallest id: ``doc_id`` and ``row`` (the columns ``carry``).
+
+    Of rows that repeat an id and a fingerprint, any one stays. Only ids and
+    fingerprints are grouped; the carried columns are joined to the chosen.
+    """
+    printed = staged(fingerprints(docs, id_col, text_col, width, carry or [id_col]), "fingerprints")
+    pairs = printed.groupBy("doc_id", "fp").agg(F.count("*").alias("copies"))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "copies")
+    chosen = pairs.join(_grouped(printed.select("doc_id", "fp"), max_bits).select("fp", "root"), "fp").groupBy(
+        "root").agg(F.min(first).alias("c")).select(
+        F.col("c.doc_id").alias("chosen_id"), F.col("c.fp").alias("chosen_fp"), "c.copies")
+    kept = printed.join(chosen, (printed.fp == chosen.chosen_fp) & printed.doc_id.eqNullSafe(chosen.chosen_id))
+    single = kept.where("copies = 1").select("doc_id", "row")
+    return single.unionByName(kept.where("copies > 1").dropDuplicates(["doc_id", "fp"]).select("doc_id", "row"))
