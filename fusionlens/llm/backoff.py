@@ -151,8 +151,10 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER,
     totals = staged(sent.groupBy("share").applyInArrow(_totals, _TOTALS), "ngram-totals")
     everything = totals.agg(F.sum("words")).first()[0] or 0
 
+    others = corpus is None  # a closure must not hold a DataFrame
+
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _scores(blocks.ordered(left), right, order, shares, everything, corpus is None)
+        return _scores(blocks.ordered(left), right, order, shares, everything, others)
 
     kind = dealt.schema["doc_id"].dataType.simpleString()
     found = dealt.groupBy("block").cogroup(totals.where("block IS NOT NULL").groupBy("block")).applyInArrow(
