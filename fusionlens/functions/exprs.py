@@ -34,7 +34,7 @@ def energy_density(power="Laser_Power_W", speed="Scan_Speed_mm_s", hatch="Hatch_
 
 def nan_to_null(c) -> Column:
     """NaN and NULL are one concept in the source data: normalise once."""
-    return F.when(F.isnan(col(c)), F.lit(None)).otherwise(col(c))
+    return F.when(~F.isnan(col(c).cast("double")), col(c))
 
 
 def edge_bin(x, lo, hi, n: int, right_closed: bool) -> Column:
@@ -72,7 +72,7 @@ def bin_edges(lo, hi, n: int, k) -> Column:
 
 def guarded_corr(x, y) -> Column:
     """Pearson on pairwise-complete rows; NULL (not an error) for a constant side."""
-    x, y = col(x), col(y)
+    x, y = nan_to_null(x), nan_to_null(y)
     both = x.isNotNull() & y.isNotNull()
     xm = F.when(both, x)
     ym = F.when(both, y)
@@ -88,7 +88,7 @@ def guarded_corr_sql(x: str, y: str) -> str:
 
 def adjusted_skewness(x) -> Column:
     """Sample-size adjusted skewness G1; 0 for a constant column, NULL for n < 3."""
-    x = col(x)
+    x = nan_to_null(x)
     n = F.count(x)
     g1 = F.skewness(x)
     adj = g1 * F.sqrt(n * (n - F.lit(1))) / (n - F.lit(2))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusionlens.contract import CATEGORICAL, TARGET
-from fusionlens.functions.exprs import edge_bin, risk_flag
+from fusionlens.functions.exprs import edge_bin, risk_flag, unit_hash
 from fusionlens.functions.frames import attach_one_row
 
 _ONE = "__one"
@@ -135,11 +135,7 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
     )
 
 
-def process_points(df: DataFrame, fraction: float = 0.1) -> DataFrame:
-    """Speed/power/class points for a scatter: a deterministic per-row sample by an
-    arithmetic hash of the id (a sampling operator; never a collect of the table)."""
-    from fusionlens.functions.exprs import unit_hash
-    return (
-        df.select("Sample_ID", "Scan_Speed_mm_s", "Laser_Power_W", TARGET)
-        .filter(unit_hash("Sample_ID") < F.lit(fraction))
-    )
+def process_points(df: DataFrame, fraction: float | None = None) -> DataFrame:
+    """Speed/power/class points of every row; a deterministic sample only if ``fraction`` is given."""
+    points = df.select("Sample_ID", "Scan_Speed_mm_s", "Laser_Power_W", TARGET)
+    return points if fraction is None else points.filter(unit_hash("Sample_ID") < F.lit(fraction))

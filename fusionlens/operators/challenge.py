@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fusionlens.contract import (
-    CHI2_CRITICAL_05, IDENTIFIER_COLUMNS, PHYSICS_PAIRS, POST_BUILD, QUALITY_ORDER, TARGET, TEXT, THRESHOLDS,
-    safe_numeric_columns,
+    IDENTIFIER_COLUMNS, PHYSICS_PAIRS, POST_BUILD, QUALITY_ORDER, TARGET, TEXT, THRESHOLDS,
+    usable_numeric_columns,
 )
 from fusionlens.functions.exprs import energy_density, guarded_corr, quality_ordinal
 from fusionlens.operators import ranks
@@ -36,7 +36,7 @@ def uniformity_scores(df: DataFrame, columns: list[str], bins: int = THRESHOLDS[
 
 def distribution_challenge(df: DataFrame) -> DataFrame:
     """Per safe numeric feature: min, max, mean, std, distinct, uniformity; sorted desc."""
-    cols = safe_numeric_columns(df)
+    cols = usable_numeric_columns(df)
     long = long_numeric(df, cols).filter(F.col("value").isNotNull())
     basic = long.groupBy("feature").agg(
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
@@ -124,7 +124,7 @@ def kruskal_statistics(df: DataFrame, buckets: int | None = None) -> DataFrame:
     all identical, or with fewer than two non-empty groups, are left out.
     Returns (feature, kruskal_statistic, degrees_of_freedom).
     """
-    cols = safe_numeric_columns(df)
+    cols = usable_numeric_columns(df)
     long = long_numeric(df.filter(F.col(TARGET).isNotNull()), cols, keep=[TARGET]).filter(F.col("value").isNotNull())
     # both count tables are read by several branches: each is computed and written once
     per_class = ranks.staged(long.groupBy("feature", "value", TARGET).agg(F.count(F.lit(1)).alias("cj")))
@@ -145,19 +145,18 @@ def kruskal_statistics(df: DataFrame, buckets: int | None = None) -> DataFrame:
         "feature", h.alias("kruskal_statistic"), (F.col("k") - 1).cast("int").alias("degrees_of_freedom"))
 
 
-def _critical_value_col(dof_col: str):
-    m = F.create_map(*[x for k, v in sorted(CHI2_CRITICAL_05.items()) for x in (F.lit(k), F.lit(v))])
-    return m[F.col(dof_col)]
+def kruskal_separation(df: DataFrame, buckets: int | None = None) -> DataFrame:
+    """H, degrees of freedom and p value per feature, smallest p first; weak from the 5 % level on.
 
+    The tail probability is a small Arrow-batched function over one row per
+    feature (Spark has no chi-square tail).
+    """
+    from fusionlens.functions.udfs import chi2_sf_udf
 
-def kruskal_separation(df: DataFrame, buckets: int | None = None) -> DataFrame:
-    """H, degrees of freedom and the 5 % chi-square point; weak when H does not exceed it
-    (the same decision as p >= 0.05). Sorted by H desc (= p asc for equal dof)."""
-    st = kruskal_statistics(df, buckets).withColumn("critical_value_05", _critical_value_col("degrees_of_freedom"))
-    weak = F.col("kruskal_statistic") <= F.col("critical_value_05")
-    return st.withColumn(
-        "class_separation_signal", F.when(weak, TEXT["sep_weak"]).otherwise(TEXT["sep_yes"])
-    ).orderBy(F.desc("kruskal_statistic"), "feature")
+    st = kruskal_statistics(df, buckets).withColumn("p_value", chi2_sf_udf("kruskal_statistic", "degrees_of_freedom"))
+    weak = F.col("p_value") >= THRESHOLDS["kruskal_alpha"]
+    return st.withColumn("class_separation_signal", F.when(weak, TEXT["sep_weak"]).otherwise(TEXT["sep_yes"])) \
+        .orderBy("p_value", "feature")
 
 
 def chi2_survival(h: float, dof: int) -> float:
@@ -181,19 +180,6 @@ def chi2_survival(h: float, dof: int) -> float:
     return min(1.0, max(0.0, total))
 
 
-def kruskal_with_p(df: DataFrame, buckets: int | None = None) -> DataFrame:
-    """``kruskal_separation`` plus the p value and the reference's p-based signal.
-
-    The tail probability is one small Arrow-batched pandas UDF applied to one
-    row per feature (Spark has no erfc)."""
-    from fusionlens.functions.udfs import chi2_sf_udf
-
-    st = kruskal_statistics(df, buckets).withColumn("p_value", chi2_sf_udf("kruskal_statistic", "degrees_of_freedom"))
-    weak = F.col("p_value") >= THRESHOLDS["kruskal_alpha"]
-    return st.withColumn("class_separation_signal", F.when(weak, TEXT["sep_weak"]).otherwise(TEXT["sep_yes"])) \
-        .orderBy("p_value", "feature")
-
-
 def defect_trend(df: DataFrame, buckets: int | None = None) -> DataFrame:
     """Count, mean, median, std of Defect_Count per class in quality order; PASS if means never rise."""
     spark = df.sparkSession

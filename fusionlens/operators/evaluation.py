@@ -70,18 +70,56 @@ def per_class_metrics(pred: DataFrame, keys: list[str], label: str = "label", pr
 
 def classification_metrics(pred: DataFrame, keys: list[str], label: str = "label",
                            prediction: str = "prediction") -> DataFrame:
-    """accuracy, balanced accuracy, macro F1, weighted F1 and the four risk metrics per key."""
-    counts = confusion_counts(pred, keys, label, prediction)
-    pc = _per_class(counts, keys)
-    f1 = _ratio(2 * F.col("tp"), F.col("true_n") + F.col("pred_n"))
-    multi = pc.groupBy(*keys).agg(
-        (F.sum("tp") / F.sum("true_n")).alias("accuracy"),
-        F.avg(F.when(F.col("true_n") > 0, F.col("tp") / F.col("true_n"))).alias("balanced_accuracy"),
-        F.avg(f1).alias("macro_f1"),
-        _ratio(F.sum(f1 * F.col("true_n")), F.sum("true_n")).alias("weighted_f1"),
+    """accuracy, balanced accuracy, macro F1, weighted F1 and the four risk metrics per key.
+
+    The cells of the confusion table (one for each pair of labels) become one
+    array per key, and every metric is an expression over it: one scan, one
+    shuffle of rows and one of cells. Rows without a label or prediction are
+    left out.
+    """
+    counts = confusion_counts(pred, keys, label, prediction).where("actual IS NOT NULL AND predicted IS NOT NULL")
+    cell = F.struct("actual", "predicted", F.col("count").cast("double").alias("n"))
+    cells = counts.groupBy(*keys).agg(F.collect_list(cell).alias("cells"))
+    names = F.array_distinct(F.concat(F.transform("cells", lambda c: c["actual"]),
+                                      F.transform("cells", lambda c: c["predicted"])))
+
+    def total(condition):
+        return F.aggregate(F.filter("cells", condition), F.lit(0.0), lambda a, c: a + c["n"])
+
+    def over(of):
+        return F.aggregate(F.transform("per", of), F.lit(0.0), lambda a, x: a + x)
+
+    per = cells.select(*keys, "cells", F.transform(names, lambda name: F.struct(
+        total(lambda c: (c["actual"] == name) & (c["predicted"] == name)).alias("tp"),
+        total(lambda c: c["actual"] == name).alias("true_n"),
+        total(lambda c: c["predicted"] == name).alias("pred_n"))).alias("per"))
+
+    def f1(x):
+        return _ratio(2 * x["tp"], x["true_n"] + x["pred_n"])
+
+    every = over(lambda x: x["true_n"])
+    risky = lambda c, side: c[side].isin(*RISK_CLASSES)
+    tp = total(lambda c: risky(c, "actual") & risky(c, "predicted"))
+    fp = total(lambda c: ~risky(c, "actual") & risky(c, "predicted"))
+    fn = total(lambda c: risky(c, "actual") & ~risky(c, "predicted"))
+    seen = F.size(F.filter("per", lambda x: x["true_n"] > 0))
+    return per.select(
+        *keys,
+        (over(lambda x: x["tp"]) / every).alias("accuracy"),
+        (over(lambda x: F.when(x["true_n"] > 0, x["tp"] / x["true_n"]).otherwise(0.0)) / seen).alias("balanced_accuracy"),
+        (over(f1) / F.size("per")).alias("macro_f1"),
+        _ratio(over(lambda x: f1(x) * x["true_n"]), every).alias("weighted_f1"),
+        *_risk_columns(tp, fp, fn),
     )
-    risk = risk_metrics_from_counts(counts, keys)
-    return multi.join(risk, keys) if keys else attach_one_row(multi, risk)
+
+
+def _risk_columns(tp, fp, fn) -> list:
+    return [
+        _ratio(tp, tp + fp).alias("risk_precision"),
+        _ratio(tp, tp + fn).alias("risk_recall"),
+        _ratio(2 * tp, 2 * tp + fp + fn).alias("risk_f1"),
+        _ratio(5 * tp, 5 * tp + 4 * fn + fp).alias("risk_f2"),
+    ]
 
 
 def risk_metrics_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,14 +130,7 @@ def risk_metrics_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.when((a == 1) & (p == 1), c).otherwise(0.0)).alias("tp"),
         F.sum(F.when((a == 0) & (p == 1), c).otherwise(0.0)).alias("fp"),
         F.sum(F.when((a == 1) & (p == 0), c).otherwise(0.0)).alias("fn"))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return agg.select(
-        *keys,
-        _ratio(tp, tp + fp).alias("risk_precision"),
-        _ratio(tp, tp + fn).alias("risk_recall"),
-        _ratio(2 * tp, 2 * tp + fp + fn).alias("risk_f1"),
-        _ratio(5 * tp, 5 * tp + 4 * fn + fp).alias("risk_f2"),
-    )
+    return agg.select(*keys, *_risk_columns(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def risk_metrics(pred: DataFrame, keys: list[str], label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -112,8 +143,7 @@ def class_weights(df: DataFrame, label: str = TARGET, out: str = "class_weight")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
     tot = counts.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"))
     w = attach_one_row(counts, tot).select(label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out))
-    # one row per class label: size bounded by the label domain
-    return df.join(F.broadcast(w), label, "left")
+    return df.join(w, label, "left")  # AQE broadcasts the few weights by their measured size
 
 
 def majority_class(train: DataFrame, label: str = TARGET) -> DataFrame:

@@ -9,16 +9,15 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fusionlens.contract import CATEGORICAL, MODEL_LADDER, QUALITY_ORDER, TARGET, TEXT, feature_set, safe_feature_columns
-from fusionlens.functions.exprs import unit_hash
-from fusionlens.functions.frames import attach_one_row
-from fusionlens.operators import evaluation
+from fusionlens.contract import CATEGORICAL, MODEL_LADDER, TARGET, TEXT, scenario_columns, usable_columns
+from fusionlens.operators import evaluation, ranks
 from fusionlens.operators.projections import model_frame
+from fusionlens.operators.stats import long_numeric
 
 MODEL_TYPES = list(MODEL_LADDER)
 
@@ -29,14 +28,34 @@ BOOSTING = {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5}
 QUICK_FOREST = {"numTrees": 50, "maxDepth": 6}
 
 
-def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col: str = "Sample_ID") -> DataFrame:
-    """Add ``is_test``: a per-row hash threshold on the id (and seed).
+def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col: str = "Sample_ID",
+                     label: str = TARGET) -> DataFrame:
+    """Add ``is_test``: the share ``test_size`` (rounded) of each class, by a hash of the id as text.
 
-    Every class keeps ~``test_size`` of its rows held out in expectation, with
-    no window over the class (which would put a whole class in one task), and
-    rows with the same id always land on the same side.
+    The hash orders the rows of a class at random. Its first three hex digits
+    cut a class into 4096 ranges whose counts say where the held-out share
+    ends; only the rows of that one range are ranked, so no task sorts a class.
+    If a class has a single row, the table is split as a whole.
     """
-    return df.withColumn("is_test", unit_hash(F.col(id_col) + F.lit(seed * 1_000_003)) < F.lit(test_size))
+    key = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
+    rows = df.withColumn("__h", key).withColumn("__r", F.substring("__h", 1, 3))
+    counts = rows.groupBy(F.col(label).alias("__class"), "__r").agg(F.count(F.lit(1)).alias("__n"))
+    least = counts.groupBy("__class").agg(F.sum("__n").alias("n")).agg(F.min("n").alias("least")).scalar()
+    stratum = F.when(least >= 2, F.col("__class"))
+    by_range = Window.partitionBy("__stratum").orderBy("__r")
+    ranges = counts.withColumn("__stratum", stratum).groupBy("__stratum", "__r").agg(F.sum("__n").alias("__n"))
+    ranges = ranges.withColumn("__upto", F.sum("__n").over(by_range)).withColumn(
+        "__want", F.floor(F.sum("__n").over(Window.partitionBy("__stratum")) * F.lit(test_size) + 0.5))
+    ranges = ranges.select("__stratum", "__r", (F.col("__want") - (F.col("__upto") - F.col("__n"))).alias("__room"), "__n")
+    # at most 4096 ranges for each class: the label domain bounds this side
+    marked = rows.withColumn("__stratum", F.when(least >= 2, F.col(label))).join(
+        ranges.withColumnsRenamed({"__stratum": "__s2", "__r": "__r2"}),
+        F.col("__stratum").eqNullSafe(F.col("__s2")) & (F.col("__r") == F.col("__r2")))
+    edge = (F.col("__room") > 0) & (F.col("__room") < F.col("__n"))
+    whole = marked.where(~edge).withColumn("is_test", F.col("__room") >= F.col("__n"))
+    place = F.row_number().over(Window.partitionBy("__stratum").orderBy("__h"))
+    cut = marked.where(edge).withColumn("is_test", place <= F.col("__room"))
+    return whole.unionByName(cut).select(*df.columns, "is_test")
 
 
 def with_class_weights(df: DataFrame, label: str = TARGET) -> DataFrame:
@@ -52,19 +71,39 @@ def category_modes(train: DataFrame, columns: list[str]) -> dict[str, str]:
     return {r["feature"]: r["mode"] for r in best.collect()}  # one row per categorical column
 
 
-def build_pipeline(features: list[str], model_type: str, n_weight: float, seed: int = 42,
+def imputation(train: DataFrame, features: list[str]) -> SQLTransformer:
+    """A pipeline stage that fills numbers with the training median and categories with the mode.
+
+    The values are computed in Spark (``ranks``) and become literals of the
+    stage, so a saved pipeline fills as training did. NaN counts as missing; a
+    column without any value is filled with 0 or "Missing".
+    """
+    cats = [c for c in CATEGORICAL if c in features]
+    nums = [c for c in features if c not in cats]
+    long = long_numeric(train, nums).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    found = ranks.quantiles_wide(long, ["feature"], {"median": 0.5}).collect()  # one row per feature
+    median = {r["feature"]: r["median"] for r in found}
+    mode = category_modes(train, cats) if cats else {}
+    filled = [f"coalesce(CASE WHEN isnan(CAST(`{c}` AS DOUBLE)) THEN NULL ELSE CAST(`{c}` AS DOUBLE) END, "
+              f"CAST('{median.get(c, 0.0)!r}' AS DOUBLE)) AS `{c}__imp`" for c in nums]
+    escape = lambda text: text.replace("\\", "\\\\").replace("'", "\\'")
+    filled += [f"coalesce(`{c}`, '{escape(mode.get(c, 'Missing'))}') AS `{c}__imp`" for c in cats]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
+
+
+def build_pipeline(train: DataFrame, features: list[str], model_type: str, n_weight: float, seed: int = 42,
                    params: dict | None = None) -> Pipeline:
-    """Median impute + (scaled for logistic) numerics, indexed + one-hot categoricals, classifier."""
+    """Impute + (scaled for logistic) numerics, indexed + one-hot categoricals, classifier."""
     cats = [c for c in CATEGORICAL if c in features]
     nums = [c for c in features if c not in cats]
     params = params or {}
     stages = [
         StringIndexer(inputCol=TARGET, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error"),
-        Imputer(inputCols=nums, outputCols=[f"{c}__imp" for c in nums], strategy="median", relativeError=0.0),
+        imputation(train, features),
     ]
     if cats:
         stages += [
-            StringIndexer(inputCols=cats, outputCols=[f"{c}__idx" for c in cats], stringOrderType="alphabetAsc",
+            StringIndexer(inputCols=[f"{c}__imp" for c in cats], outputCols=[f"{c}__idx" for c in cats], stringOrderType="alphabetAsc",
                           handleInvalid="keep"),
             # dropLast removes exactly the "unknown" slot: unseen categories encode as all zeros
             OneHotEncoder(inputCols=[f"{c}__idx" for c in cats], outputCols=[f"{c}__oh" for c in cats], dropLast=True),
@@ -104,7 +143,7 @@ class OneVsRestBoosting:
         self.features, self.seed, self.params = features, seed, {**BOOSTING, **(params or {})}
 
     def fit(self, train: DataFrame):
-        prep = build_pipeline(self.features, "random_forest", 1.0, self.seed).getStages()[:-1]
+        prep = build_pipeline(train, self.features, "random_forest", 1.0, self.seed).getStages()[:-1]
         pre = Pipeline(stages=prep).fit(train)
         data = pre.transform(train).cache()
         labels = pre.stages[0].labels
@@ -149,21 +188,18 @@ def train_model(df: DataFrame, scenario: str, model_type: str, test_size: float
     frame = df.select("Sample_ID", *frame.columns)
     frame = stratified_split(frame.filter(F.col(TARGET).isNotNull()), test_size, seed)
     train, test = frame.filter(~F.col("is_test")), frame.filter(F.col("is_test"))
-    features = feature_set(scenario)
+    features = scenario_columns(scenario)
     if model_type == "dummy":
         pred = evaluation.dummy_predict(train, test, TARGET, "predicted_class")
         model, labels = None, None
     else:
-        cats = [c for c in CATEGORICAL if c in features]
-        modes = category_modes(train, cats) if cats else {}
-        train_f = with_class_weights(train.na.fill(modes))
-        test_f = test.na.fill(modes)
+        train_f, test_f = with_class_weights(train), test
         n_weight = train_f.agg(F.sum("class_weight")).first()[0] or 1.0
         if model_type == "hist_gradient_boosting":
             model = OneVsRestBoosting(features, seed, params).fit(train_f)
             labels = model.labels
         else:
-            model = build_pipeline(features, model_type, n_weight, seed, params).fit(train_f)
+            model = build_pipeline(train_f, features, model_type, n_weight, seed, params).fit(train_f)
             labels = model.stages[0].labels
         pred = model.transform(test_f).withColumn("predicted_class", predicted_label(labels))
     pred = pred.select("Sample_ID", F.col(TARGET).alias("label"), F.col("predicted_class").alias("prediction"),
@@ -190,8 +226,8 @@ def quick_predictability(df: DataFrame, test_size: float = 0.25, seed: int = 42)
               "minimum_class_count long, random_chance_baseline double, accuracy double, "
               "balanced_accuracy double, interpretation string")
     work = df.filter(F.col(TARGET).isNotNull())
-    feats = safe_feature_columns(work.columns)
-    feats = [c for c in feats if c in set(feature_set("postbuild"))]
+    feats = usable_columns(work.columns)
+    feats = [c for c in feats if c in set(scenario_columns("postbuild"))]
     counts = work.groupBy(TARGET).count().agg(F.count(F.lit(1)).alias("k"), F.min("count").alias("m")).first()
     k, m = (counts["k"] or 0), (counts["m"] or 0)
     if k < 2 or m < 2:
@@ -230,16 +266,7 @@ def load_model(spark, path: str) -> tuple[PipelineModel, DataFrame]:
 def evaluate_saved(model: PipelineModel, df: DataFrame, scenario: str) -> DataFrame:
     """Score a full table with a saved model; rows used in training are scored too (resubstitution)."""
     labels = model.stages[0].labels
-    frame = df.select("Sample_ID", *feature_set(scenario), TARGET).filter(F.col(TARGET).isNotNull())
-    cats = [c for c in CATEGORICAL if c in frame.columns]
-    frame = frame.na.fill({c: "Missing" for c in cats})
+    frame = df.select("Sample_ID", *scenario_columns(scenario), TARGET).filter(F.col(TARGET).isNotNull())
     pred = model.transform(frame).select(F.col(TARGET).alias("label"), predicted_label(labels).alias("prediction"))
     keyed = pred.withColumn("scenario", F.lit(scenario)).withColumn("evaluation", F.lit("resubstitution"))
     return evaluation.classification_metrics(keyed, ["scenario", "evaluation"])
-
-
-def label_order() -> list[str]:
-    return sorted(QUALITY_ORDER)
-
-
-__all__ = ["attach_one_row"]

@@ -10,15 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusionlens.contract import (
-    TARGET, feature_set, numeric_columns, safe_feature_columns, selection_policy, validate_no_timing_leakage,
+    TARGET, scenario_columns, numeric_columns, usable_columns, policy_of, known_too_late,
 )
 from fusionlens.functions.exprs import energy_density, quality_ordinal, risk_flag
 
 
+def _columns_in_time(scenario: str) -> list[str]:
+    cols = scenario_columns(scenario)
+    late = known_too_late(scenario, cols)
+    if late:
+        raise ValueError(f"scenario {scenario!r} would see columns too early: {late}")
+    return cols
+
+
 def scenario_view(df: DataFrame, scenario: str) -> DataFrame:
     """The columns allowed at a decision time (unknown scenario or leakage -> ValueError)."""
-    validate_no_timing_leakage(scenario)
-    cols = feature_set(scenario)
+    cols = _columns_in_time(scenario)
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"Missing required feature columns: {missing}")
@@ -27,8 +34,7 @@ def scenario_view(df: DataFrame, scenario: str) -> DataFrame:
 
 def model_frame(df: DataFrame, scenario: str) -> DataFrame:
     """Features + target as one DataFrame (never split X from y)."""
-    validate_no_timing_leakage(scenario)
-    cols = feature_set(scenario) + [TARGET]
+    cols = _columns_in_time(scenario) + [TARGET]
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"Missing required columns for scenario '{scenario}': {missing}")
@@ -37,7 +43,7 @@ def model_frame(df: DataFrame, scenario: str) -> DataFrame:
 
 def safe_features(df: DataFrame, numeric_only: bool = False) -> DataFrame:
     """Drop identifiers, the target and target-derived names."""
-    cols = safe_feature_columns(df.columns)
+    cols = usable_columns(df.columns)
     if numeric_only:
         num = set(numeric_columns(df))
         cols = [c for c in cols if c in num]
@@ -82,9 +88,9 @@ def selection_display(comparison: DataFrame) -> DataFrame:
     """Generic primary/secondary metric columns; each row picks the metric its scenario's policy names."""
     metric_map = F.create_map(*[x for m in METRIC_NAMES for x in (F.lit(m), F.col(m))])
     prim = F.create_map(*[x for s in ("prebuild", "inbuild", "postbuild")
-                          for x in (F.lit(s), F.lit(selection_policy(s)["primary_metric"]))])
+                          for x in (F.lit(s), F.lit(policy_of(s)["primary_metric"]))])
     sec = F.create_map(*[x for s in ("prebuild", "inbuild", "postbuild")
-                         for x in (F.lit(s), F.lit(selection_policy(s)["secondary_metric"]))])
+                         for x in (F.lit(s), F.lit(policy_of(s)["secondary_metric"]))])
     return comparison.select(
         "scenario", "model_type",
         prim[F.col("scenario")].alias("primary_metric"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fusionlens.contract import EXPECTED_COLUMNS, PHYSICAL_RANGES, QUALITY_ORDER, TARGET, TEXT
-from fusionlens.functions.exprs import round_half_even
+from fusionlens.functions.exprs import round_half_even, nan_to_null
 from fusionlens.functions.frames import attach_one_row
 
 _ONE = "__one"
@@ -131,18 +131,18 @@ def _rule_text(c, lo, hi) -> str:
 
 
 def physical_ranges(df: DataFrame) -> DataFrame:
-    """Out-of-range counts for the physical rules; NULL is never invalid."""
+    """Out-of-range counts for the physical rules; NULL and NaN are never invalid."""
     spark = df.sparkSession
     rules = [r for r in PHYSICAL_RANGES if r[0] in df.columns]
     if not rules:
         return spark.createDataFrame([], "column string, invalid_count long, status string, rule string")
     exprs = []
     for c, lo, hi in rules:
-        bad = F.lit(False)
+        value, bad = nan_to_null(c), F.lit(False)
         if lo is not None:
-            bad = bad | (F.col(c) < lo)
+            bad = bad | (value < lo)
         if hi is not None:
-            bad = bad | (F.col(c) > hi)
+            bad = bad | (value > hi)
         exprs.append(F.sum(F.when(bad, 1).otherwise(0)).cast("long").alias(c))
     long = df.agg(*exprs).unpivot([], [r[0] for r in rules], "column", "invalid_count")
     rule_df = spark.createDataFrame([(c, i, _rule_text(c, lo, hi)) for i, (c, lo, hi) in enumerate(rules)],

@@ -43,51 +43,36 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# distinct values one window task may sort; above this the values are bucketed
-ROWS_PER_BUCKET = 2_000_000
-# default bucket count: fixed, so no sizing job runs; the bucket bounds are an
-# aggregate over the same value-count shuffle (Spark reuses that exchange)
-DEFAULT_BUCKETS = 32
-SAMPLE_MOD = 64
-
-
-def auto_buckets(counts: DataFrame, keys: list[str], value: str = "value") -> int:
-    """Bucket count from the largest per-key distinct-value count (one small action)."""
-    row = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d").alias("m")).first()
-    m = (row["m"] or 0) if row else 0
-    return max(1, -(-m // ROWS_PER_BUCKET))
+# distinct values that one window task sorts
+ROWS_PER_BUCKET = 500_000
+# keys whose bounds may be broadcast; one short row per key
+BROADCAST_KEYS = 10_000
 
 
 def cumulative(counts: DataFrame, keys: list[str], value: str = "value", buckets: int | None = None,
                accuracy: int = 10000, staged_input: bool = False) -> DataFrame:
     """Add ``below`` (rows with a smaller value, same key) and ``n`` (rows per key).
 
-    ``buckets=None`` uses ``DEFAULT_BUCKETS``; ``buckets=0`` sizes them from
-    the data (one extra job) so that no window task sorts more than
-    ``ROWS_PER_BUCKET`` distinct values; with one bucket the running sum is a
-    single window per key. With buckets the counts feed three branches (bounds,
-    bucket totals, running sum), so they are ``staged`` first unless the
-    caller says ``staged_input``.
+    The distinct values of a key are cut into ``buckets`` ranges (by default so
+    many that a range has about ``ROWS_PER_BUCKET`` of them, from the staged
+    counts). A small table of bucket totals gives each range its offset, and
+    the running count is a window over (key, bucket). The counts feed several
+    branches, so they are ``staged`` first unless the caller says
+    ``staged_input``.
     """
-    if buckets is None:
-        buckets = DEFAULT_BUCKETS
-    elif buckets == 0:
-        buckets = auto_buckets(counts, keys, value)
-    if buckets <= 1:
-        run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn("below", F.coalesce(F.sum("cnt").over(run), F.lit(0))).withColumn(
-            "n", F.sum("cnt").over(Window.partitionBy(*keys)))
     if not staged_input:
         counts = staged(counts)
+    size = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d"), F.count(F.lit(1))).first()
+    if buckets is None:
+        buckets = max(1, -(-(size[0] or 0) // ROWS_PER_BUCKET))
     probs = [i / buckets for i in range(1, buckets)]
-    # bucket bounds only balance the work, so a 1/64 hash sample of the distinct
-    # values is enough; keys with too few values to sample fall into bucket 0
-    sample = counts.filter(F.pmod(F.xxhash64(F.col(value)), F.lit(SAMPLE_MOD)) == 0)
-    bounds = sample.groupBy(*keys).agg(F.percentile_approx(value, probs, accuracy).alias("__bounds"))
-    c = counts.join(bounds, keys, "left")
-    bucket = sum((F.when(F.col("__bounds")[i] < F.col(value), 1).otherwise(0) for i in range(1, buckets - 1)),
-                 F.when(F.col("__bounds")[0] < F.col(value), 1).otherwise(0))
-    c = c.withColumn("__bucket", F.coalesce(bucket, F.lit(0))).drop("__bounds")
+    if probs:
+        bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, accuracy).alias("__bounds"))
+        side = F.broadcast(bounds) if size[1] <= BROADCAST_KEYS else bounds
+        c = counts.join(side, keys, "left").withColumn(
+            "__bucket", F.size(F.filter("__bounds", lambda b: b < F.col(value)))).drop("__bounds")
+    else:
+        c = counts.withColumn("__bucket", F.lit(0))
     totals = c.groupBy(*keys, "__bucket").agg(F.sum("cnt").alias("__bt"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -166,52 +151,3 @@ def quantiles_sql_parts(table: str, keys: list[str], value: str, probs: dict[str
 def average_ranks(cum: DataFrame) -> DataFrame:
     """Average rank with ties (1-based) for each distinct value: below + (cnt+1)/2."""
     return cum.withColumn("avg_rank", F.col("below") + (F.col("cnt") + F.lit(1)) / F.lit(2.0))
-
-
-def bracket_quantiles(long: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value",
-                      accuracy: int = 10000, margin: float = 3.0) -> DataFrame:
-    """Exact linear-interpolated quantiles without ranking every distinct value.
-
-    Pass 1: ``percentile_approx`` (rank error <= n/accuracy) gives, per key and
-    p, a value bracket [lo, hi] around the target positions (margin x that
-    error on each side). Pass 2 counts the rows below ``lo`` and ranks only the
-    rows inside the bracket - about 2 * margin / accuracy of the data - by the
-    same cumulative engine. The approximation only narrows where to look; the
-    answer is the exact order statistic. Returns (keys..., <name> per prob).
-    """
-    names = list(probs)
-    eps = margin / accuracy
-    grid = []
-    for p in probs.values():
-        grid += [max(0.0, p - eps), min(1.0, p + eps)]
-    clean = long.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    approx = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
-                                      F.percentile_approx(value, grid, accuracy).alias("__g"))
-    j = clean.join(approx, keys)  # one row per key: bounded by the schema's feature count
-    below = j.groupBy(*keys).agg(*[
-        F.count_if(F.col(value) < F.col("__g")[2 * i]).alias(f"__below{i}") for i in range(len(names))])
-    inside = F.array(*[F.when((F.col(value) >= F.col("__g")[2 * i]) & (F.col(value) <= F.col("__g")[2 * i + 1]),
-                              F.lit(i)) for i in range(len(names))])
-    bracket = j.select(*keys, value, F.explode(F.array_compact(inside)).alias("__i"))
-    counts = bracket.groupBy(*keys, "__i", value).agg(F.count(F.lit(1)).alias("cnt"))
-    cum = cumulative(counts, keys + ["__i"], value, buckets=1)
-    meta = approx.join(below, keys)
-    c = cum.join(meta, keys)
-    pvals = F.array(*[F.lit(float(p)) for p in probs.values()])
-    below_i = F.array(*[F.col(f"__below{i}") for i in range(len(names))])[F.col("__i")]
-    n = F.col("__n")
-    h = (n - 1).cast("double") * pvals[F.col("__i")]
-    k0 = F.floor(h)
-    k1 = F.least(k0 + 1, n - 1)
-    pos_lo = below_i + F.col("below")
-    pos_hi = pos_lo + F.col("cnt")
-    c = c.select(*keys, "__i", value, (h - k0).alias("t"),
-                 ((pos_lo <= k0) & (k0 < pos_hi)).alias("is_a"), ((pos_lo <= k1) & (k1 < pos_hi)).alias("is_b"))
-    ab = c.groupBy(*keys, "__i").agg(
-        F.max("t").alias("t"), F.max(F.when(F.col("is_a"), F.col(value))).alias("a"),
-        F.max(F.when(F.col("is_b"), F.col(value))).alias("b"))
-    d = F.col("b") - F.col("a")
-    q = F.when(F.col("t") >= 0.5, F.col("b") - d * (F.lit(1.0) - F.col("t"))).otherwise(F.col("a") + d * F.col("t"))
-    qs = ab.select(*keys, "__i", q.alias("q"))
-    return qs.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, F.col("q"))).alias(name)
-                                   for i, name in enumerate(names)])

@@ -18,7 +18,7 @@ from fusionlens.contract import (
     CATEGORICAL, POST_BUILD, PROCESS, PRODUCTION_RISKS, TARGET, TEXT, THRESHOLDS, numeric_columns,
     non_numeric_columns,
 )
-from fusionlens.functions.exprs import adjusted_skewness, edge_bin, round_half_even
+from fusionlens.functions.exprs import adjusted_skewness, edge_bin, nan_to_null, round_half_even, nan_to_null
 from fusionlens.functions.frames import attach_one_row
 from fusionlens.operators import ranks
 from fusionlens.operators.quality import as_status_rows
@@ -105,7 +105,7 @@ def pair_moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
     k = len(columns)
     dbl = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    means = df.agg(*[F.avg(nan_to_null(F.col(c).cast("double"))).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     center = np.array([(means[f"c{i}"] if means[f"c{i}"] is not None else 0.0) for i in range(k)], dtype=float)
     iu, ju = np.triu_indices(k)
 
@@ -193,7 +193,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     long = correlation_long(df, cols, pairs).select("feature_a", "feature_b", "correlation")
     mirrored = long.select(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "correlation")
     # diagonal: 1.0 unless the column is constant or empty (then NULL, like a NaN in pandas)
-    diag_wide = df.agg(*[F.when(F.min(c) < F.max(c), F.lit(1.0)).alias(c) for c in cols])
+    diag_wide = df.agg(*[F.when(F.min(nan_to_null(c)) < F.max(nan_to_null(c)), F.lit(1.0)).alias(c) for c in cols])
     diag = diag_wide.unpivot([], cols, "feature_a", "correlation").select(
         "feature_a", F.col("feature_a").alias("feature_b"), "correlation")
     return long.unionByName(mirrored).unionByName(diag)

@@ -368,8 +368,8 @@ register("statistical_bundle", with_builds(statistical_bundle_sql(_C)))
 # ---------------------------------------------------------------------------
 
 from fusionlens.contract import (  # noqa: E402
-    CHI2_CRITICAL_05, FEATURE_GROUP_LABELS, FEATURE_SETS, IDENTIFIER_COLUMNS, PHYSICS_PAIRS, RISK_IMPACT,
-    RISK_IMPACT_DEFAULT, SEVERITY_SCORE, TARGET, safe_feature_columns,
+    FEATURE_GROUP_LABELS, IDENTIFIER_COLUMNS, PHYSICS_PAIRS, RISK_IMPACT,
+    RISK_IMPACT_DEFAULT, SEVERITY_SCORE, TARGET, scenario_columns, usable_columns,
 )
 
 SAFE_NUMERIC = PROCESS + POST_BUILD  # numeric minus identifiers / target
@@ -433,10 +433,17 @@ def energy_formula_sql() -> str:
     )
 
 
+def chi2_tail_sql(h: str = "kruskal_statistic", dof: str = "degrees_of_freedom", terms: int = 1000) -> str:
+    """Upper chi-square tail: one minus the power series of the lower incomplete gamma function."""
+    a, x = f"({dof} / 2.0)", f"({h} / 2.0)"
+    series = (f"list_sum(list_transform(range({terms}), lambda j: exp(j * ln({x}) - (lgamma({a} + 1 + j) - lgamma({a} + 1)))))")
+    return (f"CASE WHEN {h} <= 0 THEN 1.0 WHEN {h} > 1000 THEN 0.0 ELSE "
+            f"greatest(0.0, 1.0 - exp({a} * ln({x}) - {x} - lgamma({a} + 1)) * {series}) END")
+
+
 def kruskal_sql(cols=SAFE_NUMERIC) -> str:
     lg = (f"(SELECT * FROM ({long_sql(cols, 'lb', keep=['Quality_Class'])}) l0 WHERE value IS NOT NULL "
           f"AND NOT isnan(value))")
-    crit = " ".join(f"WHEN {k} THEN {v}" for k, v in sorted(CHI2_CRITICAL_05.items()))
     return (
         f"WITH lb AS (SELECT * FROM builds WHERE Quality_Class IS NOT NULL), lg AS {lg}, "
         f"pv AS (SELECT feature, value, count(*) AS cnt FROM lg GROUP BY feature, value), "
@@ -449,9 +456,9 @@ def kruskal_sql(cols=SAFE_NUMERIC) -> str:
         f"h AS (SELECT f.feature, (12.0 / (n * (n + 1.0)) * ssq - 3.0 * (n + 1.0)) / "
         f"(1.0 - tie_sum / (power(CAST(n AS DOUBLE), 3) - n)) AS kruskal_statistic, CAST(k - 1 AS INTEGER) AS degrees_of_freedom "
         f"FROM f JOIN t USING (feature) WHERE k >= 2 AND (1.0 - tie_sum / (power(CAST(n AS DOUBLE), 3) - n)) > 0) "
-        f"SELECT feature, kruskal_statistic, degrees_of_freedom, CASE degrees_of_freedom {crit} END AS critical_value_05, "
-        f"CASE WHEN kruskal_statistic <= CASE degrees_of_freedom {crit} END THEN {q(TEXT['sep_weak'])} "
-        f"ELSE {q(TEXT['sep_yes'])} END AS class_separation_signal FROM h"
+        f"SELECT feature, kruskal_statistic, degrees_of_freedom, p_value, "
+        f"CASE WHEN p_value >= {THRESHOLDS['kruskal_alpha']} THEN {q(TEXT['sep_weak'])} "
+        f"ELSE {q(TEXT['sep_yes'])} END AS class_separation_signal FROM (SELECT *, {chi2_tail_sql()} AS p_value FROM h)"
     )
 
 
@@ -615,6 +622,7 @@ register("distribution_challenge", with_builds(distribution_challenge_sql()))
 register("physics_correlations", with_builds(physics_correlations_sql()))
 register("energy_formula_check", with_builds(energy_formula_sql()))
 register("kruskal_separation", with_builds(kruskal_sql()))
+register("kruskal_p_values", with_builds(kruskal_sql()))
 register("defect_trend", with_builds(defect_trend_sql()))
 register("leakage_identifiers", with_builds(leakage_identifiers_sql(_C)))
 register("challenge_bundle", with_builds(challenge_bundle_sql(_C)))
@@ -758,10 +766,10 @@ def best_per_scenario_sql() -> str:
 
 
 _CMP = comparison_sql()
-register("scenario_view", with_builds(f"SELECT {', '.join(FEATURE_SETS['inbuild'])} FROM builds"))
-register("model_frame", with_builds(f"SELECT {', '.join(FEATURE_SETS['prebuild'] + [TARGET])} FROM builds"))
+register("scenario_view", with_builds(f"SELECT {', '.join(scenario_columns('inbuild'))} FROM builds"))
+register("model_frame", with_builds(f"SELECT {', '.join(scenario_columns('prebuild') + [TARGET])} FROM builds"))
 register("safe_features", with_builds(
-    f"SELECT {', '.join(safe_feature_columns(_C + ['event_time', 'machine_id']))} FROM builds", with_extras=True))
+    f"SELECT {', '.join(usable_columns(_C + ['event_time', 'machine_id']))} FROM builds", with_extras=True))
 register("quality_ordinal", with_builds(f"SELECT Sample_ID, Quality_Class, {ORDINAL_SQL} AS Quality_Class_numeric FROM builds"))
 register("risk_flag", with_builds(f"SELECT Sample_ID, Quality_Class, {risk_sql()} AS is_risk_class FROM builds"))
 register("complete_cases", with_builds(
@@ -772,8 +780,9 @@ register("energy_density_calc", with_builds(
     "SELECT Sample_ID, Energy_Density_J_mm3, Laser_Power_W / NULLIF(Scan_Speed_mm_s * Hatch_Spacing_mm * "
     "(Layer_Thickness_um / 1000.0), 0) AS calculated_energy_density FROM builds"))
 register("stratified_split", with_builds(
-    f"SELECT Quality_Class, CASE WHEN {unit_hash_sql('Sample_ID')} < {TEST_SIZE} THEN 'test' ELSE 'train' END AS split, "
-    f"count(*) AS rows FROM builds GROUP BY ALL"))
+    "SELECT Quality_Class, CASE WHEN rn <= floor(n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split, count(*) AS rows "
+    "FROM (SELECT Quality_Class, row_number() OVER (PARTITION BY Quality_Class ORDER BY md5(CAST(Sample_ID AS VARCHAR) "
+    "|| '|42')) AS rn, count(*) OVER (PARTITION BY Quality_Class) AS n FROM builds) s GROUP BY ALL"))
 register("class_weights", with_builds(
     "SELECT Quality_Class, count(*) AS rows, max(w) AS class_weight FROM (SELECT b.Quality_Class, "
     "n / (k * nc) AS w FROM builds b JOIN (SELECT Quality_Class, count(*) AS nc FROM builds GROUP BY Quality_Class) c "
@@ -829,14 +838,14 @@ register("risk_f2_pivot", with_builds(
 register("inbuild_tradeoff", with_builds(
     f"SELECT model_type, risk_f2, macro_f1 FROM ({_CMP}) c WHERE scenario = 'inbuild' AND model_type IN ('dummy', 'rule_baseline')"))
 register("process_points", with_builds(
-    f"SELECT Sample_ID, Scan_Speed_mm_s, Laser_Power_W, Quality_Class FROM builds WHERE {unit_hash_sql('Sample_ID')} < 0.1"))
+    f"SELECT Sample_ID, Scan_Speed_mm_s, Laser_Power_W, Quality_Class FROM builds"))
 
 
 # ---------------------------------------------------------------------------
 # scoring and sources
 # ---------------------------------------------------------------------------
 
-REQ = FEATURE_SETS["inbuild"]
+REQ = scenario_columns('inbuild')
 _MISSING = ("concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NULL THEN {q(c)} END" for c in REQ) + ")")
 _SCORING_FRAME = (f"SELECT Sample_ID, {', '.join(REQ)}, {_MISSING} AS missing_fields, "
                   f"({' AND '.join(f'{c} IS NOT NULL' for c in REQ)}) AS is_valid FROM builds")

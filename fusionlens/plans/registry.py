@@ -88,7 +88,7 @@ QUERIES.update({
     "physics_correlations": lambda s, d: challenge.physics_correlations(_b(s, d)),
     "energy_formula_check": lambda s, d: challenge.energy_formula_check(_b(s, d)),
     "kruskal_separation": lambda s, d: challenge.kruskal_separation(_b(s, d)),
-    "kruskal_p_values": lambda s, d: challenge.kruskal_with_p(_b(s, d)),
+    "kruskal_p_values": lambda s, d: challenge.kruskal_separation(_b(s, d)),
     "defect_trend": lambda s, d: challenge.defect_trend(_b(s, d, ["Defect_Count", TARGET])),
     "leakage_identifiers": lambda s, d: challenge.leakage_identifiers(_b(s, d)),
     "challenge_bundle": lambda s, d: challenge.challenge_bundle(_b(s, d)),
@@ -126,7 +126,7 @@ def _cmp(spark, sf_dir):
 
 
 def _split_counts(spark, sf_dir):
-    s = candidates.split_flag(_b(spark, sf_dir, ["Sample_ID", TARGET]))
+    s = ml.stratified_split(_b(spark, sf_dir, ["Sample_ID", TARGET]))
     return s.groupBy(TARGET, F.when(F.col("is_test"), "test").otherwise("train").alias("split")).agg(
         F.count(F.lit(1)).alias("rows"))
 
@@ -224,8 +224,8 @@ def _model_save_load(spark, sf_dir):
 
 def _preprocess(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
-    df = ml.with_class_weights(_b(spark, sf_dir, ["Sample_ID"] + ml.feature_set("prebuild") + [TARGET]))
-    pipe = ml.build_pipeline(ml.feature_set("prebuild"), "logistic_regression", 1.0)
+    df = ml.with_class_weights(_b(spark, sf_dir, ["Sample_ID"] + ml.scenario_columns("prebuild") + [TARGET]))
+    pipe = ml.build_pipeline(df, ml.scenario_columns("prebuild"), "logistic_regression", 1.0)
     prep = type(pipe)(stages=pipe.getStages()[:-1]).fit(df)
     return prep.transform(df).select("Sample_ID", "label", vector_to_array("features").alias("features"))
 
@@ -233,7 +233,7 @@ def _preprocess(spark, sf_dir):
 def _scan_csv(spark, sf_dir):
     path = shared_path(spark, "builds-csv")
     _b(spark, sf_dir).write.option("header", True).csv(path)
-    return files.scan_csv_contract(spark, path)
+    return files.scan_csv_contract(spark, path).drop("_corrupt_record")
 
 
 def _source_report(spark, sf_dir):
@@ -367,8 +367,8 @@ QUERIES.update({
 
 def _training_pipeline(spark, sf_dir):
     """Fit preprocessing + classifier as one Pipeline; one row per fitted stage."""
-    df = ml.with_class_weights(_b(spark, sf_dir, ["Sample_ID"] + ml.feature_set("postbuild") + [TARGET]))
-    model = ml.build_pipeline(ml.feature_set("postbuild"), "logistic_regression", 1.0,
+    df = ml.with_class_weights(_b(spark, sf_dir, ["Sample_ID"] + ml.scenario_columns("postbuild") + [TARGET]))
+    model = ml.build_pipeline(df, ml.scenario_columns("postbuild"), "logistic_regression", 1.0,
                               params={"maxIter": 100}).fit(df)
     rows = [(i, type(st).__name__) for i, st in enumerate(model.stages)]
     width = len(model.stages[-1].coefficientMatrix.toArray()[0])

@@ -11,17 +11,21 @@ from pyspark.sql import SparkSession
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "fusionlens") -> SparkSession:
-    """Session for tests, bench and local runs.
+    """A session with the settings the operators rely on.
 
-    On a cluster the launcher's own settings win: ``getOrCreate`` only applies
-    these when no session exists yet.
+    ``master`` and ``shuffle_partitions`` are only set if they are given (tests,
+    bench and scripts name a local master); on a cluster the launcher's own
+    settings hold.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", os.environ.get("FUSIONLENS_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        SparkSession.builder.appName(app_name)
-        .master(master or f"local[{cpus}]")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -30,19 +34,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.ui.showConsoleProgress", "false")
         # staged (checkpointed) count tables are removed once no plan refers to them
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("FUSIONLENS_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if master and master.startswith("local"):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Only when ``spark.checkpoint.dir`` is unset (tests, local runs) a private
-    folder is created and registered.
+    Where it is unset, a local run gets a private folder; on a cluster that is
+    an error, because executors would write to their own disks.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -56,7 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc_dir = sc.getCheckpointDir() if sc is not None and hasattr(sc, "getCheckpointDir") else None
     if sc_dir:
         return sc_dir
-    # unset (tests, local runs): a private folder, registered so later calls reuse it
+    if sc is None or not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    # a local run: a private folder, registered so later calls reuse it
     local = tempfile.mkdtemp(prefix="fusionlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     if sc is not None:
@@ -65,6 +71,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder (never a node-local tmp)."""
+    """A fresh path under the shared checkpoint folder (node-local only where the whole run is)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"

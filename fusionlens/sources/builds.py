@@ -70,23 +70,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread_input(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the session has cores.
-
-    A single-row-group file is one split however large it is, so every
-    operator above it would run in one task. Only then is a round-robin
-    repartition of the scan added (one shuffle of a small input); a cluster
-    scan of many files already has enough splits and is left alone. The check
-    is planning only, no job.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view
-        return df
-    return df.repartition(cores) if splits < cores else df
-
-
 def builds(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
            with_extras: bool = False) -> DataFrame:
     """The builds view, restricted to ``columns`` (default: the 27 contract columns)."""
@@ -95,8 +78,7 @@ def builds(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
     unknown = [c for c in columns if c not in BUILD_EXPRESSIONS]
     if unknown:
         raise ValueError(f"Unknown builds columns: {unknown}")
-    li = spread_input(read_table(spark, sf_dir, "lineitem"))
-    df = li
+    df = read_table(spark, sf_dir, "lineitem")
     if _NEEDS_ORDERS & set(columns):
         orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
         df = df.join(orders, df.l_orderkey == orders.o_orderkey, "left")

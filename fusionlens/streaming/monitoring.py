@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fusionlens.contract import QUALITY_ORDER, TARGET, feature_set
-from fusionlens.functions.exprs import edge_bin, risk_flag
+from fusionlens.contract import QUALITY_ORDER, TARGET, scenario_columns
+from fusionlens.functions.exprs import edge_bin, nan_to_null, risk_flag
 from fusionlens.functions.frames import attach_one_row
 
 WINDOW = "30 days"
@@ -49,9 +49,9 @@ def inspection_drift_window(df: DataFrame, window: str = WINDOW) -> DataFrame:
     """Means of porosity, relative density and defect count per window."""
     return _windowed(df, window).groupBy("window_start", "window_end").agg(
         F.count(F.lit(1)).alias("samples"),
-        F.avg("Porosity_percent").alias("mean_porosity_percent"),
-        F.avg("Relative_Density_percent").alias("mean_relative_density_percent"),
-        F.avg("Defect_Count").alias("mean_defect_count"))
+        F.avg(nan_to_null("Porosity_percent")).alias("mean_porosity_percent"),
+        F.avg(nan_to_null("Relative_Density_percent")).alias("mean_relative_density_percent"),
+        F.avg(nan_to_null("Defect_Count")).alias("mean_defect_count"))
 
 
 def process_drift_psi(df: DataFrame, window: str = WINDOW, features: list[str] = DRIFT_FEATURES,
@@ -63,7 +63,7 @@ def process_drift_psi(df: DataFrame, window: str = WINDOW, features: list[str] =
     stay finite: PSI = sum (a - b) ln(a / b).
     """
     base_df = baseline if baseline is not None else df
-    long_b = base_df.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot(
+    long_b = base_df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in features]).unpivot(
         [], features, "feature", "value").filter(F.col("value").isNotNull())
     rng = long_b.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
 
@@ -74,7 +74,7 @@ def process_drift_psi(df: DataFrame, window: str = WINDOW, features: list[str] =
     bshare = binned(long_b).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("__c"))
     bshare = bshare.withColumn("b", F.col("__c") / F.sum("__c").over(Window.partitionBy("feature"))).drop("__c")
     wdf = _windowed(df, window)
-    long_w = wdf.select("window_start", *[F.col(c).cast("double").alias(c) for c in features]).unpivot(
+    long_w = wdf.select("window_start", *[nan_to_null(F.col(c).cast("double")).alias(c) for c in features]).unpivot(
         ["window_start"], features, "feature", "value").filter(F.col("value").isNotNull())
     wcount = binned(long_w).groupBy("window_start", "feature", "bin").agg(F.count(F.lit(1)).alias("__c"))
     tot = wcount.groupBy("window_start", "feature").agg(F.sum("__c").alias("__n"))
@@ -127,7 +127,7 @@ def rolling_sensor_stats(df: DataFrame, signal: str = "Melt_Pool_Temp_C", key: s
         raise ValueError("bucket_days must be >= days")
     day = 86400
     t = _event_ts().cast("long")
-    base = df.select(key, "event_time", F.col(signal).cast("double").alias("x"), t.alias("__t")).filter(
+    base = df.select(key, "event_time", nan_to_null(F.col(signal).cast("double")).alias("x"), t.alias("__t")).filter(
         F.col("x").isNotNull() & F.col("__t").isNotNull())
     # shift by the floor of the global mean: the moment sums below then stay well conditioned
     shift = base.agg(F.floor(F.avg("x")).cast("double").alias("__sh"))
@@ -223,7 +223,7 @@ def rule_scorer(valid: DataFrame) -> DataFrame:
     pred = valid.withColumn("predicted_quality_class", F.expr(INBUILD_RULE)).withColumn(
         "risk_probability", F.lit(None).cast("double"))
     return pred.withColumn("recommended_action", recommended_action()).select(
-        "Sample_ID", *feature_set("inbuild"), "predicted_quality_class", "recommended_action")
+        "Sample_ID", *scenario_columns("inbuild"), "predicted_quality_class", "recommended_action")
 
 
 # ---------------------------------------------------------------------------

@@ -16,7 +16,7 @@ def test_exact_quantiles_match_pandas_with_buckets(spark):
 
 
 def test_kruskal_on_six_rows(six_rows):
-    rows = {r["feature"]: r for r in challenge.kruskal_with_p(six_rows).collect()}
+    rows = {r["feature"]: r for r in challenge.kruskal_separation(six_rows).collect()}
     r = rows["Defect_Count"]
     assert abs(r["kruskal_statistic"] - 4.7142857143) < 1e-8 and r["degrees_of_freedom"] == 3
     assert abs(r["p_value"] - 0.19395) < 1e-4

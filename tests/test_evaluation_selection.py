@@ -1,6 +1,6 @@
 from fusionlens.operators import evaluation, selection
 from fusionlens.operators.projections import scenario_view
-from fusionlens.contract import validate_no_timing_leakage
+from fusionlens.contract import scenario_columns
 import pytest
 
 
@@ -42,4 +42,4 @@ def test_scenario_views_exclude_post_build(builds_small):
     assert len(scenario_view(builds_small, "inbuild").columns) == 17
     assert len(scenario_view(builds_small, "postbuild").columns) == 25
     with pytest.raises(ValueError):
-        validate_no_timing_leakage("tomorrow")
+        scenario_columns("tomorrow")
