@@ -19,6 +19,8 @@ from fusionlens.functions.frames import attach_one_row
 from fusionlens.operators.evaluation import majority_class
 
 TEST_SIZE = 0.2
+# The check tables have no drift: these low limits make alerts to compare.
+CHECK_RISK_DELTA, CHECK_PSI = 1.0, 0.01
 
 RULES = {
     "prebuild": ("CASE WHEN Laser_Power_W >= 300 THEN 'Poor' WHEN Scan_Speed_mm_s >= 1200 THEN 'Moderate' "

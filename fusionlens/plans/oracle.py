@@ -871,7 +871,7 @@ register("sink_confusion_csv", with_builds(
 # monitoring batch twins
 # ---------------------------------------------------------------------------
 
-from fusionlens.streaming.monitoring import DRIFT_FEATURES, INBUILD_RULE, PSI_ALERT, PSI_BINS, PSI_FLOOR, RISK_DELTA_ALERT  # noqa: E402,E501
+from fusionlens.streaming.monitoring import DRIFT_FEATURES, INBUILD_RULE, PSI_BINS, PSI_FLOOR  # noqa: E402
 
 WB = "time_bucket(INTERVAL '30 days', event_time, TIMESTAMP '1970-01-01')"
 
@@ -912,10 +912,12 @@ register("prediction_mix_drift", with_builds(
     f"SELECT {WB} AS window_start, {WB} + INTERVAL '30 days' AS window_end, count(*) AS samples, "
     + ", ".join(f"count(*) FILTER (WHERE ({INBUILD_RULE}) = {q(v)}) / count(*) AS share_{v}" for v in QUALITY_ORDER)
     + " FROM builds GROUP BY ALL", with_extras=True))
+from fusionlens.plans.candidates import CHECK_PSI, CHECK_RISK_DELTA  # noqa: E402
+
 register("drift_alerts", with_builds(
-    f"SELECT window_start, 'quality_risk_rate' AS signal, delta_percent_points AS value, {RISK_DELTA_ALERT} AS threshold "
-    f"FROM ({quality_drift_sql()}) qd WHERE abs(delta_percent_points) > {RISK_DELTA_ALERT} UNION ALL "
-    f"SELECT window_start, 'psi:' || feature, psi, {PSI_ALERT} FROM ({psi_sql()}) p WHERE psi > {PSI_ALERT}",
+    f"SELECT window_start, 'quality_risk_rate' AS signal, delta_percent_points AS value, {CHECK_RISK_DELTA} AS threshold "
+    f"FROM ({quality_drift_sql()}) qd WHERE abs(delta_percent_points) > {CHECK_RISK_DELTA} UNION ALL "
+    f"SELECT window_start, 'psi:' || feature, psi, {CHECK_PSI} FROM ({psi_sql()}) p WHERE psi > {CHECK_PSI}",
     with_extras=True))
 _K = "machine_id ORDER BY event_time RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW"
 _X = "(Melt_Pool_Temp_C - sh)"
@@ -974,10 +976,22 @@ from fusionlens.streaming.monitoring import DEBOUNCE_WINDOWS, WINDOW_SECONDS  #
 
 register("alert_debounce", with_builds(
     f"WITH a AS (SELECT window_start, 'quality_risk_rate' AS signal, delta_percent_points AS value FROM "
-    f"({quality_drift_sql()}) qd WHERE abs(delta_percent_points) > {RISK_DELTA_ALERT} UNION ALL "
-    f"SELECT window_start, 'psi:' || feature, psi FROM ({psi_sql()}) p WHERE psi > {PSI_ALERT}), "
+    f"({quality_drift_sql()}) qd WHERE abs(delta_percent_points) > {CHECK_RISK_DELTA} UNION ALL "
+    f"SELECT window_start, 'psi:' || feature, psi FROM ({psi_sql()}) p WHERE psi > {CHECK_PSI}), "
     f"i AS (SELECT *, CAST(floor(epoch(window_start) / {WINDOW_SECONDS}) AS BIGINT) - row_number() OVER "
     f"(PARTITION BY signal ORDER BY window_start) AS island FROM a), "
     f"r AS (SELECT *, row_number() OVER (PARTITION BY signal, island ORDER BY window_start) AS run_length FROM i) "
     f"SELECT window_start, signal, value, CAST(run_length AS INTEGER) AS run_length FROM r "
     f"WHERE run_length = {DEBOUNCE_WINDOWS}", with_extras=True))
+
+# streams and sinks give what their batch forms give
+register("quality_drift_stream", SQL["quality_drift_window"])
+register("alert_debounce_stream", SQL["alert_debounce"])
+register("sink_metrics_json", SQL["classification_metrics"])
+register("sink_reports", " UNION ALL ".join(
+    f"SELECT '{name}' AS report, count(*) AS rows FROM ({sql}) r" for name, sql in (
+        ("schema", with_builds(schema_report_sql(_C))), ("missing_values", SQL["missing_values"]),
+        ("duplicates", SQL["duplicate_rows"]), ("physical_ranges", SQL["physical_ranges"]))))
+register("run_audit", with_builds(
+    f"SELECT (SELECT count(*) FROM builds) AS rows, {len(_C)} AS columns, g.* FROM "
+    f"({gate_sql(data_quality_bundle_sql(_C))}) g"))

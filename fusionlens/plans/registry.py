@@ -274,7 +274,7 @@ def _run_audit(spark, sf_dir):
     df = _b(spark, sf_dir)
     gate = quality.quality_gate(quality.data_quality_bundle(df)).first()
     return files.run_audit(spark, shared_path(spark, "audit"), f"{sf_dir}/lineitem.parquet", df.count(),
-                           len(df.columns), gate["status"], gate["fail_count"], gate["warn_count"], gate["message"])
+                           len(df.columns), gate["status"], gate["fail_count"], gate["warn_count"], gate["message"]).drop("run_time", "input")
 
 
 def _recommended_action(spark, sf_dir):
@@ -336,7 +336,7 @@ def _stream_scoring(spark, sf_dir):
     q = monitoring.stream_scoring(spark, req_dir, valid, reject, shared_path(spark, "ckpt-scoring"),
                                   monitoring.rule_scorer)
     q.awaitTermination()
-    return spark.read.parquet(valid)
+    return spark.read.parquet(valid).drop("epoch_id")
 
 
 def _stream_quality(spark, sf_dir):
@@ -354,8 +354,7 @@ QUERIES.update({
     "inspection_drift_window": lambda s, d: monitoring.inspection_drift_window(_mon(s, d)),
     "process_drift_psi": lambda s, d: monitoring.process_drift_psi(_mon(s, d)),
     "prediction_mix_drift": lambda s, d: monitoring.prediction_mix_drift(_scored(s, d)),
-    "drift_alerts": lambda s, d: monitoring.drift_alerts(monitoring.quality_drift_window(_mon(s, d)),
-                                                         monitoring.process_drift_psi(_mon(s, d))),
+    "drift_alerts": lambda s, d: _alerts(s, d),
     "rolling_sensor_stats": lambda s, d: monitoring.rolling_sensor_stats(_mon(s, d)),
     "physics_features": lambda s, d: monitoring.physics_features(_b(s, d)).select(
         "Sample_ID", "energy_density_calc", "power_speed_ratio", "linear_heat_input_J_mm", "melt_pool_aspect_ratio",
@@ -390,7 +389,8 @@ QUERIES.update({
 
 def _alerts(spark, sf_dir):
     m = _mon(spark, sf_dir)
-    return monitoring.drift_alerts(monitoring.quality_drift_window(m), monitoring.process_drift_psi(m))
+    return monitoring.drift_alerts(monitoring.quality_drift_window(m), monitoring.process_drift_psi(m),
+                                   candidates.CHECK_RISK_DELTA, candidates.CHECK_PSI)
 
 
 def _debounce_stream(spark, sf_dir):

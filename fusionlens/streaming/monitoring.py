@@ -1,9 +1,9 @@
 """Production monitoring over time: windowed drift tables, alerts, rolling sensor stats.
 
-Every operator is written once as a DataFrame function and runs unchanged on a
-batch DataFrame (the value-checked twin) or on a streaming one (``readStream``
-+ watermark). Windows are tumbling ``window(event_time, ...)`` groups with
-partial aggregation; the baseline side is a small aggregate joined back.
+The drift tables are batch DataFrame functions: tumbling ``window(event_time,
+...)`` groups with partial aggregation, the baseline a small aggregate joined
+back. Quality drift, scoring and the debounced alerts also have stream forms
+below, which give the batch results; the other tables run per batch.
 """
 
 from __future__ import annotations
@@ -182,38 +182,55 @@ def physics_features(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def stream_quality_drift(spark: SparkSession, source_dir: str, schema: T.StructType, sink_dir: str,
-                         checkpoint_dir: str, window: str = WINDOW, watermark: str = "30 days"):
-    """Windowed risk rate over a stream of build rows (append mode, late rows past the watermark dropped)."""
-    src = spark.readStream.schema(schema).parquet(source_dir)
-    src = src.withColumn("event_ts", _event_ts()).withWatermark("event_ts", watermark)
-    agg = src.filter(F.col(TARGET).isNotNull()).groupBy(F.window("event_ts", window).alias("w")).agg(
+                         checkpoint_dir: str, window: str = WINDOW, baseline: DataFrame | None = None):
+    """``quality_drift_window`` over a stream of build rows: every window, the newest too.
+
+    The state is one row of counts per window. Each micro-batch rewrites the
+    small result table from that state, so a batch that runs again changes
+    nothing. The baseline rate is that of ``baseline``, or of all rows so far.
+    """
+    src = spark.readStream.schema(schema).parquet(source_dir).filter(F.col(TARGET).isNotNull())
+    counts = src.groupBy(F.window(_event_ts(), window).alias("w")).agg(
         F.count(F.lit(1)).alias("samples"), F.sum(risk_flag()).alias("risk_count"))
-    out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "samples", "risk_count")
-    return (out.writeStream.outputMode("append").format("parquet").option("path", sink_dir)
+
+    def rewrite(windows: DataFrame, epoch_id: int):
+        rate = lambda risk, n: F.lit(100.0) * risk / n
+        rows = windows.select(
+            F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+            "samples", rate(F.col("risk_count"), F.col("samples")).alias("risk_rate_percent"))
+        if baseline is None:
+            base = windows.agg(rate(F.sum("risk_count"), F.sum("samples")).alias("baseline_risk_rate_percent"))
+        else:
+            base = baseline.filter(F.col(TARGET).isNotNull()).agg(
+                rate(F.sum(risk_flag()), F.count(F.lit(1))).alias("baseline_risk_rate_percent"))
+        attach_one_row(rows, base).withColumn(
+            "delta_percent_points", F.col("risk_rate_percent") - F.col("baseline_risk_rate_percent")
+        ).write.mode("overwrite").parquet(sink_dir)
+
+    return (counts.writeStream.outputMode("complete").foreachBatch(rewrite)
             .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
 
 
+def score_epoch(batch: DataFrame, epoch_id: int, valid_dir: str, reject_dir: str, score_fn) -> None:
+    """Write a micro-batch's scored and rejected records into folders of its own: a batch that runs again replaces them."""
+    from fusionlens.operators.scoring import parse_requests
+
+    parsed = parse_requests(batch)
+    score_fn(parsed.filter(F.col("is_valid"))).write.mode("overwrite").parquet(f"{valid_dir}/epoch_id={epoch_id}")
+    parsed.filter(~F.col("is_valid")).write.mode("overwrite").parquet(f"{reject_dir}/epoch_id={epoch_id}")
+
+
 def stream_scoring(spark: SparkSession, request_dir: str, valid_dir: str, reject_dir: str, checkpoint_dir: str,
                    score_fn):
     """Score JSON request files as a stream; bad records go to a reject table.
 
     ``score_fn(valid_df) -> DataFrame`` is any stateless scorer (a fitted
     pipeline's ``transform`` wrapped by ``scoring.score_batch``, or a rule).
+    Both tables are partitioned by ``epoch_id``.
     """
-    from fusionlens.operators.scoring import parse_requests
-
     raw = spark.readStream.schema("Sample_ID long, value string").json(request_dir)
-
-    def per_batch(batch: DataFrame, epoch_id: int):
-        parsed = parse_requests(batch).persist()
-        score_fn(parsed.filter(F.col("is_valid"))).write.mode("append").parquet(valid_dir)
-        parsed.filter(~F.col("is_valid")).withColumn("epoch_id", F.lit(epoch_id)).write.mode("append").parquet(
-            reject_dir)
-        parsed.unpersist()
-
-    return (raw.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
-            .trigger(availableNow=True).start())
+    return (raw.writeStream.foreachBatch(lambda batch, epoch: score_epoch(batch, epoch, valid_dir, reject_dir, score_fn))
+            .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
 
 
 def rule_scorer(valid: DataFrame) -> DataFrame:

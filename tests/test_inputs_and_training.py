@@ -168,3 +168,13 @@ def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_eda_run_on_a_csv_stops_at_missing_columns(spark, six_rows, tmp_path):
+    from fusionlens.plans.eda import run_eda
+
+    path = str(tmp_path / "builds.csv")
+    six_rows.coalesce(1).write.option("header", True).csv(path)
+    run = run_eda(spark, path, str(tmp_path / "out"))
+    assert run["exit_code"] == 1 and run["gate"]["status"] == "FAIL" and "schema" in run["reports"]
+    assert spark.read.parquet(str(tmp_path / "out" / "_audit")).first()["rows"] == 6
