@@ -68,12 +68,11 @@ _SENT = "block long, share long, keys binary, counts binary, words long"
 _TOTALS = "block long, share long, totals binary, words long"
 
 
-def _send(batch: pa.RecordBatch, order: int, shares: int, counted: bool) -> pa.Table:
+def _send(block: int | None, batch: pa.RecordBatch, order: int, shares: int, counted: bool) -> pa.Table:
     grams = _Grams(batch, order)
     at, names = grams.shares(shares)
     parts = list(zip(at[:-1].tolist(), at[1:].tolist()))
     count = grams.count.astype(np.uint32) if counted else np.zeros(len(grams.keys), np.uint32)
-    block = batch.column("block")[0].as_py() if batch.num_rows else 0
     return pa.table({
         "block": pa.array([block] * len(parts), pa.int64()),
         "share": pa.array(names, pa.int64()),
@@ -138,26 +137,21 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER,
 
     Counts come from ``corpus`` if it is given, else from all other rows of ``docs``.
     """
-    dealt = blocks.dealt(docs, id_col, text_col)
+    table = blocks.blocked(docs, id_col, text_col)
     shares = number_of_shares(docs if corpus is None else corpus, text_col, share_bytes)
-
-    def sender(counted: bool):
-        return lambda table: _send(blocks.ordered(table), order, shares, counted)
-
-    sent = dealt.groupBy("block").applyInArrow(sender(corpus is None), _SENT)
+    others = corpus is None  # closures must not hold a DataFrame
+    sent = blocks.each(lambda block, rows: _send(block, rows, order, shares, others), _SENT, table)
     if corpus is not None:
-        model = blocks.dealt(corpus, id_col, text_col).groupBy("block").applyInArrow(sender(True), _SENT)
-        sent = sent.unionByName(model.withColumn("block", F.lit(None).cast("long")))
+        sent = sent.unionByName(blocks.each(lambda block, rows: _send(None, rows, order, shares, True), _SENT,
+                                            blocks.blocked(corpus, id_col, text_col)))
     totals = staged(sent.groupBy("share").applyInArrow(_totals, _TOTALS), "ngram-totals")
     everything = totals.agg(F.sum("words")).first()[0] or 0
 
-    others = corpus is None  # a closure must not hold a DataFrame
-
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _scores(blocks.ordered(left), right, order, shares, everything, others)
+        return _scores(blocks.rows_of(left.column("data")[0].as_py()), right, order, shares, everything, others)
 
-    kind = dealt.schema["doc_id"].dataType.simpleString()
-    found = dealt.groupBy("block").cogroup(totals.where("block IS NOT NULL").groupBy("block")).applyInArrow(
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = table.groupBy("block").cogroup(totals.where("block IS NOT NULL").groupBy("block")).applyInArrow(
         scores, f"doc_id {kind}, n_words long, units long")
     return found.select("doc_id", "n_words", (F.col("units") / UNIT).alias("log_score"),
                         F.when(F.col("n_words") > 0, F.col("units") / UNIT / F.col("n_words")).alias("mean_log_score"))

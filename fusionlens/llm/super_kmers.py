@@ -5,15 +5,18 @@ smallest hash among its runs of ``MINI`` words (leftmost on ties), so it depends
 on the window's words alone. Consecutive windows with one minimiser are a
 super-k-mer: they travel as one string of words to the share of that minimiser.
 
-1. Documents are dealt into blocks. A block sends each distinct super-k-mer
-   once, with the smallest id that holds it, as one packed message per share.
-   A passage that a third of all documents hold is one row per block.
-2. A share sorts its windows by content (hash, then compared byte by byte) and
+1. Documents are packed into blocks. Each block sends its minimisers to their
+   shares, which answer which of them any other super-k-mer has too. The rest
+   can not hold a repeated window and stay at home.
+2. A block sends each distinct super-k-mer with a shared minimiser once, with
+   the smallest id that holds it, as one packed string. A passage that a third
+   of all documents hold is one row per block. Where more than ``HOT``
+   super-k-mers have one minimiser, they are sent as single windows, dealt by
+   the windows' own content, so no share gathers them all.
+3. A share sorts its windows by content (hash, then compared byte by byte) and
    finds each window's smallest id. It answers a bit for every window that a
-   message's own smallest id is not the first to hold. A share that is far
-   above the mean, because many different windows share a minimiser, is dealt
-   again by whole windows.
-3. A block puts the answers together with its own ids: a window goes if its bit
+   message's own smallest id is not the first to hold.
+4. A block puts the answers together with its own ids: a window goes if its bit
    is set or the document is not the block's first. Words under such windows
    are removed.
 
@@ -34,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusionlens.llm import blocks, chunks
-from fusionlens.llm.sizing import shuffle_width, staged
+from fusionlens.llm.sizing import shares as number_of_shares
 
 WINDOW = 13
 MINI = 4
-SHARE_BYTES = 8 << 20   # packed strings in a share, before compression
-HOT = 4                 # a share over so many times SHARE_BYTES (and the mean) is dealt again
+SHARE_BYTES = 4 << 20   # of text, whose super-k-mers make a share
+HOT = 10_000            # super-k-mers of one minimiser (counted per block) that a share takes
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -102,36 +105,43 @@ def _minimisers(words: _Words, window: np.ndarray, width: int, mini: int) -> tup
 class _Block:
     """A block's super-k-mers: the same whenever it is computed."""
 
-    def __init__(self, batch: pa.RecordBatch, shares: int, width: int, mini: int):
+    def __init__(self, batch: pa.RecordBatch, width: int, mini: int):
         ids = batch.column(batch.schema.get_field_index("doc_id"))
         self.ids = np.asarray(ids.cast(pa.int64()).fill_null(_NO_ID), dtype=np.int64)
         self.words = words = _Words(*chunks.text_bytes(batch.column(batch.schema.get_field_index("text"))))
+        self.width = width
         self.window = window = _windows(words.row, width)
-        owner = np.searchsorted(words.row, window, side="right") - 1
-        self.doc = self.ids[owner]
         if not len(window):
             return
         value, place = _minimisers(words, window, width, mini)
         new = np.ones(len(window), dtype=bool)
         new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)
-        begin = np.flatnonzero(new)
+        self.begin = begin = np.flatnonzero(new)
         self.run = np.cumsum(new) - 1           # super-k-mer of each window
         self.inner = np.arange(len(window)) - begin[self.run]
-        count = np.diff(np.append(begin, len(window)))
-        n_words = count + width - 1
-        first = window[begin]
+        self.value = value[begin]
+
+    def minimisers(self, shares: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct minimisers, how often each occurs, where each share's begin, and the shares: by share and value."""
+        value, times = np.unique(self.value, return_counts=True)
+        share = (value % np.uint64(shares)).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        value, times, share = value[order], times[order], share[order]
+        begin = np.flatnonzero(np.diff(share, prepend=-1))
+        return value, times, np.append(begin, len(share)), share[begin]
+
+    def contents(self) -> None:
+        """Distinct super-k-mers, each with the smallest id that holds it."""
+        words, begin = self.words, self.begin
+        self.doc = self.ids[np.searchsorted(words.row, self.window, side="right") - 1]
+        count = np.diff(np.append(begin, len(self.window)))
+        n_words, first = count + self.width - 1, self.window[begin]
         _, kind = np.unique(words.run_hash(first, n_words), return_inverse=True)
-        kind = self._checked(kind, first, n_words)
+        self.kind = kind = self._checked(kind, first, n_words)  # content of each super-k-mer
         order = np.lexsort((self.doc[begin], kind))
         head = order[np.flatnonzero(np.diff(kind[order], prepend=-1))]  # first by id of each content
-        share = (value[begin[head]] % np.uint64(shares)).astype(np.int64)
-        by_share = np.argsort(share, kind="stable")
-        number = np.empty(len(head), dtype=np.int64)
-        number[by_share] = np.arange(len(head))
-        self.kind = number[kind]                # content of each super-k-mer, numbered by share
-        head = head[by_share]
-        self.share, self.low = share[by_share], self.doc[begin[head]]
-        self.first, self.n_words, self.count = first[head], n_words[head], count[head]
+        self.low, self.first, self.n_words, self.count = self.doc[begin[head]], first[head], n_words[head], count[head]
+        self.content_value = self.value[head]
         self.bit = np.cumsum(self.count) - self.count   # first window of each content among all
 
     def _checked(self, kind: np.ndarray, first: np.ndarray, n_words: np.ndarray) -> np.ndarray:
@@ -148,39 +158,81 @@ class _Block:
         if len(wrong):
             kind = kind.copy()
             kind[wrong] = len(chosen) + np.arange(len(wrong))
+            _, kind = np.unique(kind, return_inverse=True)
         return kind
 
-    def shares(self) -> tuple[np.ndarray, np.ndarray]:
-        """First content of each share, and the shares."""
-        begin = np.flatnonzero(np.diff(self.share, prepend=-1))
-        return np.append(begin, len(self.share)), self.share[begin]
 
+_VALUES = "block long, share long, value binary, times binary"
+_FLAGS = "block long, share long, flags binary"
+_MESSAGE = "block long, share long, single boolean, low binary, size binary, text binary, place binary"
+_ANSWER = "block long, single boolean, place binary, bits binary"
 
-_MESSAGE = "block long, share long, origin long, bytes long, low binary, size binary, text binary, place binary"
+
+def _send_values(number: int, batch: pa.RecordBatch, shares: int, width: int, mini: int) -> pa.Table:
+    block = _Block(batch, width, mini)
+    value, times, at, names = block.minimisers(shares) if len(block.window) else ([], [], [0], [])
+    parts = list(zip(at[:-1], at[1:]))
+    return pa.table({
+        "block": pa.array([number] * len(parts), pa.int64()), "share": pa.array(names, pa.int64()),
+        "value": pa.array([value[a:b].tobytes() for a, b in parts], pa.binary()),
+        "times": pa.array([blocks.packed(times[a:b].astype(np.uint32))[0] for a, b in parts], pa.binary())})
+
+
+def _flag(table: pa.Table, hot: int) -> pa.Table:
+    """For each block's minimisers: 0 if no other super-k-mer has it, 1 if one does, 2 if very many do."""
+    values = [np.frombuffer(v, np.uint64) for v in table.column("value").to_pylist()]
+    times = np.concatenate([blocks.unpacked(t, np.uint32) for t in table.column("times").to_pylist()])
+    _, kind = np.unique(np.concatenate(values), return_inverse=True)
+    total = np.bincount(kind, weights=times)
+    flags = np.where(total > hot, 2, np.where(total > 1, 1, 0)).astype(np.uint8)[kind]
+    ends = np.cumsum([len(v) for v in values])
+    rows = [i for i, (v, e) in enumerate(zip(values, ends)) if flags[e - len(v):e].any()]
+    return pa.table({
+        "block": table.column("block").take(pa.array(rows, pa.int64())),
+        "share": table.column("share").take(pa.array(rows, pa.int64())),
+        "flags": pa.array([blocks.packed(flags[ends[i] - len(values[i]):ends[i]])[0] for i in rows], pa.binary())})
 
 
-def _messages(block: int, parts: list[tuple]) -> pa.Table:
-    """Rows of (share, origin, low, size, text, place)."""
-    cols = list(zip(*parts)) if parts else [[]] * 6
+def _send(number: int, batch: pa.RecordBatch, answers: pa.Table, shares: int, width: int, mini: int) -> pa.Table:
+    """Super-k-mers with shared minimisers, by the minimiser; with hot ones, their windows by their content."""
+    block, rows = _Block(batch, width, mini), []
+    if len(block.window):
+        value, _, at, names = block.minimisers(shares)
+        flag = np.zeros(len(value), dtype=np.uint8)
+        begin = dict(zip(names.tolist(), at[:-1].tolist()))
+        for share, data in zip(answers.column("share").to_pylist(), answers.column("flags").to_pylist()):
+            flags = blocks.unpacked(data, np.uint8)
+            flag[begin[share]:begin[share] + len(flags)] = flags
+        block.contents()
+        order = np.argsort(value)
+        found = flag[order][np.searchsorted(value[order], block.content_value)]
+        whole = np.flatnonzero(found == 1)
+        rows += _by_share(block, (block.content_value[whole] % np.uint64(shares)).astype(np.int64),
+                          block.first[whole], block.n_words[whole], block.low[whole], whole, False)
+        cut = np.flatnonzero(found == 2)
+        single = chunks.ragged(block.first[cut], block.count[cut])
+        rows += _by_share(block, (block.words.run_hash(single, width) % np.uint64(shares)).astype(np.int64),
+                          single, np.full(len(single), width), np.repeat(block.low[cut], block.count[cut]),
+                          chunks.ragged(block.bit[cut], block.count[cut]), True)
+    cols = list(zip(*rows)) if rows else [[]] * 6
     return pa.table({
-        "block": pa.array([block] * len(parts), pa.int64()), "share": pa.array(cols[0], pa.int64()),
-        "origin": pa.array(cols[1], pa.int64()), "bytes": pa.array([len(t) for t in cols[4]], pa.int64()),
-        **{name: pa.array([None if x is None else blocks.packed(x)[0] for x in col], pa.binary())
+        "block": pa.array([number] * len(rows), pa.int64()), "share": pa.array(cols[0], pa.int64()),
+        "single": pa.array(cols[1], pa.bool_()),
+        **{name: pa.array([blocks.packed(x)[0] for x in col], pa.binary())
            for name, col in zip(("low", "size", "text", "place"), cols[2:])}})
 
 
-def _send(batch: pa.RecordBatch, shares: int, width: int, mini: int) -> pa.Table:
-    number = batch.column("block")[0].as_py()
-    block = _Block(batch, shares, width, mini)
-    if not len(block.window):
-        return _messages(number, [])
-    at, names = block.shares()
-    begin, size = block.words.span(block.first, block.n_words)
-    parts = []
-    for a, b, share in zip(at[:-1], at[1:], names.tolist()):
-        text = block.words.text[chunks.ragged(begin[a:b], size[a:b])]
-        parts.append((share, share, block.low[a:b], size[a:b].astype(np.uint32), text, None))
-    return _messages(number, parts)
+def _by_share(block: _Block, share, first, n_words, low, place, single: bool) -> list[tuple]:
+    """Rows of (share, single, low, size, text, place)."""
+    order = np.argsort(share, kind="stable")
+    begin, size = block.words.span(first, n_words)
+    at = np.flatnonzero(np.diff(share[order], prepend=-1))
+    out = []
+    for a, b in zip(at, np.append(at[1:], len(order))):
+        i = order[a:b]
+        out.append((int(share[i[0]]), single, low[i], size[i].astype(np.uint32),
+                    block.words.text[chunks.ragged(begin[i], size[i])], place[i].astype(np.uint32)))
+    return out
 
 
 class _Read:
@@ -198,26 +250,6 @@ class _Read:
         self.ends = np.searchsorted(owner, np.cumsum([len(x) for x in sizes]))  # windows up to each message's end
 
 
-def _deal_again(batch: pa.RecordBatch, first_share: int, parts: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Messages of a hot share as messages of whole windows, by the windows' content."""
-    for row in range(batch.num_rows):
-        get = lambda c: batch.column(c)[row].as_py()  # noqa: E731, B023
-        read = _Read([get("low")], [get("size")], [get("text")], width)
-        share = first_share + (read.hash % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(share, kind="stable")
-        at = np.flatnonzero(np.diff(share[order], prepend=-1))
-        out = []
-        for a, b in zip(at, np.append(at[1:], len(order))):
-            mine = order[a:b]
-            begin, size = read.words.span(read.window[mine], width)
-            out.append((int(share[mine[0]]), get("origin"), read.low[mine], size.astype(np.uint32),
-                        read.words.text[chunks.ragged(begin, size)], mine.astype(np.uint32)))
-        yield from _messages(get("block"), out).to_batches()
-
-
-_ANSWER = "block long, origin long, place binary, bits binary"
-
-
 def _answer(table: pa.Table, width: int) -> pa.Table:
     """Bits of the windows that another message's smaller id holds too."""
     read = _Read(*(table.column(c).to_pylist() for c in ("low", "size", "text")), width)
@@ -247,24 +279,23 @@ def _answer(table: pa.Table, width: int) -> pa.Table:
     ends = [0, *read.ends]
     return pa.table({
         "block": table.column("block").take(pa.array(rows, pa.int64())),
-        "origin": table.column("origin").take(pa.array(rows, pa.int64())),
+        "single": table.column("single").take(pa.array(rows, pa.int64())),
         "place": table.column("place").take(pa.array(rows, pa.int64())),
         "bits": pa.array([np.packbits(bits[ends[i]:ends[i + 1]]).tobytes() for i in rows], pa.binary())})
 
 
-def _remove(batch: pa.RecordBatch, answers: pa.Table, shares: int, width: int, mini: int, carry: bool) -> pa.Table:
-    block = _Block(batch, shares, width, mini)
+def _remove(batch: pa.RecordBatch, answers: pa.Table, width: int, mini: int, carry: bool) -> pa.Table:
+    block = _Block(batch, width, mini)
     words = block.words
     gone = np.zeros(len(words.size) + 1, dtype=np.int32)
     if len(block.window):
+        block.contents()
         elsewhere = np.zeros(int(block.count.sum()), dtype=bool)
-        at, names = block.shares()
-        begin = dict(zip(names.tolist(), block.bit[at[:-1]].tolist()))
-        total = dict(zip(names.tolist(), np.add.reduceat(block.count, at[:-1]).tolist()))
-        for origin, place, bits in zip(*(answers.column(c).to_pylist() for c in ("origin", "place", "bits"))):
-            where = np.arange(total[origin]) if place is None else blocks.unpacked(place, np.uint32).astype(np.int64)
-            set_ = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(where)).astype(bool)
-            elsewhere[begin[origin] + where[set_]] = True
+        for single, place, bits in zip(*(answers.column(c).to_pylist() for c in ("single", "place", "bits"))):
+            where = blocks.unpacked(place, np.uint32).astype(np.int64)
+            if not single:
+                where = chunks.ragged(block.bit[where], block.count[where])
+            elsewhere[where[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(where)).astype(bool)]] = True
         kind = block.kind[block.run]
         hit = elsewhere[block.bit[kind] + block.inner] | (block.doc > block.low[kind])
         np.add.at(gone, block.window[hit], 1)
@@ -289,35 +320,27 @@ def _remove(batch: pa.RecordBatch, answers: pa.Table, shares: int, width: int, m
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW,
                    mini: int = MINI, carry: list[str] | None = None, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_text`` of each row (and ``text``, ``row``)."""
-    dealt = blocks.dealt(docs, id_col, text_col, carry)
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(docs[text_col]).cast("long"))).first()[0] or 0
-    shares = max(shuffle_width(spark), -(-3 * total // share_bytes))  # super-k-mers overlap: about 3 bytes a byte
-
-    def send(table: pa.Table) -> pa.Table:
-        return _send(blocks.ordered(table), shares, width, mini)
-
-    sent = staged(dealt.groupBy("block").applyInArrow(send, _MESSAGE), "super-k-mers")
-    sizes = sent.groupBy("share").agg(F.sum("bytes").alias("n"))
-    mean = sizes.agg(F.avg("n")).first()[0] or 0
-    limit = HOT * min(share_bytes, max(mean, 1 << 20))
-    hot = sizes.where(F.col("n") > limit)
-    n_hot, hot_bytes = hot.agg(F.count("*"), F.sum("n")).first()
-    if n_hot:
-        # at most total / limit names; broadcast only while that is small
-        small = F.broadcast(hot.select("share")) if n_hot <= 100_000 else hot.select("share")
-        parts = max(1, -(-(width * hot_bytes) // (4 * share_bytes)), shuffle_width(spark))
-        again = sent.join(small, "share", "left_semi").select(*sent.columns).mapInArrow(
-            lambda batches: (x for b in batches for x in _deal_again(b, shares, parts, width)), _MESSAGE)
-        sent = sent.join(small, "share", "left_anti").select(*sent.columns).unionByName(again)
-    answers = sent.groupBy("share").applyInArrow(lambda table: _answer(table, width), _ANSWER)
+    shares = number_of_shares(docs, text_col, share_bytes)
+    table, hot = blocks.blocked(docs, id_col, text_col, carry), HOT
+    values = blocks.each(lambda number, rows: _send_values(number, rows, shares, width, mini), _VALUES, table)
+    flags = values.groupBy("share").applyInArrow(lambda found: _flag(found, hot), _FLAGS)
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        number, rows = left.column("block")[0].as_py(), blocks.rows_of(left.column("data")[0].as_py())
+        return _send(number, rows, right, shares, width, mini)
+
+    # both cogroups read the same exchange of blocks
+    sent = table.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(send, _MESSAGE)
+    answers = sent.groupBy("share").applyInArrow(lambda found: _answer(found, width), _ANSWER)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _remove(blocks.ordered(left), right, shares, width, mini, bool(carry))
+        return _remove(blocks.rows_of(left.column("data")[0].as_py()), right, width, mini, bool(carry))
 
-    kind = dealt.schema["doc_id"].dataType.simpleString()
-    extra = f", text string, row {dealt.schema['row'].dataType.simpleString()}" if carry else ""
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    kind = docs.schema[id_col].dataType.simpleString()
+    extra = ""
+    if carry:
+        extra = f", text string, row {docs.select(F.struct(*[docs[c].alias(c) for c in carry])).schema[0].dataType.simpleString()}"
+    return table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         remove, f"doc_id {kind}, n_words long, n_removed long, kept_text string{extra}")
 
 

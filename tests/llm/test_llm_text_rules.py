@@ -61,24 +61,30 @@ def test_empty_tables(no_docs):
     assert backoff.score(no_docs).count() == 0
 
 
-def test_super_kmers_dealt_again(edge_docs, monkeypatch):
+def test_super_kmers_with_hot_minimisers(edge_docs, monkeypatch):
     plain = as_rows(super_kmers.remove_repeats(edge_docs).collect())
-    monkeypatch.setattr(super_kmers, "HOT", 1e-6)  # every share is hot
+    monkeypatch.setattr(super_kmers, "HOT", 1)  # every shared minimiser is hot
+    assert as_rows(super_kmers.remove_repeats(edge_docs, share_bytes=20_000).collect()) == plain
+    monkeypatch.setattr(super_kmers.blocks, "BLOCK_BYTES", 2_000)  # and copies lie in many blocks
+    assert as_rows(super_kmers.remove_repeats(edge_docs, share_bytes=20_000).collect()) == plain
+    monkeypatch.setattr(super_kmers, "HOT", 10_000)
     assert as_rows(super_kmers.remove_repeats(edge_docs, share_bytes=20_000).collect()) == plain
 
 
 def test_super_kmers_survive_hash_collisions(edge_docs, monkeypatch):
     import numpy as np
 
-    plain = as_rows(super_kmers.remove_repeats(edge_docs.where("doc_id < 50")).collect())
+    some = edge_docs.where("doc_id < 50")
+    plain = as_rows(super_kmers.remove_repeats(some).collect())
     real = super_kmers._Words.run_hash
-    weak = lambda self, first, n: real(self, first, n) % np.uint64(50)
-    batch = super_kmers.blocks.ordered(super_kmers.blocks.dealt(edge_docs.where("doc_id < 50"), "doc_id", "text").toArrow())
-    monkeypatch.setattr(super_kmers._Words, "run_hash", weak)
-    message = super_kmers._send(batch, 1, super_kmers.WINDOW, super_kmers.MINI)
-    answer = super_kmers._answer(message, super_kmers.WINDOW)
-    got = super_kmers._remove(batch, answer, 1, super_kmers.WINDOW, super_kmers.MINI, False).to_pylist()
-    assert as_rows([tuple(r.values()) for r in got]) == plain
+    batch = some.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).toArrow().combine_chunks().to_batches()[0]
+    monkeypatch.setattr(super_kmers._Words, "run_hash", lambda self, first, n: real(self, first, n) % np.uint64(50))
+    w, m = super_kmers.WINDOW, super_kmers.MINI
+    for hot in (0, 1, 10_000):
+        flags = super_kmers._flag(super_kmers._send_values(0, batch, 1, w, m), hot)
+        answer = super_kmers._answer(super_kmers._send(0, batch, flags, 1, w, m), w)
+        got = super_kmers._remove(batch, answer, w, m, False).to_pylist()
+        assert as_rows([tuple(r.values()) for r in got]) == plain
 
 
 def test_backoff_with_a_corpus_and_order_three(spark):
