@@ -214,7 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, training: Column |
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[1][some]), pa.array(total[0][some])],
                                          ["feature", "with_1", "with_0"])
 
-    rows = texts.join(known, "id")
+    # texts meet labels in one way at every size: labels grow with the texts, so they are never broadcast
+    rows = texts.join(known.hint("merge"), "id")
     seen = rows.select("text", "label").mapInArrow(count, "feature long, with_1 long, with_0 long").groupBy("feature").agg(
         F.sum("with_1").alias("with_1"), F.sum("with_0").alias("with_0")).toArrow()  # at most FEATURES rows
     at = seen.column("feature").to_numpy()
@@ -225,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, training: Column |
     # the bounded sample: about fit_rows rows by a hash of the id, and never over twice that
     share = min(1.0, fit_rows / sum(number.values()))
     drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)
-    sample = texts.where(drawn).join(known.where(drawn), "id").select(
+    sample = texts.where(drawn).join(known.where(drawn).hint("merge"), "id").select(
         "text", "label", F.xxhash64("id", "text").alias("order")).limit(2 * fit_rows).withColumn("all", F.lit(0))
 
     def fit(table: pa.Table) -> pa.Table:
