@@ -367,8 +367,7 @@ QUERIES.update({
 def _training_pipeline(spark, sf_dir):
     """Fit preprocessing + classifier as one Pipeline; one row per fitted stage."""
     df = ml.with_class_weights(_b(spark, sf_dir, ["Sample_ID"] + ml.scenario_columns("postbuild") + [TARGET]))
-    model = ml.build_pipeline(df, ml.scenario_columns("postbuild"), "logistic_regression", 1.0,
-                              params={"maxIter": 100}).fit(df)
+    model = ml.build_pipeline(df, ml.scenario_columns("postbuild"), "logistic_regression", 1.0).fit(df)
     rows = [(i, type(st).__name__) for i, st in enumerate(model.stages)]
     width = len(model.stages[-1].coefficientMatrix.toArray()[0])
     return spark.createDataFrame(rows, "stage int, stage_type string").withColumn("feature_vector_size", F.lit(width))
