@@ -721,7 +721,8 @@ POLICY_SQL = "(SELECT * FROM (VALUES " + ", ".join(
     f"({q(s)}, {q(p)}, {q(x)}, {a}, {b}, {q(r)})" for s, (p, x, a, b, r) in SELECTION_POLICY.items()
 ) + ") v(scenario, primary_metric, secondary_metric, minimum_primary_lift, minimum_secondary_lift, business_reason)) pol"
 LADDER_SQL = "(SELECT * FROM (VALUES " + ", ".join(
-    f"({q(m)}, {q(f)}, {lv})" for m, (f, lv) in MODEL_LADDER.items()) + ") v(model_type, model_family, complexity_level)) lad"
+    f"({q(m)}, {q(f)}, {lv}, {q(role)}, {q(ask)})" for m, (f, lv, role, ask) in MODEL_LADDER.items()
+) + ") v(model_type, model_family, complexity_level, business_role, improvement_question)) lad"
 
 
 def metric_pick(name_col: str) -> str:
@@ -731,7 +732,8 @@ def metric_pick(name_col: str) -> str:
 def comparison_sql() -> str:
     return (f"SELECT m.scenario, m.model_type, lad.model_family, CAST(lad.complexity_level AS INTEGER) AS complexity_level, "
             f"{', '.join('m.' + x for x in METRICS)}, pol.primary_metric AS selection_primary_metric, "
-            f"pol.secondary_metric AS selection_secondary_metric, pol.business_reason AS business_selection_reason "
+            f"pol.secondary_metric AS selection_secondary_metric, pol.business_reason AS business_selection_reason, "
+            f"lad.business_role, lad.improvement_question "
             f"FROM ({metrics_sql()}) m LEFT JOIN {LADDER_SQL} ON m.model_type = lad.model_type "
             f"LEFT JOIN {POLICY_SQL} ON m.scenario = pol.scenario")
 
@@ -851,6 +853,7 @@ _SCORING_FRAME = (f"SELECT Sample_ID, {', '.join(REQ)}, {_MISSING} AS missing_fi
                   f"({' AND '.join(f'{c} IS NOT NULL' for c in REQ)}) AS is_valid FROM builds")
 register("scoring_frame", with_builds(_SCORING_FRAME))
 register("source_scoring_json", with_builds(_SCORING_FRAME))
+register("score_rejects", f"SELECT * FROM ({SQL['source_scoring_json']}) r WHERE NOT is_valid")
 register("recommended_action", with_builds(
     f"SELECT scenario, prediction AS predicted_quality_class, CASE WHEN prediction IN ('Poor', 'Moderate') THEN "
     f"{q(TEXT['action_escalate'])} WHEN (CASE WHEN prediction = 'Good' THEN 0.45 END) >= {THRESHOLDS['watch_probability']} "

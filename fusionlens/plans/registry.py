@@ -299,6 +299,7 @@ QUERIES.update({
     "evaluate_saved": _evaluate_saved,
     "model_save_load": _model_save_load,
     "score_batch": _score_batch,
+    "score_rejects": lambda s, d: _flat_requests(scoring.reject_rows(scoring.parse_requests(_requests(s, d)))),
     "scoring_frame": lambda s, d: _flat_requests(scoring.scoring_frame(_b(s, d, ["Sample_ID"] + scoring.REQUEST_COLUMNS))),
     "source_scoring_json": lambda s, d: _flat_requests(scoring.parse_requests(_requests(s, d))),
     "recommended_action": _recommended_action,
