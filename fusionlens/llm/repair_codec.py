@@ -48,12 +48,19 @@ _MAGIC = b"RPG1"
 
 def compress(ids: np.ndarray, end_id: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> bytes:
     """The grammar of a sequence of documents that each end with ``end_id``, and with it nowhere else."""
-    alphabet, seq = np.unique(ids, return_inverse=True)
+    last = ids == end_id
+    top = int(ids[~last].max(initial=-1)) + 1  # stands for the end id
+    seq = np.where(last, top, ids)
+    seen = np.zeros(top + 1, dtype=bool)
+    seen[seq] = True
+    alphabet = np.flatnonzero(seen)
     small = len(alphabet) < 1 << 15  # then rules have as many numbers at least
     symbol, most = (np.uint16, 1 << 16) if small else (np.uint32, 1 << 31)
     pair, shift = (np.uint32, 16) if small else (np.uint64, 32)
-    seq = seq.astype(symbol)
-    end = np.searchsorted(alphabet, end_id)
+    seq = (np.cumsum(seen) - 1).astype(symbol)[seq]
+    end = len(alphabet) - 1 if last.any() else most  # no symbol
+    if last.any():
+        alphabet[-1] = end_id
     rules, ends = np.zeros((0, 2), dtype=symbol), []
     for _ in range(rounds):
         plain = seq != end
