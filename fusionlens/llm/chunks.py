@@ -30,7 +30,7 @@ _inverse = np.ones(1, dtype=np.uint64)
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
     if len(_powers) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
+        size = max(n + n // 4, 1 << 20)
         tables = []
         for r in (_R, _R_INV):
             table = np.full(size, r, dtype=np.uint64)

@@ -55,7 +55,7 @@ class _Words:
         h = np.zeros(len(starts), dtype=np.uint64)
         cut = 0  # in slices: the hash of a byte takes many
         while cut < len(starts):
-            stop = max(cut + 1, int(np.searchsorted(ends, starts[cut] + chunks.SLICE_BYTES)))
+            stop = max(cut + 1, int(np.searchsorted(ends, starts[cut] + (1 << 19))))
             low = starts[cut]
             h[cut:stop] = chunks.hashes(buf[low:ends[stop - 1]], starts[cut:stop] - low, ends[cut:stop] - low)
             cut = stop
