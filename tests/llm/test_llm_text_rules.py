@@ -98,3 +98,40 @@ def test_backoff_with_a_corpus_and_order_three(spark):
     assert got[1] == pytest.approx(want1, abs=1e-5)
     want2 = math.log(3 / 11) + math.log(1 / 3) + math.log(0.4 ** 3 / 11)
     assert got[2] == pytest.approx(want2, abs=1e-5) and got[3] == 0
+
+
+def brute_backoff(texts, order):
+    import math
+
+    words = [(t or "").split() for t in texts]
+    grams = [collections.Counter(tuple(w[i:i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1)) for w in words]
+    whole = sum(grams, collections.Counter())
+    n = sum(map(len, words))
+    for w, own in zip(words, grams):
+        count = lambda g: whole[g] - own[g]  # noqa: B023, E731
+        score = 0.0
+        for i in range(len(w)):
+            most = min(i + 1, order)
+            for k in range(most, 0, -1):
+                g = tuple(w[i - k + 1:i + 1])
+                if count(g) > 0 and k > 1:
+                    ratio = count(g) / max(count(g[:-1]), 1) * 0.4 ** (most - k)
+                    break
+            else:
+                ratio = max(count(g), 1) / max(n - len(w), 1) * 0.4 ** (most - 1 + (count(g) <= 0))
+            score += round(math.log(ratio) * 1e6) / 1e6
+        yield score
+
+
+@pytest.mark.parametrize("block_bytes", [4 << 20, 200])
+def test_backoff_sees_four_words_of_context(spark, monkeypatch, block_bytes):
+    import random
+
+    monkeypatch.setattr(backoff.blocks, "BLOCK_BYTES", block_bytes)  # n-grams shared within a block, and between blocks
+    rng = random.Random(3)
+    phrases = [" ".join(rng.choices("abcdefgh", k=rng.randint(3, 9))) for _ in range(30)]
+    texts = [" ".join(rng.choices(phrases, k=rng.randint(1, 9))) for _ in range(60)] + [None, "", "zz", "a b c d e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: r.log_score for r in backoff.score(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(list(brute_backoff(texts, 5)), abs=2e-5)
+    assert list(brute_backoff(texts, 2)) != pytest.approx(list(brute_backoff(texts, 5)), abs=2e-2)
