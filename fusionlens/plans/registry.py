@@ -92,7 +92,7 @@ QUERIES.update({
     "defect_trend": lambda s, d: challenge.defect_trend(_b(s, d, ["Defect_Count", TARGET])),
     "leakage_identifiers": lambda s, d: challenge.leakage_identifiers(_b(s, d)),
     "challenge_bundle": lambda s, d: challenge.challenge_bundle(_b(s, d)),
-    "realism_scorecard": lambda s, d: challenge.realism_scorecard(challenge.challenge_reports(_b(s, d))),
+    "realism_scorecard": lambda s, d: challenge.realism_scorecard(challenge.challenge_reports(_b(s, d), include_model=True)),
     "numeric_summary": lambda s, d: summary.numeric_summary(_b(s, d)),
     "categorical_summary": lambda s, d: summary.categorical_summary(_b(s, d)),
     "histogram": lambda s, d: binned.histogram(_b(s, d, SAFE_NUMERIC), SAFE_NUMERIC, 20),

@@ -53,3 +53,23 @@ def test_bin_edges_left_vs_right_closed(spark):
 def test_chi2_survival_points():
     assert abs(challenge.chi2_survival(7.814728, 3) - 0.05) < 1e-6
     assert abs(challenge.chi2_survival(5.991465, 2) - 0.05) < 1e-6
+
+
+def test_registered_scorecard_has_the_model_row(spark):
+    import duckdb
+
+    from conftest import SF
+    from fusionlens.operators import ml
+    from fusionlens.plans import oracle, registry
+    from fusionlens.sources.builds import builds
+
+    got = {r["challenge"]: r["result"] for r in registry.QUERIES["realism_scorecard"](spark, SF).collect()}
+    model = ml.quick_predictability(builds(spark, SF)).first()
+    assert got.pop("Quick RF predictability") == "balanced acc=%.3f (random=%.3f)" % (
+        model["balanced_accuracy"], model["random_chance_baseline"])
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = dict(con.execute(oracle.SQL["realism_scorecard"]).fetchall())
+    want.pop("Quick RF predictability")  # SQL can not fit a forest
+    assert len(got) == 5 and got == want
