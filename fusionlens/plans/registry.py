@@ -179,8 +179,15 @@ from fusionlens.sources import files  # noqa: E402
 _ML_COLS = ["Sample_ID"] + CATEGORICAL + PROCESS + POST_BUILD + [TARGET]
 
 
-def _metrics(spark, sf_dir, scenario, model_type, params=None):
-    return ml.train_model(_b(spark, sf_dir, _ML_COLS), scenario, model_type, params=params)["metrics"]
+def _metrics(spark, sf_dir, scenario, model_type):
+    return ml.train_model(_b(spark, sf_dir, _ML_COLS), scenario, model_type)["metrics"]
+
+
+def _training_grid(spark, sf_dir):
+    """The whole ladder in every scenario, fitted on a table written once."""
+    path = shared_path(spark, "training-builds")
+    _b(spark, sf_dir, _ML_COLS).write.parquet(path)
+    return ml.training_grid(spark.read.parquet(path), ["prebuild", "inbuild", "postbuild"], ml.MODEL_TYPES)
 
 
 def _requests(spark, sf_dir):
@@ -289,11 +296,9 @@ def _recommended_action(spark, sf_dir):
 QUERIES.update({
     "train_model": lambda s, d: _metrics(s, d, "inbuild", "logistic_regression"),
     "model_logistic": lambda s, d: _metrics(s, d, "prebuild", "logistic_regression"),
-    "model_forest": lambda s, d: _metrics(s, d, "inbuild", "random_forest",
-                                          {"numTrees": 50, "maxDepth": 10, "minInstancesPerNode": 2}),
-    "model_boosting": lambda s, d: _metrics(s, d, "inbuild", "hist_gradient_boosting", {"maxIter": 20}),
-    "training_grid": lambda s, d: ml.training_grid(_b(s, d, _ML_COLS), ["prebuild", "inbuild", "postbuild"],
-                                                   ["dummy", "logistic_regression"]),
+    "model_forest": lambda s, d: _metrics(s, d, "inbuild", "random_forest"),
+    "model_boosting": lambda s, d: _metrics(s, d, "inbuild", "hist_gradient_boosting"),
+    "training_grid": lambda s, d: _training_grid(s, d),
     "preprocess": _preprocess,
     "quick_predictability": lambda s, d: ml.quick_predictability(_b(s, d)),
     "evaluate_saved": _evaluate_saved,

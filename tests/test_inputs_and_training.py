@@ -178,3 +178,22 @@ def test_eda_run_on_a_csv_stops_at_missing_columns(spark, six_rows, tmp_path):
     run = run_eda(spark, path, str(tmp_path / "out"))
     assert run["exit_code"] == 1 and run["gate"]["status"] == "FAIL" and "schema" in run["reports"]
     assert spark.read.parquet(str(tmp_path / "out" / "_audit")).first()["rows"] == 6
+
+
+def test_registered_fits_are_the_whole_ladder_at_reference_settings(spark, monkeypatch):
+    from conftest import SF
+    from fusionlens.operators import ml
+    from fusionlens.plans import registry
+
+    asked = []
+
+    def train(df, scenario, model_type, test_size=0.2, seed=42, params=None):
+        asked.append((scenario, model_type, params))
+        return {"metrics": spark.createDataFrame([(scenario, model_type)], "scenario string, model_type string")}
+
+    monkeypatch.setattr(ml, "train_model", train)
+    whole = {(s, m) for s in ("prebuild", "inbuild", "postbuild") for m in ml.MODEL_TYPES}
+    assert {tuple(r) for r in registry.QUERIES["training_grid"](spark, SF).collect()} == whole and len(whole) == 12
+    for name in ("model_forest", "model_boosting"):
+        registry.QUERIES[name](spark, SF)
+    assert all(params is None for _, _, params in asked) and len(asked) == 14
