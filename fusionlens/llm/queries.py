@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusionlens.llm import backoff, gray_simhash, hamming_topk, harmonic, line_rules, nb_svm, prefix_bpe, repair_codec, super_kmers, token_shortcut
+from fusionlens.llm import (backoff, bit_resample, decontaminate, gray_simhash, hamming_topk, harmonic, line_rules, nb_svm, plane_kmeans, prefix_bpe,
+                            repair_codec, super_kmers, token_shortcut)
 from fusionlens.session import shared_path
 
 
@@ -77,6 +78,28 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_rules(_documents(spark, sf_dir)).drop("clean_text")
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+
+
+def op11_bit_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = bit_resample.resample(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_plane_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return plane_kmeans.cluster(vectors).withColumn("centroid_sha256", digest).drop("centroid")
+
+
 QUERIES = {
     "op1_backoff": op1_backoff,
     "op2_nb_svm": op2_nb_svm,
@@ -88,10 +111,16 @@ QUERIES = {
     "op8_hamming_topk": op8_hamming_topk,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_line_rules": op10_line_rules,
+    "op11_bit_resample": op11_bit_resample,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_plane_kmeans": op13_plane_kmeans,
 }
 ORACLE_SQL = {
     "op1_backoff": backoff.oracle(),
     "op5_super_kmers": super_kmers.oracle(),
     "op8_hamming_topk": hamming_topk.oracle(),
     "op10_line_rules": line_rules.oracle(),
+    "op11_bit_resample": bit_resample.oracle(),
+    "op12_decontaminate": decontaminate.oracle(),
+    "op13_plane_kmeans": plane_kmeans.oracle(),
 }
