@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest_llm import SF, as_rows, duck
+from conftest_llm import SF, as_rows
 from fusionlens.llm import bit_resample, decontaminate, plane_kmeans, queries
 from hypothesis import given, settings
 from hypothesis import strategies as st
