@@ -226,15 +226,17 @@ def challenge_reports(df: DataFrame, include_model: bool = False) -> dict[str, D
     return reports
 
 
-def challenge_bundle(df: DataFrame) -> DataFrame:
-    """Deterministic challenges as one long table (report, item, value, label)."""
-    r = challenge_reports(df)
+def challenge_bundle(reports: dict[str, DataFrame]) -> DataFrame:
+    """The challenges as one long table (report, item, value, label); the model's only if it is among the reports."""
+    r = reports
 
     def part(name, frame, item, value, label):
         return frame.select(F.lit(name).alias("report"), F.col(item).cast("string").alias("item"),
                             (F.col(value).cast("double") if value else F.lit(None).cast("double")).alias("value"),
                             F.col(label).cast("string").alias("label"))
+    model = r.get("quick_model_predictability_challenge")
     return reduce(lambda a, b: a.unionByName(b), [
+        *([part("quick_model_predictability_challenge", model, "check", "balanced_accuracy", "interpretation")] if model else []),
         part("distribution_challenge", r["distribution_challenge"], "feature", "uniformity_score", "interpretation"),
         part("physics_correlation_challenge", r["physics_correlation_challenge"], "relationship", "correlation",
              "interpretation"),

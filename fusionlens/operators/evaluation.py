@@ -8,10 +8,10 @@ driver never sees a row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusionlens.contract import QUALITY_ORDER, RISK_CLASSES, TARGET
+from fusionlens.contract import METRIC_MEANING, QUALITY_ORDER, RISK_CLASSES, TARGET
 from fusionlens.functions.exprs import risk_flag
 from fusionlens.functions.frames import attach_one_row
 
@@ -149,8 +149,34 @@ def class_weights(df: DataFrame, label: str = TARGET, out: str = "class_weight")
 def majority_class(train: DataFrame, label: str = TARGET) -> DataFrame:
     """One-row frame with the most frequent label (ties: first in sorted order)."""
     counts = train.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
-    top = counts.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("__c"), F.asc(label))))
-    return top.filter(F.col("__r") == 1).select(F.col(label).alias("majority_class"))
+    return counts.agg(F.min_by(label, F.struct(-F.col("__c"), F.col(label))).alias("majority_class")).filter(
+        F.col("majority_class").isNotNull())
+
+
+def metrics_report(pred: DataFrame, metadata: dict | None = None, label: str = "label", prediction: str = "prediction",
+                   keys: list[str] = ()) -> DataFrame:
+    """One nested row per key: the metrics, a report per class, the confusion matrix, its meaning, the metadata."""
+    keys = list(keys)
+    flat = classification_metrics(pred, keys, label, prediction)
+    fields = ("precision", "recall", "f1", "support")
+    classes = per_class_metrics(pred, keys, label, prediction).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("label", F.struct(*fields)))).alias("m")).select(
+        *keys, F.struct(*[F.col("m")[q].alias(q) for q in QUALITY_ORDER]).alias("classification_report"))
+    cells = confusion_matrix(pred, keys, label, prediction).groupBy(*keys, "actual_order").agg(
+        F.array_sort(F.collect_list(F.struct("predicted_order", "count"))).alias("r"))
+    matrix = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("actual_order", "r"))).alias("m")).select(
+        *keys, F.struct(F.array(*[F.lit(q) for q in QUALITY_ORDER]).alias("labels"), F.transform(
+            "m", lambda x: F.transform(x["r"], lambda y: y["count"])).alias("matrix")).alias("confusion_matrix"))
+    if keys:
+        out = flat.join(classes, keys).join(matrix, keys)
+    else:
+        out = attach_one_row(attach_one_row(flat, classes), matrix)
+    out = out.withColumn("metric_interpretation", F.struct(*[F.lit(v).alias(k) for k, v in METRIC_MEANING.items()]))
+    for name, value in (metadata or {}).items():
+        out = out.withColumn(f"__{name}", F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value))
+    if metadata:
+        out = out.withColumn("metadata", F.struct(*[F.col(f"__{n}").alias(n) for n in metadata])).drop(*[f"__{n}" for n in metadata])
+    return out
 
 
 def dummy_predict(train: DataFrame, score: DataFrame, label: str = TARGET, out: str = "prediction") -> DataFrame:

@@ -1,31 +1,40 @@
-"""Model training with MLlib: split, preprocessing, the candidate ladder, metrics.
+"""Model training: split, preparation, the candidate ladder, metrics, artifacts.
 
-Fitting is a set of distributed MLlib jobs; prediction plus metrics is one
+Fitting is a set of distributed jobs over a table that is split, imputed and
+encoded once for each scenario (``prepare``); prediction plus metrics is one
 scan ending in the small confusion aggregate of ``evaluation``. The driver
 only sees parameters and the per-class label list.
 """
 
 from __future__ import annotations
 
+import json
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fusionlens.contract import CATEGORICAL, MODEL_LADDER, TARGET, TEXT, scenario_columns, usable_columns
 from fusionlens.operators import evaluation, ranks
+from fusionlens.operators.ensembles import TreeEnsemble
 from fusionlens.operators.projections import model_frame
 from fusionlens.operators.stats import long_numeric
+from fusionlens.operators.trees import BoostSettings, ForestSettings
+from fusionlens.session import shared_path
+from fusionlens.sources import files
 
 MODEL_TYPES = list(MODEL_LADDER)
 
-# Reference hyper-parameters (fixed values); tree depth is capped by MLlib (<= 30)
+# Reference hyper-parameters (fixed values)
 LOGISTIC = {"maxIter": 2000, "C": 1.0}
-FOREST = {"numTrees": 300, "maxDepth": 30, "minInstancesPerNode": 2}
-BOOSTING = {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5}
-QUICK_FOREST = {"numTrees": 50, "maxDepth": 6}
+FOREST = {"trees": 300, "min_leaf": 2, "max_depth": None}
+BOOSTING = {"rounds": 300, "rate": 0.05, "l2": 0.1}
+QUICK_FOREST = {"trees": 50, "max_depth": 6, "min_leaf": 1}
 
 
 def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col: str = "Sample_ID",
@@ -91,12 +100,10 @@ def imputation(train: DataFrame, features: list[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
 
 
-def build_pipeline(train: DataFrame, features: list[str], model_type: str, n_weight: float, seed: int = 42,
-                   params: dict | None = None) -> Pipeline:
-    """Impute + (scaled for logistic) numerics, indexed + one-hot categoricals, classifier."""
+def preparation(train: DataFrame, features: list[str]) -> list:
+    """Stages that every model shares: label index, imputation, one-hot categoricals, the vector of numbers."""
     cats = [c for c in CATEGORICAL if c in features]
     nums = [c for c in features if c not in cats]
-    params = params or {}
     stages = [
         StringIndexer(inputCol=TARGET, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error"),
         imputation(train, features),
@@ -108,69 +115,40 @@ def build_pipeline(train: DataFrame, features: list[str], model_type: str, n_wei
             # dropLast removes exactly the "unknown" slot: unseen categories encode as all zeros
             OneHotEncoder(inputCols=[f"{c}__idx" for c in cats], outputCols=[f"{c}__oh" for c in cats], dropLast=True),
         ]
-    num_vec = VectorAssembler(inputCols=[f"{c}__imp" for c in nums], outputCol="num_vec", handleInvalid="keep")
-    stages.append(num_vec)
-    num_out = "num_vec"
-    if model_type == "logistic_regression":
-        stages.append(StandardScaler(inputCol="num_vec", outputCol="num_scaled", withMean=True, withStd=True))
-        num_out = "num_scaled"
-    stages.append(VectorAssembler(inputCols=[num_out] + [f"{c}__oh" for c in cats], outputCol="features"))
-    if model_type == "logistic_regression":
-        p = {**LOGISTIC, **params}
-        clf = LogisticRegression(featuresCol="features", labelCol="label", weightCol="class_weight",
-                                 family="multinomial", maxIter=p["maxIter"], regParam=1.0 / (p["C"] * max(n_weight, 1.0)),
-                                 elasticNetParam=0.0, standardization=False)
+    return stages + [VectorAssembler(inputCols=[f"{c}__imp" for c in nums], outputCol="num_vec", handleInvalid="keep")]
+
+
+def classifier(features: list[str], model_type: str, n_weight: float, seed: int = 42, params: dict | None = None) -> list:
+    """The stages of one model after ``preparation``; ``params`` override the reference's settings."""
+    onehot = [f"{c}__oh" for c in CATEGORICAL if c in features]
+    scaled = model_type == "logistic_regression"
+    stages = [StandardScaler(inputCol="num_vec", outputCol="num_scaled", withMean=True, withStd=True)] if scaled else []
+    stages.append(VectorAssembler(inputCols=["num_scaled" if scaled else "num_vec", *onehot], outputCol="features"))
+    if scaled:
+        p = {**LOGISTIC, **(params or {})}
+        stages.append(LogisticRegression(
+            featuresCol="features", labelCol="label", weightCol="class_weight", family="multinomial", maxIter=p["maxIter"],
+            regParam=1.0 / (p["C"] * max(n_weight, 1.0)), elasticNetParam=0.0, standardization=False))
     elif model_type == "random_forest":
-        p = {**FOREST, **params}
-        clf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="class_weight",
-                                     numTrees=p["numTrees"], maxDepth=p["maxDepth"],
-                                     minInstancesPerNode=p["minInstancesPerNode"], seed=seed)
+        stages.append(TreeEnsemble(ForestSettings(**{**FOREST, "seed": seed, **(params or {})})))
+    elif model_type == "hist_gradient_boosting":
+        stages.append(TreeEnsemble(BoostSettings(**{**BOOSTING, **(params or {})})))
     else:
-        raise ValueError(f"Unknown MLlib model type '{model_type}'")
-    stages.append(clf)
-    return Pipeline(stages=stages)
+        raise ValueError(f"Unknown model type '{model_type}'")
+    return stages
 
 
-class OneVsRestBoosting:
-    """Histogram-boosting stand-in: one binary GBT per class, scores normalised to probabilities.
+def build_pipeline(train: DataFrame, features: list[str], model_type: str, n_weight: float, seed: int = 42,
+                   params: dict | None = None) -> Pipeline:
+    """Impute + (scaled for logistic) numerics, indexed + one-hot categoricals, classifier."""
+    return Pipeline(stages=preparation(train, features) + classifier(features, model_type, n_weight, seed, params))
 
-    ``GBTClassifier`` is binary only and ``OneVsRest`` emits no probability
-    column, so each class gets its own GBT and the positive-class scores are
-    normalised per row.
-    """
 
-    def __init__(self, features: list[str], seed: int = 42, params: dict | None = None):
-        self.features, self.seed, self.params = features, seed, {**BOOSTING, **(params or {})}
-
-    def fit(self, train: DataFrame):
-        prep = build_pipeline(train, self.features, "random_forest", 1.0, self.seed).getStages()[:-1]
-        pre = Pipeline(stages=prep).fit(train)
-        data = pre.transform(train).cache()
-        labels = pre.stages[0].labels
-        models = []
-        for i, _ in enumerate(labels):
-            gbt = GBTClassifier(featuresCol="features", labelCol="__bin", weightCol="class_weight",
-                                maxIter=self.params["maxIter"], stepSize=self.params["stepSize"],
-                                maxDepth=self.params["maxDepth"], seed=self.seed)
-            models.append(gbt.fit(data.withColumn("__bin", (F.col("label") == i).cast("double"))))
-        data.unpersist()
-        return _OvRModel(pre, models, labels)
-
-
-class _OvRModel:
-    def __init__(self, pre: PipelineModel, models, labels):
-        self.pre, self.models, self.labels = pre, models, labels
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = self.pre.transform(df)
-        for i, m in enumerate(self.models):
-            out = m.transform(out).withColumnRenamed("probability", f"__p{i}").drop("rawPrediction", "prediction")
-        scores = [vector_to_array(F.col(f"__p{i}"))[1] for i in range(len(self.models))]
-        total = sum(scores[1:], scores[0])
-        probs = F.array(*[s / total for s in scores])
-        best = F.array_position(probs, F.array_max(probs)) - 1
-        out = out.withColumn("prob_array", probs).withColumn("prediction", best.cast("double"))
-        return out
+def majority_stage(train: DataFrame, labels: list[str]) -> SQLTransformer:
+    """The dummy model as a stage that can be saved: the majority class with probability 1."""
+    most = labels.index(evaluation.majority_class(train).first()["majority_class"])
+    chances = ", ".join("1.0D" if i == most else "0.0D" for i in range(len(labels)))
+    return SQLTransformer(statement=f"SELECT *, {most}.0D AS prediction, array({chances}) AS prob_array FROM __THIS__")
 
 
 def predicted_label(model_labels: list[str], pred_col: str = "prediction"):
@@ -178,45 +156,103 @@ def predicted_label(model_labels: list[str], pred_col: str = "prediction"):
     return m[F.col(pred_col)]
 
 
-def train_model(df: DataFrame, scenario: str, model_type: str, test_size: float = 0.2, seed: int = 42,
-                params: dict | None = None) -> dict:
-    """Frame -> split -> fit -> predict -> metrics for one (scenario, model).
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Returns {"model", "labels", "predictions" (held-out rows), "metrics" (one row)}.
-    """
-    frame = model_frame(df, scenario)
-    frame = df.select("Sample_ID", *frame.columns)
-    frame = stratified_split(frame.filter(F.col(TARGET).isNotNull()), test_size, seed)
-    train, test = frame.filter(~F.col("is_test")), frame.filter(F.col("is_test"))
+
+@dataclass
+class Prepared:
+    """A scenario's rows, split, imputed and encoded once, for every model fitted on them."""
+    scenario: str
+    features: list[str]
+    stages: list           # fitted preparation
+    rows: DataFrame        # written: Sample_ID, the label, is_test and the encoded columns
+    facts: dict            # for the metadata of a model
+
+    @property
+    def labels(self) -> list[str]:
+        return self.stages[0].labels
+
+
+def prepare(df: DataFrame, scenario: str, test_size: float = 0.2, seed: int = 42) -> Prepared:
+    """Frame -> split -> imputation and encoding fitted on the training rows; both steps are written tables."""
+    frame = df.select("Sample_ID", *model_frame(df, scenario).columns).filter(F.col(TARGET).isNotNull())
+    split = _written(stratified_split(frame, test_size, seed), "split")
     features = scenario_columns(scenario)
+    fitted = Pipeline(stages=preparation(split.filter(~F.col("is_test")), features)).fit(split)
+    keep = ["num_vec", *[f"{c}__oh" for c in CATEGORICAL if c in features]]
+    rows = _written(fitted.transform(split).select("Sample_ID", TARGET, "is_test", "label", *keep), "encoded")
+    n = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if("is_test").alias("test")).first()
+    facts = {"n_rows_total": n["all"], "n_rows_train": n["all"] - n["test"], "n_rows_test": n["test"],
+             "test_size": test_size, "random_state": seed}
+    return Prepared(scenario, features, fitted.stages, rows, facts)
+
+
+def train_model(df: DataFrame | None, scenario: str, model_type: str, test_size: float = 0.2, seed: int = 42,
+                params: dict | None = None, prepared: Prepared | None = None) -> dict:
+    """Fit -> predict -> metrics for one (scenario, model), on ``prepared`` rows or on ``df``.
+
+    Returns {"model" (a pipeline that takes raw columns), "labels", "metadata",
+    "predictions" (held-out rows), "metrics" (one row)}.
+    """
+    p = prepared or prepare(df, scenario, test_size, seed)
+    train, test = p.rows.filter(~F.col("is_test")), p.rows.filter(F.col("is_test"))
     if model_type == "dummy":
-        pred = evaluation.dummy_predict(train, test, TARGET, "predicted_class")
-        model, labels = None, None
+        stages = [majority_stage(train, p.labels)]
     else:
-        train_f, test_f = with_class_weights(train), test
-        n_weight = train_f.agg(F.sum("class_weight")).first()[0] or 1.0
-        if model_type == "hist_gradient_boosting":
-            model = OneVsRestBoosting(features, seed, params).fit(train_f)
-            labels = model.labels
-        else:
-            model = build_pipeline(train_f, features, model_type, n_weight, seed, params).fit(train_f)
-            labels = model.stages[0].labels
-        pred = model.transform(test_f).withColumn("predicted_class", predicted_label(labels))
+        if model_type == "logistic_regression":
+            train = with_class_weights(train)
+        tail = classifier(p.features, model_type, float(p.facts["n_rows_train"]), seed, params)
+        stages = Pipeline(stages=tail).fit(train).stages  # balanced weights sum to the number of rows
+    pred = PipelineModel(stages=stages).transform(test).withColumn("predicted_class", predicted_label(p.labels))
     pred = pred.select("Sample_ID", F.col(TARGET).alias("label"), F.col("predicted_class").alias("prediction"),
                        *[c for c in ("probability", "prob_array") if c in pred.columns])
     keyed = pred.withColumn("scenario", F.lit(scenario)).withColumn("model_type", F.lit(model_type))
-    metrics = evaluation.classification_metrics(keyed, ["scenario", "model_type"])
-    return {"model": model, "labels": labels, "predictions": pred, "metrics": metrics}
+    metadata = {"scenario": scenario, "model_type": model_type, "target": TARGET, "features": p.features,
+                "labels": p.labels, **p.facts}
+    return {"model": PipelineModel(stages=[*p.stages, *stages]), "labels": p.labels, "metadata": metadata, "predictions": pred,
+            "metrics": evaluation.classification_metrics(keyed, ["scenario", "model_type"])}
+
 
+def training_grid(df: DataFrame, scenarios: list[str], model_types: list[str], out_dir: str,
+                  params: dict[str, dict] | None = None, test_size: float = 0.2, seed: int = 42, at_once: int = 4) -> DataFrame:
+    """Metric rows for every (scenario, model); ``at_once`` fits run side by side.
 
-def training_grid(df: DataFrame, scenarios: list[str], model_types: list[str], **kw) -> DataFrame:
-    """Metric rows for every (scenario, model); the table is cached once and reused by each fit."""
-    cached = df.cache()
-    rows = [train_model(cached, s, m, **kw)["metrics"] for s in scenarios for m in model_types]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    Each scenario is prepared once. A fit leaves its pipeline with metadata
+    (``artifacts``), its nested metrics (``metrics``), its confusion matrix
+    (``confusion``) and its held-out predictions (``predictions``) under
+    ``out_dir``, each in a folder ``scenario=.../model_type=...``; the metric rows are one scan of
+    the predictions. Nothing is cached.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+
+    def run(job, name):
+        def go():
+            context.setJobGroup(f"training-{name}", f"training {name}")
+            context.setLocalProperty("spark.scheduler.pool", name)  # used where the scheduler is FAIR
+            return job()
+        return inheritable_thread_target(spark)(go)
+
+    def fit(scenario: str, model_type: str) -> None:
+        res = train_model(None, scenario, model_type, seed=seed, params=(params or {}).get(model_type), prepared=ready[scenario].result())
+        where = f"scenario={scenario}/model_type={model_type}"
+        pred_path = f"{out_dir}/predictions/{where}"
+        res["predictions"].select("Sample_ID", "label", "prediction").write.mode("overwrite").parquet(pred_path)
+        save_model(res["model"], res["metadata"], f"{out_dir}/artifacts/{where}")
+        pred = spark.read.parquet(pred_path)
+        files.sink_metrics_json(evaluation.metrics_report(pred, res["metadata"]), f"{out_dir}/metrics/{where}")
+        files.sink_confusion_csv(evaluation.confusion_matrix(pred, []), [], f"{out_dir}/confusion/{where}")
+
+    with ThreadPoolExecutor(len(scenarios)) as first, ThreadPoolExecutor(at_once) as pool:
+        ready = {s: first.submit(run(lambda s=s: prepare(df, s, test_size, seed), s)) for s in scenarios}
+        # the longest fits first
+        order = sorted(model_types, key=lambda m: -MODEL_TYPES.index(m) if m in MODEL_TYPES else 0)
+        for done in [pool.submit(run(lambda s=s, m=m: fit(s, m), f"{s}-{m}")) for m in order for s in scenarios]:
+            done.result()
+    return evaluation.classification_metrics(spark.read.parquet(f"{out_dir}/predictions"), ["scenario", "model_type"])
 
 
 def quick_predictability(df: DataFrame, test_size: float = 0.25, seed: int = 42) -> DataFrame:
@@ -237,8 +273,7 @@ def quick_predictability(df: DataFrame, test_size: float = 0.25, seed: int = 42)
                                        (1.0 / k) if k else None, None, None,
                                        "Dataset too small for reliable model sanity check")], schema)
     res = train_model(work, "postbuild", "random_forest", test_size, seed,
-                      params={"numTrees": QUICK_FOREST["numTrees"], "maxDepth": QUICK_FOREST["maxDepth"],
-                              "minInstancesPerNode": 1})
+                      params=QUICK_FOREST)
     met = res["metrics"]
     chance = 1.0 / k
     return met.select(
@@ -250,23 +285,25 @@ def quick_predictability(df: DataFrame, test_size: float = 0.25, seed: int = 42)
         .alias("interpretation"))
 
 
-def save_model(model: PipelineModel, metadata: DataFrame, path: str) -> None:
+def save_model(model: PipelineModel, metadata: dict, path: str) -> None:
     """Pipeline directory + a one-row metadata table beside it."""
+    spark = SparkSession.active()
     model.write().overwrite().save(f"{path}/pipeline")
-    metadata.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
-def load_model(spark, path: str) -> tuple[PipelineModel, DataFrame]:
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     model = PipelineModel.load(f"{path}/pipeline")
     if not isinstance(model, Transformer):
         raise TypeError("Saved artifact does not hold a pipeline")
-    return model, spark.read.json(f"{path}/metadata")
+    return model, json.loads(spark.read.text(f"{path}/metadata").first()["value"])
 
 
-def evaluate_saved(model: PipelineModel, df: DataFrame, scenario: str) -> DataFrame:
-    """Score a full table with a saved model; rows used in training are scored too (resubstitution)."""
-    labels = model.stages[0].labels
-    frame = df.select("Sample_ID", *scenario_columns(scenario), TARGET).filter(F.col(TARGET).isNotNull())
-    pred = model.transform(frame).select(F.col(TARGET).alias("label"), predicted_label(labels).alias("prediction"))
-    keyed = pred.withColumn("scenario", F.lit(scenario)).withColumn("evaluation", F.lit("resubstitution"))
-    return evaluation.classification_metrics(keyed, ["scenario", "evaluation"])
+def evaluate_saved(model: PipelineModel, metadata: dict, df: DataFrame, keep: str = "Sample_ID") -> DataFrame:
+    """Score a full table with a saved model, in the scenario of its metadata; rows used in training are scored too."""
+    scenario = metadata["scenario"]
+    frame = df.select(keep, *scenario_columns(scenario), TARGET).filter(F.col(TARGET).isNotNull())
+    pred = model.transform(frame).select(F.col(TARGET).alias("label"), predicted_label(model.stages[0].labels).alias("prediction"))
+    keyed = pred.withColumns({"scenario": F.lit(scenario), "model_type": F.lit(metadata["model_type"]),
+                              "evaluation": F.lit("resubstitution")})
+    return evaluation.classification_metrics(keyed, ["scenario", "model_type", "evaluation"])

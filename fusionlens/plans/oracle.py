@@ -625,8 +625,8 @@ register("kruskal_separation", with_builds(kruskal_sql()))
 register("kruskal_p_values", with_builds(kruskal_sql()))
 register("defect_trend", with_builds(defect_trend_sql()))
 register("leakage_identifiers", with_builds(leakage_identifiers_sql(_C)))
-register("challenge_bundle", with_builds(challenge_bundle_sql(_C)))
-register("realism_scorecard", with_builds(realism_scorecard_sql(_C)))
+register("challenge_bundle_without_model", with_builds(challenge_bundle_sql(_C)))
+register("realism_scorecard_without_model", with_builds(realism_scorecard_sql(_C)))
 register("numeric_summary", with_builds(numeric_summary_sql()))
 register("categorical_summary", with_builds(categorical_summary_sql()))
 register("histogram", with_builds(histogram_sql(SAFE_NUMERIC, 20)))
@@ -911,7 +911,7 @@ register("inspection_drift_window", with_builds(
     f"avg(Porosity_percent) AS mean_porosity_percent, avg(Relative_Density_percent) AS mean_relative_density_percent, "
     f"avg(Defect_Count) AS mean_defect_count FROM builds GROUP BY ALL", with_extras=True))
 register("process_drift_psi", with_builds(psi_sql(), with_extras=True))
-register("prediction_mix_drift", with_builds(
+register("prediction_mix_drift_rule", with_builds(
     f"SELECT {WB} AS window_start, {WB} + INTERVAL '30 days' AS window_end, count(*) AS samples, "
     + ", ".join(f"count(*) FILTER (WHERE ({INBUILD_RULE}) = {q(v)}) / count(*) AS share_{v}" for v in QUALITY_ORDER)
     + " FROM builds GROUP BY ALL", with_extras=True))

@@ -7,6 +7,7 @@ so Catalyst prunes the scans) and applies one operator over whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,8 +92,10 @@ QUERIES.update({
     "kruskal_p_values": lambda s, d: challenge.kruskal_separation(_b(s, d)),
     "defect_trend": lambda s, d: challenge.defect_trend(_b(s, d, ["Defect_Count", TARGET])),
     "leakage_identifiers": lambda s, d: challenge.leakage_identifiers(_b(s, d)),
-    "challenge_bundle": lambda s, d: challenge.challenge_bundle(_b(s, d)),
-    "realism_scorecard": lambda s, d: challenge.realism_scorecard(challenge.challenge_reports(_b(s, d), include_model=True)),
+    "challenge_bundle": lambda s, d: challenge.challenge_bundle(challenge.challenge_reports(_written(s, d), include_model=True)),
+    "challenge_bundle_without_model": lambda s, d: challenge.challenge_bundle(challenge.challenge_reports(_b(s, d))),
+    "realism_scorecard": lambda s, d: challenge.realism_scorecard(challenge.challenge_reports(_written(s, d), include_model=True)),
+    "realism_scorecard_without_model": lambda s, d: challenge.realism_scorecard(challenge.challenge_reports(_b(s, d))),
     "numeric_summary": lambda s, d: summary.numeric_summary(_b(s, d)),
     "categorical_summary": lambda s, d: summary.categorical_summary(_b(s, d)),
     "histogram": lambda s, d: binned.histogram(_b(s, d, SAFE_NUMERIC), SAFE_NUMERIC, 20),
@@ -111,6 +114,13 @@ QUERIES.update({
 })
 
 
+def _written(spark, sf_dir, cols=None):
+    """The builds table written once, for reports that read it many times."""
+    path = shared_path(spark, "builds")
+    _b(spark, sf_dir, cols).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _quality_audit(spark, sf_dir):
     df = _b(spark, sf_dir)
     return summary.quality_audit(quality.schema_report(df), quality.missing_values(df), quality.duplicate_rows(df),
@@ -173,21 +183,50 @@ QUERIES.update({
 # ---------------------------------------------------------------------------
 
 from fusionlens.operators import ml, scoring  # noqa: E402
+from fusionlens.plans import modeling  # noqa: E402
 from fusionlens.session import shared_path  # noqa: E402
 from fusionlens.sources import files  # noqa: E402
 
+# a saved file is checked on small ensembles; the fits at full settings are training_grid's
+SAVED_SIZES = {"random_forest": {"trees": 20}, "hist_gradient_boosting": {"rounds": 20}}
 _ML_COLS = ["Sample_ID"] + CATEGORICAL + PROCESS + POST_BUILD + [TARGET]
 
 
+SCENARIOS = ["prebuild", "inbuild", "postbuild"]
+
+
+def _training_rows(spark, sf_dir):
+    return _written(spark, sf_dir, _ML_COLS)
+
+
 def _metrics(spark, sf_dir, scenario, model_type):
-    return ml.train_model(_b(spark, sf_dir, _ML_COLS), scenario, model_type)["metrics"]
+    return ml.train_model(_training_rows(spark, sf_dir), scenario, model_type)["metrics"]
 
 
 def _training_grid(spark, sf_dir):
-    """The whole ladder in every scenario, fitted on a table written once."""
-    path = shared_path(spark, "training-builds")
-    _b(spark, sf_dir, _ML_COLS).write.parquet(path)
-    return ml.training_grid(spark.read.parquet(path), ["prebuild", "inbuild", "postbuild"], ml.MODEL_TYPES)
+    """The whole ladder in every scenario: metrics beside the number of stages and bytes of each reloaded artifact."""
+    out = shared_path(spark, "grid")
+    metrics = ml.training_grid(_training_rows(spark, sf_dir), SCENARIOS, ml.MODEL_TYPES, out)
+    rows = []
+    for s in SCENARIOS:
+        for m in ml.MODEL_TYPES:
+            model, meta = ml.load_model(spark, f"{out}/artifacts/scenario={s}/model_type={m}")
+            rows.append((meta["scenario"], meta["model_type"], len(model.stages), meta["n_rows_train"], meta["n_rows_test"]))
+    facts = spark.createDataFrame(rows, "scenario string, model_type string, stages int, n_rows_train long, n_rows_test long")
+    return metrics.join(facts, ["scenario", "model_type"])
+
+
+def _ladder(spark, sf_dir):
+    return modeling.ladder_comparison(_training_rows(spark, sf_dir), SCENARIOS)
+
+
+def _ladder_selection(spark, sf_dir):
+    """One row per scenario: best model, lifts and status, and the risk F2 of every model of the fitted ladder."""
+    rows = _ladder(spark, sf_dir)
+    tables = modeling.selection_tables(rows)
+    f2 = rows.groupBy("scenario").pivot("model_type", ml.MODEL_TYPES).agg(F.first("risk_f2")).withColumnsRenamed(
+        {m: f"risk_f2_{m}" for m in ml.MODEL_TYPES})
+    return tables["summary"].join(f2, "scenario")
 
 
 def _requests(spark, sf_dir):
@@ -202,31 +241,38 @@ def _flat_requests(df):
 
 
 def _saved_lr(spark, sf_dir):
-    res = ml.train_model(_b(spark, sf_dir, _ML_COLS), "inbuild", "logistic_regression")
+    res = ml.train_model(_training_rows(spark, sf_dir), "inbuild", "logistic_regression")
     path = shared_path(spark, "model-inbuild-lr")
-    meta = spark.createDataFrame([("inbuild", "logistic_regression", ",".join(res["labels"]))],
-                                 "scenario string, model_type string, labels string")
-    ml.save_model(res["model"], meta, path)
-    return path, res
+    ml.save_model(res["model"], res["metadata"], path)
+    return ml.load_model(spark, path)
 
 
 def _score_batch(spark, sf_dir):
-    path, _ = _saved_lr(spark, sf_dir)
-    model, meta = ml.load_model(spark, path)
-    labels = meta.first()["labels"].split(",")
-    return scoring.score_batch(model, labels, scoring.parse_requests(_requests(spark, sf_dir)))
+    return scoring.score_with(*_saved_lr(spark, sf_dir))(scoring.parse_requests(_requests(spark, sf_dir)))
 
 
 def _evaluate_saved(spark, sf_dir):
-    path, _ = _saved_lr(spark, sf_dir)
-    model, _meta = ml.load_model(spark, path)
-    return ml.evaluate_saved(model, _b(spark, sf_dir, _ML_COLS), "inbuild")
+    model, metadata = _saved_lr(spark, sf_dir)
+    return ml.evaluate_saved(model, metadata, _b(spark, sf_dir, _ML_COLS))
 
 
 def _model_save_load(spark, sf_dir):
-    path, _ = _saved_lr(spark, sf_dir)
-    model, meta = ml.load_model(spark, path)
-    return meta.withColumn("stages", F.lit(len(model.stages)))
+    """Every type of model saved and reloaded, on the in-build columns: rows scored by both, and those that differ."""
+    ready = ml.prepare(_training_rows(spark, sf_dir), "inbuild")
+    raw = _b(spark, sf_dir, ["Sample_ID", *ready.features])
+    parts = []
+    for m in ml.MODEL_TYPES:
+        res = ml.train_model(None, "inbuild", m, prepared=ready, params=SAVED_SIZES.get(m))
+        path = shared_path(spark, f"model-{m}")
+        ml.save_model(res["model"], res["metadata"], path)
+        model, meta = ml.load_model(spark, path)
+        first = res["model"].transform(raw).select(*raw.columns, F.col("prediction").alias("first"))
+        parts.append(model.transform(first).agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("first") != F.col("prediction")).alias("differing")).select(
+            F.lit(meta["scenario"]).alias("scenario"), F.lit(meta["model_type"]).alias("model_type"),
+            F.lit(len(model.stages)).alias("stages"), F.lit(meta["n_rows_train"]).alias("n_rows_train"),
+            F.lit(len(meta["features"])).alias("features"), "rows", "differing"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _preprocess(spark, sf_dir):
@@ -266,8 +312,9 @@ def _sink_reports(spark, sf_dir):
 
 def _sink_metrics_json(spark, sf_dir):
     path = shared_path(spark, "metrics-json")
-    files.sink_metrics_json(evaluation.classification_metrics(_pred(spark, sf_dir), ["scenario", "model_type"]), path)
-    return spark.read.json(path)
+    files.sink_metrics_json(evaluation.metrics_report(_pred(spark, sf_dir), keys=["scenario", "model_type"]), path)
+    read = spark.read.json(path)
+    return read.select("scenario", "model_type", *projections.METRIC_NAMES)
 
 
 def _sink_confusion(spark, sf_dir):
@@ -299,8 +346,10 @@ QUERIES.update({
     "model_forest": lambda s, d: _metrics(s, d, "inbuild", "random_forest"),
     "model_boosting": lambda s, d: _metrics(s, d, "inbuild", "hist_gradient_boosting"),
     "training_grid": lambda s, d: _training_grid(s, d),
+    "ladder_comparison": lambda s, d: selection.compare_models(_ladder(s, d)),
+    "ladder_selection": _ladder_selection,
     "preprocess": _preprocess,
-    "quick_predictability": lambda s, d: ml.quick_predictability(_b(s, d)),
+    "quick_predictability": lambda s, d: ml.quick_predictability(_written(s, d)),
     "evaluate_saved": _evaluate_saved,
     "model_save_load": _model_save_load,
     "score_batch": _score_batch,
@@ -331,16 +380,23 @@ def _mon(spark, sf_dir):
     return _b(spark, sf_dir, list(dict.fromkeys(_MON)))
 
 
-def _scored(spark, sf_dir):
+def _rule_scored(spark, sf_dir):
     return _mon(spark, sf_dir).withColumn("predicted_quality_class", F.expr(monitoring.INBUILD_RULE))
 
 
+def _model_scored(spark, sf_dir):
+    """Every build with the class and the risk probability of the saved in-build model."""
+    model, meta = _saved_lr(spark, sf_dir)
+    cols = ["Sample_ID", "event_time", *scoring.REQUEST_COLUMNS]
+    return scoring.score_with(model, meta)(scoring.scoring_frame(_b(spark, sf_dir, cols)))
+
+
 def _stream_scoring(spark, sf_dir):
     req_dir = shared_path(spark, "requests")
     _requests(spark, sf_dir).write.json(req_dir)
     valid, reject = shared_path(spark, "scored"), shared_path(spark, "rejected")
     q = monitoring.stream_scoring(spark, req_dir, valid, reject, shared_path(spark, "ckpt-scoring"),
-                                  monitoring.rule_scorer)
+                                  scoring.score_with(*_saved_lr(spark, sf_dir)))
     q.awaitTermination()
     return spark.read.parquet(valid).drop("epoch_id")
 
@@ -359,7 +415,9 @@ QUERIES.update({
     "quality_drift_window": lambda s, d: monitoring.quality_drift_window(_mon(s, d)),
     "inspection_drift_window": lambda s, d: monitoring.inspection_drift_window(_mon(s, d)),
     "process_drift_psi": lambda s, d: monitoring.process_drift_psi(_mon(s, d)),
-    "prediction_mix_drift": lambda s, d: monitoring.prediction_mix_drift(_scored(s, d)),
+    "prediction_mix_drift": lambda s, d: monitoring.prediction_mix_drift(
+        _model_scored(s, d), prob_col="class_probabilities", risk_col="risk_probability"),
+    "prediction_mix_drift_rule": lambda s, d: monitoring.prediction_mix_drift(_rule_scored(s, d)),
     "drift_alerts": lambda s, d: _alerts(s, d),
     "rolling_sensor_stats": lambda s, d: monitoring.rolling_sensor_stats(_mon(s, d)),
     "physics_features": lambda s, d: monitoring.physics_features(_b(s, d)).select(

@@ -90,13 +90,15 @@ INBUILD_RULE = ("CASE WHEN Energy_Density_J_mm3 >= 90 THEN 'Poor' WHEN Melt_Pool
 
 
 def prediction_mix_drift(scored: DataFrame, window: str = WINDOW, pred_col: str = "predicted_quality_class",
-                         prob_col: str | None = None) -> DataFrame:
-    """Share of each predicted class (and mean confidence when a probability column exists) per window."""
+                         prob_col: str | None = None, risk_col: str | None = None) -> DataFrame:
+    """Share of each predicted class per window; with a map of class probabilities the mean confidence, and the mean risk."""
     w = _windowed(scored, window)
     aggs = [F.count(F.lit(1)).alias("samples")]
     aggs += [(F.count_if(F.col(pred_col) == q) / F.count(F.lit(1))).alias(f"share_{q}") for q in QUALITY_ORDER]
     if prob_col:
-        aggs.append(F.avg(F.array_max(prob_col)).alias("mean_confidence"))
+        aggs.append(F.avg(F.array_max(F.map_values(prob_col))).alias("mean_confidence"))
+    if risk_col:
+        aggs.append(F.avg(risk_col).alias("mean_risk_probability"))
     return w.groupBy("window_start", "window_end").agg(*aggs)
 
 
