@@ -16,6 +16,7 @@ from fusionlens.contract import (
 )
 from fusionlens.functions.exprs import energy_density, guarded_corr, quality_ordinal
 from fusionlens.operators import ranks
+from fusionlens.operators.order_stats import class_value_counts, quantile_table
 from fusionlens.operators.binned import histogram
 from fusionlens.operators.stats import long_numeric
 
@@ -125,9 +126,8 @@ def kruskal_statistics(df: DataFrame, buckets: int | None = None) -> DataFrame:
     Returns (feature, kruskal_statistic, degrees_of_freedom).
     """
     cols = usable_numeric_columns(df)
-    long = long_numeric(df.filter(F.col(TARGET).isNotNull()), cols, keep=[TARGET]).filter(F.col("value").isNotNull())
     # both count tables are read by several branches: each is computed and written once
-    per_class = ranks.staged(long.groupBy("feature", "value", TARGET).agg(F.count(F.lit(1)).alias("cj")))
+    per_class = ranks.staged(class_value_counts(df, cols, TARGET))
     per_value = ranks.staged(per_class.groupBy("feature", "value").agg(F.sum("cj").alias("cnt")))
     cum = ranks.average_ranks(ranks.cumulative(per_value, ["feature"], "value", buckets, staged_input=True))
     joined = per_class.join(cum.select("feature", "value", "avg_rank", "cnt", "n"), ["feature", "value"])
@@ -180,14 +180,14 @@ def chi2_survival(h: float, dof: int) -> float:
     return min(1.0, max(0.0, total))
 
 
-def defect_trend(df: DataFrame, buckets: int | None = None) -> DataFrame:
+def defect_trend(df: DataFrame) -> DataFrame:
     """Count, mean, median, std of Defect_Count per class in quality order; PASS if means never rise."""
     spark = df.sparkSession
     domain = spark.createDataFrame([(v, i) for i, v in enumerate(QUALITY_ORDER)], f"{TARGET} string, __order int")
     base = df.select(TARGET, F.col("Defect_Count").cast("double").alias("value")).filter(F.col(TARGET).isNotNull())
     stats_ = base.groupBy(TARGET).agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    med = ranks.quantiles_wide(base.filter(F.col("value").isNotNull()), [TARGET], {"median": 0.5}, buckets=buckets)
+    med = quantile_table(base, ["value"], {"median": 0.5}, by=TARGET).drop("feature", "n")
     table = domain.join(stats_, TARGET, "left").join(med, TARGET, "left")
     # the trend ignores classes without data (their mean is NULL): compare with the last non-NULL mean
     last_mean = F.last("mean", ignorenulls=True).over(

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fusionlens.contract import CATEGORICAL, MODEL_LADDER, TARGET, TEXT, scenario_columns, usable_columns
-from fusionlens.operators import evaluation, ranks
+from fusionlens.operators import evaluation
 from fusionlens.operators.ensembles import TreeEnsemble
+from fusionlens.operators.order_stats import exact_quantiles
 from fusionlens.operators.projections import model_frame
-from fusionlens.operators.stats import long_numeric
 from fusionlens.operators.trees import BoostSettings, ForestSettings
 from fusionlens.session import shared_path
 from fusionlens.sources import files
@@ -83,15 +83,13 @@ def category_modes(train: DataFrame, columns: list[str]) -> dict[str, str]:
 def imputation(train: DataFrame, features: list[str]) -> SQLTransformer:
     """A pipeline stage that fills numbers with the training median and categories with the mode.
 
-    The values are computed in Spark (``ranks``) and become literals of the
+    The values are computed in Spark (``order_stats``) and become literals of the
     stage, so a saved pipeline fills as training did. NaN counts as missing; a
     column without any value is filled with 0 or "Missing".
     """
     cats = [c for c in CATEGORICAL if c in features]
     nums = [c for c in features if c not in cats]
-    long = long_numeric(train, nums).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    found = ranks.quantiles_wide(long, ["feature"], {"median": 0.5}).collect()  # one row per feature
-    median = {r["feature"]: r["median"] for r in found}
+    median = {r["feature"]: r["median"] for r in exact_quantiles(train, nums, {"median": 0.5})}
     mode = category_modes(train, cats) if cats else {}
     filled = [f"coalesce(CASE WHEN isnan(CAST(`{c}` AS DOUBLE)) THEN NULL ELSE CAST(`{c}` AS DOUBLE) END, "
               f"CAST('{median.get(c, 0.0)!r}' AS DOUBLE)) AS `{c}__imp`" for c in nums]

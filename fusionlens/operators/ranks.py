@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fusionlens.session import ensure_checkpoint_dir
+from fusionlens.session import shared_path
 
 
 def value_counts(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -31,16 +31,17 @@ def value_counts(long: DataFrame, keys: list[str], value: str = "value") -> Data
 def staged(df: DataFrame) -> DataFrame:
     """Cut the lineage of a table that several branches read.
 
-    A reliable checkpoint into the session's ``spark.checkpoint.dir`` (the
-    shared folder on a cluster): the table is computed and written once and
-    survives executor loss. Without it each branch re-runs the scan, join and
+    The table is computed and written once as Parquet under the session's
+    ``spark.checkpoint.dir`` (the shared folder on a cluster) and survives
+    executor loss. Without it each branch re-runs the scan, join and
     shuffle below, because pushed-down filters make the branches differ and
     block exchange reuse. Streaming frames are returned unchanged.
     """
     if df.isStreaming:
         return df
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_path(df.sparkSession, "counts")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # distinct values that one window task sorts

@@ -18,9 +18,9 @@ from fusionlens.contract import (
     CATEGORICAL, POST_BUILD, PROCESS, PRODUCTION_RISKS, TARGET, TEXT, THRESHOLDS, numeric_columns,
     non_numeric_columns,
 )
-from fusionlens.functions.exprs import adjusted_skewness, edge_bin, nan_to_null, round_half_even, nan_to_null
+from fusionlens.functions.exprs import adjusted_skewness, nan_to_null, round_half_even
 from fusionlens.functions.frames import attach_one_row
-from fusionlens.operators import ranks
+from fusionlens.operators.order_stats import binned_class_counts, exact_quantiles
 from fusionlens.operators.quality import as_status_rows
 
 _ONE = "__one"
@@ -37,33 +37,27 @@ def _with_total(df_small: DataFrame, df: DataFrame, name: str = "__n") -> DataFr
     return attach_one_row(df_small, df.agg(F.count(F.lit(1)).alias(name)))
 
 
-def iqr_outliers(df: DataFrame, exclude: tuple = (), buckets: int | None = None) -> DataFrame:
+def iqr_outliers(df: DataFrame, exclude: tuple = ()) -> DataFrame:
     """Per numeric column: q1, q3, iqr, 1.5-iqr bounds, outlier count and percent of all rows.
 
-    The quartiles and the outlier counts both come from one distinct-value
-    table (feature, value, cnt): the raw rows are shuffled once.
+    The quartiles are found by digit counts (small jobs at plan time); the
+    outliers are then one wide aggregate against the bounds.
     """
-    cols = numeric_columns(df, exclude)
-    long = long_numeric(df, cols).filter(F.col("value").isNotNull())
-    # quartiles and outlier counts both read it: computed and written once
-    counts = ranks.staged(ranks.value_counts(long, ["feature"]))
-    cum = ranks.cumulative(counts, ["feature"], "value", buckets, staged_input=True)
-    q = ranks.quantiles(cum, ["feature"], [0.25, 0.75])
-    qs = q.groupBy("feature").agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
-                                  F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
-    k = THRESHOLDS["iqr_factor"]
-    bounds = (
-        qs.withColumn("iqr", F.col("q3") - F.col("q1"))
-        .filter(F.col("iqr") != 0)
-        .withColumn("lower_bound", F.col("q1") - F.lit(k) * F.col("iqr"))
-        .withColumn("upper_bound", F.col("q3") + F.lit(k) * F.col("iqr"))
-    )
-    # one row per numeric column: the schema bounds this side
-    outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
-    counted = counts.join(F.broadcast(bounds.select("feature", "lower_bound", "upper_bound")), "feature").groupBy(
-        "feature").agg(F.sum(F.when(outside, F.col("cnt")).otherwise(0)).alias("outlier_count"))
-    out = _with_total(bounds.join(counted, "feature", "left"), df)
-    cnt = F.coalesce(F.col("outlier_count"), F.lit(0)).cast("long")
+    cols, k = numeric_columns(df, exclude), THRESHOLDS["iqr_factor"]
+    spark = df.sparkSession
+    rows = []
+    for r in exact_quantiles(df, cols, {"q1": 0.25, "q3": 0.75}):
+        iqr = r["q3"] - r["q1"]
+        if iqr != 0:
+            rows.append((r["feature"], r["q1"], r["q3"], iqr, r["q1"] - k * iqr, r["q3"] + k * iqr))
+    bounds = spark.createDataFrame(rows, "feature string, q1 double, q3 double, iqr double, lower_bound double, upper_bound double")
+    outside = {f: nan_to_null(F.col(f).cast("double")) for f, *_ in rows}
+    wide = df.agg(F.count(F.lit(1)).alias("__n"), *[
+        F.count_if((outside[f] < lo) | (outside[f] > hi)).alias(f) for f, _, _, _, lo, hi in rows])
+    counted = wide.unpivot(["__n"], [r[0] for r in rows], "feature", "outlier_count") if rows else wide.select(
+        "__n", F.lit("").alias("feature"), F.lit(0).cast("long").alias("outlier_count"))
+    out = bounds.join(counted, "feature")
+    cnt = F.col("outlier_count")
     return out.select(
         "feature", "q1", "q3", "iqr", "lower_bound", "upper_bound",
         cnt.alias("outlier_count"),
@@ -243,20 +237,15 @@ def leakage_candidates(df: DataFrame) -> DataFrame:
         rows, "feature string, risk_level string, production_use string, status string, reason string")
 
 
-def median_fill(df: DataFrame, columns: list[str] | None = None, buckets: int | None = None) -> DataFrame:
-    """Numeric NULLs -> exact column median (one small one-row side, broadcast)."""
+def median_fill(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Numeric NULLs and NaNs -> exact column median, found by digit counts (small jobs at plan time)."""
     cols = columns if columns is not None else numeric_columns(df)
     if not cols:
         return df
-    long = long_numeric(df, cols).filter(F.col("value").isNotNull())
-    med = ranks.quantiles_wide(long, ["feature"], {"median": 0.5}, buckets=buckets)
-    one_row = med.agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"__med_{c}") for c in cols])
-    j = attach_one_row(df, one_row)
-    out = j.select(*[
-        (F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), F.col(f"__med_{c}").cast(df.schema[c].dataType))
-         .alias(c) if c in cols else F.col(c)) for c in df.columns
-    ])
-    return out
+    median = {r["feature"]: r["median"] for r in exact_quantiles(df, cols, {"median": 0.5})}
+    filled = {c: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), F.lit(median.get(c)).cast(df.schema[c].dataType))
+              for c in cols}
+    return df.withColumns(filled).select(*df.columns)
 
 
 def category_codes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -283,16 +272,15 @@ def category_fill_encode(df: DataFrame, columns: list[str] | None = None) -> Dat
     return out
 
 
-def mutual_information(df: DataFrame, bins: int = 20, buckets: int | None = None) -> DataFrame:
+def mutual_information(df: DataFrame, bins: int = 20) -> DataFrame:
     """Plug-in mutual information (nats) of each feature with the class, 6 dp, desc.
 
     Numeric features: NULL -> median, then ``bins`` equal-width left-closed
     bins; categorical features: NULL -> "Missing", each value its own cell.
-    MI = sum p(x,y) ln(p(x,y) / (p(x) p(y))) from joint counts
-    ``groupBy(feature, cell, class)``; marginals are window sums over that
-    small table. Bin bounds are literals from one wide min/max aggregate, and
-    all features go through one ``unpivot`` of a (value, text) struct.
-    Rows with a NULL class are left out.
+    MI = sum p(x,y) ln(p(x,y) / (p(x) p(y))) from joint counts of (feature, cell,
+    class), which every task adds up over its own batches: one scan, and a
+    shuffle of cells. Marginals are window sums over that small table. The bounds come from
+    one wide min/max aggregate. Rows with a NULL class are left out.
     """
     if TARGET not in df.columns:
         return df.sparkSession.createDataFrame(
@@ -301,54 +289,28 @@ def mutual_information(df: DataFrame, bins: int = 20, buckets: int | None = None
     num = [c for c in numeric_columns(df) if c in feats]
     cat = [c for c in feats if c not in num]
     labelled = df.filter(F.col(TARGET).isNotNull())
-    cells = {}
+    bounds, filled = {}, {}
     if num:
         # one wide aggregate: per column the NULL/NaN count and the non-NaN bounds
         # (three numbers per column reach the driver, bounded by the schema)
-        clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in num}
+        clean = {c: nan_to_null(F.col(c).cast("double")) for c in num}
         facts = labelled.agg(*[x for i, c in enumerate(num) for x in (
             F.count_if(clean[c].isNull()).alias(f"n{i}"), F.min(clean[c]).alias(f"lo{i}"),
             F.max(clean[c]).alias(f"hi{i}"))]).first()
+        bounds = {c: (facts[f"lo{i}"], facts[f"hi{i}"]) for i, c in enumerate(num)}
         to_fill = [c for i, c in enumerate(num) if facts[f"n{i}"]]
-        medians = {}
-        if to_fill:
-            # exact medians of the columns that hold NULLs (one row per such column)
-            med = ranks.quantiles_wide(long_numeric(labelled, to_fill).filter(F.col("value").isNotNull()),
-                                       ["feature"], {"median": 0.5}, buckets=buckets)
-            medians = {r["feature"]: r["median"] for r in med.collect()}
+        medians = {r["feature"]: r["median"] for r in exact_quantiles(labelled, to_fill, {"median": 0.5})} if to_fill else {}
         for c in num:
-            x = clean[c]
-            if c in to_fill:
-                # the fill value takes the column's own type (an integer column truncates)
-                fill = F.lit(medians.get(c)).cast("double").cast(df.schema[c].dataType).cast("double")
-                x = F.coalesce(x, fill)
-            cells[c] = F.struct(x.alias("v"), F.lit(None).cast("string").alias("s"))
-    for c in cat:
-        cells[c] = F.struct(F.lit(None).cast("double").alias("v"),
-                            F.coalesce(F.col(c).cast("string"), F.lit("Missing")).alias("s"))
-    # numeric and categorical features share one (value, text) struct, so one
-    # projection and one unpivot cover them all: a single scan of the rows
-    long = labelled.select(TARGET, *[v.alias(c) for c, v in cells.items()]).unpivot(
-        [TARGET], list(cells), "feature", "x")
-    if num:
-        # a median lies inside [min, max], so filling never moves the bin edges;
-        # the bounds table has one row per numeric column (bounded by the schema)
-        bounds = df.sparkSession.createDataFrame(
-            [(c, facts[f"lo{i}"], facts[f"hi{i}"]) for i, c in enumerate(num)],
-            "feature string, __lo double, __hi double")
-        long = long.join(F.broadcast(bounds), "feature", "left")
-        num_cell = F.coalesce(edge_bin("x.v", "__lo", "__hi", bins, right_closed=False).cast("string"),
-                              F.lit("null"))
-        cell = F.coalesce(F.col("x.s"), num_cell)
-    else:
-        cell = F.col("x.s")
-    return mi_from_cells(long.select("feature", TARGET, cell.alias("cell")))
-
-
-def mi_from_cells(cells: DataFrame, label: str = TARGET) -> DataFrame:
-    # the joint table is small (features x cells x classes); marginals are window
-    # sums over it, so the raw rows are aggregated once and never re-read
-    joint = cells.groupBy("feature", "cell", label).agg(F.count(F.lit(1)).alias("nxy"))
+            # the fill value takes the column's own type (an integer column truncates);
+            # a median lies inside [min, max], so filling never moves the bin edges
+            fill = F.lit(medians.get(c)).cast("double").cast(df.schema[c].dataType).cast("double")
+            filled[c] = F.coalesce(clean[c], fill) if c in to_fill else clean[c]
+    filled |= {c: F.coalesce(F.col(c).cast("string"), F.lit("Missing")) for c in cat}
+    return mi_from_counts(binned_class_counts(labelled.withColumns(filled), bounds, cat, TARGET, bins))
+
+
+def mi_from_counts(joint: DataFrame, label: str = TARGET) -> DataFrame:
+    # the joint table is small (features x cells x classes): marginals are window sums over it
     j = joint.select(
         "feature", "nxy",
         F.sum("nxy").over(Window.partitionBy("feature", "cell")).alias("nx"),

@@ -11,22 +11,21 @@ from fusionlens.contract import (
     CATEGORICAL, FEATURE_GROUP_LABELS, POST_BUILD, PROCESS, QUALITY_ORDER, RISK_IMPACT, RISK_IMPACT_DEFAULT,
     SEVERITY_SCORE, TARGET, numeric_columns, non_numeric_columns,
 )
-from fusionlens.functions.exprs import round_half_even
+from fusionlens.functions.exprs import nan_to_null, round_half_even
 from fusionlens.functions.frames import attach_one_row
-from fusionlens.operators import ranks
-from fusionlens.operators.stats import long_numeric
+from fusionlens.operators.order_stats import exact_quantiles, quantile_table
 
 _ONE = "__one"
 
 
-def numeric_summary(df: DataFrame, buckets: int | None = None) -> DataFrame:
-    """count, mean, std, min, 25/50/75 %, max per numeric column (exact quartiles)."""
+def numeric_summary(df: DataFrame) -> DataFrame:
+    """count, mean, std, min, 25/50/75 %, max per numeric column (exact quartiles): one wide aggregate and digit counts."""
     cols = numeric_columns(df)
-    long = long_numeric(df, cols).filter(F.col("value").isNotNull())
-    basic = long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    qs = ranks.quantiles_wide(long, ["feature"], {"p25": 0.25, "p50": 0.5, "p75": 0.75}, buckets=buckets)
+    value = {c: nan_to_null(F.col(c).cast("double")) for c in cols}
+    facts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = df.agg(*[F.struct(*[of(value[c]).alias(n) for n, of in facts.items()]).alias(c) for c in cols])
+    basic = wide.unpivot([], cols, "feature", "f").select("feature", "f.*")
+    qs = quantile_table(df, cols, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("n")
     return basic.join(qs, "feature").select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -40,22 +39,34 @@ def categorical_summary(df: DataFrame) -> DataFrame:
         "column", "value", "count", round_half_even(F.col("count") / F.col("__n") * F.lit(100.0), 2).alias("percent"))
 
 
-def box_stats_by_class(df: DataFrame, columns: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+def box_stats_by_class(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Quartiles, 1.5-IQR whiskers (most extreme values inside the fences) and outlier counts
-    per feature and class."""
+    per feature and class.
+
+    Quartiles by digit counts (small jobs at plan time), then one wide aggregate
+    a class against its fences: rows are not unpivoted or shuffled.
+    """
     cols = columns or [c for c in numeric_columns(df) if c != "Sample_ID"]
-    long = long_numeric(df.filter(F.col(TARGET).isNotNull()), cols, keep=[TARGET]).filter(F.col("value").isNotNull())
-    keys = ["feature", TARGET]
-    qs = ranks.quantiles_wide(long, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}, buckets=buckets)
-    fences = qs.withColumn("iqr", F.col("q3") - F.col("q1")) \
-        .withColumn("lo_fence", F.col("q1") - 1.5 * F.col("iqr")).withColumn("hi_fence", F.col("q3") + 1.5 * F.col("iqr"))
-    inside = (F.col("value") >= F.col("lo_fence")) & (F.col("value") <= F.col("hi_fence"))
-    w = long.join(fences.select(*keys, "lo_fence", "hi_fence"), keys).groupBy(*keys).agg(
-        F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"), F.count(F.lit(1)).alias("n"))
-    return fences.join(w, keys).select("feature", TARGET, "n", "q1", "median", "q3", "iqr", "whisker_low",
-                                       "whisker_high", "outliers")
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    found = exact_quantiles(df, cols, probs, by=TARGET)
+    rows = [(r["feature"], r["by"], r["n"], r["q1"], r["median"], r["q3"], r["q3"] - r["q1"]) for r in found]
+    fences: dict[str, list] = {c: [] for c in cols}
+    for f, label, _, q1, _, q3, iqr in rows:
+        fences[f].append((label, q1 - 1.5 * iqr, q3 + 1.5 * iqr))
+    measures = []
+    for c in cols:
+        value = nan_to_null(F.col(c).cast("double"))
+        inside = F.lit(False)
+        for label, lo, hi in fences[c]:  # a fence for each class found
+            inside = inside | ((F.col(TARGET) == label) & value.between(lo, hi))
+        measures.append(F.struct(F.min(F.when(inside, value)).alias("whisker_low"), F.max(F.when(inside, value)).alias("whisker_high"),
+                                 F.count_if(value.isNotNull() & ~inside).alias("outliers")).alias(c))
+    wide = df.filter(F.col(TARGET).isNotNull()).groupBy(F.col(TARGET).cast("string").alias(TARGET)).agg(*measures)
+    whiskers = wide.unpivot([TARGET], cols, "feature", "w").select("feature", TARGET, "w.*")
+    table = df.sparkSession.createDataFrame(
+        rows, f"feature string, {TARGET} string, n long, q1 double, median double, q3 double, iqr double")
+    return table.join(whiskers, ["feature", TARGET]).select(
+        "feature", TARGET, "n", "q1", "median", "q3", "iqr", "whisker_low", "whisker_high", "outliers")
 
 
 def category_by_class(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
