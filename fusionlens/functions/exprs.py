@@ -64,12 +64,6 @@ def edge_bin_sql(x: str, lo: str, hi: str, n: int, right_closed: bool) -> str:
     return f"CASE WHEN {hi} = {lo} THEN 1 ELSE 1 + {terms} END"
 
 
-def bin_edges(lo, hi, n: int, k) -> Column:
-    """Left edge of bin k (1-based) from the same edge list."""
-    lo, hi = col(lo), col(hi)
-    return lo + (col(k) - F.lit(1)) * ((hi - lo) / F.lit(n))
-
-
 def guarded_corr(x, y) -> Column:
     """Pearson on pairwise-complete rows; NULL (not an error) for a constant side."""
     x, y = nan_to_null(x), nan_to_null(y)

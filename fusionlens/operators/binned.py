@@ -17,9 +17,6 @@ from fusionlens.contract import CATEGORICAL, TARGET
 from fusionlens.functions.exprs import edge_bin, risk_flag, unit_hash
 from fusionlens.functions.frames import attach_one_row
 
-_ONE = "__one"
-
-
 def attach_bounds(work: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``<c>__lo`` / ``<c>__hi`` (global min/max) to every row."""
     aggs = []

@@ -20,9 +20,6 @@ from fusionlens.operators.order_stats import class_value_counts, quantile_table
 from fusionlens.operators.binned import histogram
 from fusionlens.operators.stats import long_numeric
 
-_ONE = "__one"
-
-
 def uniformity_scores(df: DataFrame, columns: list[str], bins: int = THRESHOLDS["uniformity_bins"]) -> DataFrame:
     """Entropy of a ``bins``-bin histogram / ln(non-empty bins); 0 for <= 1 distinct value or bin."""
     h = histogram(df, columns, bins).filter(F.col("count") > 0)

@@ -1,11 +1,12 @@
 """Exact quantiles by digit counts: no sort, no shuffle of values.
 
 A double becomes a 64-bit integer of the same order. One scan counts, map-side,
-how many values of each column begin with which 16 bits; the counts of all tasks
-are summed (at most 65,536 rows a column and prefix), and each wanted order statistic
-falls into one of them. The next scan counts the next 16 bits of the values that share
-such a prefix, and so on, until the values under every prefix are one and the
-same: one or two scans for measured data, four at most. A value that a
+how many values of each column begin with which 20 bits; the counts of all tasks
+are summed (at most 2**20 short rows a column, some hundreds for each power of two that
+its values span), and each wanted order statistic falls into one of them. The next scan
+counts the next 20 bits of the values that share such a prefix, and so on, until the
+values under every prefix are one and the same: one or two scans for measured
+data (40 bits hold eight significant digits), four at most. A value that a
 third of all rows hold is one count. The driver holds one prefix for each
 column, class and order statistic.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1 << 18
-DIGIT = 16
+DIGITS = (20, 20, 12, 12)
 _LOW = np.int64(0x7FFFFFFFFFFFFFFF)
 
 
@@ -47,7 +48,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _counts(rows: DataFrame, columns: list[str], shift: int, wanted: dict[tuple, np.ndarray] | None) -> DataFrame:
+def _counts(rows: DataFrame, columns: list[str], shift: int, digit: int, wanted: dict[tuple, np.ndarray] | None) -> DataFrame:
     """(by, column, head, n, lo, hi): values by their leading bits, of those that begin with a wanted prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _chunks(batches):
@@ -65,7 +66,7 @@ def _counts(rows: DataFrame, columns: list[str], shift: int, wanted: dict[tuple,
                     x = x[mine & ~np.isnan(x)] if not mine.all() else x[~np.isnan(x)]
                     value, n = np.unique(ordered_bits(x), return_counts=True)
                     if prefixes is not None:
-                        some = np.isin(value >> (shift + DIGIT), prefixes)
+                        some = np.isin(value >> (shift + digit), prefixes)
                         value, n = value[some], n[some]
                     if not len(value):
                         continue
@@ -168,8 +169,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float],
     total: dict[tuple, int] = {}
     found: dict[tuple, dict[int, float]] = {}
     shift = 64
-    while wanted is None or wanted:
-        shift -= DIGIT
+    for digit in DIGITS:
+        shift -= digit
         targets = wanted
 
         def pick(group: pa.Table) -> pa.Table:
@@ -180,7 +181,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float],
             asked = [(r, None, 0) for r in _ranks(whole, list(probs.values()))] if targets is None else targets[key]
             out = []
             for rank, prefix, below in asked:
-                mine = slice(None) if prefix is None else np.flatnonzero(head >> DIGIT == prefix)
+                mine = slice(None) if prefix is None else np.flatnonzero(head >> digit == prefix)
                 upto = below + np.cumsum(n[mine])
                 i = int(np.searchsorted(upto, rank, side="right"))
                 before = below + int(n[mine][:i].sum())
@@ -190,7 +191,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float],
             return pa.Table.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], fields)
 
         prefixes = None if wanted is None else {k: np.unique([p for _, p, _ in v]) for k, v in wanted.items()}
-        picked = _counts(rows, names, shift, prefixes).groupBy("by", "column").applyInArrow(
+        picked = _counts(rows, names, shift, digit, prefixes).groupBy("by", "column").applyInArrow(
             pick, "by string, column int, whole long, rank long, head long, below long, lo long, hi long").collect()
         following: dict[tuple, list] = {}
         for r in picked:  # a few rows for each column and class
@@ -202,6 +203,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float],
             else:
                 following.setdefault(key, []).append((r["rank"], r["head"], r["below"]))
         wanted = following
+        if not wanted:
+            break
     return [{"feature": columns[c], "by": b, "n": n, **{name: interpolate(found[b, c], n, p) for name, p in probs.items()}}
             for (b, c), n in sorted(total.items(), key=lambda x: (str(x[0][0]), x[0][1]))]
 

@@ -23,9 +23,6 @@ from fusionlens.functions.frames import attach_one_row
 from fusionlens.operators.order_stats import binned_class_counts, exact_quantiles
 from fusionlens.operators.quality import as_status_rows
 
-_ONE = "__one"
-
-
 def long_numeric(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
     """(keep..., feature, value double) with NaN turned into NULL."""
     sel = [F.col(c) for c in keep] + [F.col(c).cast("double").alias(c) for c in columns]

@@ -15,9 +15,6 @@ from fusionlens.functions.exprs import nan_to_null, round_half_even
 from fusionlens.functions.frames import attach_one_row
 from fusionlens.operators.order_stats import exact_quantiles, quantile_table
 
-_ONE = "__one"
-
-
 def numeric_summary(df: DataFrame) -> DataFrame:
     """count, mean, std, min, 25/50/75 %, max per numeric column (exact quartiles): one wide aggregate and digit counts."""
     cols = numeric_columns(df)
