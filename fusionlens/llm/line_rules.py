@@ -1,8 +1,18 @@
 """Quality rules, line first (DataFrame functions only).
 
-Every line with a word is judged on its own: navigation, punctuation,
-boilerplate phrases and repeats of an earlier line. Failing lines are removed;
-a document that loses more than ``MAX_LOST`` of its word characters, or that
+Every line with a word is judged on its own. Failing lines are removed:
+
+* navigation: items of a few words between separators that stand alone
+  ("Home > News | Contact"), or symbols for a large share of the words;
+* punctuation: shouting marks for a large share of the words, or a line of
+  several words without any sentence end in a text whose other lines mostly have one
+  (a heading is short, a paragraph cut off in its last sentence stays, a text
+  without end marks keeps its lines);
+* boilerplate: phrases of page furniture, copyright notices with a year, lines
+  that are an address or a counter alone ("12 comments");
+* repeats of an earlier line.
+
+A document that loses more than ``MAX_LOST_PERCENT`` of its word characters, or that
 fails a base rule (too short, too repetitive), is rejected.
 
 All work is per row inside the JVM: no shuffle, no Python. Windows of eight
@@ -24,20 +34,30 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]+"
 NOT_WHITE = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
-SEPARATORS = r"[|>]"
+SEPARATOR = r"[\x20\x09][|>»›•·][\x20\x09]"
+END_MARK = r"""[.!?…。！？:;,"'”’»)\]|>*~-][\x20\x09-\x0D]*\z"""
+SENTENCE_END = r"[.!?…。！？]"
 SHOUT = r"!!"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_MARKS = 3           # a line needs so many marks before a share of them counts
 SHARE_OF_WORDS = 4      # one mark for every 4 words fails a line
+ITEM_WORDS = 3          # a navigation item has so many words at most, on average
+OPEN_WORDS = 6          # so many words without an end mark are no heading
+ENDED_PERCENT = 60      # of the lines end with a mark in prose
 MAX_LOST_PERCENT = 30   # of a document's word characters
 PHRASES = [
     "all rights reserved", "accept cookies", "cookie policy", "enable javascript", "lorem ipsum",
     "privacy policy", "terms of service", "terms of use", "subscribe to our newsletter",
     "sign in to continue", "click here to", "skip to content", "back to top", "powered by",
 ]
-BOILERPLATE = "(?i)(" + "|".join(PHRASES) + ")"
+NOTICES = [
+    r"(copyright|©|\(c\))[\x20\x09]*[0-9]{4}",
+    r"^[\x20\x09]*(https?://|www\.)[^\x20\x09-\x0D]+[\x20\x09-\x0D]*\z",
+    r"^[\x20\x09]*[0-9][0-9.,]*[\x20\x09]*(comments?|shares?|likes?|views?|replies|votes?)[\x20\x09-\x0D]*\z",
+]
+BOILERPLATE = "(?i)(" + "|".join(PHRASES + NOTICES) + ")"
 
 
 def _words(text: Column) -> Column:
@@ -48,15 +68,18 @@ def _marks(line: Column, pattern: str) -> Column:
     return F.regexp_count(line, F.lit(pattern))
 
 
-def line_fails(line: Column) -> Column:
-    """Navigation, punctuation and boilerplate rules for one line."""
+def line_fails(line: Column, prose: Column) -> Column:
+    """Navigation, punctuation and boilerplate rules for one line; ``prose``: most lines of the text have an end mark."""
     words = F.size(_words(line))
+    items = _marks(line, SEPARATOR)
 
     def dense(pattern: str) -> Column:
         n = _marks(line, pattern)
         return (n >= MIN_MARKS) & (n * SHARE_OF_WORDS >= words)
 
-    return dense(SYMBOLS) | dense(SHOUT) | line.rlike(BOILERPLATE)
+    navigation = (items >= 1) & (words - items <= ITEM_WORDS * (items + 1))
+    unfinished = prose & (words >= OPEN_WORDS) & ~line.rlike(END_MARK) & ~line.rlike(SENTENCE_END)
+    return navigation | dense(SYMBOLS) | dense(SHOUT) | unfinished | line.rlike(BOILERPLATE)
 
 
 def _repeat_words(words: Column) -> Column:
@@ -110,8 +133,9 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "n_symbols": _marks(F.col("_t"), SYMBOLS).cast("long"),
         "n_dup_lines": (F.size("_l") - F.size("_u")).cast("long"),
         "n_repeat_words": _repeat_words(F.col("_w")).cast("long"),
-        "_k": F.filter("_u", lambda x: ~line_fails(x)),
+        "_p": F.size(F.filter("_l", lambda x: x.rlike(END_MARK))) * 100 >= F.size("_l") * ENDED_PERCENT,
     })
+    base = base.withColumn("_k", F.filter("_u", lambda x: ~line_fails(x, F.col("_p"))))
     left = F.char_length(F.array_join(F.flatten(F.transform("_k", _words)), ""))
     base = base.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS)
@@ -136,6 +160,14 @@ def oracle() -> str:
         n = f"len(regexp_extract_all(l, '{pattern}'))"
         return f"({n} >= {MIN_MARKS} AND {n} * {SHARE_OF_WORDS} >= len({_sql_words('l')}))"
 
+    def quoted(pattern: str) -> str:
+        return pattern.replace("'", "''")
+
+    items = f"len(regexp_extract_all(l, '{SEPARATOR}'))"
+    navigation = f"({items} >= 1 AND len({_sql_words('l')}) - {items} <= {ITEM_WORDS} * ({items} + 1))"
+    unfinished = f"(prose AND len({_sql_words('l')}) >= {OPEN_WORDS} AND NOT regexp_matches(l, '{quoted(END_MARK)}') "
+    unfinished += f"AND NOT regexp_matches(l, '{SENTENCE_END}'))"
+
     return f"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t, {_sql_words("coalesce(text, '')")} AS w,
@@ -152,8 +184,11 @@ cover AS (
   FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM hit) GROUP BY rid),
 kept_lines AS (
   SELECT rid, sum(length(regexp_replace(l, '{WHITE}', '', 'g'))) AS c
-  FROM (SELECT DISTINCT rid, l FROM (SELECT rid, unnest(ls) AS l FROM base))
-  WHERE NOT ({dense(SYMBOLS)} OR {dense(SHOUT)} OR regexp_matches(l, '{BOILERPLATE}'))
+  FROM (SELECT DISTINCT rid, l, prose FROM (
+    SELECT rid, unnest(ls) AS l,
+           len(list_filter(ls, lambda x: regexp_matches(x, '{quoted(END_MARK)}'))) * 100 >= len(ls) * {ENDED_PERCENT} AS prose
+    FROM base))
+  WHERE NOT ({navigation} OR {dense(SYMBOLS)} OR {dense(SHOUT)} OR {unfinished} OR regexp_matches(l, '{BOILERPLATE}'))
   GROUP BY rid),
 counted AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,

@@ -17,10 +17,17 @@ def brute_rules(text):
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     unique = list(dict.fromkeys(lines))
 
+    py = lambda pattern: pattern.replace("\\z", "\\Z")
+    ended = lambda line: bool(re.search(py(line_rules.END_MARK), line))
+    prose = 100 * sum(map(ended, lines)) >= 60 * len(lines)
+
     def fails(line):
         n = len(re.findall(r"[^\x20\x09-\x0D]+", line))
-        return any(len(re.findall(p, line)) >= 3 and 4 * len(re.findall(p, line)) >= n for p in (r"[#*$%&|<>]", "!!")) or bool(
-            re.search(line_rules.BOILERPLATE, line))
+        items = len(re.findall(line_rules.SEPARATOR, line))
+        return (items >= 1 and n - items <= 3 * (items + 1)) or (
+            prose and n >= 6 and not ended(line) and not re.search(line_rules.SENTENCE_END, line)) or any(
+            len(re.findall(p, line)) >= 3 and 4 * len(re.findall(p, line)) >= n for p in (r"[#*$%&|<>]", "!!")) or bool(
+            re.search(py(line_rules.BOILERPLATE), line))
 
     kept = [x for x in unique if not fails(x)]
     chars = lambda s: len(re.sub(r"[\x20\x09-\x0D]", "", s))
@@ -45,6 +52,18 @@ def test_line_rules_remove_lines_before_judging(spark):
     assert got[1] == (True, body) and got[2][0] is False and got[3] == (True, body)
 
 
+@pytest.mark.parametrize("line, fails", [
+    ("Home > News > Sport", True), ("About | Contact", True), ("That | one thing | on.", True), ("A long sentence of prose | with a bar.", False),
+    ("A Heading", False), ("a line of many words that just stops", True), ("one of many words that ends here.", False), ("One sentence ends. The next one of these is cut", False),
+    ("Copyright 2021 Somebody Inc.", True), ("https://example.org/x?y=1", True), ("see https://example.org for the rest.", False),
+    ("12 comments", True), ("He made 12 comments on it.", False), ("Buy now!! Cheap!! Go!!", True)])
+def test_rules_of_one_line(spark, line, fails):
+    body = [" ".join(f"word{i}x{j}" for j in range(9)) + "." for i in range(12)]
+    docs = spark.createDataFrame([(1, "\n".join([*body, line]))], "doc_id long, text string")
+    r = line_rules.apply_rules(docs).first()
+    assert (line not in r.clean_text.split("\n")) == fails and r.kept
+
+
 @pytest.mark.parametrize("name", ["op1_backoff", "op5_super_kmers", "op10_line_rules"])
 def test_edge_rows_match_sql(spark, edge_docs, name):
     op = {"op1_backoff": backoff.score,
