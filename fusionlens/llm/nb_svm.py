@@ -223,11 +223,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, training: Column |
     both[1][at], both[0][at] = seen.column("with_1").to_numpy(), seen.column("with_0").to_numpy()
     ratio = spark.sparkContext.broadcast(log_ratios(both[1], both[0]))
 
-    # the bounded sample: about fit_rows rows by a hash of the id, and never over twice that
-    share = min(1.0, fit_rows / sum(number.values()))
-    drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)
+    # the bounded sample: about fit_rows rows, those with the smallest 64-bit hashes of the id, and never over twice that
+    total = sum(number.values())
+    drawn = F.xxhash64("id") <= F.lit(min((1 << 63) - 1, (1 << 64) * fit_rows // total - (1 << 63)))
     sample = texts.where(drawn).join(known.where(drawn).hint("merge"), "id").select(
-        "text", "label", F.xxhash64("id", "text").alias("order")).limit(2 * fit_rows).withColumn("all", F.lit(0))
+        "text", "label", F.xxhash64("id", "text").alias("order"), F.xxhash64("id").alias("place")).orderBy("place", "order").limit(
+        2 * fit_rows).drop("place").withColumn("all", F.lit(0))
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by("order").combine_chunks()
