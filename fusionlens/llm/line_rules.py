@@ -68,6 +68,11 @@ def _marks(line: Column, pattern: str) -> Column:
     return F.regexp_count(line, F.lit(pattern))
 
 
+def _ended(line: Column) -> Column:
+    """Whether ``END_MARK`` matches, by the last character that is not white space."""
+    return F.substring(F.rtrim(line, F.lit(" \t\x0b\x0c\r")), -1, 1).rlike(END_MARK)
+
+
 def line_fails(line: Column, prose: Column) -> Column:
     """Navigation, punctuation and boilerplate rules for one line; ``prose``: most lines of the text have an end mark."""
     words = F.size(_words(line))
@@ -78,7 +83,7 @@ def line_fails(line: Column, prose: Column) -> Column:
         return (n >= MIN_MARKS) & (n * SHARE_OF_WORDS >= words)
 
     navigation = (items >= 1) & (words - items <= ITEM_WORDS * (items + 1))
-    unfinished = prose & (words >= OPEN_WORDS) & ~line.rlike(END_MARK) & ~line.rlike(SENTENCE_END)
+    unfinished = prose & (words >= OPEN_WORDS) & ~_ended(line) & ~line.rlike(SENTENCE_END)
     return navigation | dense(SYMBOLS) | dense(SHOUT) | unfinished | line.rlike(BOILERPLATE)
 
 
@@ -133,9 +138,10 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "n_symbols": _marks(F.col("_t"), SYMBOLS).cast("long"),
         "n_dup_lines": (F.size("_l") - F.size("_u")).cast("long"),
         "n_repeat_words": _repeat_words(F.col("_w")).cast("long"),
-        "_p": F.size(F.filter("_l", lambda x: x.rlike(END_MARK))) * 100 >= F.size("_l") * ENDED_PERCENT,
+        # whether the text is prose is found once a text: a column of its own would be computed again for every line
+        "_k": _let(F.size(F.filter("_l", _ended)) * 100 >= F.size("_l") * ENDED_PERCENT,
+                   lambda prose: F.filter("_u", lambda x: ~line_fails(x, prose))),
     })
-    base = base.withColumn("_k", F.filter("_u", lambda x: ~line_fails(x, F.col("_p"))))
     left = F.char_length(F.array_join(F.flatten(F.transform("_k", _words)), ""))
     base = base.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS)
