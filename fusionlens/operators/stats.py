@@ -20,7 +20,8 @@ from fusionlens.contract import (
 )
 from fusionlens.functions.exprs import adjusted_skewness, nan_to_null, round_half_even
 from fusionlens.functions.frames import attach_one_row
-from fusionlens.operators.order_stats import binned_class_counts, exact_quantiles
+from fusionlens.operators.neighbours import neighbour_mi
+from fusionlens.operators.order_stats import binned_class_counts, class_value_counts, exact_quantiles
 from fusionlens.operators.quality import as_status_rows
 
 def long_numeric(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
@@ -269,19 +270,8 @@ def category_fill_encode(df: DataFrame, columns: list[str] | None = None) -> Dat
     return out
 
 
-def mutual_information(df: DataFrame, bins: int = 20) -> DataFrame:
-    """Plug-in mutual information (nats) of each feature with the class, 6 dp, desc.
-
-    Numeric features: NULL -> median, then ``bins`` equal-width left-closed
-    bins; categorical features: NULL -> "Missing", each value its own cell.
-    MI = sum p(x,y) ln(p(x,y) / (p(x) p(y))) from joint counts of (feature, cell,
-    class), which every task adds up over its own batches: one scan, and a
-    shuffle of cells. Marginals are window sums over that small table. The bounds come from
-    one wide min/max aggregate. Rows with a NULL class are left out.
-    """
-    if TARGET not in df.columns:
-        return df.sparkSession.createDataFrame(
-            [], "feature string, mutual_information_score double, status string, interpretation string")
+def _mi_input(df: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, float]], list[str]]:
+    """Labelled rows with missing numbers filled by the median and missing texts by "Missing"; bounds of the numbers; text columns."""
     feats = [c for c in df.columns if c not in (TARGET, "Sample_ID")]
     num = [c for c in numeric_columns(df) if c in feats]
     cat = [c for c in feats if c not in num]
@@ -303,7 +293,24 @@ def mutual_information(df: DataFrame, bins: int = 20) -> DataFrame:
             fill = F.lit(medians.get(c)).cast("double").cast(df.schema[c].dataType).cast("double")
             filled[c] = F.coalesce(clean[c], fill) if c in to_fill else clean[c]
     filled |= {c: F.coalesce(F.col(c).cast("string"), F.lit("Missing")) for c in cat}
-    return mi_from_counts(binned_class_counts(labelled.withColumns(filled), bounds, cat, TARGET, bins))
+    return labelled.withColumns(filled), bounds, cat
+
+
+def mutual_information(df: DataFrame, bins: int = 20) -> DataFrame:
+    """Plug-in mutual information (nats) of each feature with the class, 6 dp, desc.
+
+    Numeric features: NULL -> median, then ``bins`` equal-width left-closed
+    bins; categorical features: NULL -> "Missing", each value its own cell.
+    MI = sum p(x,y) ln(p(x,y) / (p(x) p(y))) from joint counts of (feature, cell,
+    class), which every task adds up over its own batches: one scan, and a
+    shuffle of cells. Marginals are window sums over that small table. The bounds come from
+    one wide min/max aggregate. Rows with a NULL class are left out.
+    """
+    if TARGET not in df.columns:
+        return df.sparkSession.createDataFrame(
+            [], "feature string, mutual_information_score double, status string, interpretation string")
+    filled, bounds, cat = _mi_input(df)
+    return mi_from_counts(binned_class_counts(filled, bounds, cat, TARGET, bins))
 
 
 def mi_from_counts(joint: DataFrame, label: str = TARGET) -> DataFrame:
@@ -318,6 +325,10 @@ def mi_from_counts(joint: DataFrame, label: str = TARGET) -> DataFrame:
     nxy = F.col("nxy").cast("double")
     term = (nxy / F.col("n")) * F.log((nxy * F.col("n")) / (F.col("nx").cast("double") * F.col("ny")))
     mi = j.groupBy("feature").agg(F.sum(term).alias("mi"))
+    return _mi_report(mi)
+
+
+def _mi_report(mi: DataFrame) -> DataFrame:
     return mi.select(
         "feature",
         round_half_even(F.greatest(F.col("mi"), F.lit(0.0)), 6).alias("mutual_information_score"),
@@ -326,6 +337,27 @@ def mi_from_counts(joint: DataFrame, label: str = TARGET) -> DataFrame:
     ).orderBy(F.desc("mutual_information_score"), "feature")
 
 
+def mutual_information_neighbours(df: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Nearest-neighbour mutual information (nats) of each feature with the class, 6 dp, desc.
+
+    Missing numbers take the median, missing texts "Missing"; a text column counts as the number
+    of its category in sorted order. Rows with a NULL class are left out, and so are
+    infinite values and columns without any value. See ``neighbours`` for the estimator.
+    """
+    if TARGET not in df.columns or not set(df.columns) - {TARGET, "Sample_ID"}:
+        return df.sparkSession.createDataFrame(
+            [], "feature string, mutual_information_score double, status string, interpretation string")
+    filled, bounds, cat = _mi_input(df)
+    counts = class_value_counts(filled, list(bounds), TARGET) if bounds else None
+    if cat:
+        texts = filled.select(TARGET, *cat).unpivot([TARGET], cat, "feature", "text").groupBy("feature", "text", TARGET).agg(
+            F.count(F.lit(1)).alias("cj"))
+        code = F.dense_rank().over(Window.partitionBy("feature").orderBy("text")) - 1
+        codes = texts.select("feature", code.cast("double").alias("value"), F.col(TARGET).cast("string").alias(TARGET), "cj")
+        counts = counts.unionByName(codes) if counts is not None else codes
+    return _mi_report(neighbour_mi(counts, TARGET, buckets=buckets))
+
+
 def production_risks(leakage: DataFrame, outliers: DataFrame, balance: DataFrame, correlations: DataFrame) -> DataFrame:
     """Five-row risk table from the other reports' counts."""
     leak = leakage.agg(F.count_if(F.col("status") == "WARN").alias("v"))

@@ -292,6 +292,42 @@ def mutual_information_sql(num: list[str], cat: list[str], bins: int = 20) -> st
     )
 
 
+def mutual_information_neighbours_sql(num: list[str], cat: list[str], k: int = 3) -> str:
+    from fusionlens.operators.neighbours import digamma_sql
+
+    key = "feature, Quality_Class, value"
+    texts = union_all([f"SELECT {q(c)} AS feature, Quality_Class, coalesce(CAST({c} AS VARCHAR), 'Missing') AS category FROM lb"
+                       for c in cat])
+    near = " UNION ALL ".join(
+        f"SELECT {key}, cj, ny, abs({f}(value, {i}) OVER w - value) AS d, {f}(cj, {i}) OVER w AS c, {f}(value, {i}) OVER w AS v "
+        f"FROM own WINDOW w AS (PARTITION BY feature, Quality_Class ORDER BY value)"
+        for f in ("lag", "lead") for i in range(1, k + 1))
+    return (
+        f"WITH lb AS (SELECT * FROM builds WHERE Quality_Class IS NOT NULL), "
+        f"filled AS ({median_fill_sql(num, 'lb', keep=['Quality_Class'])}), "
+        f"nl AS ({long_sql(num, 'filled', keep=['Quality_Class'])}), tx AS ({texts}), "
+        f"x AS (SELECT Quality_Class, feature, value FROM nl WHERE value IS NOT NULL UNION ALL SELECT Quality_Class, feature, "
+        f"CAST(dense_rank() OVER (PARTITION BY feature ORDER BY category) - 1 AS DOUBLE) AS value FROM tx), "
+        f"v AS (SELECT {key}, count(*) AS cj FROM x GROUP BY ALL), "
+        f"t AS (SELECT feature, Quality_Class, sum(cj) AS ny FROM v GROUP BY ALL HAVING sum(cj) > 1), "
+        f"own AS (SELECT v.*, t.ny FROM v JOIN t USING (feature, Quality_Class)), "
+        f"nb AS (SELECT * FROM ({near}) a WHERE d IS NOT NULL "
+        f"UNION ALL SELECT {key}, cj, ny, 0.0 AS d, cj - 1 AS c, value AS v FROM own), "
+        f"cum AS (SELECT *, sum(c) OVER (PARTITION BY {key} ORDER BY d) AS have FROM nb), "
+        f"rad AS (SELECT {key}, cj, ny, min(d) AS r FROM cum WHERE have >= least({k}, ny - 1) GROUP BY ALL), "
+        f"e AS (SELECT feature, rad.Quality_Class, rad.value, rad.cj, rad.ny, max(have) AS k, "
+        f"least(rad.value - r, min(cum.v)) AS lo, greatest(rad.value + r, max(cum.v)) AS hi "
+        f"FROM rad JOIN cum USING (feature, Quality_Class, value) WHERE cum.d <= r GROUP BY feature, rad.Quality_Class, rad.value, "
+        f"rad.cj, rad.ny, r), "
+        f"p AS (SELECT feature, value, sum(sum(cj)) OVER (PARTITION BY feature ORDER BY value) AS upto FROM own GROUP BY feature, value), "
+        f"m AS (SELECT e.*, h.upto - coalesce(l.upto, 0) - 1 AS m FROM e ASOF JOIN p h ON e.feature = h.feature AND e.hi >= h.value "
+        f"ASOF LEFT JOIN p l ON e.feature = l.feature AND e.lo > l.value), "
+        f"s AS (SELECT feature, sum(cj) AS n, sum(cj * ({digamma_sql('k')} - {digamma_sql('ny')} - {digamma_sql('m')})) AS s "
+        f"FROM m GROUP BY feature) "
+        f"SELECT feature, round_even(greatest({digamma_sql('n')} + s / n, 0.0), 6) AS mutual_information_score, "
+        f"'INFO' AS status, {q(TEXT['mi'])} AS interpretation FROM s")
+
+
 def category_codes_sql(cols=CATEGORICAL) -> str:
     d = union_all([f"SELECT DISTINCT {q(c)} AS feature, coalesce(CAST({c} AS VARCHAR), 'Missing') AS category FROM builds"
                    for c in cols])
@@ -357,6 +393,7 @@ register("constant_features", with_builds(constant_features_sql()))
 register("skewness_report", with_builds(skewness_sql()))
 register("leakage_candidates", with_builds(leakage_candidates_sql(_C)))
 register("mutual_information", with_builds(mutual_information_sql(_MI_NUM, CATEGORICAL)))
+register("mutual_information_neighbours", with_builds(mutual_information_neighbours_sql(_MI_NUM, CATEGORICAL)))
 register("median_fill", with_builds(median_fill_sql(NUMERIC)))
 register("category_fill_encode", with_builds(category_codes_sql()))
 register("production_risks", with_builds(production_risks_sql(_C)))

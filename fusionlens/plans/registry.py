@@ -54,6 +54,7 @@ QUERIES.update({
     "skewness_report": lambda s, d: stats.skewness_report(_b(s, d)),
     "leakage_candidates": lambda s, d: stats.leakage_candidates(_b(s, d)),
     "mutual_information": lambda s, d: stats.mutual_information(_b(s, d)),
+    "mutual_information_neighbours": lambda s, d: stats.mutual_information_neighbours(_b(s, d)),
     "median_fill": lambda s, d: _median_fill(s, d),
     "category_fill_encode": lambda s, d: stats.category_codes(_b(s, d, CATEGORICAL), CATEGORICAL),
     "production_risks": lambda s, d: _production_risks(s, d),
