@@ -1026,6 +1026,8 @@ register("alert_debounce", with_builds(
 
 # streams and sinks give what their batch forms give
 register("quality_drift_stream", SQL["quality_drift_window"])
+register("inspection_drift_stream", SQL["inspection_drift_window"])
+register("prediction_mix_rule_stream", SQL["prediction_mix_drift_rule"])
 register("alert_debounce_stream", SQL["alert_debounce"])
 register("sink_metrics_json", SQL["classification_metrics"])
 register("sink_reports", " UNION ALL ".join(

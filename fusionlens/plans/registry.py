@@ -409,7 +409,15 @@ def _stream_quality(spark, sf_dir):
     schema = spark.read.parquet(src).schema
     q = monitoring.stream_quality_drift(spark, src, schema, sink, shared_path(spark, "ckpt-drift"))
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return monitoring.newest_epoch(spark, sink)
+
+
+def _stream_windows(spark, rows, aggregates):
+    src = shared_path(spark, "windows-stream-src")
+    rows.write.parquet(src)
+    sink = shared_path(spark, "windows-stream")
+    monitoring.stream_window_table(spark, src, rows.schema, sink, shared_path(spark, "ckpt-windows"), aggregates).awaitTermination()
+    return monitoring.newest_epoch(spark, sink)
 
 
 QUERIES.update({
@@ -426,6 +434,10 @@ QUERIES.update({
         "cooling_to_gradient_ratio", "strategy_power_window"),
     "stream_scoring": _stream_scoring,
     "quality_drift_stream": _stream_quality,
+    "inspection_drift_stream": lambda s, d: _stream_windows(s, _mon(s, d), monitoring.inspection_means()),
+    "prediction_mix_rule_stream": lambda s, d: _stream_windows(s, _rule_scored(s, d), monitoring.prediction_mix()),
+    "prediction_mix_stream": lambda s, d: _stream_windows(
+        s, _model_scored(s, d), monitoring.prediction_mix(prob_col="class_probabilities", risk_col="risk_probability")),
 })
 
 

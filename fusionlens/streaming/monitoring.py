@@ -2,13 +2,13 @@
 
 The drift tables are batch DataFrame functions: tumbling ``window(event_time,
 ...)`` groups with partial aggregation, the baseline a small aggregate joined
-back. Quality drift, scoring and the debounced alerts also have stream forms
-below, which give the batch results; the other tables run per batch.
+back. Quality, inspection and prediction drift, scoring and the debounced alerts also
+have stream forms below, which give the batch results; the other tables run per batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,11 +47,14 @@ def quality_drift_window(df: DataFrame, window: str = WINDOW, baseline: DataFram
 
 def inspection_drift_window(df: DataFrame, window: str = WINDOW) -> DataFrame:
     """Means of porosity, relative density and defect count per window."""
-    return _windowed(df, window).groupBy("window_start", "window_end").agg(
-        F.count(F.lit(1)).alias("samples"),
-        F.avg(nan_to_null("Porosity_percent")).alias("mean_porosity_percent"),
-        F.avg(nan_to_null("Relative_Density_percent")).alias("mean_relative_density_percent"),
-        F.avg(nan_to_null("Defect_Count")).alias("mean_defect_count"))
+    return _windowed(df, window).groupBy("window_start", "window_end").agg(*inspection_means())
+
+
+def inspection_means() -> list[Column]:
+    return [F.count(F.lit(1)).alias("samples"),
+            F.avg(nan_to_null("Porosity_percent")).alias("mean_porosity_percent"),
+            F.avg(nan_to_null("Relative_Density_percent")).alias("mean_relative_density_percent"),
+            F.avg(nan_to_null("Defect_Count")).alias("mean_defect_count")]
 
 
 def process_drift_psi(df: DataFrame, window: str = WINDOW, features: list[str] = DRIFT_FEATURES,
@@ -92,14 +95,18 @@ INBUILD_RULE = ("CASE WHEN Energy_Density_J_mm3 >= 90 THEN 'Poor' WHEN Melt_Pool
 def prediction_mix_drift(scored: DataFrame, window: str = WINDOW, pred_col: str = "predicted_quality_class",
                          prob_col: str | None = None, risk_col: str | None = None) -> DataFrame:
     """Share of each predicted class per window; with a map of class probabilities the mean confidence, and the mean risk."""
-    w = _windowed(scored, window)
+    return _windowed(scored, window).groupBy("window_start", "window_end").agg(*prediction_mix(pred_col, prob_col, risk_col))
+
+
+def prediction_mix(pred_col: str = "predicted_quality_class", prob_col: str | None = None,
+                   risk_col: str | None = None) -> list[Column]:
     aggs = [F.count(F.lit(1)).alias("samples")]
     aggs += [(F.count_if(F.col(pred_col) == q) / F.count(F.lit(1))).alias(f"share_{q}") for q in QUALITY_ORDER]
     if prob_col:
         aggs.append(F.avg(F.array_max(F.map_values(prob_col))).alias("mean_confidence"))
     if risk_col:
         aggs.append(F.avg(risk_col).alias("mean_risk_probability"))
-    return w.groupBy("window_start", "window_end").agg(*aggs)
+    return aggs
 
 
 def drift_alerts(quality_drift: DataFrame, psi: DataFrame, risk_delta: float = RISK_DELTA_ALERT,
@@ -187,15 +194,15 @@ def stream_quality_drift(spark: SparkSession, source_dir: str, schema: T.StructT
                          checkpoint_dir: str, window: str = WINDOW, baseline: DataFrame | None = None):
     """``quality_drift_window`` over a stream of build rows: every window, the newest too.
 
-    The state is one row of counts per window. Each micro-batch rewrites the
-    small result table from that state, so a batch that runs again changes
-    nothing. The baseline rate is that of ``baseline``, or of all rows so far.
+    The state is one row of counts per window. Each micro-batch writes the
+    small result table from that state into a folder of its own (read the last with
+    ``newest_epoch``). The baseline rate is that of ``baseline``, or of all rows so far.
     """
     src = spark.readStream.schema(schema).parquet(source_dir).filter(F.col(TARGET).isNotNull())
     counts = src.groupBy(F.window(_event_ts(), window).alias("w")).agg(
         F.count(F.lit(1)).alias("samples"), F.sum(risk_flag()).alias("risk_count"))
 
-    def rewrite(windows: DataFrame, epoch_id: int):
+    def finish(windows: DataFrame) -> DataFrame:
         rate = lambda risk, n: F.lit(100.0) * risk / n
         rows = windows.select(
             F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"),
@@ -205,14 +212,45 @@ def stream_quality_drift(spark: SparkSession, source_dir: str, schema: T.StructT
         else:
             base = baseline.filter(F.col(TARGET).isNotNull()).agg(
                 rate(F.sum(risk_flag()), F.count(F.lit(1))).alias("baseline_risk_rate_percent"))
-        attach_one_row(rows, base).withColumn(
-            "delta_percent_points", F.col("risk_rate_percent") - F.col("baseline_risk_rate_percent")
-        ).write.mode("overwrite").parquet(sink_dir)
+        return attach_one_row(rows, base).withColumn(
+            "delta_percent_points", F.col("risk_rate_percent") - F.col("baseline_risk_rate_percent"))
 
-    return (counts.writeStream.outputMode("complete").foreachBatch(rewrite)
+    return _publish(counts, finish, sink_dir, checkpoint_dir)
+
+
+def stream_window_table(spark: SparkSession, source_dir: str, schema: T.StructType, sink_dir: str, checkpoint_dir: str,
+                        aggregates: list[Column], window: str = WINDOW):
+    """One row per tumbling window of a stream of rows with ``event_time``: ``inspection_means()``, ``prediction_mix()``.
+
+    The state is a partial aggregate per window, kept for all windows, so late rows count in theirs
+    and the table equals the batch one. Rows without a time are left out.
+    """
+    src = spark.readStream.schema(schema).parquet(source_dir)
+    table = src.groupBy(F.window(_event_ts(), window).alias("w")).agg(*aggregates)
+
+    def finish(windows: DataFrame) -> DataFrame:
+        return windows.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                              F.col("w.end").cast("timestamp_ntz").alias("window_end"), *[c for c in windows.columns if c != "w"])
+
+    return _publish(table, finish, sink_dir, checkpoint_dir)
+
+
+def _publish(windows: DataFrame, finish, sink_dir: str, checkpoint_dir: str):
+    """Each micro-batch writes its whole table as ``epoch_id=<n>``; one that runs again replaces its own folder only."""
+    def write(batch: DataFrame, epoch_id: int):
+        finish(batch).write.mode("overwrite").parquet(f"{sink_dir}/epoch_id={epoch_id}")
+
+    return (windows.writeStream.outputMode("complete").foreachBatch(write)
             .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
 
 
+def newest_epoch(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The table of the last finished micro-batch; files of an unfinished one are not seen."""
+    epochs = spark.read.parquet(sink_dir)
+    last = epochs.agg(F.max("epoch_id")).first()[0]
+    return epochs.where(F.col("epoch_id") == F.lit(last)).drop("epoch_id")
+
+
 def score_epoch(batch: DataFrame, epoch_id: int, valid_dir: str, reject_dir: str, score_fn) -> None:
     """Write a micro-batch's scored and rejected records into folders of its own: a batch that runs again replaces them."""
     from fusionlens.operators.scoring import parse_requests

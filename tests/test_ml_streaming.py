@@ -32,10 +32,27 @@ def test_stream_drift_equals_batch_twin(spark, builds_small, tmp_path):
     for _ in range(2):  # a second run finds no new files and changes nothing
         q = monitoring.stream_quality_drift(spark, src, spark.read.parquet(src).schema, sink, str(tmp_path / "ck"))
         q.awaitTermination()
-        streamed = sorted(map(tuple, spark.read.parquet(sink).collect()))
+        streamed = sorted(map(tuple, monitoring.newest_epoch(spark, sink).collect()))
         assert streamed == sorted(map(tuple, monitoring.quality_drift_window(builds_small).collect()))
 
 
+def test_stream_inspection_means_take_late_rows_and_survive_a_restart(spark, builds_small, tmp_path):
+    src, sink, ck = str(tmp_path / "src"), str(tmp_path / "sink"), str(tmp_path / "ck")
+    late = F.col("Sample_ID") % 3 == 0
+    want = {}
+    for part in (~late, late):  # the second run begins anew from the checkpoint and brings rows of old windows
+        builds_small.where(part).write.mode("append").parquet(src)
+        monitoring.stream_window_table(spark, src, builds_small.schema, sink, ck, monitoring.inspection_means()).awaitTermination()
+        seen = spark.read.parquet(src)
+        want = {r["window_start"]: r for r in monitoring.inspection_drift_window(seen).collect()}
+        got = {r["window_start"]: r for r in monitoring.newest_epoch(spark, sink).collect()}
+        assert set(got) == set(want) and len(got) > 1
+        for w, r in got.items():
+            assert r["samples"] == want[w]["samples"] and r["window_end"] == want[w]["window_end"]
+            assert abs(r["mean_defect_count"] - want[w]["mean_defect_count"]) < 1e-9
+    assert sum(r["samples"] for r in want.values()) == builds_small.where("event_time IS NOT NULL").count()
+
+
 def test_a_replayed_scoring_batch_adds_nothing(spark, tmp_path):
     from fusionlens.operators import scoring
 
