@@ -191,6 +191,10 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     return long.unionByName(mirrored).unionByName(diag)
 
 
+SKETCH_LG = 14  # 2^14 registers: a standard error of about 0.7 %
+SKETCH_MARGIN = 0.05
+
+
 def constant_features(df: DataFrame) -> DataFrame:
     """Distinct values per column (NULL counts as a value) and ratio to rows.
 
@@ -212,6 +216,36 @@ def constant_features(df: DataFrame) -> DataFrame:
                       round_half_even(ratio, 4).alias("unique_ratio"), status.alias("status"), interp.alias("interpretation"))
 
 
+def constant_verdicts(df: DataFrame) -> DataFrame:
+    """(feature, status, interpretation) of ``constant_features`` without its exact counts.
+
+    One scan: a HyperLogLog sketch of 64-bit hashes per column, merged across tasks, and
+    an exact test for one value. Only columns whose estimate lies within
+    ``SKETCH_MARGIN`` of the near-constant limit (some seven standard errors) are
+    counted exactly by ``constant_features``, which is not run when there are none.
+    The scan runs while the plan is built and brings one row to the driver.
+    An empty table has no rows here either. NaN is a value, as NULL is.
+    """
+    cols, limit = df.columns, THRESHOLDS["near_constant_ratio"]
+    facts = df.agg(F.count(F.lit(1)).alias("__n"), *[x for i, c in enumerate(cols) for x in (
+        F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(c), F.lit(SKETCH_LG))).alias(f"u{i}"),
+        (F.min(c).eqNullSafe(F.max(c)) & F.count(c).isin(0, F.count(F.lit(1)))).alias(f"one{i}"))]).first()
+    n = facts["__n"]
+    rows, unsure = [], []
+    for i, c in enumerate(cols if n else []):
+        if facts[f"one{i}"]:
+            rows.append((c, "WARN", TEXT["constant"]))
+        elif abs(facts[f"u{i}"] - limit * n) <= SKETCH_MARGIN * limit * n:
+            unsure.append(c)
+        else:
+            near = facts[f"u{i}"] < limit * n
+            rows.append((c, "WARN" if near else "PASS", TEXT["near_constant"] if near else TEXT["varied"]))
+    sure = df.sparkSession.createDataFrame(rows, "feature string, status string, interpretation string")
+    if not unsure:
+        return sure
+    return sure.unionByName(constant_features(df.select(*unsure)).select("feature", "status", "interpretation"))
+
+
 def skewness_report(df: DataFrame, exclude: tuple = ()) -> DataFrame:
     cols = numeric_columns(df, exclude)
     wide = df.agg(*[adjusted_skewness(F.col(c).cast("double")).alias(c) for c in cols])
@@ -259,11 +293,9 @@ def category_codes(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 def category_fill_encode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Replace each categorical column by its ordinal code (NULL -> "Missing" first)."""
     cols = columns if columns is not None else non_numeric_columns(df, exclude=(TARGET,))
-    codes = category_codes(df, cols)
     out = df
     for c in cols:
-        m = codes.filter(F.col("feature") == c).select(F.col("category").alias(f"__cat_{c}"),
-                                                        F.col("code").alias(f"__code_{c}"))
+        m = category_codes(df, [c]).select(F.col("category").alias(f"__cat_{c}"), F.col("code").alias(f"__code_{c}"))
         out = out.withColumn(f"__cat_{c}", F.coalesce(F.col(c).cast("string"), F.lit("Missing")))
         out = out.join(m, f"__cat_{c}", "left").withColumn(c, F.col(f"__code_{c}").cast("double")).drop(
             f"__cat_{c}", f"__code_{c}")

@@ -390,12 +390,15 @@ register("iqr_outliers", with_builds(iqr_outliers_sql()))
 register("class_balance", with_builds(class_balance_sql()))
 register("correlation_pairs", with_builds(correlation_pairs_sql()))
 register("constant_features", with_builds(constant_features_sql()))
+register("constant_verdicts", with_builds(f"SELECT feature, status, interpretation FROM ({constant_features_sql()}) c"))
 register("skewness_report", with_builds(skewness_sql()))
 register("leakage_candidates", with_builds(leakage_candidates_sql(_C)))
 register("mutual_information", with_builds(mutual_information_sql(_MI_NUM, CATEGORICAL)))
 register("mutual_information_neighbours", with_builds(mutual_information_neighbours_sql(_MI_NUM, CATEGORICAL)))
 register("median_fill", with_builds(median_fill_sql(NUMERIC)))
 register("category_fill_encode", with_builds(category_codes_sql()))
+register("category_encode_rows", with_builds("SELECT Sample_ID, " + ", ".join(
+    f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'Missing')) - 1 AS DOUBLE) AS {c}" for c in CATEGORICAL) + " FROM builds"))
 register("production_risks", with_builds(production_risks_sql(_C)))
 register("statistical_bundle", with_builds(statistical_bundle_sql(_C)))
 
@@ -1027,6 +1030,7 @@ register("alert_debounce", with_builds(
 # streams and sinks give what their batch forms give
 register("quality_drift_stream", SQL["quality_drift_window"])
 register("inspection_drift_stream", SQL["inspection_drift_window"])
+register("process_drift_stream", with_builds(f"SELECT *, 1 AS baseline_version FROM ({psi_sql()}) p", with_extras=True))
 register("prediction_mix_rule_stream", SQL["prediction_mix_drift_rule"])
 register("alert_debounce_stream", SQL["alert_debounce"])
 register("sink_metrics_json", SQL["classification_metrics"])

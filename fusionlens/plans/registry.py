@@ -51,12 +51,14 @@ QUERIES.update({
     "class_balance": lambda s, d: stats.class_balance(_b(s, d, ["Quality_Class"])),
     "correlation_pairs": lambda s, d: stats.correlation_pairs(_b(s, d)),
     "constant_features": lambda s, d: stats.constant_features(_b(s, d)),
+    "constant_verdicts": lambda s, d: stats.constant_verdicts(_b(s, d)),
     "skewness_report": lambda s, d: stats.skewness_report(_b(s, d)),
     "leakage_candidates": lambda s, d: stats.leakage_candidates(_b(s, d)),
     "mutual_information": lambda s, d: stats.mutual_information(_b(s, d)),
     "mutual_information_neighbours": lambda s, d: stats.mutual_information_neighbours(_b(s, d)),
     "median_fill": lambda s, d: _median_fill(s, d),
     "category_fill_encode": lambda s, d: stats.category_codes(_b(s, d, CATEGORICAL), CATEGORICAL),
+    "category_encode_rows": lambda s, d: stats.category_fill_encode(_b(s, d, ["Sample_ID", *CATEGORICAL]), CATEGORICAL),
     "production_risks": lambda s, d: _production_risks(s, d),
     "statistical_bundle": lambda s, d: stats.statistical_bundle(_b(s, d)),
 })
@@ -125,7 +127,7 @@ def _written(spark, sf_dir, cols=None):
 def _quality_audit(spark, sf_dir):
     df = _b(spark, sf_dir)
     return summary.quality_audit(quality.schema_report(df), quality.missing_values(df), quality.duplicate_rows(df),
-                                 quality.physical_ranges(df), stats.constant_features(df))
+                                 quality.physical_ranges(df), stats.constant_verdicts(df))
 
 
 def _pred(spark, sf_dir):
@@ -420,6 +422,16 @@ def _stream_windows(spark, rows, aggregates):
     return monitoring.newest_epoch(spark, sink)
 
 
+def _stream_process_drift(spark, sf_dir):
+    """Every build as a stream, held against version 1 of a baseline frozen from the whole table."""
+    src, sink, base = shared_path(spark, "process-stream-src"), shared_path(spark, "process-stream"), shared_path(spark, "baseline")
+    rows = _mon(spark, sf_dir)
+    rows.write.parquet(src)
+    monitoring.freeze_baseline(monitoring.drift_baseline(spark.read.parquet(src)), base, 1)
+    monitoring.stream_process_drift(spark, src, rows.schema, sink, shared_path(spark, "ckpt-process"), base, 1).awaitTermination()
+    return monitoring.newest_epoch(spark, sink)
+
+
 QUERIES.update({
     "quality_drift_window": lambda s, d: monitoring.quality_drift_window(_mon(s, d)),
     "inspection_drift_window": lambda s, d: monitoring.inspection_drift_window(_mon(s, d)),
@@ -434,6 +446,7 @@ QUERIES.update({
         "cooling_to_gradient_ratio", "strategy_power_window"),
     "stream_scoring": _stream_scoring,
     "quality_drift_stream": _stream_quality,
+    "process_drift_stream": _stream_process_drift,
     "inspection_drift_stream": lambda s, d: _stream_windows(s, _mon(s, d), monitoring.inspection_means()),
     "prediction_mix_rule_stream": lambda s, d: _stream_windows(s, _rule_scored(s, d), monitoring.prediction_mix()),
     "prediction_mix_stream": lambda s, d: _stream_windows(

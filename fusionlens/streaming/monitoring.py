@@ -2,7 +2,7 @@
 
 The drift tables are batch DataFrame functions: tumbling ``window(event_time,
 ...)`` groups with partial aggregation, the baseline a small aggregate joined
-back. Quality, inspection and prediction drift, scoring and the debounced alerts also
+back. Quality, inspection, process and prediction drift, scoring and the debounced alerts also
 have stream forms below, which give the batch results; the other tables run per batch.
 """
 
@@ -57,35 +57,62 @@ def inspection_means() -> list[Column]:
             F.avg(nan_to_null("Defect_Count")).alias("mean_defect_count")]
 
 
+def _feature_values(df: DataFrame, keep: list[str], features: list[str]) -> DataFrame:
+    return df.select(*keep, *[nan_to_null(F.col(c).cast("double")).alias(c) for c in features]).unpivot(
+        keep, features, "feature", "value").filter(F.col("value").isNotNull())
+
+
+def _with_bins(long: DataFrame, ranges: DataFrame, bins: int) -> DataFrame:
+    # one row per drift feature: bounded by the feature list
+    return long.join(F.broadcast(ranges), "feature").withColumn("bin", edge_bin("value", "lo", "hi", bins, right_closed=False))
+
+
+def drift_baseline(df: DataFrame, features: list[str] = DRIFT_FEATURES, bins: int = PSI_BINS) -> DataFrame:
+    """(feature, lo, hi, bin, share): range and share of each of ``bins`` equal-width left-closed bins; empty bins hold 0."""
+    long = _feature_values(df, [], features)
+    ranges = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    counts = _with_bins(long, ranges, bins).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("__c"))
+    grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    n = F.sum("__c").over(Window.partitionBy("feature"))  # ``bins`` rows a feature
+    return grid.join(counts, ["feature", "bin"], "left").select(
+        "feature", "lo", "hi", "bin", (F.coalesce(F.col("__c"), F.lit(0)) / n).alias("share"))
+
+
+def freeze_baseline(baseline: DataFrame, table_dir: str, version: int) -> None:
+    """Write a baseline as ``baseline_version=<n>`` of a table; a version that exists is an error, never replaced."""
+    baseline.coalesce(1).write.parquet(f"{table_dir}/baseline_version={version}")
+
+
+def frozen_baseline(spark: SparkSession, table_dir: str, version: int) -> DataFrame:
+    """One version of the table, with its ``baseline_version``."""
+    return spark.read.option("basePath", table_dir).parquet(f"{table_dir}/baseline_version={version}")
+
+
+def _psi(counts: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
+    """PSI per ``keys`` and feature from (keys, feature, bin, __c) counts; absent bins count 0, shares are floored."""
+    totals = counts.groupBy(*keys, "feature").agg(F.sum("__c").alias("__n"))
+    # the baseline has one row per drift feature and bin (and version): bounded by the feature list
+    on = [k for k in ("baseline_version", "feature") if k in (*keys, "feature")]
+    full = totals.join(F.broadcast(baseline.select(*on, "bin", "share")), on).join(
+        counts, [*keys, "feature", "bin"], "left")
+    a = F.greatest(F.coalesce(F.col("__c"), F.lit(0)) / F.col("__n"), F.lit(PSI_FLOOR))
+    b = F.greatest(F.col("share"), F.lit(PSI_FLOOR))
+    return full.groupBy(*keys, "feature").agg(F.sum((a - b) * F.log(a / b)).alias("psi"))
+
+
 def process_drift_psi(df: DataFrame, window: str = WINDOW, features: list[str] = DRIFT_FEATURES,
                       bins: int = PSI_BINS, baseline: DataFrame | None = None) -> DataFrame:
     """Population stability index per window and feature against baseline bin shares.
 
     Bins: ``bins`` equal-width left-closed bins on the baseline range (values
     outside fall in the end bins). Shares are floored at 1e-6 so empty bins
-    stay finite: PSI = sum (a - b) ln(a / b).
+    stay finite: PSI = sum (a - b) ln(a / b). ``baseline`` holds rows like ``df``.
     """
-    base_df = baseline if baseline is not None else df
-    long_b = base_df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in features]).unpivot(
-        [], features, "feature", "value").filter(F.col("value").isNotNull())
-    rng = long_b.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-
-    def binned(long):
-        # one row per drift feature: bounded by the feature list
-        j = long.join(F.broadcast(rng), "feature")
-        return j.withColumn("bin", edge_bin("value", "lo", "hi", bins, right_closed=False))
-    bshare = binned(long_b).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("__c"))
-    bshare = bshare.withColumn("b", F.col("__c") / F.sum("__c").over(Window.partitionBy("feature"))).drop("__c")
-    wdf = _windowed(df, window)
-    long_w = wdf.select("window_start", *[nan_to_null(F.col(c).cast("double")).alias(c) for c in features]).unpivot(
-        ["window_start"], features, "feature", "value").filter(F.col("value").isNotNull())
-    wcount = binned(long_w).groupBy("window_start", "feature", "bin").agg(F.count(F.lit(1)).alias("__c"))
-    tot = wcount.groupBy("window_start", "feature").agg(F.sum("__c").alias("__n"))
-    grid = tot.select("window_start", "feature", "__n", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
-    full = grid.join(wcount, ["window_start", "feature", "bin"], "left").join(bshare, ["feature", "bin"], "left")
-    a = F.greatest(F.coalesce(F.col("__c"), F.lit(0)) / F.col("__n"), F.lit(PSI_FLOOR))
-    b = F.greatest(F.coalesce(F.col("b"), F.lit(0.0)), F.lit(PSI_FLOOR))
-    return full.groupBy("window_start", "feature").agg(F.sum((a - b) * F.log(a / b)).alias("psi"))
+    base = drift_baseline(baseline if baseline is not None else df, features, bins)
+    ranges = base.select("feature", "lo", "hi").distinct()
+    long = _feature_values(_windowed(df, window), ["window_start"], features)
+    counts = _with_bins(long, ranges, bins).groupBy("window_start", "feature", "bin").agg(F.count(F.lit(1)).alias("__c"))
+    return _psi(counts, base, ["window_start"])
 
 
 INBUILD_RULE = ("CASE WHEN Energy_Density_J_mm3 >= 90 THEN 'Poor' WHEN Melt_Pool_Depth_um >= 70 THEN 'Moderate' "
@@ -235,6 +262,32 @@ def stream_window_table(spark: SparkSession, source_dir: str, schema: T.StructTy
     return _publish(table, finish, sink_dir, checkpoint_dir)
 
 
+def stream_process_drift(spark: SparkSession, source_dir: str, schema: T.StructType, sink_dir: str, checkpoint_dir: str,
+                         baseline_dir: str, version: int, window: str = WINDOW):
+    """``process_drift_psi`` over a stream, against version ``version`` of a frozen baseline table.
+
+    The state is one count per window, feature and bin, kept for all windows, so late rows count in
+    theirs. The version is part of the state's key: after a restart with another version, only the
+    rows from then on are held against it and the earlier windows keep theirs. The number of
+    bins and the features are the baseline's. Rows without a time or a value are left out.
+    """
+    tables = spark.read.parquet(baseline_dir)
+    base = frozen_baseline(spark, baseline_dir, version)
+    facts = base.groupBy("feature").agg(F.max("bin").alias("bins")).collect()  # one row per drift feature
+    features, bins = sorted(r["feature"] for r in facts), max(r["bins"] for r in facts)
+    src = spark.readStream.schema(schema).parquet(source_dir).withColumn("w", F.window(_event_ts(), window))
+    long = _feature_values(src, ["w"], features)
+    # the version comes as a column of the table: a literal would be folded out of the state's key
+    ranges = base.select("baseline_version", "feature", "lo", "hi").distinct()
+    counts = _with_bins(long, ranges, bins).groupBy("w", "baseline_version", "feature", "bin").agg(F.count(F.lit(1)).alias("__c"))
+
+    def finish(state: DataFrame) -> DataFrame:
+        rows = state.withColumn("window_start", F.col("w.start").cast("timestamp_ntz")).drop("w")
+        return _psi(rows, tables, ["window_start", "baseline_version"])
+
+    return _publish(counts, finish, sink_dir, checkpoint_dir)
+
+
 def _publish(windows: DataFrame, finish, sink_dir: str, checkpoint_dir: str):
     """Each micro-batch writes its whole table as ``epoch_id=<n>``; one that runs again replaces its own folder only."""
     def write(batch: DataFrame, epoch_id: int):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from fusionlens.operators import ml, scoring
@@ -53,6 +54,33 @@ def test_stream_inspection_means_take_late_rows_and_survive_a_restart(spark, bui
     assert sum(r["samples"] for r in want.values()) == builds_small.where("event_time IS NOT NULL").count()
 
 
+def test_process_drift_stream_holds_late_rows_against_a_frozen_baseline(spark, builds_small, tmp_path):
+    src, sink, ck, base = (str(tmp_path / n) for n in ("src", "sink", "ck", "base"))
+    early = builds_small.where("Sample_ID % 2 = 0")
+    monitoring.freeze_baseline(monitoring.drift_baseline(early), base, 1)
+    with pytest.raises(Exception, match="(?i)exists"):
+        monitoring.freeze_baseline(monitoring.drift_baseline(builds_small), base, 1)
+    late = F.col("Sample_ID") % 3 == 0
+
+    def run(version):
+        monitoring.stream_process_drift(spark, src, builds_small.schema, sink, ck, base, version).awaitTermination()
+        return {(r["baseline_version"], r["window_start"], r["feature"]): r["psi"] for r in monitoring.newest_epoch(spark, sink).collect()}
+
+    for part in (~late, late):  # the second run begins anew from the checkpoint and brings rows of old windows
+        builds_small.where(part).write.mode("append").parquet(src)
+        got = run(1)
+        want = {(1, r["window_start"], r["feature"]): r["psi"]
+                for r in monitoring.process_drift_psi(spark.read.parquet(src), baseline=early).collect()}
+        assert set(got) == set(want) and len(got) > 4
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    monitoring.freeze_baseline(monitoring.drift_baseline(builds_small), base, 2)
+    builds_small.where(late).write.mode("append").parquet(src)
+    after = run(2)
+    assert {k: v for k, v in after.items() if k[0] == 1} == got  # windows of version 1 keep their values
+    fresh = monitoring.process_drift_psi(builds_small.where(late), baseline=builds_small)
+    assert {k[1:] for k in after if k[0] == 2} == {(r["window_start"], r["feature"]) for r in fresh.collect()}
+
+
 def test_a_replayed_scoring_batch_adds_nothing(spark, tmp_path):
     from fusionlens.operators import scoring
 

@@ -61,3 +61,29 @@ def test_class_balance_ratio(six_rows):
     rows = stats.class_balance(six_rows).collect()
     assert {r["imbalance_ratio_majority_to_minority"] for r in rows} == {2.0}
     assert {r["status"] for r in rows} == {"PASS"}
+
+
+def test_constant_verdicts_equal_the_exact_report(spark):
+    from fusionlens.operators import stats
+
+    limit = stats.THRESHOLDS["near_constant_ratio"]
+    n = 20_000
+    at = int(limit * n)
+    df = spark.range(n).select(
+        F.lit(3.5).alias("one"), F.lit(None).cast("string").alias("nulls"),
+        F.when(F.col("id") > 0, 1.0).alias("one_and_null"), (F.col("id") % 3).alias("few"),
+        (F.col("id") % (at - 1)).alias("just_below"), (F.col("id") % at).alias("at_limit"),
+        (F.col("id") % (2 * at)).cast("string").alias("above"), F.col("id").alias("key"),
+        F.when(F.col("id") % 2 == 0, float("nan")).otherwise(1.0).alias("nans"))
+    for rows in (df, df.limit(0), df.limit(1)):
+        exact = stats.constant_features(rows).select("feature", "status", "interpretation").collect()
+        assert sorted(stats.constant_verdicts(rows).collect()) == sorted(exact)
+
+
+def test_categories_become_codes_row_by_row(spark):
+    from fusionlens.operators import stats
+
+    df = spark.createDataFrame([(1, "b", "x"), (2, None, "x"), (3, "a", None), (4, "b", "x")], "Sample_ID long, p string, q string")
+    got = {r["Sample_ID"]: (r["p"], r["q"]) for r in stats.category_fill_encode(df, ["p", "q"]).collect()}
+    # codes in sorted order of the texts: Missing, a, b and Missing, x
+    assert got == {1: (2.0, 1.0), 2: (0.0, 1.0), 3: (1.0, 0.0), 4: (2.0, 1.0)}
