@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from fusionlens.contract import QUALITY_ORDER, TARGET, scenario_columns
 from fusionlens.functions.exprs import edge_bin, nan_to_null, risk_flag
 from fusionlens.functions.frames import attach_one_row
+from fusionlens.operators.rolling import PART_ROWS, rolling_stats
 
 WINDOW = "30 days"
 DRIFT_FEATURES = ["Laser_Power_W", "Scan_Speed_mm_s", "Melt_Pool_Temp_C", "Thermal_Gradient"]
@@ -149,53 +150,9 @@ def drift_alerts(quality_drift: DataFrame, psi: DataFrame, risk_delta: float = R
 
 
 def rolling_sensor_stats(df: DataFrame, signal: str = "Melt_Pool_Temp_C", key: str = "machine_id",
-                         days: int = 7, bucket_days: int = 28) -> DataFrame:
-    """Rolling count, mean, std, peak-to-average and unbiased excess kurtosis per machine over the
-    ``days`` before each reading (time range, ties included).
-
-    A machine holding a third of all rows must not become one task: rows are
-    split into ``bucket_days`` time buckets, each bucket also receives the last
-    ``days`` of the previous bucket as read-only halo rows, and the window runs
-    per (machine, bucket). Every frame lies inside its bucket plus halo, so the
-    result is exact.
-    """
-    if bucket_days < days:
-        raise ValueError("bucket_days must be >= days")
-    day = 86400
-    t = _event_ts().cast("long")
-    base = df.select(key, "event_time", nan_to_null(F.col(signal).cast("double")).alias("x"), t.alias("__t")).filter(
-        F.col("x").isNotNull() & F.col("__t").isNotNull())
-    # shift by the floor of the global mean: the moment sums below then stay well conditioned
-    shift = base.agg(F.floor(F.avg("x")).cast("double").alias("__sh"))
-    base = attach_one_row(base, shift).withColumn("x", F.col("x") - F.col("__sh"))
-    base = base.withColumn("__b", F.floor(F.col("__t") / F.lit(bucket_days * day)))
-    own = base.withColumn("__part", F.col("__b")).withColumn("__halo", F.lit(False))
-    edge = (F.col("__b") + 1) * F.lit(bucket_days * day) - F.lit(days * day)
-    halo = base.filter(F.col("__t") >= edge).withColumn("__part", F.col("__b") + 1).withColumn("__halo", F.lit(True))
-    rows = own.unionByName(halo)
-    w = Window.partitionBy(key, "__part").orderBy("__t").rangeBetween(-days * day, 0)
-    n = F.count("x").over(w)
-    s1, s2 = F.sum("x").over(w), F.sum(F.col("x") ** 2).over(w)
-    s3, s4 = F.sum(F.col("x") ** 3).over(w), F.sum(F.col("x") ** 4).over(w)
-    mx = F.max("x").over(w)
-    out = rows.select(key, "event_time", "x", "__sh", "__halo", n.alias("n"), s1.alias("s1"), s2.alias("s2"),
-                      s3.alias("s3"), s4.alias("s4"), mx.alias("mx")).filter(~F.col("__halo"))
-    mean = F.col("s1") / F.col("n")  # of the shifted signal
-    m2 = F.col("s2") / F.col("n") - mean ** 2
-    m4 = (F.col("s4") / F.col("n") - 4 * mean * F.col("s3") / F.col("n") + 6 * mean ** 2 * F.col("s2") / F.col("n")
-          - 3 * mean ** 4)
-    var_s = F.when(F.col("n") > 1, (F.col("s2") - F.col("n") * mean ** 2) / (F.col("n") - 1))
-    # unbiased excess kurtosis (as a rolling pandas kurt): needs 4 readings and a spread
-    n_ = F.col("n").cast("double")
-    spread = m2 > F.lit(1e-12) * (F.col("s2") / F.col("n"))
-    kurt = F.when((F.col("n") >= 4) & spread,
-                  ((n_ + 1) * (n_ - 1) * (m4 / (m2 ** 2)) - 3 * (n_ - 1) ** 2) / ((n_ - 2) * (n_ - 3)))
-    return out.select(
-        key, "event_time", (F.col("x") + F.col("__sh")).alias(signal), F.col("n").alias("rolling_count"),
-        (mean + F.col("__sh")).alias("rolling_mean"),
-        F.when(F.col("n") > 1, F.sqrt(F.greatest(var_s, F.lit(0.0)))).alias("rolling_std"),
-        F.try_divide(F.col("mx") + F.col("__sh"), mean + F.col("__sh")).alias("peak_to_average"),
-        kurt.alias("rolling_kurtosis"))
+                         days: int = 7, part_rows: int = PART_ROWS) -> DataFrame:
+    """``rolling_stats`` of a machine's signal over the ``days`` before each reading."""
+    return rolling_stats(df, signal, key, days, part_rows)
 
 
 def physics_features(df: DataFrame) -> DataFrame:

@@ -93,14 +93,6 @@ def test_a_replayed_scoring_batch_adds_nothing(spark, tmp_path):
     assert spark.read.parquet(valid).count() == 2 and spark.read.parquet(reject).count() == 2
 
 
-def test_rolling_stats_bucketing_is_exact(builds_small):
-    a = monitoring.rolling_sensor_stats(builds_small, bucket_days=7)
-    b = monitoring.rolling_sensor_stats(builds_small, bucket_days=3650)
-    j = a.alias("a").join(b.alias("b"), ["machine_id", "event_time", "Melt_Pool_Temp_C"])
-    bad = j.filter(F.abs(F.col("a.rolling_mean") - F.col("b.rolling_mean")) > 1e-6).count()
-    assert bad == 0 and a.count() == b.count()
-
-
 def test_debounce_stream_equals_batch(spark, tmp_path):
     import datetime as dt
     day = dt.timedelta(days=30)
