@@ -1,9 +1,9 @@
 """Rolling statistics over a time range before each reading, by prefix sums of powers.
 
 Readings of one key at one second are first added up to one row of power sums
-(combined in each task), so a frame of ``days`` holds at most 86,400 rows a day however
-many readings a key has. Each key's days are then cut into parts of about
-``part_rows`` such rows, a part gets the ``days`` before it as read-only halo rows, and
+(combined in each task), so a span of ``days`` holds at most 86,400 rows a day however
+many readings a key has. Each key's spans are then cut into parts of about
+``part_rows`` such rows, a part gets the span before it as read-only halo rows, and
 one task turns a part into its frames in linear time: the sums of a frame are the
 difference of two prefix sums (80-bit), its maximum comes from two overlapping runs
 of a power of two.
@@ -21,7 +21,7 @@ from fusionlens.functions.exprs import nan_to_null
 from fusionlens.functions.frames import attach_one_row
 
 DAY = 86_400
-PART_ROWS = 500_000  # seconds with a reading in a part, besides its last day and the halo
+PART_ROWS = 200_000  # seconds with a reading in a part, besides its last span and the halo
 STATS = "rolling_count long, rolling_mean double, rolling_std double, peak_to_average double, rolling_kurtosis double"
 
 
@@ -65,14 +65,13 @@ def frame_stats(t: np.ndarray, sums: np.ndarray, top: np.ndarray, shift: float,
             pa.array(peak, mask=level == 0), pa.array(kurtosis.astype(float), mask=flat)]
 
 
-def _parts(instants: DataFrame, key: str, days: int, part_rows: int) -> DataFrame:
-    """(key, __day, __part, __halo): the parts that need a key's day, its own and those it is a halo of."""
-    counts = instants.groupBy(key, "__day").agg(F.count(F.lit(1)).alias("__rows"))
-    # a row per day of a key, so a window of a key is bounded by the calendar
-    before = F.sum("__rows").over(Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))
-    own = counts.select(key, "__day", F.floor(F.coalesce(before, F.lit(0)) / F.lit(part_rows)).alias("__part"))
-    halo = own.groupBy(key, "__part").agg(F.min("__day").alias("__first")).where("__part > 0").select(
-        key, F.explode(F.sequence(F.col("__first") - days, F.col("__first") - 1)).alias("__day"), "__part")
+def _parts(instants: DataFrame, key: str, part_rows: int) -> DataFrame:
+    """(key, __span, __part, __halo): the parts that need a key's span, its own and the one it is the halo of."""
+    counts = instants.groupBy(key, "__span").agg(F.count(F.lit(1)).alias("__rows"))
+    # a row per span of a key, so a window of a key is bounded by the calendar
+    before = F.sum("__rows").over(Window.partitionBy(key).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
+    own = counts.select(key, "__span", F.floor(F.coalesce(before, F.lit(0)) / F.lit(part_rows)).alias("__part"))
+    halo = own.groupBy(key, "__part").agg((F.min("__span") - 1).alias("__span")).where("__part > 0").select(key, "__span", "__part")
     return own.withColumn("__halo", F.lit(False)).unionByName(halo.withColumn("__halo", F.lit(True)))
 
 
@@ -82,7 +81,7 @@ def rolling_stats(df: DataFrame, signal: str, key: str, days: int = 7, part_rows
 
     Rows without a time, and missing, NaN or infinite readings are left out; a NULL key is a key. An empty
     table gives no rows. A key with a third of all rows is many tasks: its readings are combined per
-    second before they are shuffled, and its days are dealt to parts.
+    second before they are shuffled, and its spans of ``days`` are dealt to parts.
     """
     t = F.col("event_time").cast("timestamp").cast("long")
     rows = df.select(F.col(key), "event_time", nan_to_null(F.col(signal).cast("double")).alias("__v"), t.alias("__t")).where(
@@ -92,9 +91,9 @@ def rolling_stats(df: DataFrame, signal: str, key: str, days: int = 7, part_rows
     x = F.col("__v") - F.col("__shift")
     instants = attach_one_row(rows, shift).groupBy(key, "__t").agg(
         F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(x**p).alias(f"s{p}") for p in (1, 2, 3, 4)],
-        F.max(x).alias("top"), F.max("__shift").alias("__shift")).withColumn("__day", F.floor(F.col("__t") / F.lit(DAY)))
-    parts = _parts(instants, key, days, part_rows).withColumnsRenamed({key: "__key", "__day": "__on"})
-    dealt = instants.join(parts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__day") == F.col("__on"))).select(
+        F.max(x).alias("top"), F.max("__shift").alias("__shift")).withColumn("__span", F.floor(F.col("__t") / F.lit(days * DAY)))
+    parts = _parts(instants, key, part_rows).withColumnsRenamed({key: "__key", "__span": "__on"})
+    dealt = instants.join(parts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__span") == F.col("__on"))).select(
         "__key", "__part", "__halo", "__t", "n", "s1", "s2", "s3", "s4", "top", "__shift")
 
     def frames(group: pa.Table) -> pa.Table:

@@ -38,7 +38,7 @@ def test_frames_equal_a_plain_version_at_every_part_size(spark):
     rows = _rows()
     odd = [("hot", None, 1.0), ("hot", T0, None), ("cold", T0, float("nan")), ("cold", T0, float("inf"))]  # left out
     df = spark.createDataFrame(rows + odd, SCHEMA).withColumn("n", F.lit("extra"))
-    for days, part_rows in ((7, 500_000), (7, 50), (2, 1)):
+    for days, part_rows in ((7, rolling.PART_ROWS), (7, 50), (2, 1)):
         want = _plain(rows, days)
         got = sorted(((str(r[0]), *r[1:]) for r in rolling.rolling_stats(df, "x", "machine", days, part_rows).collect()),
                      key=lambda r: r[:4])
@@ -49,13 +49,13 @@ def test_frames_equal_a_plain_version_at_every_part_size(spark):
                 assert (a is None and b is None) or abs(a - b) < 1e-9, (g, w)
 
 
-def test_a_hot_machine_is_many_parts_and_a_day_is_in_one(spark):
+def test_a_hot_machine_is_many_parts_and_a_span_is_in_one(spark):
     df = spark.createDataFrame(_rows(), SCHEMA)
     seconds = df.select("machine", F.col("event_time").cast("timestamp").cast("long").alias("__t")).distinct()
-    days = seconds.withColumn("__day", F.floor(F.col("__t") / 86400))
-    parts = rolling._parts(days, "machine", 7, 50).collect()
-    own = [(r["machine"], r["__day"]) for r in parts if not r["__halo"]]
-    assert len(own) == len(set(own)) == days.select("machine", "__day").distinct().count()
+    spans = seconds.withColumn("__span", F.floor(F.col("__t") / (2 * 86400)))
+    parts = rolling._parts(spans, "machine", 50).collect()
+    own = [(r["machine"], r["__span"]) for r in parts if not r["__halo"]]
+    assert len(own) == len(set(own)) == spans.select("machine", "__span").distinct().count()
     assert len({r["__part"] for r in parts if r["machine"] == "hot"}) > 8
 
 
