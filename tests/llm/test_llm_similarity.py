@@ -99,6 +99,36 @@ def test_top_k_matches_sql(spark):
     assert hamming_topk.top_k(vectors.where("vec_id < 4"), 10).groupBy("query_id").count().agg(F.max("count")).first()[0] == 3
 
 
+def test_top_k_over_many_shards_salts_and_query_blocks(spark, monkeypatch):
+    for name, size in (("PREFIX_ROWS", 16), ("SHARD_ROWS", 20), ("QUERY_ROWS", 50)):
+        monkeypatch.setattr(hamming_topk, name, size)
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=64)
+    rows = [(i, np.concatenate([hot[:24], rng.normal(size=40)]).tolist()) for i in range(150)]  # one value of a segment
+    rows += [(150 + i, rng.normal(size=64).tolist()) for i in range(250)]
+    rows += [(400 + i, (hot * np.where(rng.random(64) < 0.03, -1, 1)).tolist()) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    codes = {i: sum(1 << b for b, x in enumerate(v) if x > 0) for i, v in rows}
+    got = {}
+    for r in hamming_topk.top_k(vectors, 4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.distance, r.neighbour_id))
+    assert len(got) == len(rows)
+    for q, found in got.items():
+        want = sorted(((codes[q] ^ c).bit_count(), i) for i, c in codes.items() if i != q)[:4]
+        assert sorted(found) == [(n + 1, *w) for n, w in enumerate(want)]
+
+
+def test_probes_and_comparisons_find_the_same_pairs(monkeypatch):
+    rng = np.random.default_rng(4)
+    value = np.sort(np.concatenate([rng.integers(0, 1 << 10, 300), np.full(50, 77)]))
+    own = np.concatenate([rng.integers(0, 1 << 10, 30), [77, 77]])
+    for rows in (64, 1 << 17):
+        monkeypatch.setattr(hamming_topk, "PROBE_ROWS", rows)
+        for differing in (0, 1, 2, 3, 5, 10):  # up to 3 by probes, 5 has more probes than there are values
+            got = sorted((int(a), int(b)) for x, y in hamming_topk._pairs(value, own, 10, differing) for a, b in zip(x, y))
+            assert got == [(a, b) for a in range(32) for b in range(350) if (int(own[a]) ^ int(value[b])).bit_count() == differing]
+
+
 def test_classifier_is_accurate_on_held_out_rows(spark):
     from conftest_llm import SF
 
