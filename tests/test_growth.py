@@ -81,6 +81,15 @@ def test_reports_of_many_scans_read_a_table_written_once(spark, tables, monkeypa
     assert files and not [f for f in files if "lineitem" in f]
 
 
+def test_written_builds_hold_source_columns(spark, tables):
+    written = registry._written(spark, tables)
+    files = spark.read.parquet(*written.inputFiles())
+    assert {c[:2] for c in files.columns} == {"l_", "o_", "p_"} and len(files.columns) < len(written.columns)
+    plain = registry._b(spark, tables)
+    assert written.dtypes == plain.dtypes
+    assert sorted(map(str, written.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_request_files_are_compressed(spark, tables):
     path = registry._written_requests(spark, tables)
     assert glob.glob(f"{path}/*.json.gz") and not glob.glob(f"{path}/*.json")
