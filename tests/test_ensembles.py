@@ -180,3 +180,33 @@ def test_metrics_report_is_nested(spark):
     r = evaluation.metrics_report(spark.createDataFrame(pairs, "k string, label string, prediction string"), keys=["k"]).first()
     assert r["confusion_matrix"]["matrix"][0] == [3, 0, 1, 0] and r["classification_report"]["Poor"]["recall"] == 0.75
     assert r["classification_report"]["Moderate"]["support"] == 0 and r["accuracy"] == pytest.approx(5 / 6)
+
+
+def test_a_split_from_drawn_features_equals_one_from_all(sample):
+    x, y = sample
+    bins = trees.Bins([np.unique(x[:, f])[:-1] for f in range(4)])
+    codes, weight = bins.encode(x), np.array([0.5, 1.0, 3.0])
+    for number in range(40):
+        count = trees.bootstrap(np.arange(500), number, 42) * (codes[0] < 4 + number)
+        at, key = np.flatnonzero(count), trees.root_key(number, 42)
+        whole = np.zeros((CLASSES + 1, int(bins.offset[-1])))
+        for f in range(4):
+            np.add.at(whole, (y[at], bins.offset[f] + codes[f, at]), count[at])
+            np.add.at(whole, (CLASSES, bins.offset[f] + codes[f, at]), 1)
+        want, order = trees.forest_split(whole, key, bins, weight, 2), trees.draw_order(np.array([key]), 4)
+        got = None
+        for low, high in ((0, 2), (2, 4)):
+            hist = trees.drawn_histogram(codes[:, at], y[at].astype(np.int64), count[at], np.zeros(len(at), np.int64), order[:, low:high], CLASSES)
+            got = got or trees.drawn_split(hist[:, 0], order[0, low:high], low, bins, weight, 2)
+        assert got[:2] == want[:2] and got[2].tolist() == want[2].tolist()
+
+
+def test_a_forest_of_few_levels_ships_no_rows(frame, tmp_path):
+    rows = frame.select(ensembles.vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label"),
+                        F.xxhash64("id").alias("key"))
+    bins = ensembles.bin_edges(rows, 4)
+    table = ensembles.binned(rows, bins, str(tmp_path / "binned"))
+    for depth, ships in ((3, False), (None, True)):
+        grown = ensembles._tree_batch(table, bins, np.ones(CLASSES), trees.ForestSettings(trees=2, max_depth=depth), 100, range(2))
+        assert ("MapInArrow send(" in grown._jdf.queryExecution().executedPlan().toString()) == ships
+        assert sorted(r["number"] for r in grown.collect()) == [0, 1]
