@@ -116,19 +116,103 @@ def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarra
     return equal
 
 
+_SHORT = 7   # bytes of a range that fit into 64 bits beside their number
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(_SHORT + 1)], dtype=np.uint64)
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    whole = np.zeros((len(buf) >> 3) + 4 << 3, dtype=np.uint8)
+    whole[:len(buf)] = buf
+    return whole.view("<u8")
+
+
+def _eight(whole: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each start on (zeros after the end), as numbers."""
+    at, shift = starts >> 3, ((starts & 7) << 3).astype(np.uint64)
+    # a shift by 64 is two shifts
+    return whole[at] >> shift | whole[at + 1] << np.uint64(8) << (np.uint64(56) - shift)
+
+
+def _spelled(whole: np.ndarray, starts: np.ndarray, size: np.ndarray, known: int = 0) -> np.ndarray:
+    """The bytes of ranges from the ``known``-th on, at most ``_SHORT``, beside their whole number of bytes."""
+    return _eight(whole, starts + known) & _KEPT[size - known] | size.astype(np.uint64) << np.uint64(56)
+
+
+class _Spellings:
+    """A table of short byte strings, each spelled in so many 64-bit words, and a number for each.
+
+    A string is found at the place its words point to or at one of the next; one that finds no place stays out.
+    """
+
+    BITS, PROBES = 20, 8
+    FREE = np.uint64(0xFF << 56)
+
+    def __init__(self, words: int):
+        self.words = [np.full(1 << self.BITS, self.FREE, dtype=np.uint64) for _ in range(words)]
+        self.numbers = np.zeros(1 << self.BITS, dtype=np.int32)
+
+    def _place(self, words: list[np.ndarray]) -> np.ndarray:
+        h = words[0] if len(words) == 1 else words[0] * np.uint64(_R_INV) ^ words[1]
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(_R) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def _same(self, at: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+        same = self.words[0][at] == words[0]
+        for held, w in zip(self.words[1:], words[1:]):
+            same &= held[at] == w
+        return same
+
+    def find(self, words: list[np.ndarray]) -> np.ndarray:
+        """The number of each string, -1 if it is not held."""
+        found, rest, at = np.full(len(words[0]), -1, dtype=np.int64), np.arange(len(words[0])), self._place(words)
+        for _ in range(self.PROBES):
+            same = self._same(at, words)
+            found[rest[same]] = self.numbers[at[same]]
+            on = np.flatnonzero(~same & (self.words[-1][at] != self.FREE))
+            if not len(on):
+                break
+            rest, at, words = rest[on], at[on] + 1 & (1 << self.BITS) - 1, [w[on] for w in words]
+        return found
+
+    def add(self, words: list[np.ndarray], numbers: np.ndarray) -> None:
+        """Distinct strings that are not held yet."""
+        at = self._place(words)
+        for _ in range(self.PROBES):
+            free = np.flatnonzero(self.words[-1][at] == self.FREE)
+            self.numbers[at[free]] = np.arange(len(free))  # one of those that want a place gets it
+            free = free[self.numbers[at[free]] == np.arange(len(free))]
+            for held, w in zip(self.words, words):
+                held[at[free]] = w[free]
+            self.numbers[at[free]] = numbers[free]
+            on = np.ones(len(at), dtype=bool)
+            on[free] = False
+            at, words, numbers = at[on] + 1 & (1 << self.BITS) - 1, [w[on] for w in words], numbers[on]
+            if not len(at):
+                break
+
+
+def _names(buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name for each range, and which ranges are long: short ranges are spelled, long ones hashed."""
+    names = _spelled(_eights(buf), starts, np.minimum(size, _SHORT))
+    long = np.flatnonzero(size > _SHORT)
+    if len(long):
+        ends = np.cumsum(size[long])
+        names[long] = hashes(buf[ragged(starts[long], size[long])], ends - size[long], ends) | np.uint64(1 << 63)
+    return names, long
+
+
 def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of one range of each content, and for each range its content's number.
 
-    Ranges are grouped by hash and then compared byte by byte; should two
-    contents share a hash, the slice is grouped by the bytes themselves.
+    Short ranges are told apart by their bytes, longer ones by a hash and then compared byte by
+    byte; should two contents share a hash, the slice is grouped by the bytes themselves.
     """
-    h = hashes(buf, starts, ends)
-    _, number = np.unique(h, return_inverse=True)
+    size = ends - starts
+    names, long = _names(buf, starts, size)
+    number = pa.array(names).dictionary_encode().indices.to_numpy()
     chosen = np.zeros(int(number.max()) + 1 if len(number) else 0, dtype=np.int64)
     chosen[number] = np.arange(len(number))
-    twin = chosen[number]
-    size = ends - starts
-    if (size[twin] == size).all() and same_bytes(buf, starts, starts[twin], size).all():
+    twin = chosen[number[long]]
+    if (size[twin] == size[long]).all() and same_bytes(buf, starts[long], starts[twin], size[long]).all():
         return chosen, number
     raw, seen = buf.tobytes(), {}
     number = np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist())])
@@ -149,9 +233,12 @@ class Remembered:
     def __init__(self, encode: Callable[[list[bytes]], list], counts: bool = False,
                  limit: int = 400_000, limit_bytes: int = 24_000_000):
         self.encode, self.counts, self.limit, self.limit_bytes = encode, counts, limit, limit_bytes
+        self.cleared = 0
         self._clear()
 
     def _clear(self) -> None:
+        self.cleared += 1
+        self.tables = _Spellings(1), _Spellings(2)
         self.slot: dict[bytes, int] = {}
         self.first = np.zeros(1024, dtype=np.int64)
         self.size = np.zeros(1024, dtype=np.int64)
@@ -190,12 +277,23 @@ class Remembered:
             new[:len(old)] = old
             setattr(self, name, new)
 
+    def _places(self, keys: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.slot.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+
     def look(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """First id (in ``self.ids``) and number of ids of each of the distinct keys."""
-        missing = [k for k in keys if k not in self.slot]
+        at = self._look(keys)
+        self.uses[at] += 1
+        return self.first[at], self.size[at]
+
+    def _look(self, keys: list[bytes]) -> np.ndarray:
+        """Numbers of the distinct keys."""
+        at = self._places(keys)
+        missing = [keys[i] for i in np.flatnonzero(at < 0).tolist()]
         if self.slot and (len(self.slot) + len(missing) > self.limit or self.held > self.limit_bytes):
             self._forget()
-            missing = [k for k in keys if k not in self.slot]
+            at = self._places(keys)
+            missing = [keys[i] for i in np.flatnonzero(at < 0).tolist()]
         for i in range(0, len(missing), 4096):
             part = missing[i:i + 4096]
             got = self.encode(part)
@@ -203,14 +301,40 @@ class Remembered:
             ids = (self.ids[:0] if self.counts else
                    np.fromiter(itertools.chain.from_iterable(got), np.int32, int(sizes.sum())))
             self._store(part, sizes, ids)
-        at = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
-        self.uses[at] += 1
-        return self.first[at], self.size[at]
+        known = len(self.slot) - len(missing)
+        at[at < 0] = np.arange(known, known + len(missing))
+        return at
 
     def of_ranges(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First id and number of ids of each byte range."""
-        chosen, number = distinct(buf, starts, ends)
-        raw = buf.tobytes()
-        keys = [raw[s:e] for s, e in zip(starts[chosen].tolist(), ends[chosen].tolist())]
-        first, size = self.look(keys)
-        return first[number], size[number]
+        """First id and number of ids of each byte range.
+
+        Ranges of up to 15 bytes that were met before are found by their bytes; the others are looked up once a content.
+        """
+        size, whole = ends - starts, _eights(buf)
+        kinds = [np.flatnonzero(size <= _SHORT), np.flatnonzero((size > _SHORT) & (size <= 8 + _SHORT))]
+        words = [[_spelled(whole, starts[kinds[0]], size[kinds[0]])],
+                 [_eight(whole, starts[kinds[1]]), _spelled(whole, starts[kinds[1]], size[kinds[1]], 8)]]
+        found = np.full(len(starts), -1, dtype=np.int64)
+        for kind, w, table in zip(kinds, words, self.tables):
+            found[kind] = table.find(w)
+        rest = np.flatnonzero(found < 0)
+        if len(rest):
+            cleared, raw = self.cleared, buf.tobytes()
+            numbers, at = self._of_contents(raw, buf, starts, ends, rest)
+            if cleared != self.cleared and len(rest) < len(found):  # the numbers found before are void
+                rest = np.arange(len(found))
+                numbers, at = self._of_contents(raw, buf, starts, ends, rest)
+            found[rest] = numbers
+            new = np.zeros(len(found), dtype=bool)
+            new[at] = True
+            for kind, w, table in zip(kinds, words, self.tables):
+                some = np.flatnonzero(new[kind])
+                table.add([x[some] for x in w], found[kind[some]])
+        self.uses[found] += 1  # once a slice
+        return self.first[found], self.size[found]
+
+    def _of_contents(self, raw: bytes, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, some: np.ndarray):
+        """Numbers of some ranges, and one range of each content."""
+        chosen, number = distinct(buf, starts[some], ends[some])
+        at = some[chosen]
+        return self._look([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])[number], at

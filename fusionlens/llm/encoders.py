@@ -126,8 +126,11 @@ def _cut_runs(buf: np.ndarray, begin: np.ndarray, ends: np.ndarray, whole: list[
     other = _OTHER[buf]
     at = _find(buf, whole)
     other[at] = True
-    total = np.concatenate((np.zeros(1, np.int64), np.cumsum(other)))
-    kept = total[ends] == total[begin]  # runs that may be cut
+    found = np.flatnonzero(other)
+    run = np.searchsorted(begin, found, side="right") - 1
+    kept = np.ones(len(begin), dtype=bool)  # runs that may be cut
+    found, run = found[run >= 0], run[run >= 0]
+    kept[run[found < ends[run]]] = False
     inner = np.zeros(len(buf), dtype=bool)
     inner[1:] = kind[1:] != kind[:-1]
     if single_digits:

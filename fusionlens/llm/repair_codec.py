@@ -42,6 +42,7 @@ SHARD_TOKENS = 1 << 20
 ROUNDS = 8
 MIN_COUNT = 16
 SHARE_BYTES = 32 << 20
+TABLE = 1 << 24         # cells of the table of a round's pairs; a larger one is searched
 _HEADER = struct.Struct("<4s6I")
 _MAGIC = b"RPG1"
 
@@ -110,17 +111,30 @@ def _apart(keys: np.ndarray, count: np.ndarray, shift: int, room: int) -> np.nda
     return np.array(chosen[:max(room, 0)], dtype=keys.dtype)
 
 
+def _places(symbols: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """Numbers from 1 for these of ``n`` symbols, 0 for all others; how many they are."""
+    met = np.zeros(n, dtype=bool)
+    met[symbols] = True
+    return np.where(met, np.cumsum(met), 0).astype(np.int32), int(met.sum())
+
+
 def _matches(seq: np.ndarray, keys: np.ndarray, chosen: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions to replace, and the number of the pair at each; ``chosen`` is sorted."""
-    first = np.zeros(int(seq.max()) + 1, dtype=bool)
-    second = first.copy()
-    first[chosen >> chosen.dtype.type(shift)] = True
-    second[chosen & chosen.dtype.type((1 << shift) - 1)] = True
-    at = np.flatnonzero(first[seq[:-1]] & second[seq[1:]])
-    number = np.searchsorted(chosen, keys[at])
-    ok = number < len(chosen)
-    ok[ok] = chosen[number[ok]] == keys[at[ok]]
-    at, number = at[ok], number[ok]
+    left, right = chosen >> chosen.dtype.type(shift), chosen & chosen.dtype.type((1 << shift) - 1)
+    row, rows = _places(left, int(seq.max()) + 1)
+    column, columns = _places(right, len(row))
+    if rows * columns <= TABLE:
+        table = np.full((rows + 1) * (columns + 1), -1, dtype=np.int32)  # row and column 0: no pair
+        table[row[left] * (columns + 1) + column[right]] = np.arange(len(chosen), dtype=np.int32)
+        number = table[(row * np.int32(columns + 1))[seq[:-1]] + column[seq[1:]]]
+        at = np.flatnonzero(number >= 0)
+        number = number[at].astype(np.int64)
+    else:
+        at = np.flatnonzero((row > 0)[seq[:-1]] & (column > 0)[seq[1:]])
+        number = np.searchsorted(chosen, keys[at])
+        ok = number < len(chosen)
+        ok[ok] = chosen[number[ok]] == keys[at[ok]]
+        at, number = at[ok], number[ok]
     # a run of one symbol overlaps itself: every other pair of it
     new = np.concatenate((np.ones(min(1, len(at)), bool), np.diff(at) != 1))
     start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
