@@ -38,7 +38,7 @@ from fusionlens.llm import blocks
 from fusionlens.llm.chunks import text_bytes
 from fusionlens.llm.sizing import shares as number_of_shares
 from fusionlens.llm.sizing import staged
-from fusionlens.llm.super_kmers import _Words
+from fusionlens.llm.super_kmers import Hashed
 
 ALPHA = 0.4
 ORDER = 5
@@ -46,29 +46,62 @@ SHARE_BYTES = 6 << 20   # text whose n-grams make a share
 UNIT = 1_000_000        # logarithms are whole numbers of 1 / UNIT
 
 
+def _times(values: np.ndarray) -> np.ndarray:
+    """How often each value occurs, at each of its places."""
+    _, kind, count = np.unique(values, return_inverse=True, return_counts=True)
+    return count[kind]
+
+
 class _Grams:
-    """Distinct n-grams of a block by order, each order sorted by hash: the same whenever it is computed."""
+    """Distinct n-grams of a block by order: the same whenever they are computed.
+
+    An n-gram occurs once if one of its two shorter ones does, so of orders above 2 only the others are
+    sorted: n-grams that may repeat come first, by hash, then those that occur once, by place.
+    """
 
     def __init__(self, batch: pa.RecordBatch, order: int):
-        words = _Words(*text_bytes(batch.column(batch.schema.get_field_index("text"))))
+        self.words = words = Hashed(*text_bytes(batch.column(batch.schema.get_field_index("text"))))
         self.row = words.row
         self.n = len(words.hash)
-        starts = np.arange(self.n)
+        del words.starts, words.ends, words.hash
+        starts = np.arange(self.n, dtype=np.int32)  # a block has less than 2^31 bytes
         left = np.repeat(words.row[1:], np.diff(words.row)) - starts  # words from here to the row's end
         self.starts = [starts[left >= k] for k in range(1, order + 1)]
-        found = [np.unique(words.run_hash(s, k), return_inverse=True, return_counts=True)
-                 for k, s in enumerate(self.starts, 1)]
-        self.keys, self.kind, self.count = zip(*found)
+        self.sorted, self.single, self.kind, self.count = [], [], [], []
+        for k, s in enumerate(self.starts, 1):
+            if k <= 2:
+                single = s[:0]
+                keys, kind, count = np.unique(words.run_hash(s, k), return_inverse=True, return_counts=True)
+                kind = kind.astype(np.int32)
+            else:
+                often = np.zeros(self.n + 1, dtype=bool)
+                often[self.starts[k - 2]] = (self.count[-1] > 1)[self.kind[-1]]
+                often[:-1] &= often[1:]
+                often = often[s]
+                at, once = np.flatnonzero(often), np.flatnonzero(~often)
+                single = s[once]
+                keys, found, times = np.unique(words.run_hash(s[at], k), return_inverse=True, return_counts=True)
+                kind = np.empty(len(s), dtype=np.int32)
+                kind[at], kind[once] = found, len(keys) + np.arange(len(once))
+                count = np.concatenate((times, np.ones(len(single), dtype=times.dtype)))
+            for held, x in zip((self.sorted, self.single, self.kind, self.count), (keys, single, kind, count)):
+                held.append(x)
+
+    def keys(self, k: int, chosen: np.ndarray) -> np.ndarray:
+        """Hashes of the chosen n-grams of order ``k``."""
+        known = len(self.sorted[k - 1])
+        return np.concatenate((self.sorted[k - 1][chosen[:known]],
+                               self.words.run_hash(self.single[k - 1][chosen[known:]], k)))
 
     def linked(self, total: list[np.ndarray], base: list[np.ndarray], known: int, k: int) -> np.ndarray:
         """Which n-grams of order ``k`` hold only n-grams of order ``known`` that other blocks have too."""
         shared = np.zeros(self.n + 1, dtype=bool)
         shared[self.starts[known - 1]] = (total[known - 1] > base[known - 1])[self.kind[known - 1]]
-        whole = np.ones(len(self.starts[k - 1]), dtype=bool)
-        for i in range(k - known + 1):
-            whole &= shared[self.starts[k - 1] + i]
-        keys = np.zeros(len(self.keys[k - 1]), dtype=bool)
-        keys[self.kind[k - 1][whole]] = True
+        whole = shared.copy()
+        for i in range(1, k - known + 1):
+            whole[:-i] &= shared[i:]
+        keys = np.zeros(len(self.count[k - 1]), dtype=bool)
+        keys[self.kind[k - 1][np.flatnonzero(whole[self.starts[k - 1]])]] = True
         return keys
 
 
@@ -77,8 +110,8 @@ class _Sent:
 
     def __init__(self, grams: _Grams, orders: range, chosen: list[np.ndarray], shares: int):
         self.orders, self.chosen = orders, chosen
-        keys = np.concatenate([grams.keys[k - 1][c] for k, c in zip(orders, chosen)])
-        self.sort = np.argsort(keys, kind="stable")
+        keys = np.concatenate([grams.keys(k, c) for k, c in zip(orders, chosen)])
+        self.sort = np.argsort(keys, kind="stable" if orders.start == 1 else None)  # sorted runs are merged
         self.keys = keys[self.sort]
         share = ((self.keys >> np.uint64(32)) * np.uint64(shares) >> np.uint64(32)).astype(np.int64)
         begin = np.flatnonzero(np.diff(share, prepend=-1))
@@ -117,7 +150,7 @@ def _unpack_keys(data: bytes) -> np.ndarray:
 
 
 def _everything(grams: _Grams, orders: range) -> list[np.ndarray]:
-    return [np.ones(len(grams.keys[k - 1]), dtype=bool) for k in orders]
+    return [np.ones(len(grams.count[k - 1]), dtype=bool) for k in orders]
 
 
 def _message(block: int | None, sent: _Sent, count: np.ndarray, words: np.ndarray) -> pa.Table:
@@ -151,7 +184,7 @@ def _round(grams: _Grams, orders: range, shares: int, total: list[np.ndarray], b
 
 def _base(grams: _Grams, others: bool) -> list[np.ndarray]:
     """Totals of n-grams that stay at home: no other block holds them."""
-    return [c.astype(np.int64) * others for c in grams.count]
+    return [c if others else np.zeros_like(c) for c in grams.count]
 
 
 def _filled(grams: _Grams, answers: pa.Table, rounds: list[range], shares: int, others: bool) -> tuple[list, list]:
@@ -193,24 +226,30 @@ def _scores(batch: pa.RecordBatch, answers: pa.Table, order: int, shares: int, e
     total, _ = _filled(grams, answers, _rounds(order), shares, others)
     n_words = np.diff(grams.row)
     owner = np.repeat(np.arange(len(n_words)), n_words)
-    count = []
-    for starts, kind, whole in zip(grams.starts, grams.kind, total):  # by order, at the n-gram's first word
-        seen = whole[kind]
-        if others:  # without the document's own
-            _, pair, own = np.unique(owner[starts] * len(whole) + kind, return_inverse=True, return_counts=True)
-            seen = seen - own[pair]
-        c = np.zeros(grams.n, dtype=np.int64)
-        c[starts] = seen
-        count.append(c)
     size = np.maximum((everything - n_words * others)[owner], 1)
     inside = np.arange(grams.n) - grams.row[:-1][owner]  # words before this one in its row
     longest = np.minimum(inside + 1, order)
-    ratio = np.maximum(count[0], 1) / size * ALPHA ** (longest - 1 + (count[0] <= 0))
-    for k in range(2, order + 1):
-        first = np.arange(grams.n) - (k - 1)
-        found = (inside >= k - 1) & (count[k - 1][first] > 0)
-        context = np.maximum(count[k - 2][first], 1)
-        ratio = np.where(found, count[k - 1][first] / context * ALPHA ** (longest - k), ratio)
+    given_up = ALPHA ** np.arange(order + 1)
+    before = np.zeros(grams.n, dtype=np.int64)       # occurrences of the n-gram of the order before, at its first word
+    repeated = np.ones(grams.n + 1, dtype=bool)      # whether that one is in the document again
+    for k, (starts, kind, times, whole) in enumerate(zip(grams.starts, grams.kind, grams.count, total), 1):
+        seen = whole[kind]
+        if others:  # without the document's own
+            own = np.ones(len(starts), dtype=np.int64)
+            at = np.flatnonzero(repeated[starts] & (times > 1)[kind])
+            own[at] = _times(owner[starts[at]] * len(whole) + kind[at])
+            seen = seen - own
+            repeated[:] = False
+            repeated[starts] = own > 1
+        if k == 1:
+            ratio = np.maximum(seen, 1) / size * given_up[longest - 1 + (seen <= 0)]
+        else:
+            found = np.flatnonzero(seen > 0)
+            first = starts[found]
+            last = first + (k - 1)
+            ratio[last] = seen[found] / np.maximum(before[first], 1) * given_up[longest[last] - k]
+        before[:] = 0
+        before[starts] = seen
     logs = np.concatenate((np.zeros(1), np.cumsum(np.rint(np.log(ratio) * UNIT)))).astype(np.int64)
     whole = logs[grams.row[1:]] - logs[grams.row[:-1]]
     return pa.table({"doc_id": batch.column("doc_id"), "n_words": pa.array(n_words), "units": pa.array(whole)})

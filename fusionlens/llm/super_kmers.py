@@ -46,12 +46,12 @@ HOT = 10_000            # super-k-mers of one minimiser (counted per block) that
 _NO_ID = np.iinfo(np.int64).max
 
 
-class _Words:
-    """Words of many texts: joined by single spaces, with hashes of words and of runs of words."""
+class Hashed:
+    """Words of many texts, with hashes of words and of runs of words."""
 
     def __init__(self, buf: np.ndarray, at: np.ndarray):
-        starts, ends, self.row = chunks.words(buf, at)
-        self.size = ends - starts
+        self.starts, self.ends, self.row = chunks.words(buf, at)
+        starts, ends = self.starts, self.ends
         h = np.zeros(len(starts), dtype=np.uint64)
         cut = 0  # in slices: the hash of a byte takes many
         while cut < len(starts):
@@ -60,11 +60,6 @@ class _Words:
             h[cut:stop] = chunks.hashes(buf[low:ends[stop - 1]], starts[cut:stop] - low, ends[cut:stop] - low)
             cut = stop
         self.hash = h
-        self.first = np.cumsum(self.size + 1) - (self.size + 1)
-        self.text = np.full(int(self.size.sum()) + len(self.size), 32, dtype=np.uint8)
-        for i in range(0, len(starts), 1 << 18):
-            part = slice(i, i + (1 << 18))
-            self.text[chunks.ragged(self.first[part], self.size[part])] = buf[chunks.ragged(starts[part], self.size[part])]
         up, down = chunks.power_tables(len(h) + 1)
         total = np.zeros(len(h) + 1, dtype=np.uint64)
         np.cumsum(up[:len(h)] * h, out=total[1:])
@@ -74,6 +69,21 @@ class _Words:
         """Hash of the ``n`` words from each of ``first`` on."""
         return chunks.mix((self._total[first + n] - self._total[first]) * self._down[first] + np.uint64(1) * np.asarray(n).astype(np.uint64))
 
+
+class _Words(Hashed):
+    """The same, with the words joined by single spaces."""
+
+    def __init__(self, buf: np.ndarray, at: np.ndarray):
+        super().__init__(buf, at)
+        starts = self.starts
+        self.size = self.ends - starts
+        self.first = np.cumsum(self.size + 1) - (self.size + 1)
+        self.text = np.full(int(self.size.sum()) + len(self.size), 32, dtype=np.uint8)
+        for i in range(0, len(starts), 1 << 18):
+            part = slice(i, i + (1 << 18))
+            self.text[chunks.ragged(self.first[part], self.size[part])] = buf[chunks.ragged(starts[part], self.size[part])]
+        del self.starts, self.ends
+
     def span(self, first: np.ndarray, n: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
         """Where the text of those words begins, and its bytes (without a last space)."""
         last = first + n - 1
