@@ -5,8 +5,9 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from fusionlens.operators import evaluation, ranks, scoring
+from fusionlens.operators import evaluation, ml, ranks, scoring
 from fusionlens.plans import registry
+from fusionlens.sources import builds as source
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +103,23 @@ def test_range_of_counts_the_bounds_below(spark, buckets):
     rows = spark.createDataFrame([(v / 4, bounds) for v in range(-2, 90)], "value double, b array<double>")
     cut = ranks.range_of(F.col("value"), "b", buckets)
     assert all(r["at"] == sum(b < r["value"] for b in bounds) for r in rows.select("value", cut.alias("at")).collect())
+
+
+def test_written_builds_join_orders_alike_at_every_size(spark, tables, tmp_path):
+    columns = ["Sample_ID", "Thermal_Gradient", "Quality_Class"]
+    plan = plan_of(source._joined(spark, tables, columns, "merge"))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    hints = []
+    real = source._joined
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(source, "_joined", lambda *a: hints.append(a[3:]) or real(*a))
+        written = source.written_builds(spark, tables, str(tmp_path / "written"), columns)
+    assert hints == [("merge",)]
+    assert sorted(written.collect()) == sorted(source.builds(spark, tables, columns).collect())
+
+
+def test_encoded_rows_are_written_in_files_of_bounded_rows(spark, tables, monkeypatch):
+    monkeypatch.setattr(ml, "FILE_ROWS", 7, raising=False)
+    ready = ml.prepare(registry._training_rows(spark, tables), "inbuild")
+    files = ready.rows.groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 240 and max(r["count"] for r in files) <= 7
