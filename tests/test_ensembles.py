@@ -124,6 +124,24 @@ def test_a_tree_equals_plain_recursion(sample):
     assert abs(trees.bootstrap(np.arange(100_000), 1, 42).mean() - 1) < 0.02
 
 
+@pytest.mark.parametrize("most", [3, 5_000, 70_000, 3_000_000])
+def test_class_counts_side_by_side_equal_counts_one_by_one(most):
+    """Many small nodes beside one that holds ``most`` draws: the running sum may wrap around."""
+    rng = np.random.default_rng(most)
+    n, classes = 3_000, 5
+    node, code = np.sort(rng.integers(0, 900, n)), rng.integers(0, 6, n).astype(np.uint8)
+    label, count = rng.integers(0, classes, n).astype(np.uint8), rng.integers(1, 4, n)
+    count[node == 7] = most // max(1, (node == 7).sum()) + 1
+    largest = int(np.bincount(node, weights=count).max())
+    sums, rows, owner, value = trees._node_candidates(code, node, label, count, 900, classes, largest)
+    want = {}
+    for i in np.lexsort((code, node)).tolist():
+        same = (node == node[i]) & (code <= code[i])
+        want[node[i], code[i]] = ([count[same & (label == c)].sum() for c in range(classes)], same.sum())
+    assert list(zip(owner.tolist(), value.tolist())) == [(int(a), int(b)) for a, b in want]
+    assert sums.tolist() == [x for x, _ in want.values()] and rows.tolist() == [r for _, r in want.values()]
+
+
 def _scores(model, frame):
     return {r["id"]: (r["prediction"], [round(p, 12) for p in r["prob_array"]]) for r in model.transform(frame).collect()}
 
@@ -137,6 +155,37 @@ def test_boosting_by_jobs_equals_boosting_in_one_task(frame, monkeypatch):
     assert _scores(small, frame) == _scores(large, frame)
 
 
+def test_boosting_by_jobs_scores_a_tree_once_and_shuffles_a_level_once(spark, frame, monkeypatch):
+    plans = []
+    real = ensembles._summed_splits
+
+    def watched(hists, *rest):
+        plans.append(hists._jdf.queryExecution().executedPlan().toString())
+        return real(hists, *rest)
+
+    monkeypatch.setattr(ensembles, "_summed_splits", watched)
+    monkeypatch.setattr(ensembles, "REFRESH", 3)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    ensembles.TreeEnsemble(trees.BoostSettings(rounds=5, leaves=4), task_bytes=100).fit(frame)
+    # every level of every round reads the slopes that were kept, and nothing stays in memory
+    assert len(plans) >= 5 and all("InMemoryTableScan" in p for p in plans)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    hists = spark.createDataFrame([(s, b, 1, 2, 3) for s in range(3) for b in range(4)] * 2, ensembles._hist_schema(3))
+    seen = []
+    kind = type(hists.groupBy("slot"))
+    grouped = kind.applyInArrow
+
+    def collected(self, *rest):
+        out = grouped(self, *rest)
+        seen.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(kind, "applyInArrow", collected)
+    got = real(hists, 3, 4, lambda slot, hist: (float(hist[0].sum()), float(hist[2].max())), "slot int, a double, b double")
+    assert sorted((r["slot"], r["a"], r["b"]) for r in got) == [(s, 8.0, 6.0) for s in range(3)]
+    assert seen[0].count("Exchange") == 1
+
+
 def test_forest_by_jobs_equals_forest_in_tasks(frame, sample, monkeypatch):
     monkeypatch.setattr(ensembles, "SLOTS", 7)
     s = trees.ForestSettings(trees=5)
