@@ -71,12 +71,14 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     Only a 64-bit hash of each row is shuffled and counted (map-side combine: a
     hot group of copies is one row a task). Rows whose hash occurs more
     than once are then compared in full: hashes that occur once need no look
-    at their rows, and without repeated hashes the second step is empty.
+    at their rows, and without repeated hashes the second step is empty. The
+    repeated hashes are written at plan time: where they are few, their size is known
+    and the rows are not shuffled to be compared.
     """
     # -0.0 and 0.0 are one group, so they must have one hash
     plain = [F.col(c) + F.lit(0.0) if _is_float(df, c) else F.col(c) for c in df.columns]
     rows = df.withColumn("__h", F.xxhash64(*plain))
-    again = rows.groupBy("__h").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1").select("__h")
+    again = ranks.staged(rows.groupBy("__h").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1").select("__h"))
     groups = rows.join(again, "__h", "left_semi").groupBy("__h", *df.columns).agg(F.count(F.lit(1)).alias("__c"))
     return groups.agg(F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).cast("long").alias("duplicate_count")).select(
         F.lit("duplicate_rows").alias("check"),

@@ -21,7 +21,7 @@ from fusionlens.contract import (
 from fusionlens.functions.exprs import adjusted_skewness, nan_to_null, round_half_even
 from fusionlens.functions.frames import attach_one_row
 from fusionlens.operators.neighbours import neighbour_mi
-from fusionlens.operators.order_stats import binned_class_counts, class_value_counts, exact_quantiles
+from fusionlens.operators.order_stats import binned_class_counts, class_value_counts, distinct_numbers, exact_quantiles
 from fusionlens.operators.quality import as_status_rows
 
 def long_numeric(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
@@ -198,14 +198,19 @@ SKETCH_MARGIN = 0.05
 def constant_features(df: DataFrame) -> DataFrame:
     """Distinct values per column (NULL counts as a value) and ratio to rows.
 
-    Long form: (feature, value as text) -> distinct -> count per feature; a
+    Numbers are counted by their 64 bits (``distinct_numbers``), other columns in the
+    long form: (feature, value as text) -> distinct -> count per feature; a
     wide ``count_distinct`` over many columns would expand every row once per
     column.
     """
-    cols = df.columns
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
-    uniq = long.groupBy("feature", "value").agg(F.lit(1).alias("__u")).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("unique_count"))
+    numbers = [f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")]
+    cols = [c for c in df.columns if c not in numbers]
+    parts = [distinct_numbers(df, numbers)] if numbers else []
+    if cols:
+        long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
+        parts.append(long.groupBy("feature", "value").agg(F.lit(1).alias("__u")).groupBy("feature").agg(
+            F.count(F.lit(1)).alias("unique_count")))
+    uniq = reduce(DataFrame.unionByName, parts)
     out = _with_total(uniq, df)
     ratio = F.try_divide(F.col("unique_count").cast("double"), F.col("__n").cast("double"))
     status = F.when(F.col("unique_count") <= 1, "WARN").when(ratio < THRESHOLDS["near_constant_ratio"], "WARN") \

@@ -5,7 +5,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from fusionlens.operators import evaluation, ml, ranks, scoring
+from fusionlens.operators import evaluation, ml, quality, ranks, scoring, stats
 from fusionlens.plans import registry
 from fusionlens.sources import builds as source
 
@@ -91,6 +91,31 @@ def test_written_builds_hold_source_columns(spark, tables):
     assert sorted(map(str, written.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_distinct_numbers_are_dealt_by_value_without_a_map_side_table(spark):
+    schema = "a double, b long, c float, d string, e int, f boolean"
+    rows = [(0.0, 2**53, 0.1, "x", None, True), (-0.0, 2**53 + 1, 0.1, "x", None, None), (float("nan"), -1, float("nan"), None, None, True),
+            (float("nan"), None, None, "NaN", None, False), (None, 2**53, -0.0, "null", None, True)]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    found = stats.constant_features(df)
+    plan = plan_of(found)
+    assert plan.count("REPARTITION_BY_COL") == 1 and "cast(a" not in plan
+    as_text = df.select(*[F.countDistinct(F.coalesce(F.col(c).cast("string"), F.lit("\0"))).alias(c) for c in df.columns]).first()
+    assert {r["feature"]: r["unique_count"] for r in found.collect()} == as_text.asDict() == {"a": 4, "b": 4, "c": 4, "d": 4, "e": 1, "f": 3}
+    assert stats.constant_features(df.where("b = 7")).count() == 0
+
+
+def test_rows_are_not_shuffled_where_few_hashes_repeat(spark, tables):
+    rows = spark.read.parquet(f"{tables}/lineitem.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "3000")
+    try:
+        report = quality.duplicate_rows(rows)
+        assert "SortMergeJoin" not in plan_of(report)
+        assert report.first()["duplicate_count"] == 0
+        assert quality.duplicate_rows(rows.unionByName(rows.limit(5))).first()["duplicate_count"] == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_request_files_are_compressed(spark, tables):
     path = registry._written_requests(spark, tables)
     assert glob.glob(f"{path}/*.json.gz") and not glob.glob(f"{path}/*.json")
