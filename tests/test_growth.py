@@ -148,3 +148,24 @@ def test_encoded_rows_are_written_in_files_of_bounded_rows(spark, tables, monkey
     ready = ml.prepare(registry._training_rows(spark, tables), "inbuild")
     files = ready.rows.groupBy(F.input_file_name()).count().collect()
     assert sum(r["count"] for r in files) == 240 and max(r["count"] for r in files) <= 7
+
+
+def test_split_rows_are_not_shuffled_beside_the_ranges(spark, tables):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the ranges' size is not known before they are counted
+    try:
+        plan = plan_of(ml.stratified_split(registry._b(spark, tables, ["Sample_ID", "Laser_Power_W", "Microhardness_HV"]), label="Microhardness_HV"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_a_scenario_is_prepared_with_one_written_table_of_plain_columns(spark, tables, monkeypatch):
+    written = []
+    real = ml.shared_path
+    monkeypatch.setattr(ml, "shared_path", lambda s, name: written.append(real(s, name)) or written[-1])
+    ready = ml.prepare(registry._training_rows(spark, tables), "inbuild")
+    assert len(written) == 1 and glob.glob(f"{written[0]}/*.zstd.parquet")
+    kinds = {kind for _, kind in spark.read.parquet(written[0]).dtypes}
+    assert kinds <= {"bigint", "double", "string", "boolean", "int"}
+    assert ready.rows.count() == 240 and {"num_vec", "label", "is_test"} <= set(ready.rows.columns)
+    assert ready.facts["n_rows_train"] + ready.facts["n_rows_test"] == ready.facts["n_rows_total"] == 240
