@@ -169,3 +169,30 @@ def test_a_scenario_is_prepared_with_one_written_table_of_plain_columns(spark, t
     assert kinds <= {"bigint", "double", "string", "boolean", "int"}
     assert ready.rows.count() == 240 and {"num_vec", "label", "is_test"} <= set(ready.rows.columns)
     assert ready.facts["n_rows_train"] + ready.facts["n_rows_test"] == ready.facts["n_rows_total"] == 240
+
+
+def test_contract_csv_is_compressed_text_in_files_of_bounded_rows(spark, tables, monkeypatch):
+    monkeypatch.setattr(registry, "CSV_FILE_ROWS", 50, raising=False)
+    scanned = registry.QUERIES["scan_csv_contract"](spark, tables)
+    files = scanned.inputFiles()
+    assert len(files) >= 5 and all(f.endswith(".csv.gz") for f in files)
+    assert sorted(map(str, scanned.collect())) == sorted(map(str, registry._b(spark, tables).collect()))
+
+
+@pytest.mark.parametrize("query", ["_score_batch", "_model_scored", "_evaluate_saved", "_stream_scoring"])
+def test_a_model_scores_the_table_it_was_trained_on(spark, tables, monkeypatch, query):
+    joined = []
+    real = source._joined
+    monkeypatch.setattr(source, "_joined", lambda *a: joined.append(a[2]) or real(*a))
+    monkeypatch.setattr(registry, "_saved_lr", lambda *a: (None, {}))
+    monkeypatch.setattr(registry.scoring, "score_with", lambda *a: lambda rows: rows)
+    monkeypatch.setattr(registry.ml, "evaluate_saved", lambda model, metadata, rows: rows)
+    assert getattr(registry, query)(spark, tables).count() > 200 and len(joined) == 1
+
+
+def test_scored_records_and_stream_sources_are_compressed(spark, tables, tmp_path, monkeypatch):
+    from fusionlens.streaming import monitoring
+    batch = registry._requests(spark, tables)
+    monitoring.score_epoch(batch, 0, f"{tmp_path}/valid", f"{tmp_path}/reject", lambda rows: rows)
+    for name in ("valid", "reject"):
+        assert glob.glob(f"{tmp_path}/{name}/epoch_id=0/*.zstd.parquet")
