@@ -1,8 +1,9 @@
 """Rolling statistics over a time range before each reading, by prefix sums of powers.
 
-Readings of one key at one second are first added up to one row of power sums
+A key of at most ``part_rows`` readings is one group of a task: its readings are shuffled
+once, as they are. Readings of a larger key at one second are first added up to one row of power sums
 (combined in each task), so a span of ``days`` holds at most 86,400 rows a day however
-many readings a key has. Each key's spans are then cut into parts of about
+many readings a key has. Such a key's spans are then cut into parts of about
 ``part_rows`` such rows, a part gets the span before it as read-only halo rows, and
 one task turns a part into its frames in linear time: the sums of a frame are the
 difference of two prefix sums (80-bit), its maximum comes from two overlapping runs
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fusionlens.functions.exprs import nan_to_null
-from fusionlens.functions.frames import attach_one_row
+from fusionlens.operators import ranks
 
 DAY = 86_400
 PART_ROWS = 200_000  # seconds with a reading in a part, besides its last span and the halo
@@ -80,33 +81,65 @@ def rolling_stats(df: DataFrame, signal: str, key: str, days: int = 7, part_rows
     pandas kurt: four readings and a spread) of its key's readings in the ``days`` before it, ties included.
 
     Rows without a time, and missing, NaN or infinite readings are left out; a NULL key is a key. An empty
-    table gives no rows. A key with a third of all rows is many tasks: its readings are combined per
+    table gives no rows. A key of more than ``part_rows`` readings is many tasks: its readings are combined per
     second before they are shuffled, and its spans of ``days`` are dealt to parts.
     """
-    t = F.col("event_time").cast("timestamp").cast("long")
-    rows = df.select(F.col(key), "event_time", nan_to_null(F.col(signal).cast("double")).alias("__v"), t.alias("__t")).where(
-        F.col("__t").isNotNull() & (F.abs("__v") < float("inf")))
+    seconds = F.col("event_time").cast("timestamp").cast("long")
+    rows = df.select(F.col(key), "event_time", nan_to_null(F.col(signal).cast("double")).alias("__v")).where(
+        seconds.isNotNull() & (F.abs("__v") < float("inf")))
+    # read several times below, and as short as its three columns
+    rows = ranks.staged(rows).withColumn("__t", seconds)
     # less the floor of the global mean, the power sums stay well conditioned
-    shift = rows.agg(F.floor(F.avg("__v")).cast("double").alias("__shift"))
-    x = F.col("__v") - F.col("__shift")
-    instants = attach_one_row(rows, shift).groupBy(key, "__t").agg(
+    shift = rows.agg(F.floor(F.avg("__v")).cast("double")).first()[0] or 0.0
+    # at most one key in part_rows readings
+    large = ranks.staged(rows.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > part_rows).select("__key"))
+    if large.isEmpty():
+        found = _whole_keys(rows, key, days, shift)
+    else:
+        same = F.col(key).eqNullSafe(F.col("__key"))
+        found = _whole_keys(rows.join(F.broadcast(large), same, "left_anti"), key, days, shift).unionByName(
+            _parted_keys(rows.join(F.broadcast(large), same, "left_semi"), key, days, part_rows, shift))
+    return found.withColumnRenamed("__v", signal)
+
+
+def _whole_keys(rows: DataFrame, key: str, days: int, shift: float) -> DataFrame:
+    """Keys of at most ``part_rows`` readings, each in one task: the readings themselves are shuffled, once."""
+    names = [f.split()[0] for f in STATS.split(", ")]
+
+    def frames(group: pa.Table) -> pa.Table:
+        group = group.sort_by("__t")
+        t, x = group.column("__t").to_numpy(), group.column("__v").to_numpy() - shift
+        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        sums = np.stack([np.add.reduceat(x**p, first) for p in range(5)])
+        stats = pa.table(frame_stats(t[first], sums, np.maximum.reduceat(x, first), shift, days * DAY), names=names)
+        each = stats.take(pa.array(np.repeat(np.arange(len(first)), np.diff(first, append=len(t)))))
+        return pa.table([*(group.column(c) for c in kept), *each.columns], names=[*kept, *names])
+
+    kept = [key, "event_time", "__v"]
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(key).applyInArrow(frames, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + f", {STATS}")
+
+
+def _parted_keys(rows: DataFrame, key: str, days: int, part_rows: int, shift: float) -> DataFrame:
+    """Larger keys: added up per second before they are shuffled, their spans dealt to parts."""
+    x = F.col("__v") - F.lit(shift)
+    instants = rows.groupBy(key, "__t").agg(
         F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(x**p).alias(f"s{p}") for p in (1, 2, 3, 4)],
-        F.max(x).alias("top"), F.max("__shift").alias("__shift")).withColumn("__span", F.floor(F.col("__t") / F.lit(days * DAY)))
+        F.max(x).alias("top")).withColumn("__span", F.floor(F.col("__t") / F.lit(days * DAY)))
     parts = _parts(instants, key, part_rows).withColumnsRenamed({key: "__key", "__span": "__on"})
     dealt = instants.join(parts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__span") == F.col("__on"))).select(
-        "__key", "__part", "__halo", "__t", "n", "s1", "s2", "s3", "s4", "top", "__shift")
+        "__key", "__part", "__halo", "__t", "n", "s1", "s2", "s3", "s4", "top")
 
     def frames(group: pa.Table) -> pa.Table:
         group = group.sort_by("__t")
         column = lambda c: group.column(c).to_numpy()
         stats = frame_stats(column("__t"), np.stack([column(c) for c in ("n", "s1", "s2", "s3", "s4")]), column("top"),
-                            float(column("__shift")[0]), days * DAY)
+                            shift, days * DAY)
         names = [f.split()[0] for f in STATS.split(", ")]
         out = pa.table([group.column("__key"), group.column("__t"), *stats], names=["__key", "__at", *names])
         return out.filter(pc.invert(group.column("__halo")))
 
-    kind = df.schema[key].dataType.simpleString()
+    kind = rows.schema[key].dataType.simpleString()
     ready = dealt.groupBy("__key", "__part").applyInArrow(frames, f"__key {kind}, __at long, {STATS}")
     joined = rows.join(ready, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__t") == F.col("__at")))
-    return joined.select(key, "event_time", F.col("__v").alias(signal), "rolling_count", "rolling_mean", "rolling_std",
-                         "peak_to_average", "rolling_kurtosis")
+    return joined.select(key, "event_time", "__v", "rolling_count", "rolling_mean", "rolling_std", "peak_to_average", "rolling_kurtosis")

@@ -69,3 +69,8 @@ def test_frame_maxima(spark):
     x = rng.normal(size=len(t))
     start = rolling.frame_starts(t, 37)
     assert [max(x[s:i + 1]) for i, s in enumerate(start)] == list(rolling.frame_max(x, start))
+
+
+def test_readings_of_keys_that_fit_a_task_are_shuffled_once(spark):
+    plan = rolling.rolling_stats(spark.createDataFrame(_rows(), SCHEMA), "x", "machine")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
