@@ -259,3 +259,22 @@ def test_a_forest_of_few_levels_ships_no_rows(frame, tmp_path):
         grown = ensembles._tree_batch(table, bins, np.ones(CLASSES), trees.ForestSettings(trees=2, max_depth=depth), 100, range(2))
         assert ("MapInArrow send(" in grown._jdf.queryExecution().executedPlan().toString()) == ships
         assert sorted(r["number"] for r in grown.collect()) == [0, 1]
+
+
+def test_histograms_of_grouped_features_equal_plain_sums():
+    rng = np.random.default_rng(4)
+    sizes, n = [2, 256, 9, 1, 50, 2], trees.CHUNK + 700
+    bins = trees.Bins([np.arange(s - 1, dtype=float) for s in sizes])
+    codes = np.stack([rng.integers(0, s, n).astype(np.uint8) for s in sizes])
+    g, h = rng.integers(-trees.UNIT, trees.UNIT + 1, n).astype(float), rng.integers(0, trees.UNIT // 4 + 1, n).astype(float)
+    h[:trees.CHUNK] = trees.UNIT // 4  # as large as they get
+    groups, joint = trees.joint_codes(codes, bins)
+    assert len(joint) == len(groups) < len(sizes) and sorted(f for group in groups for f in group) == list(range(len(sizes)))
+    for slots in (1, 5):
+        slot = rng.integers(0, slots, n)
+        want = np.zeros((3, slots, bins.offset[-1]))
+        for f in range(len(sizes)):
+            for i, w in enumerate((g, h, np.ones(n))):
+                np.add.at(want[i], (slot, bins.offset[f] + codes[f]), w)
+        assert np.array_equal(trees.boost_histogram(joint, slot, slots, g, h, bins, groups), want)
+        assert np.array_equal(trees.boost_histogram(codes, slot, slots, g, h, bins), want)
